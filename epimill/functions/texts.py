@@ -31,4 +31,5 @@ def blank_if_null(text: Column) -> Column:
 
 
 def is_blank(text: Column) -> Column:
-    return F.coalesce(text, F.lit("")) == ""
+    """True for null and empty text; written so that it reaches the Parquet scan."""
+    return text.isNull() | (text == "")

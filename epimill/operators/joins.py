@@ -16,10 +16,17 @@ from epimill.functions.texts import is_blank
 
 
 def merge_lookups(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
-    """Full outer join in which a null key matches a null key."""
+    """Full outer join in which a null key matches a null key.
+
+    Written as a left join plus the right rows without a partner. Unlike a full
+    join, both can broadcast a small right side and split a hot key of the left.
+    """
     other = right.withColumnRenamed(key, "_right_key")
-    joined = left.join(other, F.col(key).eqNullSafe(F.col("_right_key")), "full")
-    return joined.withColumn(key, F.coalesce(key, "_right_key")).drop("_right_key")
+    same = F.col(key).eqNullSafe(F.col("_right_key"))
+    matched = left.join(other, same, "left").drop("_right_key")
+    keys = left.select(key).distinct()
+    alone = other.join(keys, same, "left_anti").withColumnRenamed("_right_key", key)
+    return matched.unionByName(alone, allowMissingColumns=True)
 
 
 def add_lookup(facts: DataFrame, lookup: DataFrame, key: str) -> DataFrame:

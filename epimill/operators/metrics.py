@@ -12,15 +12,28 @@ PEOPLE = "people"
 TOTAL_ONLY = "total_only"
 
 
+def row_state(people: Column, order: str) -> Column:
+    """Date, whether people are counted, and the class that follows; compares by date."""
+    counted = people.isNotNull()
+    label = F.when(counted, PEOPLE).otherwise(TOTAL_ONLY)
+    return F.struct(F.col(order).alias("day"), counted.alias("counted"), label.alias("label"))
+
+
 def class_by_latest(total: Column, people: Column, keys: Sequence[str], order: str) -> Column:
     """Class of an area from its latest row that has a total.
 
     ``people`` if that row also counts people, ``total_only`` if not, null for an
     area without any total. Shares the shuffle of other windows over the keys.
     """
-    state = F.when(total.isNotNull(), F.struct(F.col(order), people.isNotNull().alias("has_people")))
-    latest = F.max(state).over(Window.partitionBy(*keys))
-    return F.when(latest["has_people"], PEOPLE).when(~latest["has_people"], TOTAL_ONLY)
+    state = F.when(total.isNotNull(), row_state(people, order))
+    return F.max(state).over(Window.partitionBy(*keys))["label"]
+
+
+def class_by_any(total: Column, people: Column, keys: Sequence[str]) -> Column:
+    """Older rule: ``people`` if any row counts people, ``total_only`` if only totals exist."""
+    area = Window.partitionBy(*keys)
+    has_total = F.count(total).over(area) > 0
+    return F.when(F.count(people).over(area) > 0, PEOPLE).when(has_total, TOTAL_ONLY)
 
 
 def area_classes(df: DataFrame, key: str, order: str, total: str, people: str) -> DataFrame:
@@ -28,10 +41,8 @@ def area_classes(df: DataFrame, key: str, order: str, total: str, people: str) -
 
     A plain aggregate, so that each split sends one row per area.
     """
-    state = F.struct(F.col(order), F.col(people).isNotNull().alias("has_people"))
-    latest = df.where(F.col(total).isNotNull()).groupBy(key).agg(F.max(state).alias("latest"))
-    label = F.when(F.col("latest.has_people"), PEOPLE).otherwise(TOTAL_ONLY)
-    return latest.select(key, label.alias("vac_class"))
+    latest = F.max(row_state(F.col(people), order))["label"]
+    return df.where(F.col(total).isNotNull()).groupBy(key).agg(latest.alias("vac_class"))
 
 
 def area_classes_any(df: DataFrame, key: str, total: str, people: str) -> DataFrame:

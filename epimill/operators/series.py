@@ -45,29 +45,41 @@ def rolling_mean(
     return mean if min_rows <= 1 else F.when(F.count(value).over(frame) >= min_rows, mean)
 
 
-def ewm_mean(value: Column, keys: Sequence[str], order: str, alpha: float = 0.2) -> Column:
-    """Exponentially weighted mean of all rows so far, weights summing to one.
+def add_ewm_means(
+    df: DataFrame, means: dict[str, str], keys: Sequence[str], order: str, alpha: float = 0.2
+) -> DataFrame:
+    """Exponentially weighted means of all rows so far, as new name → value column.
 
-    A row n places back has weight ``(1 - alpha) ** n``. The frame ends where the
-    weight drops below double precision, so its length depends on alpha alone.
+    A row n places back has weight ``(1 - alpha) ** n``; a null keeps its place but
+    has no weight. Each series is cut into blocks so long that a weight fades below
+    double precision within one. Sums of ``value / keep ** place`` within the block,
+    and over the block before, then give every mean in one pass over the rows.
     """
     if not 0 < alpha < 1:
         raise ValueError("alpha must lie between 0 and 1")
-    keep = 1.0 - alpha
-    rows = math.ceil(math.log(NEGLIGIBLE_WEIGHT) / math.log(keep))
-    frame = ordered(keys, order).rowsBetween(-rows, 0)
-    # A struct keeps the place of a null, which an array of bare values would lose.
-    history = F.collect_list(F.struct(value.cast("double").alias("v"))).over(frame)
-    start = F.struct(F.lit(0.0).alias("num"), F.lit(0.0).alias("den"))
-
-    def step(acc: Column, row: Column) -> Column:
-        present = row["v"].isNotNull()
-        return F.struct(
-            (acc["num"] * keep + F.coalesce(row["v"], F.lit(0.0))).alias("num"),
-            (acc["den"] * keep + F.when(present, 1.0).otherwise(0.0)).alias("den"),
-        )
-
-    return F.aggregate(history, start, step, lambda acc: F.try_divide(acc["num"], acc["den"]))
+    keep = F.lit(1.0 - alpha)
+    length = math.ceil(math.log(NEGLIGIBLE_WEIGHT) / math.log(1.0 - alpha))
+    row = F.row_number().over(ordered(keys, order)) - 1
+    rows = df.withColumn("_row", row)
+    rows = rows.withColumns(
+        {"_block": F.floor(F.col("_row") / length), "_place": F.pmod(F.col("_row"), F.lit(length))}
+    )
+    so_far = Window.partitionBy(*keys, "_block").orderBy("_place").rowsBetween(Window.unboundedPreceding, 0)
+    block_before = Window.partitionBy(*keys).orderBy("_block").rangeBetween(-1, -1)
+    growth = F.pow(keep, -F.col("_place"))
+
+    def faded(part: Column) -> Column:
+        here = F.sum(part).over(so_far)
+        before = F.coalesce(F.sum(part).over(block_before), F.lit(0.0))
+        return (here + before * F.pow(keep, F.lit(length))) * F.pow(keep, F.col("_place"))
+
+    columns = {}
+    for name, value in means.items():
+        present = F.col(value).isNotNull()
+        weighted = F.when(present, F.col(value).cast("double") * growth).otherwise(0.0)
+        weights = F.when(present, growth).otherwise(0.0)
+        columns[name] = F.try_divide(faded(weighted), faded(weights))
+    return rows.withColumns(columns).drop("_row", "_block", "_place")
 
 
 def is_outlier(value: Column, smooth: Column, factor: float = 2.0, threshold: float = 10000.0) -> Column:

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 
-from pyspark.sql import Column, DataFrame, Row, SparkSession, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from epimill.functions.numbers import nan_to_null, whole_number
 from epimill.functions.texts import is_blank, splice
+from epimill.session import local_table
 
 ALL = "all"
 # Longer value lists are joined instead of being written into the filter.
@@ -26,15 +27,18 @@ def keep_members(df: DataFrame, column: str, values: str | Sequence) -> DataFram
         return df if values == ALL else df.where(F.col(column) == values)
     if len(values) <= MAX_INLINE_VALUES:
         return df.where(F.col(column).isin(list(values)))
-    field = df.schema[column]
-    wanted = df.sparkSession.createDataFrame(
-        [Row(value) for value in dict.fromkeys(values)], T.StructType([T.StructField(column, field.dataType)])
-    )
-    return df.join(wanted, column, "left_semi")
+    texts = [str(value) for value in dict.fromkeys(values) if value is not None]
+    wanted = local_table(df.sparkSession, **{column: texts})
+    return df.join(wanted.select(F.col(column).cast(df.schema[column].dataType)), column, "left_semi")
 
 
 def drop_null(df: DataFrame, *columns: str) -> DataFrame:
-    return df.na.drop(subset=list(columns))
+    """Rows in which none of the columns is null or NaN, as plain pushable filters."""
+    for name in columns:
+        df = df.where(F.col(name).isNotNull())
+        if df.schema[name].dataType.typeName() in ("double", "float"):
+            df = df.where(~F.isnan(name))
+    return df
 
 
 def area_level(df: DataFrame, sub_area: str, keep: Sequence[str]) -> DataFrame:
@@ -65,9 +69,8 @@ def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str | Colu
 
 
 def corrections_table(spark: SparkSession, corrections: Iterable[tuple[str, str, str, str]]) -> DataFrame:
-    return spark.createDataFrame(
-        list(corrections), "file string, area string, old_day string, new_day string"
-    )
+    files, areas, old_days, new_days = (list(column) for column in zip(*corrections, strict=True))
+    return local_table(spark, file=files, area=areas, old_day=old_days, new_day=new_days)
 
 
 def correct_stamps(

@@ -50,8 +50,10 @@ def first_cases(rows: DataFrame) -> DataFrame:
 
 def time_rows(rows: DataFrame, stamp: str = "last_update") -> DataFrame:
     """One time dimension row per distinct parsed stamp; unreadable stamps have none."""
-    parsed = rows.select(parse_timestamp(F.col(stamp)).alias("ts")).where("ts is not null").distinct()
-    return parsed.select(
+    parsed = rows.select(parse_timestamp(F.col(stamp)).alias("ts"))
+    # Counting drops the null group without a filter that would parse every row twice.
+    seen = parsed.groupBy("ts").agg(F.count("ts").alias("n_rows")).where("n_rows > 0")
+    return seen.select(
         timestamp_text(F.col("ts")).alias("last_update"),
         date_text(F.col("ts")).alias("date_string"),
         *[part.alias(name) for name, part in time_parts(F.col("ts")).items()],
@@ -59,20 +61,29 @@ def time_rows(rows: DataFrame, stamp: str = "last_update") -> DataFrame:
 
 
 def conform_vaccinations(raw: DataFrame) -> DataFrame:
-    """Vaccination rows as ``vac`` rows, one per key, in file and row order."""
+    """Vaccination rows as ``vac`` rows plus lineage."""
     rows = raw.withColumnRenamed("date", "date_org")
     rows = rows.withColumn("date_string", date_text(parse_iso_date(F.col("date_org"))))
     rows = blank_keys(whole_numbers(rows, schemas.VAC_MEASURES), ["location", "date_org", "vaccine"])
+    return rows.select(*schemas.VAC.fieldNames(), "source_file", "position")
+
+
+def first_vaccinations(rows: DataFrame) -> DataFrame:
+    """One row per key, in file and row order."""
     kept = first_per_key(rows, schemas.KEYS["vac"], ["source_file", "position"])
     return kept.select(*schemas.VAC.fieldNames())
 
 
 def conform_lookup(areas: DataFrame, locations: DataFrame) -> DataFrame:
-    """Area and location lookups merged into ``country_loc`` rows, one per key."""
-    left = lower_names(areas.drop("source_file")).withColumnRenamed("position", "area_position")
-    right = lower_names(locations.drop("source_file")).withColumnRenamed("position", "location_position")
-    rows = merge_lookups(left, right, "country_region")
-    rows = blank_keys(whole_numbers(rows, ["uid", "code3", "population"]), schemas.KEYS["country_loc"])
-    order = [F.col("area_position").asc_nulls_last(), F.col("location_position").asc_nulls_last()]
-    kept = first_per_key(rows, schemas.KEYS["country_loc"], order)
+    """Area and location lookups merged into ``country_loc`` rows, one per key.
+
+    Each side is reduced to its first row per key before the join, which leaves the
+    same rows as reducing the joined ones, without multiplying repeats.
+    """
+    area_keys = ["fips", "admin2", "province_state", "country_region"]
+    place_keys = ["country_region", "location"]
+    left = first_per_key(blank_keys(lower_names(areas), area_keys), area_keys, ["source_file", "position"])
+    right = first_per_key(blank_keys(lower_names(locations), place_keys), place_keys, ["source_file", "position"])
+    rows = merge_lookups(left.drop(*LINEAGE), right.drop(*LINEAGE), "country_region")
+    kept = blank_keys(whole_numbers(rows, ["uid", "code3", "population"]), schemas.KEYS["country_loc"])
     return kept.select(*[F.col(f.name).try_cast(f.dataType).alias(f.name) for f in schemas.COUNTRY_LOC])

@@ -11,6 +11,7 @@ from epimill.operators.groups import options, sum_by
 from epimill.operators.joins import add_lookup, add_second_fact
 from epimill.operators.metrics import (
     adjusted_by_class,
+    class_by_any,
     class_by_latest,
     per_100k,
     percent,
@@ -54,26 +55,33 @@ def combine(
     return add_second_fact(placed, vac, ["location", "date_string"], "location")
 
 
-def case_trend(combined: DataFrame) -> DataFrame:
-    """Daily cases, their past-week mean and the country's vaccination class."""
+def case_trend(combined: DataFrame, min_rows: int = 1, any_row: bool = False) -> DataFrame:
+    """Daily cases, their past-week mean and the country's vaccination class.
+
+    ``min_rows`` is the number of known days a mean needs; with ``any_row`` the class
+    comes from any row of a country instead of its latest.
+    """
     key = ["country_region"]
     rows = combined.withColumn("date", parse_iso_date(F.col("date_string")))
     rows = rows.withColumn("daily_country_confirmed", delta(F.col("country_confirmed"), key, "date"))
     rows = rows.withColumn("daily_country_confirmed", null_if_negative(F.col("daily_country_confirmed")))
+    total, people = F.col("total_vaccinations"), F.col("people_vaccinated")
     return rows.withColumns(
         {
-            "past_week_daily_cases": rolling_mean(F.col("daily_country_confirmed"), key, "date"),
-            "vac_class": class_by_latest(
-                F.col("total_vaccinations"), F.col("people_vaccinated"), key, "date"
+            "past_week_daily_cases": rolling_mean(
+                F.col("daily_country_confirmed"), key, "date", min_rows=min_rows
             ),
+            "vac_class": class_by_any(total, people, key)
+            if any_row
+            else class_by_latest(total, people, key, "date"),
         }
     )
 
 
-def adjusted_series(combined: DataFrame) -> DataFrame:
+def adjusted_series(combined: DataFrame, min_rows: int = 1, any_row: bool = False) -> DataFrame:
     """All rows with an adjusted vaccination count, with rates by population."""
     label, total, people = F.col("vac_class"), F.col("total_vaccinations"), F.col("people_vaccinated")
-    rows = case_trend(combined).where(usable_for_class(label, total, people))
+    rows = case_trend(combined, min_rows, any_row).where(usable_for_class(label, total, people))
     rows = rows.withColumn(
         "adjusted_people_vaccinated",
         adjusted_by_class(label, total, people, F.col("people_fully_vaccinated")),

@@ -6,10 +6,15 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from epimill import schemas
 from epimill.functions.dates import date_text, file_date
 from epimill.functions.texts import first_part
 from epimill.operators.groups import distinct_values, duplicate_keys, only_in_one, with_next_day
 from epimill.operators.shape import area_level, drop_null
+from epimill.plans.update import Landing, case_files
+from epimill.sinks.warehouse import Warehouse
+from epimill.sources.csv_files import read_csv_files
+from epimill.sources.files import list_files
 
 
 def ledger_files(ledger: DataFrame, data_type: str) -> DataFrame:
@@ -90,5 +95,33 @@ def check_fan_out(country_loc: DataFrame) -> DataFrame:
     return check_keys(whole, ["country_region"], "country_loc country level")
 
 
+def check_all(warehouse: Warehouse, landing: Landing) -> DataFrame:
+    """Every check over a loaded warehouse and its landed files; no rows means no findings."""
+    spark = warehouse.spark
+    ledger, daily_case, vac = (warehouse.read(name) for name in ("csv_record", "daily_case", "vac"))
+    country_loc, dim_time = warehouse.read("country_loc"), warehouse.read("dim_time")
+    areas = read_csv_files(spark, [landing.path(landing.areas)], ["Country_Region", "Province_State"])
+    areas = areas.toDF(*[name.lower() for name in areas.columns])
+    locations = read_csv_files(spark, [landing.path(landing.locations)], ["location"])
+    totals = read_csv_files(spark, [landing.path(landing.vaccination_totals)], ["location", "date"])
+    vac_files = list_files(spark, landing.path(landing.vaccinations))
+    checks = [
+        check_files(case_files(warehouse, landing), ledger, "case"),
+        check_files(vac_files, ledger, "vac"),
+        check_case_dates(ledger, daily_case),
+        check_time_dates(ledger, dim_time),
+        check_areas(areas, daily_case, "daily_case"),
+        check_areas(areas, country_loc, "country_loc"),
+        check_locations(locations, country_loc),
+        check_vaccinations(totals, vac, ledger),
+        check_fan_out(country_loc),
+        *[check_keys(warehouse.read(name), keys, name) for name, keys in schemas.KEYS.items()],
+    ]
+    found = checks[0]
+    for check in checks[1:]:
+        found = found.unionByName(check)
+    return found
+
+
 def key_text(keys: Sequence[str]) -> Column:
     return F.concat_ws("|", *[F.coalesce(F.col(name).cast("string"), F.lit("")) for name in keys])

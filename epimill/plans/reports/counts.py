@@ -11,7 +11,7 @@ from epimill.operators.joins import add_lookup, having_match, merge_lookups, wit
 from epimill.operators.metrics import area_classes
 from epimill.operators.series import last_row
 from epimill.operators.shape import area_level, drop_null, first_rows, keep_members, last_rows
-from epimill.plans.analogue import read, tables
+from epimill.plans.analogue import daily_activity, read, tables
 from epimill.plans.dashboard import LOOKUP_COLUMNS, combine, country_days
 from epimill.plans.reports.registry import report
 
@@ -40,6 +40,12 @@ combined AS (
 TWO_SUMS = {"country_confirmed": "confirmed", "country_death": "deaths"}
 
 
+@report("SELECT * FROM activity", tables=True)
+def area_activity(spark, sf_dir):
+    """The pass over the big tables behind all case and vaccination queries."""
+    return daily_activity(spark, sf_dir)
+
+
 @report("SELECT date_string, country_region, country_confirmed FROM country_days", COUNTRY_DAYS, True)
 def country_daily_sum(spark, sf_dir):
     return country_days(tables(spark, sf_dir).daily_case)

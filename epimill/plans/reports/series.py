@@ -4,16 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from epimill.functions.numbers import log10_positive, ratio
-from epimill.operators.metrics import per_100k
-from epimill.operators.series import delta, drop_outliers, ewm_mean, null_if_negative, rolling_mean
+from epimill.functions.numbers import log10_positive
+from epimill.operators.series import null_if_negative, rolling_mean
 from epimill.plans.analogue import tables
 from epimill.plans.dashboard import combine, country_days
 from epimill.plans.reports.counts import COUNTRY_DAYS, TWO_SUMS
 from epimill.plans.reports.registry import report
+from epimill.plans.trends import KEY, country_trend, daily_counts, smoothed, weekly_rates, without_outliers
 
-KEY = ["country_region"]
-ALPHA = 0.2
 # Our choice: daily counts of the provided tables are small, so the outlier rule
 # gets a lower threshold than its default.
 OUTLIER_THRESHOLD = 20.0
@@ -46,13 +44,7 @@ smooth AS (
 
 
 def daily_deltas(spark, sf_dir):
-    rows = country_days(tables(spark, sf_dir).daily_case, TWO_SUMS)
-    return rows.withColumns(
-        {
-            "daily_cases": delta(F.col("country_confirmed"), KEY, "date_string"),
-            "daily_deaths": delta(F.col("country_death"), KEY, "date_string"),
-        }
-    )
+    return daily_counts(country_days(tables(spark, sf_dir).daily_case, TWO_SUMS))
 
 
 @report("SELECT date_string, country_region, daily_cases, daily_deaths FROM deltas", DELTAS, True)
@@ -100,16 +92,6 @@ def rolling7_min7(spark, sf_dir):
     return rows.select("date_string", "country_region", mean.alias("past_week_daily_cases"))
 
 
-def smoothed(spark, sf_dir):
-    rows = daily_deltas(spark, sf_dir)
-    return rows.withColumns(
-        {
-            "smooth_cases": ewm_mean(F.col("daily_cases"), KEY, "date_string", ALPHA),
-            "smooth_deaths": ewm_mean(F.col("daily_deaths"), KEY, "date_string", ALPHA),
-        }
-    )
-
-
 @report(
     """SELECT date_string, country_region, round(smooth_cases, 6) AS smooth_cases,
               round(smooth_deaths, 6) AS smooth_deaths FROM smooth""",
@@ -117,7 +99,7 @@ def smoothed(spark, sf_dir):
     True,
 )
 def ewm_means(spark, sf_dir):
-    return smoothed(spark, sf_dir).select(
+    return smoothed(daily_deltas(spark, sf_dir)).select(
         "date_string",
         "country_region",
         F.round("smooth_cases", 6).alias("smooth_cases"),
@@ -133,8 +115,7 @@ def ewm_means(spark, sf_dir):
     True,
 )
 def outlier_drop(spark, sf_dir):
-    pairs = [("daily_cases", "smooth_cases"), ("daily_deaths", "smooth_deaths")]
-    kept = drop_outliers(smoothed(spark, sf_dir), pairs, threshold=OUTLIER_THRESHOLD)
+    kept = without_outliers(daily_deltas(spark, sf_dir), threshold=OUTLIER_THRESHOLD)
     return kept.select("date_string", "country_region", "daily_cases", "daily_deaths")
 
 
@@ -159,24 +140,51 @@ def outlier_drop(spark, sf_dir):
 def death_case_ratio(spark, sf_dir):
     loaded = tables(spark, sf_dir)
     rows = combine(loaded.daily_case, loaded.vac, loaded.country_loc, TWO_SUMS)
-    rows = rows.withColumns(
-        {
-            "daily_cases": delta(F.col("country_confirmed"), KEY, "date_string"),
-            "daily_deaths": delta(F.col("country_death"), KEY, "date_string"),
-        }
-    )
-    rows = rows.withColumns(
-        {
-            "past_week_cases": rolling_mean(F.col("daily_cases"), KEY, "date_string", 7, 7),
-            "past_week_deaths": rolling_mean(F.col("daily_deaths"), KEY, "date_string", 7, 7),
-        }
+    return weekly_rates(daily_counts(rows)).select(
+        "date_string", "country_region", "past_week_deaths", "past_week_deaths_per_100k", "deaths_over_cases"
     )
-    return rows.select(
+
+
+@report(
+    """SELECT date_string, country_region, daily_cases, daily_deaths, past_week_cases, past_week_deaths,
+              past_week_cases / nullif(population, 0) * 100000 AS past_week_cases_per_100k,
+              past_week_deaths / nullif(past_week_cases, 0) AS deaths_over_cases,
+              (people_fully_vaccinated + 0.5::DOUBLE * (people_vaccinated - people_fully_vaccinated))
+                / nullif(population, 0) * 100 AS percent_adjusted_people_vaccinated
+       FROM (
+         SELECT *,
+                CASE WHEN count(*) OVER w >= 7
+                     THEN CAST(sum(daily_deaths) OVER w AS DOUBLE) / count(*) OVER w END AS past_week_deaths,
+                CASE WHEN count(*) OVER w >= 7
+                     THEN CAST(sum(daily_cases) OVER w AS DOUBLE) / count(*) OVER w END AS past_week_cases
+         FROM kept
+         WINDOW w AS (PARTITION BY country_region ORDER BY date_string
+                      ROWS BETWEEN 6 PRECEDING AND CURRENT ROW))""",
+    SMOOTH.strip()
+    + """,
+kept AS (
+  SELECT smooth.*, population, people_vaccinated, people_fully_vaccinated
+  FROM smooth
+  JOIN (SELECT country_region, location, population FROM country_loc
+        WHERE coalesce(province_state, '') = '') USING (country_region)
+  LEFT JOIN vac USING (location, date_string)
+  WHERE NOT (abs(daily_cases) > abs(smooth_cases * 2) AND abs(daily_cases) > 20)
+    AND NOT (abs(daily_deaths) > abs(smooth_deaths * 2) AND abs(daily_deaths) > 20))""",
+    True,
+)
+def outlier_free_trend(spark, sf_dir):
+    loaded = tables(spark, sf_dir)
+    rows = combine(loaded.daily_case, loaded.vac, loaded.country_loc, TWO_SUMS)
+    return country_trend(rows, OUTLIER_THRESHOLD).select(
         "date_string",
         "country_region",
+        "daily_cases",
+        "daily_deaths",
+        "past_week_cases",
         "past_week_deaths",
-        per_100k(F.col("past_week_deaths"), F.col("population")).alias("past_week_deaths_per_100k"),
-        ratio(F.col("past_week_deaths"), F.col("past_week_cases")).alias("deaths_over_cases"),
+        "past_week_cases_per_100k",
+        "deaths_over_cases",
+        "percent_adjusted_people_vaccinated",
     )
 
 

@@ -10,20 +10,26 @@ from epimill.plans.dashboard import adjusted_series, case_trend, combine, latest
 from epimill.plans.reports.counts import COMBINED
 from epimill.plans.reports.registry import report
 
-TREND = (
-    COMBINED.strip()
-    + """,
-raw_delta AS (
-  SELECT *, coalesce(country_confirmed - lag(country_confirmed)
-                     OVER (PARTITION BY country_region ORDER BY date_string), 0) AS change
-  FROM combined),
+BY_LATEST = """
 classes AS (
   SELECT country_region,
          CASE WHEN arg_max(people_vaccinated IS NOT NULL, date_string) THEN 'people'
               ELSE 'total_only' END AS vac_class
-  FROM combined WHERE total_vaccinations IS NOT NULL GROUP BY 1),
+  FROM combined WHERE total_vaccinations IS NOT NULL GROUP BY 1)
+"""
+BY_ANY = """
+classes AS (
+  SELECT country_region, CASE WHEN count(people_vaccinated) > 0 THEN 'people' ELSE 'total_only' END AS vac_class
+  FROM combined GROUP BY 1 HAVING count(people_vaccinated) > 0 OR count(total_vaccinations) > 0)
+"""
+AFTER_CLASSES = """
+raw_delta AS (
+  SELECT *, coalesce(country_confirmed - lag(country_confirmed)
+                     OVER (PARTITION BY country_region ORDER BY date_string), 0) AS change
+  FROM combined),
 trend AS (
-  SELECT *, CAST(sum(daily) OVER w AS DOUBLE) / nullif(count(daily) OVER w, 0) AS past_week_daily_cases
+  SELECT *, CAST(sum(daily) OVER w AS DOUBLE) / nullif(count(daily) OVER w, 0) AS past_week_daily_cases,
+         count(daily) OVER w AS n_days
   FROM (SELECT *, CASE WHEN change >= 0 THEN change END AS daily FROM raw_delta)
        LEFT JOIN classes USING (country_region)
   WINDOW w AS (PARTITION BY country_region ORDER BY date_string ROWS BETWEEN 6 PRECEDING AND CURRENT ROW)),
@@ -41,7 +47,8 @@ adjusted AS (
          adjusted_people_vaccinated / nullif(population, 0) * 100 AS percent_adjusted_people_vaccinated
   FROM counted)
 """
-)
+TREND = ", ".join(part.strip() for part in (COMBINED, BY_LATEST, AFTER_CLASSES))
+TREND_BY_ANY = ", ".join(part.strip() for part in (COMBINED, BY_ANY, AFTER_CLASSES))
 STATUS = [
     "country_region",
     "date_string",
@@ -146,3 +153,19 @@ def per_100k_rates(spark, sf_dir):
     return adjusted_series(combined(spark, sf_dir)).select(
         "date_string", "country_region", "past_week_daily_cases", "past_week_daily_cases_per_100k"
     )
+
+
+@report(
+    """SELECT country_region, date_string, vac_class,
+              CASE WHEN n_days >= 7 THEN past_week_daily_cases END AS past_week_daily_cases,
+              percent_adjusted_people_vaccinated
+       FROM adjusted QUALIFY date_string = max(date_string) OVER (PARTITION BY country_region)""",
+    TREND_BY_ANY,
+    True,
+)
+def latest_snapshot_any_class(spark, sf_dir):
+    """The older snapshot: classes from any row, means only from seven known days."""
+    series = adjusted_series(combined(spark, sf_dir), min_rows=7, any_row=True)
+    return latest_status(series).select(
+        "country_region", "date_string", "vac_class", "past_week_daily_cases", "percent_adjusted_people_vaccinated"
+    )

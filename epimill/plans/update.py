@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Row, functions as F
 from epimill.functions.dates import TIMESTAMP_TEXT
 from epimill.operators.shape import STAMP_CORRECTIONS, correct_stamps, corrections_table
 from epimill.plans import conform
+from epimill.session import local_table
 from epimill.sinks.warehouse import Warehouse
 from epimill.sources.csv_files import read_csv_files
 from epimill.sources.files import choose_files, list_files
@@ -46,36 +47,41 @@ def load_cases(
     process_all: bool = False,
     reload_country: str | None = None,
     corrections: Sequence[tuple[str, str, str, str]] = (),
+    headers: dict[str, list[str]] | None = None,
 ) -> int:
     """Load daily reports into the case, time and ledger tables; returns the file count.
 
     Files already in the ledger are skipped unless dates are given or all files are
     asked for. With ``reload_country``, the stored rows of that country are deleted
     first (in the date range, if one is given) and only its rows are loaded.
+    ``headers`` names the header of a layout where it is known to be the same in
+    all files, which saves the pass that looks for header lines.
     """
     spark = warehouse.spark
     chosen = choose_files(
         case_files(warehouse, landing), warehouse.read("csv_record"), "case", dates, process_all
-    ).select("path", "file_name", "layout").collect()
+    ).select("report_path", "file_name", "layout").distinct().collect()
     if not chosen:
         return 0
     raw = None
     for layout in ("new", "old"):
-        paths = [row["path"] for row in chosen if row["layout"] == layout]
+        paths = sorted(row["report_path"] for row in chosen if row["layout"] == layout)
         if paths:
-            part = read_csv_files(spark, paths, conform.CASE_COLUMNS).withColumn("layout", F.lit(layout))
+            part = read_csv_files(spark, paths, conform.CASE_COLUMNS, header=(headers or {}).get(layout))
+            part = part.withColumn("layout", F.lit(layout))
             raw = part if raw is None else raw.unionByName(part)
     rows = conform.conform_cases(raw)
     if corrections:
         rows = correct_stamps(rows, corrections_table(spark, corrections))
     wanted = F.lit(True) if reload_country is None else F.col("country_region") == reload_country
     with warehouse.staged(rows, "cases") as stage:
-        with warehouse.staged(conform.first_cases(stage.where(wanted)), "cases_unique") as unique:
-            if reload_country is None:
-                warehouse.upsert("daily_case", unique)
-            else:
-                first, last = (dates[0], dates[-1]) if dates else (None, None)
-                warehouse.replace("daily_case", unique, "date_case", first, last, wanted)
+        chosen_rows = stage.where(wanted)
+        unique = conform.first_cases(chosen_rows)
+        if reload_country is None:
+            warehouse.upsert("daily_case", unique, chosen_rows)
+        else:
+            first, last = (dates[0], dates[-1]) if dates else (None, None)
+            warehouse.replace("daily_case", unique, "date_case", first, last, wanted)
         warehouse.insert_if_absent("dim_time", conform.time_rows(stage))
     record_files(warehouse, names_of(warehouse, chosen), "case")
     return len(chosen)
@@ -85,12 +91,13 @@ def load_vaccinations(warehouse: Warehouse, landing: Landing, process_all: bool
     """Load the per-country files; they are rewritten at the source, so all by default."""
     files = list_files(warehouse.spark, landing.path(landing.vaccinations))
     chosen = choose_files(files, warehouse.read("csv_record"), "vac", None, process_all)
-    chosen = chosen.select("path", "file_name").collect()
+    chosen = chosen.select("report_path", "file_name").distinct().collect()
     if not chosen:
         return 0
-    raw = read_csv_files(warehouse.spark, [row["path"] for row in chosen], conform.VAC_COLUMNS)
-    with warehouse.staged(conform.conform_vaccinations(raw), "vac") as rows:
-        warehouse.upsert("vac", rows)
+    paths = sorted(row["report_path"] for row in chosen)
+    raw = read_csv_files(warehouse.spark, paths, conform.VAC_COLUMNS)
+    with warehouse.staged(conform.conform_vaccinations(raw), "vac") as stage:
+        warehouse.upsert("vac", conform.first_vaccinations(stage), stage)
     record_files(warehouse, names_of(warehouse, chosen), "vac")
     return len(chosen)
 
@@ -103,7 +110,7 @@ def load_lookup(warehouse: Warehouse, landing: Landing) -> None:
 
 
 def names_of(warehouse: Warehouse, chosen: Sequence[Row]) -> DataFrame:
-    return warehouse.spark.createDataFrame([(row["file_name"],) for row in chosen], "file_name string")
+    return local_table(warehouse.spark, file_name=[row["file_name"] for row in chosen])
 
 
 def record_files(warehouse: Warehouse, names: DataFrame, data_type: str) -> None:

@@ -89,8 +89,11 @@ UPDATE_COLUMNS = {
     "csv_record": ["last_update"],
 }
 # Our choice: the column each table is stored by. Loads rewrite only the
-# partitions a batch touches; tables without one are only ever appended to.
-PARTITIONS = {"daily_case": "date_case", "vac": "date_string", "csv_record": "data_type"}
+# partitions a batch touches; tables without one are only ever appended to. Case
+# reports come by the day. Vaccination rows are few per day, so they are stored by
+# month, in a column that only storage knows.
+PARTITIONS = {"daily_case": "date_case", "vac": "date_month", "csv_record": "data_type"}
+STORAGE_COLUMNS = {"vac": ("date_month", "substring(date_string, 1, 7)")}
 
 # Header names of the older daily reports and of the lookups.
 RENAMES = {

@@ -6,7 +6,8 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_SCRATCH: dict[str, str] = {}
 
@@ -53,3 +54,12 @@ def shared_dir(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path under the shared folder; never handed out twice."""
     return os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
+
+
+def local_table(spark: SparkSession, **columns: list[str]) -> DataFrame:
+    """A small table of text columns given as lists.
+
+    Built from Arrow, which keeps its size known to the optimizer, so that a join
+    with it is planned as a broadcast only as long as it is in fact small.
+    """
+    return spark.createDataFrame(pa.table({name: pa.array(values, pa.string()) for name, values in columns.items()}))

@@ -12,13 +12,13 @@ def upsert(target: DataFrame, batch: DataFrame, keys: Sequence[str], update: Seq
     plus the batch rows with new keys.
 
     One shuffle of both sides on the key. Keys must be unique on each side, so no
-    key can make a partition large.
+    key can make a partition large. As with a unique index, a null key matches none.
     """
     new = batch.select(
         *[F.col(name).alias(f"_new_{name}") for name in target.columns], F.lit(True).alias("_in_batch")
     )
     old = target.withColumn("_in_target", F.lit(True))
-    same = _all([F.col(name).eqNullSafe(F.col(f"_new_{name}")) for name in keys])
+    same = [F.col(name) == F.col(f"_new_{name}") for name in keys]
     both = old.join(new, same, "full")
     columns = []
     for name in target.columns:
@@ -31,7 +31,7 @@ def upsert(target: DataFrame, batch: DataFrame, keys: Sequence[str], update: Seq
 def insert_if_absent(target: DataFrame, batch: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Batch rows whose key the target does not hold yet."""
     known = target.select(*[F.col(name).alias(f"_known_{name}") for name in keys])
-    same = _all([F.col(name).eqNullSafe(F.col(f"_known_{name}")) for name in keys])
+    same = [F.col(name) == F.col(f"_known_{name}") for name in keys]
     return batch.join(known, same, "left_anti")
 
 
@@ -39,10 +39,3 @@ def replace_rows(target: DataFrame, batch: DataFrame, doomed: Column) -> DataFra
     """Target without the rows that meet a condition, plus the batch."""
     kept = target.where(~F.coalesce(doomed, F.lit(False)))
     return kept.unionByName(batch.select(*target.columns))
-
-
-def _all(conditions: Sequence[Column]) -> Column:
-    result = conditions[0]
-    for condition in conditions[1:]:
-        result = result & condition
-    return result

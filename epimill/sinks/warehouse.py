@@ -13,6 +13,7 @@ from collections.abc import Iterator, Sequence
 from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
 from epimill import schemas
 from epimill.sinks.merge import insert_if_absent, replace_rows, upsert
@@ -35,9 +36,11 @@ class Warehouse:
         for table, schema in schemas.TABLES.items():
             self.create(table, schema, schemas.PARTITIONS.get(table))
 
-    def create(self, table: str, schema, partition: str | None = None) -> None:
-        ordered = [f for f in schema if f.name != partition] + [f for f in schema if f.name == partition]
-        columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ordered)
+    def create(self, table: str, schema: StructType, partition: str | None = None) -> None:
+        fields = {field.name: field.dataType.simpleString() for field in schema}
+        if partition:
+            fields[partition] = fields.pop(partition, "string")
+        columns = ", ".join(f"`{name}` {kind}" for name, kind in fields.items())
         by = f" PARTITIONED BY ({partition})" if partition else ""
         self.spark.sql(
             f"CREATE TABLE IF NOT EXISTS {self.name(table)} ({columns}) USING parquet "
@@ -45,8 +48,23 @@ class Warehouse:
         )
 
     def read(self, table: str) -> DataFrame:
+        """The table without columns that only storage knows."""
+        return self.stored(table).select(*self._columns(table))
+
+    def stored(self, table: str) -> DataFrame:
         return self.spark.table(self.name(table))
 
+    def _columns(self, table: str) -> list[str]:
+        names = self.stored(table).columns
+        hidden = schemas.STORAGE_COLUMNS.get(table, ("",))[0]
+        return [name for name in names if name != hidden]
+
+    def _with_storage(self, table: str, df: DataFrame) -> DataFrame:
+        if table not in schemas.STORAGE_COLUMNS:
+            return df
+        name, rule = schemas.STORAGE_COLUMNS[table]
+        return df.withColumn(name, F.expr(rule))
+
     @contextmanager
     def staged(self, df: DataFrame, label: str = "batch") -> Iterator[DataFrame]:
         """The rows written once as a table, for loads that read them several times."""
@@ -61,24 +79,25 @@ class Warehouse:
         """Partition values of a batch: calendar days or type names, never row data."""
         return [row[0] for row in df.select(partition).distinct().collect()]
 
-    def upsert(
-        self, table: str, batch: DataFrame, keys: Sequence[str] | None = None,
-        update: Sequence[str] | None = None, partition: str | None = None,
-    ) -> None:
+    def upsert(self, table: str, batch: DataFrame, source: DataFrame | None = None) -> None:
         """Update matching rows and insert the others, in the touched partitions.
 
         The partition column follows from the key, so a batch row can only match
-        stored rows of its own partition.
+        stored rows of its own partition. ``source`` are the stored rows that the
+        batch is computed from; finding the partitions there keeps the batch itself
+        from being computed twice.
         """
-        keys = keys or schemas.KEYS[table]
-        update = update or schemas.UPDATE_COLUMNS[table]
-        partition = partition or schemas.PARTITIONS[table]
-        stored = self.read(table).where(in_values(partition, self.touched(batch, partition)))
-        self._overwrite(table, upsert(stored, batch, keys, update), partition)
-
-    def insert_if_absent(self, table: str, batch: DataFrame, keys: Sequence[str] | None = None) -> None:
-        current = self.read(table)
-        fresh = insert_if_absent(current, batch, keys or schemas.KEYS[table])
+        partition = schemas.PARTITIONS[table]
+        batch = self._with_storage(table, batch)
+        rows = batch if source is None else self._with_storage(table, source)
+        stored = self.stored(table).where(in_values(partition, self.touched(rows, partition)))
+        merged = upsert(stored, batch, schemas.KEYS[table], schemas.UPDATE_COLUMNS[table])
+        self._overwrite(table, merged, partition)
+
+    def insert_if_absent(self, table: str, batch: DataFrame) -> None:
+        current = self.stored(table)
+        batch = self._with_storage(table, batch)
+        fresh = insert_if_absent(current, batch, schemas.KEYS[table])
         fresh.select(*current.columns).write.insertInto(self.name(table))
 
     def replace(
@@ -88,7 +107,8 @@ class Warehouse:
 
         Partitions left without rows are dropped: an overwrite would not see them.
         """
-        current = self.read(table)
+        current = self.stored(table)
+        batch = self._with_storage(table, batch)
         in_range = F.lit(True) if first is None else F.col(partition).between(F.lit(first), F.lit(last))
         before = self.touched(current.where(in_range), partition)
         stored = current.where(in_values(partition, [*before, *self.touched(batch, partition)]))
@@ -102,7 +122,7 @@ class Warehouse:
                 )
 
     def _overwrite(self, table: str, rows: DataFrame, partition: str) -> None:
-        columns = self.read(table).columns
+        columns = self.stored(table).columns
         # One shuffle by partition value and key hash keeps the number of files low
         # without sending a large day to a single task: AQE splits big partitions.
         (

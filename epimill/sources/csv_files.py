@@ -8,24 +8,24 @@ groups by name. Every column is read as text, which keeps leading zeros.
 from __future__ import annotations
 
 import csv
-from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from epimill.schemas import RENAMES
-from epimill.sources.files import report_name
+from epimill.sources.files import report_name, report_path
 
 ROW_INDEX = "_c0"
 
 
 def header_groups(spark: SparkSession, paths: list[str]) -> list[tuple[list[str], list[str]]]:
-    """Files grouped by header line, as (column names, paths).
+    """Reports grouped by header line, as (column names, paths).
 
-    The result names files, of which the driver already holds the list; it does
-    not grow with the rows in them.
+    The result names reports, of which the driver already holds the list; it does
+    not grow with the rows in them. Finding the header lines takes a pass over the
+    text, so a bulk load of reports whose header is known should name it instead.
     """
     lines = spark.read.text(paths).select(
-        F.col("_metadata.file_path").alias("path"),
+        report_path(plain_path(F.col("_metadata.file_path"))).alias("path"),
         F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("line"),
         F.col("value"),
@@ -35,7 +35,7 @@ def header_groups(spark: SparkSession, paths: list[str]) -> list[tuple[list[str]
     )
     groups: dict[str, list[str]] = {}
     for row in headers.collect():
-        groups.setdefault(row["header"], []).append(unquote(row["path"]))
+        groups.setdefault(row["header"], []).append(row["path"])
     return [(column_names(header), sorted(files)) for header, files in sorted(groups.items())]
 
 
@@ -49,12 +49,14 @@ def column_names(header: str) -> list[str]:
     return [name.strip() or f"_c{position}" for position, name in enumerate(names)]
 
 
-def read_group(spark: SparkSession, columns: list[str], paths: list[str]) -> DataFrame:
-    """Read files that share one header line."""
+def read_group(spark: SparkSession, columns: list[str], paths: list[str], trusted: bool) -> DataFrame:
+    """Read reports that share one header; one with another header stops the job,
+    unless the header was read from the files themselves."""
     schema = T.StructType([T.StructField(name, T.StringType()) for name in columns])
     return (
         spark.read.schema(schema)
         .option("header", "true")
+        .option("enforceSchema", str(trusted).lower())
         .option("escape", '"')
         .csv(paths)
         .select(
@@ -66,22 +68,29 @@ def read_group(spark: SparkSession, columns: list[str], paths: list[str]) -> Dat
 
 
 def read_csv_files(
-    spark: SparkSession, paths: list[str], columns: list[str], renames: dict[str, str] | None = None
+    spark: SparkSession,
+    paths: list[str],
+    columns: list[str],
+    renames: dict[str, str] | None = None,
+    header: list[str] | None = None,
 ) -> DataFrame:
-    """Read CSV files of any header mix into the given columns plus lineage.
+    """Read CSV reports of any header mix into the given columns plus lineage.
 
-    Columns a file lacks are null. ``source_file`` names the file and ``position``
-    orders its rows: the stored row index if there is one, else scan order.
+    Columns a report lacks are null. ``source_file`` names the report and
+    ``position`` orders its rows: the stored row index if there is one, else scan
+    order. With ``header``, all reports must have just that header.
     """
     wanted = [*columns, "source_file", "position"]
+    groups = [(list(header), paths)] if header else header_groups(spark, paths)
     parts = []
-    for names, files in header_groups(spark, paths):
-        part = rename_columns(read_group(spark, names, files), RENAMES | (renames or {}))
+    for names, reports in groups:
+        part = read_group(spark, names, reports, trusted=header is None)
+        part = rename_columns(part, RENAMES | (renames or {}))
         index = F.col(ROW_INDEX).try_cast("bigint") if ROW_INDEX in names else F.lit(None).cast("bigint")
         part = part.withColumn("position", F.coalesce(index, F.col("scan_position")))
         parts.append(part.select(*[name for name in wanted if name in part.columns]))
     if not parts:
-        raise ValueError("no CSV file with a header line among the given paths")
+        raise ValueError("no CSV report with a header line among the given paths")
     frame = parts[0]
     for part in parts[1:]:
         frame = frame.unionByName(part, allowMissingColumns=True)

@@ -19,8 +19,13 @@ OLD_LAYOUT_LAST = "2020-03-21"
 
 
 # The report a path belongs to: the file itself, or the folder its part file is in.
+REPORT_PATH = r"^(.*\.csv)(?:/part-[^/]*)?$"
 REPORT_NAME = r"([^/=]+\.csv)(?:/part-[^/]*)?$"
-MANIFEST = "path string, file_name string, modification_time timestamp, length bigint"
+MANIFEST = "path string, file_name string, report_path string, modification_time timestamp, length bigint"
+
+
+def report_path(path: Column) -> Column:
+    return F.regexp_extract(path, REPORT_PATH, 1)
 
 
 def report_name(path: Column) -> Column:
@@ -30,7 +35,7 @@ def report_name(path: Column) -> Column:
 def list_files(
     spark: SparkSession, folder: str, name_glob: str = "*.csv", recursive: bool = False
 ) -> DataFrame:
-    """CSV files of a folder: path, file_name, modification_time, length.
+    """CSV files of a folder: path, file_name, report_path, modification_time, length.
 
     Without ``recursive``, only the folder's own reports are listed. A folder
     without any is an empty manifest.
@@ -48,6 +53,7 @@ def list_files(
     return listing.select(
         "path",
         report_name(F.col("path")).alias("file_name"),
+        report_path(F.col("path")).alias("report_path"),
         F.col("modificationTime").alias("modification_time"),
         "length",
     )

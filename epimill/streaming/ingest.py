@@ -73,8 +73,7 @@ def ingest_reports(
         target = Warehouse(batch.sparkSession, database)
         rows = conform.conform_cases(as_case_rows(batch, layout))
         with target.staged(rows, "stream") as stage:
-            with target.staged(conform.first_cases(stage), "stream_unique") as unique:
-                target.upsert("daily_case", unique)
+            target.upsert("daily_case", conform.first_cases(stage), stage)
             target.insert_if_absent("dim_time", conform.time_rows(stage))
             record_files(target, stage.select(F.col("source_file").alias("file_name")), "case")
 
