@@ -79,7 +79,7 @@ TOTALS = """
 totals AS (
   SELECT DISTINCT lower(n_name) AS location, strftime(l_shipdate, '%Y-%m-%d') AS date
   FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey
-  UNION SELECT DISTINCT lower(r_name), '1994-01-01' FROM region),
+  UNION SELECT lower(r_name), '1994-01-0' || (r_regionkey + 1) FROM region),
 vac_files AS (SELECT lower(n_name) || '.csv' AS file_name FROM nation WHERE n_regionkey <> 2)
 """
 
@@ -113,7 +113,8 @@ def vaccination_gaps(spark, sf_dir):
         .select(F.lower("n_name").alias("location"), "date")
     )
     regions = read(spark, sf_dir, "region").select(
-        F.lower("r_name").alias("location"), F.lit("1994-01-01").alias("date")
+        F.lower("r_name").alias("location"),
+        F.concat(F.lit("1994-01-0"), (F.col("r_regionkey") + 1).cast("string")).alias("date"),
     )
     ledger = nations.where("n_regionkey <> 2").select(
         F.concat(F.lower("n_name"), F.lit(".csv")).alias("file_name"), F.lit("vac").alias("data_type")
