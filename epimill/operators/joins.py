@@ -39,12 +39,23 @@ def add_second_fact(facts: DataFrame, other: DataFrame, keys: Sequence[str], nam
 
 
 def having_match(df: DataFrame, other: DataFrame, key: str) -> DataFrame:
-    return df.join(other.select(key), key, "left_semi")
+    return df.join(distinct_keys(other, key), key, "left_semi")
 
 
 def without_match(df: DataFrame, other: DataFrame, key: str) -> DataFrame:
     """Rows without a partner; unlike ``NOT IN``, nulls in the other side are harmless."""
-    return df.join(other.select(key), key, "left_anti")
+    return df.join(distinct_keys(other, key), key, "left_anti")
+
+
+def distinct_keys(df: DataFrame, key: str) -> DataFrame:
+    """Keys of the side that is only looked up, each once, so that a frequent key
+    there is reduced before the join.
+
+    Grouping by a hash as well makes the join shuffle the reduced keys anew. Spark
+    splits a hot key of the other side only when both sides come from a shuffle of
+    the join's own.
+    """
+    return df.select(key, F.xxhash64(key).alias("_hash")).distinct().select(key)
 
 
 def add_time_parts(facts: DataFrame, dim_time: DataFrame, stamp: str = "last_update") -> DataFrame:

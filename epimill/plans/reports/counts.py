@@ -90,13 +90,14 @@ def null_province_sum(spark, sf_dir):
          AND o_totalprice >= 1000"""
 )
 def filter_predicates(spark, sf_dir):
-    first, last = F.lit("1996-04-20").cast("date"), F.lit("1999-04-30").cast("date")
+    first, after_last = F.expr("timestamp_ntz'1996-04-20'"), F.expr("timestamp_ntz'1999-05-01'")
     return (
         read(spark, sf_dir, "orders")
         .where(
             (F.col("o_orderstatus") != "P")
             & (F.col("o_orderpriority") == "1-URGENT")
-            & F.col("o_orderdate").cast("date").between(first, last)
+            & (F.col("o_orderdate") >= first)
+            & (F.col("o_orderdate") < after_last)
             & (F.col("o_totalprice") >= 1000)
         )
         .select("o_orderkey", "o_orderstatus", F.col("o_orderdate").cast("date").alias("day"))

@@ -20,11 +20,18 @@ from epimill.sinks.merge import insert_if_absent, replace_rows, upsert
 
 
 class Warehouse:
-    """The five tables of one database."""
+    """The five tables of one database.
+
+    A new database goes to ``location``, or else to Spark's warehouse folder.
+    """
 
     def __init__(self, spark: SparkSession, database: str = "epimill", location: str | None = None):
         self.spark = spark
         self.database = database
+        if not location and not spark.catalog.databaseExists(database):
+            local = spark.sparkContext.master.startswith("local")
+            if not local and spark.conf.get("spark.sql.warehouse.dir").startswith("file:"):
+                raise RuntimeError("name a location for the database that all executors share")
         place = f" LOCATION '{location}'" if location else ""
         spark.sql(f"CREATE DATABASE IF NOT EXISTS {database}{place}")
 

@@ -15,7 +15,7 @@ def spark():
     session = get_session(
         "epimill-tests",
         "local[8]",
-        **{"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false"},
+        **{"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.sql.maxMetadataStringLength": "4000"},
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session
