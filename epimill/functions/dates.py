@@ -11,6 +11,7 @@ ISO_STAMP = r"^\d{4}-\d{1,2}-\d{1,2}[ T]\d{1,2}:\d{1,2}(:\d{1,2})?$"
 SLASH_STAMP = r"^(\d{1,2})/(\d{1,2})/(\d{2}|\d{4}) (\d{1,2}:\d{1,2})$"
 # Fixed value: two-digit years from 69 on belong to the last century.
 FIRST_YEAR_OF_LAST_CENTURY = "69"
+ISO_DATE = r"^\d{4}-\d{1,2}-\d{1,2}$"
 FILE_DATE = r"(\d{2}-\d{2}-\d{4})\.csv"
 FILE_DATE_FORMAT = "MM-dd-yyyy"
 TIMESTAMP_TEXT = "yyyy-MM-dd HH:mm:ss"
@@ -31,8 +32,8 @@ def parse_timestamp(text: Column) -> Column:
 
 
 def parse_iso_date(text: Column) -> Column:
-    """Date from ``yyyy-MM-dd`` text; null when the text is no such date."""
-    return F.try_to_timestamp(text, F.lit(DATE_TEXT)).cast("date")
+    """Date from year-month-day text; null when the text is no such date."""
+    return F.when(text.rlike(ISO_DATE), text.try_cast("date"))
 
 
 def timestamp_text(ts: Column) -> Column:

@@ -108,6 +108,16 @@ def chart_columns(x_choice: str = "Percentage", y_choice: str = "Absolute") -> t
     )
 
 
+def chart_selection(
+    by: str, countries: str | Sequence[str] | None, areas: str | Sequence[str] | None
+) -> tuple[str | Sequence[str], str | Sequence[str]]:
+    """Country and continent filters for a choice by continent or by country; the
+    list that is not chosen by, and an empty country list, restrict nothing."""
+    if by == "Continent":
+        return ALL, areas if areas is not None else ALL
+    return countries or ALL, ALL
+
+
 def latest_chart(
     latest: DataFrame,
     x: str = X_COLUMNS["Percentage"],

@@ -106,7 +106,7 @@ def check_all(warehouse: Warehouse, landing: Landing) -> DataFrame:
     totals = read_csv_files(spark, [landing.path(landing.vaccination_totals)], ["location", "date"])
     vac_files = list_files(spark, landing.path(landing.vaccinations))
     checks = [
-        check_files(case_files(warehouse, landing), ledger, "case"),
+        check_files(case_files(spark, landing), ledger, "case"),
         check_files(vac_files, ledger, "vac"),
         check_case_dates(ledger, daily_case),
         check_time_dates(ledger, dim_time),

@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 
 from epimill.functions.dates import file_name_for
 from epimill.plans.analogue import read, tables
+from epimill.plans.landing import land_cases, rewrite_old_cases
+from epimill.plans.update import Landing, case_files, load_cases, load_lookup, load_vaccinations
 from epimill.plans.reports.registry import report
-from epimill.plans.update import Landing, load_cases, load_lookup, load_vaccinations
 from epimill.session import scratch_path
-from epimill.sinks.csv_files import write_csv
+from epimill.sinks.csv_files import write_csv, write_reports
 from epimill.sinks.merge import insert_if_absent, replace_rows, upsert
 from epimill.sinks.warehouse import Warehouse
 from epimill.sources.csv_files import read_csv_files
@@ -149,7 +150,7 @@ def land_event_reports(spark, sf_dir, root: str) -> Landing:
     old = F.col("day") <= F.lit(LAST_OLD_DAY).cast("date")
     new = rows.where(~old)
     again = new.where("Country_Region = 'error'").withColumn("Confirmed", F.lit("999.0"))
-    write_csv(new.unionByName(again).select(*NEW_HEADER[1:], "report"), landing.path(landing.cases), "report")
+    write_reports(new.unionByName(again).select(*NEW_HEADER[1:], "report"), landing.path(landing.cases))
     old_rows = rows.where(old).select(
         F.col("Province_State").alias("Province/State"),
         F.col("Country_Region").alias("Country/Region"),
@@ -159,7 +160,7 @@ def land_event_reports(spark, sf_dir, root: str) -> Landing:
         "Recovered",
         "report",
     )
-    write_csv(old_rows, landing.path(landing.old_cases), "report")
+    write_reports(old_rows, landing.path(landing.old_cases))
     return landing
 
 
@@ -175,7 +176,7 @@ def land_nation_files(spark, sf_dir, landing: Landing) -> None:
         "people_fully_vaccinated",
         F.concat("location", F.lit(".csv")).alias("report"),
     )
-    write_csv(counts, landing.path(landing.vaccinations), "report")
+    write_reports(counts, landing.path(landing.vaccinations))
     nations = read(spark, sf_dir, "nation")
     areas = (
         read(spark, sf_dir, "customer")
@@ -350,3 +351,38 @@ def csv_round_trip(spark, sf_dir):
     write_csv(rows.withColumn("note", F.lit('a "quoted", text')), f"{path}/orders.csv")
     columns = ["o_orderkey", "o_orderpriority", "o_orderstatus", "note"]
     return read_csv_files(spark, [f"{path}/orders.csv"], columns).select(*columns)
+
+
+REPORT_TEXT = """
+  SELECT strftime(day, '%m-%d-%Y') || '.csv' AS source_file, 'user ' || user_id AS "Province_State",
+         event_type AS "Country_Region", strftime(last_ts, '%Y-%m-%dT%H:%M:%S') AS "Last_Update",
+         n || '.0' AS "Confirmed", n_high || '.0' AS "Deaths"
+  FROM event_days
+"""
+TEXT_COLUMNS = ["Province_State", "Country_Region", "Last_Update", "Confirmed", "Deaths"]
+
+
+@report(f"{REPORT_TEXT} WHERE day <= DATE '2024-01-10'", EVENT_CASES)
+def rewrite_old_reports(spark, sf_dir):
+    """Old-layout reports written again with the newer column names."""
+    landing = land_event_reports(spark, sf_dir, scratch_path(spark, "landing"))
+    target = landing.path("rewritten")
+    rewrite_old_cases(spark, landing, target)
+    paths = [row[0] for row in list_files(spark, target).select("report_path").distinct().collect()]
+    return read_csv_files(spark, paths, TEXT_COLUMNS, {}, ["_c0", *TEXT_COLUMNS, "Recovered"]).select(
+        "source_file", *TEXT_COLUMNS
+    )
+
+
+@report(
+    "SELECT DISTINCT strftime(day, '%m-%d-%Y') || '.csv' AS file_name, 'new' AS layout FROM event_days",
+    EVENT_CASES,
+)
+def land_new_reports(spark, sf_dir):
+    """Land three days by date, then all reports that are still missing, from a source folder."""
+    source = land_event_reports(spark, sf_dir, scratch_path(spark, "source"))
+    landing = Landing(scratch_path(spark, "landing"))
+    if land_cases(spark, source.root, landing, dates=("2024-01-05", "2024-01-07")) != 3:
+        raise RuntimeError("three days were asked for")
+    land_cases(spark, source.root, landing)
+    return case_files(spark, landing).select("file_name", "layout").distinct()

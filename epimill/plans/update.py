@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Row, functions as F
+from pyspark.sql import DataFrame, Row, SparkSession, functions as F
 
 from epimill.functions.dates import TIMESTAMP_TEXT
 from epimill.operators.shape import STAMP_CORRECTIONS, correct_stamps, corrections_table
@@ -33,8 +33,8 @@ class Landing:
         return f"{self.root.rstrip('/')}/{part}"
 
 
-def case_files(warehouse: Warehouse, landing: Landing) -> DataFrame:
-    spark = warehouse.spark
+def case_files(spark: SparkSession, landing: Landing) -> DataFrame:
+    """Landed case files of both layouts."""
     new = list_files(spark, landing.path(landing.cases)).withColumn("layout", F.lit("new"))
     old = list_files(spark, landing.path(landing.old_cases)).withColumn("layout", F.lit("old"))
     return new.unionByName(old)
@@ -59,7 +59,7 @@ def load_cases(
     """
     spark = warehouse.spark
     chosen = choose_files(
-        case_files(warehouse, landing), warehouse.read("csv_record"), "case", dates, process_all
+        case_files(spark, landing), warehouse.read("csv_record"), "case", dates, process_all
     ).select("report_path", "file_name", "layout").distinct().collect()
     if not chosen:
         return 0

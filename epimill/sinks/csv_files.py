@@ -2,23 +2,33 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, DataFrameWriter, functions as F
 
 from epimill.sources.csv_files import ROW_INDEX
+from epimill.sources.files import REPORT_COLUMN
 
 
-def write_csv(df: DataFrame, path: str, report: str | None = None) -> None:
+def write_csv(df: DataFrame, path: str) -> None:
     """Write rows as CSV with a leading row index.
 
     The index grows in row order but has gaps: numbering without gaps would need
-    all rows in one task. With ``report``, a column of names such as
-    ``03-22-2020.csv``, each name becomes a folder of part files.
+    all rows in one task.
     """
-    rows = df.select(F.monotonically_increasing_id().alias(ROW_INDEX), "*")
-    if report:
-        # Rows of a report meet in few tasks; AQE splits a report that is large.
-        rows = rows.hint("rebalance", report)
-    writer = rows.write.option("header", "true").option("escape", '"').option("emptyValue", "")
-    if report:
-        writer = writer.partitionBy(report)
-    writer.csv(path)
+    csv_writer(df.select(F.monotonically_increasing_id().alias(ROW_INDEX), "*")).csv(path)
+
+
+def write_reports(df: DataFrame, folder: str, report: str = REPORT_COLUMN) -> None:
+    """Write rows as one CSV report per name in the ``report`` column.
+
+    A report becomes a folder of part files with its name; a report that exists is
+    replaced, others stay. Its rows meet in few tasks, and AQE splits a report that
+    is large.
+    """
+    rows = df.withColumnRenamed(report, REPORT_COLUMN)
+    rows = rows.select(F.monotonically_increasing_id().alias(ROW_INDEX), "*").hint("rebalance", REPORT_COLUMN)
+    writer = csv_writer(rows).option("partitionOverwriteMode", "dynamic")
+    writer.mode("overwrite").partitionBy(REPORT_COLUMN).csv(folder)
+
+
+def csv_writer(df: DataFrame) -> DataFrameWriter:
+    return df.write.option("header", "true").option("escape", '"').option("emptyValue", "")

@@ -12,7 +12,7 @@ import csv
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from epimill.schemas import RENAMES
-from epimill.sources.files import report_name, report_path
+from epimill.sources.files import report_name, report_path, unescape
 
 ROW_INDEX = "_c0"
 
@@ -25,7 +25,7 @@ def header_groups(spark: SparkSession, paths: list[str]) -> list[tuple[list[str]
     text, so a bulk load of reports whose header is known should name it instead.
     """
     lines = spark.read.text(paths).select(
-        report_path(plain_path(F.col("_metadata.file_path"))).alias("path"),
+        report_path(scanned_path()).alias("path"),
         F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("line"),
         F.col("value"),
@@ -39,9 +39,9 @@ def header_groups(spark: SparkSession, paths: list[str]) -> list[tuple[list[str]
     return [(column_names(header), sorted(files)) for header, files in sorted(groups.items())]
 
 
-def plain_path(path: Column) -> Column:
-    """File path without URL escapes; a plus sign in it is not an escape."""
-    return F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
+def scanned_path() -> Column:
+    """Path of the file a row comes from."""
+    return unescape(F.col("_metadata.file_path"))
 
 
 def column_names(header: str) -> list[str]:
@@ -61,7 +61,7 @@ def read_group(spark: SparkSession, columns: list[str], paths: list[str], truste
         .csv(paths)
         .select(
             "*",
-            report_name(plain_path(F.col("_metadata.file_path"))).alias("source_file"),
+            report_name(scanned_path()).alias("source_file"),
             F.monotonically_increasing_id().alias("scan_position"),
         )
     )

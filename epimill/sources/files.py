@@ -24,12 +24,23 @@ REPORT_NAME = r"([^/=]+\.csv)(?:/part-[^/]*)?$"
 MANIFEST = "path string, file_name string, report_path string, modification_time timestamp, length bigint"
 
 
+REPORT_COLUMN = "report"
+
+
+def unescape(text: Column) -> Column:
+    """Text without URL escapes; a plus sign in it is not an escape."""
+    decoded = F.url_decode(F.replace(text, F.lit("+"), F.lit("%2B")))
+    return F.when(text.contains("%"), decoded).otherwise(text)
+
+
 def report_path(path: Column) -> Column:
     return F.regexp_extract(path, REPORT_PATH, 1)
 
 
 def report_name(path: Column) -> Column:
-    return F.regexp_extract(path, REPORT_NAME, 1)
+    """Name of a report; Spark escapes some characters in folders it names itself."""
+    name = F.regexp_extract(path, REPORT_NAME, 1)
+    return F.when(path.contains(f"/{REPORT_COLUMN}="), unescape(name)).otherwise(name)
 
 
 def list_files(
@@ -40,12 +51,13 @@ def list_files(
     Without ``recursive``, only the folder's own reports are listed. A folder
     without any is an empty manifest.
     """
-    reader = spark.read.format("binaryFile").option("pathGlobFilter", "*.csv")
+    reader = spark.read.format("binaryFile")
     try:
         if recursive:
-            listing = reader.option("recursiveFileLookup", "true").load(folder)
+            reader = reader.option("pathGlobFilter", name_glob).option("recursiveFileLookup", "true")
+            listing = reader.load(folder)
         else:
-            listing = reader.load(f"{folder.rstrip('/')}/{name_glob}")
+            listing = reader.option("pathGlobFilter", "*.csv").load(f"{folder.rstrip('/')}/{name_glob}")
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise

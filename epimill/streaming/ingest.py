@@ -15,7 +15,7 @@ from epimill.plans import conform
 from epimill.plans.update import record_files
 from epimill.schemas import RENAMES
 from epimill.sinks.warehouse import Warehouse
-from epimill.sources.csv_files import ROW_INDEX, plain_path, rename_columns
+from epimill.sources.csv_files import ROW_INDEX, rename_columns, scanned_path
 from epimill.sources.files import report_name
 
 
@@ -41,8 +41,7 @@ def read_report_stream(
     )
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
-    path = plain_path(F.col("_metadata.file_path"))
-    return reader.csv(folder).select("*", report_name(path).alias("source_file"))
+    return reader.csv(folder).select("*", report_name(scanned_path()).alias("source_file"))
 
 
 def as_case_rows(raw: DataFrame, layout: str) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from epimill import schemas
 from epimill.operators.shape import STAMP_CORRECTIONS
 from epimill.plans import dashboard, quality
+from epimill.plans.landing import land_cases, land_lookup, land_vaccinations, rewrite_old_cases
 from epimill.plans.update import Landing, daily_update, load_cases, load_lookup, load_vaccinations
 from epimill.sinks.merge import insert_if_absent, replace_rows, upsert
 from epimill.sources.csv_files import column_names, header_groups, read_csv_files
@@ -328,3 +329,42 @@ def test_checks_see_blank_and_null(spark):
     ]
     lookup = spark.createDataFrame([("France", ""), ("France", None), ("US", ""), ("US", "Ohio")], "country_region string, province_state string")
     assert rows(quality.check_fan_out(lookup), "value") == [("France",)]
+
+
+def test_landing_from_a_source_folder(spark, warehouse, landing, tmp_path):
+    copy = Landing(str(tmp_path / "copy"))
+    assert land_cases(spark, landing.path(landing.cases), copy) == 3
+    assert land_cases(spark, landing.path(landing.cases), copy) == 0
+    assert land_cases(spark, landing.path(landing.cases), copy, ("2020-03-22", "2020-03-23")) == 2
+    assert rows(list_files(spark, copy.path(copy.old_cases)), "file_name") == [("01-22-2020.csv",)]
+    write(f"{landing.path(landing.vaccinations)}/Cote d'Ivoire.csv", ["location", "date", "vaccine", "total_vaccinations"],
+          [["Cote d'Ivoire", "2020-03-23", "A", "3"]])
+    assert land_vaccinations(spark, landing.path(landing.vaccinations), copy) == 3
+    assert land_vaccinations(spark, landing.path(landing.vaccinations), copy) == 3
+    for name in (landing.areas, landing.locations):
+        assert land_lookup(spark, landing.root, name, copy.path(name))
+    assert not land_lookup(spark, landing.root, "nowhere.csv", copy.path("nowhere.csv"))
+    assert daily_update(warehouse, copy) == {"case_files": 3, "vaccination_files": 3}
+    assert warehouse.read("daily_case").count() == 6
+    assert warehouse.read("vac").count() == 4
+    assert warehouse.read("country_loc").count() == 5
+    recorded = rows(warehouse.read("csv_record").where("data_type = 'vac'"), "file_name")
+    assert recorded == [("Cote d'Ivoire.csv",), ("France.csv",), ("South Korea+.csv",)]
+
+
+def test_old_reports_rewritten_with_new_names(spark, landing):
+    target = landing.path("rewritten")
+    rewrite_old_cases(spark, landing, target)
+    paths = [row[0] for row in list_files(spark, target).select("report_path").collect()]
+    ((names, _),) = header_groups(spark, paths)
+    assert names == ["_c0", "Province_State", "Country_Region", "Last_Update", "Confirmed", "Deaths", "Recovered"]
+
+
+def test_chart_choices():
+    assert dashboard.chart_columns("Percentage", "Per 100K") == (
+        "percent_adjusted_people_vaccinated", "past_week_daily_cases_per_100k"
+    )
+    assert dashboard.chart_columns("Absolute", "Absolute") == ("adjusted_people_vaccinated", "past_week_daily_cases")
+    assert dashboard.chart_selection("Continent", ["France"], ["Asia"]) == ("all", ["Asia"])
+    assert dashboard.chart_selection("Country", ["France"], ["Asia"]) == (["France"], "all")
+    assert dashboard.chart_selection("Country", [], None) == ("all", "all")

@@ -30,7 +30,7 @@ def test_entry(spark):
     assert entry.entry(spark).count() > 0
 
 
-LOADS = {"ingest_cases", "ingest_times", "ingest_ledger", "ingest_vaccinations", "ingest_lookup", "reload_country", "stream_ingest"}
+LOADS = {"ingest_cases", "ingest_times", "ingest_ledger", "ingest_vaccinations", "ingest_lookup", "reload_country", "stream_ingest", "rewrite_old_reports", "land_new_reports"}
 
 
 @needs_data
