@@ -50,9 +50,9 @@ def first_cases(rows: DataFrame) -> DataFrame:
 
 def time_rows(rows: DataFrame, stamp: str = "last_update") -> DataFrame:
     """One time dimension row per distinct parsed stamp; unreadable stamps have none."""
-    parsed = rows.select(parse_timestamp(F.col(stamp)).alias("ts"))
-    # Counting drops the null group without a filter that would parse every row twice.
-    seen = parsed.groupBy("ts").agg(F.count("ts").alias("n_rows")).where("n_rows > 0")
+    parsed = rows.select(parse_timestamp(F.col(stamp)).alias("parsed"))
+    # Filters on an aggregate stay above it; on the key they would parse every row twice.
+    seen = parsed.groupBy("parsed").agg(F.max("parsed").alias("ts")).where("ts is not null")
     return seen.select(
         timestamp_text(F.col("ts")).alias("last_update"),
         date_text(F.col("ts")).alias("date_string"),

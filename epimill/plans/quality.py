@@ -10,7 +10,7 @@ from epimill import schemas
 from epimill.functions.dates import date_text, file_date
 from epimill.functions.texts import first_part
 from epimill.operators.groups import distinct_values, duplicate_keys, only_in_one, with_next_day
-from epimill.operators.shape import area_level, drop_null
+from epimill.operators.shape import area_level
 from epimill.plans.update import Landing, case_files
 from epimill.sinks.warehouse import Warehouse
 from epimill.sources.csv_files import read_csv_files
@@ -34,14 +34,30 @@ def both_ways(check: str, left: DataFrame, right: DataFrame, left_name: str, rig
     )
 
 
-def one_way(check: str, source: DataFrame, column: str, table: DataFrame, table_column: str, name: str) -> DataFrame:
-    """Distinct source values that the table does not hold. Both sides are reduced
-    to distinct values before they meet."""
-    values = source.select(F.col(column).alias("value")).distinct()
-    known = table.select(F.col(table_column).alias("value")).distinct()
-    return values.join(known, "value", "left_anti").select(
-        F.lit(check).alias("check"), F.lit(f"not in {name}").alias("direction"), "value"
-    )
+Gap = tuple[str, str, str]
+
+
+def labelled(df: DataFrame, gaps: Sequence[Gap]) -> DataFrame:
+    """Distinct values of several columns in one pass, as (check, direction, value).
+
+    A gap is named by its check, the table that should hold the value, and a column.
+    """
+    cells = [
+        F.struct(
+            F.lit(check).alias("check"),
+            F.lit(f"not in {table}").alias("direction"),
+            F.col(column).cast("string").alias("value"),
+        )
+        for check, table, column in gaps
+    ]
+    return df.select(F.inline(F.array(*cells))).distinct()
+
+
+def missing(source: DataFrame, gaps: Sequence[Gap], known: DataFrame) -> DataFrame:
+    """Source values that the labelled known values lack. Both sides are reduced to
+    distinct values before they meet; null is no value."""
+    values = labelled(source, gaps).where(F.col("value").isNotNull())
+    return values.join(known, ["check", "direction", "value"], "left_anti")
 
 
 def check_files(files: DataFrame, ledger: DataFrame, data_type: str) -> DataFrame:
@@ -62,24 +78,22 @@ def check_time_dates(ledger: DataFrame, dim_time: DataFrame, next_day: bool = Fa
 
 def check_areas(areas: DataFrame, table: DataFrame, name: str) -> DataFrame:
     """Countries and provinces of the area lookup that a table lacks."""
-    countries = one_way("countries", areas, "country_region", table, "country_region", name)
-    named = drop_null(areas, "province_state")
-    provinces = one_way("provinces", named, "province_state", table, "province_state", name)
-    return countries.unionByName(provinces)
+    gaps = [("countries", name, "country_region"), ("provinces", name, "province_state")]
+    return missing(areas, gaps, labelled(table, gaps))
 
 
 def check_locations(locations: DataFrame, country_loc: DataFrame) -> DataFrame:
-    return one_way("locations", locations, "location", country_loc, "location", "country_loc")
+    gaps = [("locations", "country_loc", "location")]
+    return missing(locations, gaps, labelled(country_loc, gaps))
 
 
 def check_vaccinations(totals: DataFrame, vac: DataFrame, ledger: DataFrame) -> DataFrame:
     """Locations and dates of the all-countries file missing in the table or the ledger."""
     loaded = ledger_files(ledger, "vac").select(first_part(F.col("file_name"), ".").alias("location"))
-    return (
-        one_way("locations", totals, "location", vac, "location", "vac")
-        .unionByName(one_way("locations", totals, "location", loaded, "location", "csv_record"))
-        .unionByName(one_way("dates", totals, "date", vac, "date_string", "vac"))
-    )
+    in_vac = labelled(vac, [("locations", "vac", "location"), ("dates", "vac", "date_string")])
+    in_ledger = labelled(loaded, [("locations", "csv_record", "location")])
+    gaps = [("locations", "vac", "location"), ("dates", "vac", "date"), ("locations", "csv_record", "location")]
+    return missing(totals, gaps, in_vac.unionByName(in_ledger))
 
 
 def check_keys(df: DataFrame, keys: Sequence[str], name: str) -> DataFrame:

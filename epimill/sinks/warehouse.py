@@ -105,19 +105,21 @@ class Warehouse:
         current = self.stored(table)
         batch = self._with_storage(table, batch)
         fresh = insert_if_absent(current, batch, schemas.KEYS[table])
-        fresh.select(*current.columns).write.insertInto(self.name(table))
+        # Mostly few rows are new; the hint merges small tasks into few files.
+        fresh.select(*current.columns).hint("rebalance").write.insertInto(self.name(table))
 
     def replace(
         self, table: str, batch: DataFrame, partition: str, first, last, doomed: Column
     ) -> None:
         """Delete rows that meet a condition within a partition range, then add a batch.
 
-        Partitions left without rows are dropped: an overwrite would not see them.
+        Only partitions that hold such rows or get new ones are rewritten. Those left
+        without rows are dropped: an overwrite would not see them.
         """
         current = self.stored(table)
         batch = self._with_storage(table, batch)
         in_range = F.lit(True) if first is None else F.col(partition).between(F.lit(first), F.lit(last))
-        before = self.touched(current.where(in_range), partition)
+        before = self.touched(current.where(in_range & doomed), partition)
         stored = current.where(in_values(partition, [*before, *self.touched(batch, partition)]))
         with self.staged(replace_rows(stored, batch, doomed & in_range), "reload") as rows:
             left = set(self.touched(rows, partition))

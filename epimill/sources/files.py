@@ -18,9 +18,6 @@ OLD_LAYOUT_FIRST = "2020-01-22"
 OLD_LAYOUT_LAST = "2020-03-21"
 
 
-# The report a path belongs to: the file itself, or the folder its part file is in.
-REPORT_PATH = r"^(.*\.csv)(?:/part-[^/]*)?$"
-REPORT_NAME = r"([^/=]+\.csv)(?:/part-[^/]*)?$"
 MANIFEST = "path string, file_name string, report_path string, modification_time timestamp, length bigint"
 
 
@@ -33,14 +30,29 @@ def unescape(text: Column) -> Column:
     return F.when(text.contains("%"), decoded).otherwise(text)
 
 
+def is_part(path: Column) -> Column:
+    """Whether a file is one of the parts of a report folder."""
+    folder = F.substring_index(F.substring_index(path, "/", -2), "/", 1)
+    return F.substring_index(path, "/", -1).startswith("part-") & folder.endswith(".csv")
+
+
 def report_path(path: Column) -> Column:
-    return F.regexp_extract(path, REPORT_PATH, 1)
+    """The report a file belongs to: itself, or the folder whose part it is."""
+    name_length = F.length(F.substring_index(path, "/", -1))
+    folder = F.substring(path, F.lit(1), F.length(path) - name_length - 1)
+    return F.when(is_part(path), folder).otherwise(path)
 
 
 def report_name(path: Column) -> Column:
-    """Name of a report; Spark escapes some characters in folders it names itself."""
-    name = F.regexp_extract(path, REPORT_NAME, 1)
-    return F.when(path.contains(f"/{REPORT_COLUMN}="), unescape(name)).otherwise(name)
+    """Name of the report a file belongs to.
+
+    Runs for every row read, so it cuts at separators rather than match patterns.
+    Folders that Spark names itself have a prefix, and some characters escaped.
+    """
+    folder = F.substring_index(F.substring_index(path, "/", -2), "/", 1)
+    name = F.when(is_part(path), folder).otherwise(F.substring_index(path, "/", -1))
+    prefix = f"{REPORT_COLUMN}="
+    return F.when(name.startswith(prefix), unescape(F.substring_index(name, prefix, -1))).otherwise(name)
 
 
 def list_files(

@@ -284,11 +284,9 @@ def test_daily_update_checks_and_dashboard(warehouse, landing):
 
 def test_queries_in_plain_sql_run_on_the_tables(spark, warehouse, landing):
     load_cases(warehouse, landing)
-    got = spark.sql(
-        f"""SELECT date_string, Country_Region, sum(Confirmed) AS country_confirmed
-            FROM {warehouse.name('daily_case')} GROUP BY date_String, Country_Region"""
-    )
-    assert rows(got.where("date_string = '2020-03-23'")) == [("2020-03-23", "France", 130), ("2020-03-23", "US", 20)]
+    table = warehouse.name("daily_case")
+    got = spark.sql(f"SELECT Country_Region AS c, sum(Confirmed) AS n FROM {table} WHERE date_string > '2020-03-22' GROUP BY c")
+    assert rows(got) == [("France", 130), ("US", 20)]
 
 
 def test_stream_reads_each_file_once(spark, warehouse, tmp_path):

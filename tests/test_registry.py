@@ -48,6 +48,8 @@ def test_scans_are_pruned_and_filters_pushed(spark):
     assert "o_custkey" not in plan
     plan = plan_of(QUERIES["country_level_rows"](spark, SF_DIR))
     assert "Or(IsNull(province_state),EqualTo(province_state,))" in plan
+    plan = plan_of(QUERIES["chart_series"](spark, SF_DIR))
+    assert "In(country_region, [NATION_2,NATION_5,NATION_9])" in plan
 
 
 @needs_data
