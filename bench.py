@@ -1,6 +1,7 @@
 """Time the headline queries and print one JSON line.
 
-Every query is run in full into Spark's no-op sink. The pass that loads the
+Every query is run in full into Spark's no-op sink, after a short warm-up on the
+smallest tables. The pass that loads the
 analogue tables is timed as ``warehouse_load``, so its cost is not hidden in the
 query that happens to come first.
 """
@@ -23,10 +24,18 @@ HEADLINES = [
     "chart_latest", "chart_series", "parse_mixed_timestamps", "time_dimension", "case_time_join",
     "half_even_counts", "dedupe_keep_first", "point_corrections", "upsert_update", "upsert_ignore",
     "delete_reload", "ledger_upsert", "files_to_process", "ledger_reconcile", "lookup_gaps",
-    "vaccination_gaps", "ingest_cases", "reload_country", "stream_ingest", "csv_round_trip",
+    "vaccination_gaps", "ingest_cases", "ingest_vaccinations", "reload_country", "stream_ingest", "csv_round_trip",
 ]
 
 
+def warm_up(spark, sf_dir: str) -> None:
+    """Load classes and compile hot code on the smallest tables, if they are there."""
+    smallest = os.path.join(os.path.dirname(sf_dir.rstrip("/")), "sf0.001")
+    if os.path.isdir(smallest) and os.path.realpath(smallest) != os.path.realpath(sf_dir):
+        for name in ("latest_snapshot", "upsert_update", "ingest_cases"):
+            QUERIES[name](spark, smallest).write.format("noop").mode("overwrite").save()
+
+
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", str(os.cpu_count() or 8))
@@ -40,7 +49,7 @@ def main() -> None:
         },
     )
     spark.sparkContext.setLogLevel("ERROR")
-    spark.range(1000).selectExpr("sum(id)").collect()
+    warm_up(spark, sf_dir)
     seconds: dict[str, float] = {}
     started = time.perf_counter()
     analogue.tables(spark, sf_dir)

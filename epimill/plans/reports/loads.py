@@ -211,7 +211,7 @@ def land_nation_files(spark, sf_dir, landing: Landing) -> None:
     )
 
 
-_INGESTED: dict[tuple[str, str], Warehouse] = {}
+_INGESTED: dict[tuple[str, str, str], Warehouse] = {}
 
 
 def new_warehouse(spark) -> Warehouse:
@@ -221,21 +221,31 @@ def new_warehouse(spark) -> Warehouse:
     return warehouse
 
 
-def ingested(spark, sf_dir) -> Warehouse:
-    """Warehouse loaded from landed CSV files, once per application.
+def ingested_cases(spark, sf_dir) -> Warehouse:
+    """Warehouse with the event reports, loaded once per application.
 
-    Cases come in three loads: a date range, the rest by ledger, and once more by
+    They come in three loads: a date range, the rest by ledger, and once more by
     ledger, which finds nothing new.
     """
-    key = (spark.sparkContext.applicationId, sf_dir)
+    key = (spark.sparkContext.applicationId, sf_dir, "cases")
     if key not in _INGESTED:
         landing = land_event_reports(spark, sf_dir, scratch_path(spark, "landing"))
-        land_nation_files(spark, sf_dir, landing)
         warehouse = new_warehouse(spark)
         load_cases(warehouse, landing, dates=("2024-01-05", "2024-01-20"))
         load_cases(warehouse, landing)
         if load_cases(warehouse, landing):
             raise RuntimeError("the ledger did not keep processed files out")
+        _INGESTED[key] = warehouse
+    return _INGESTED[key]
+
+
+def ingested_nations(spark, sf_dir) -> Warehouse:
+    """Warehouse with the vaccination files and, loaded twice, the lookups."""
+    key = (spark.sparkContext.applicationId, sf_dir, "nations")
+    if key not in _INGESTED:
+        landing = Landing(scratch_path(spark, "landing"))
+        land_nation_files(spark, sf_dir, landing)
+        warehouse = new_warehouse(spark)
         load_vaccinations(warehouse, landing)
         load_lookup(warehouse, landing)
         load_lookup(warehouse, landing)
@@ -245,7 +255,7 @@ def ingested(spark, sf_dir) -> Warehouse:
 
 @report("SELECT * FROM cases", EVENT_CASES)
 def ingest_cases(spark, sf_dir):
-    return ingested(spark, sf_dir).read("daily_case")
+    return ingested_cases(spark, sf_dir).read("daily_case")
 
 
 @report(
@@ -257,7 +267,7 @@ def ingest_cases(spark, sf_dir):
     EVENT_CASES,
 )
 def ingest_times(spark, sf_dir):
-    return ingested(spark, sf_dir).read("dim_time")
+    return ingested_cases(spark, sf_dir).read("dim_time")
 
 
 @report(
@@ -266,7 +276,9 @@ def ingest_times(spark, sf_dir):
     tables=True,
 )
 def ingest_ledger(spark, sf_dir):
-    return ingested(spark, sf_dir).read("csv_record").select("file_name", "data_type")
+    cases, nations = ingested_cases(spark, sf_dir), ingested_nations(spark, sf_dir)
+    entries = cases.read("csv_record").unionByName(nations.read("csv_record"))
+    return entries.select("file_name", "data_type")
 
 
 @report(
@@ -275,7 +287,7 @@ def ingest_ledger(spark, sf_dir):
     tables=True,
 )
 def ingest_vaccinations(spark, sf_dir):
-    return ingested(spark, sf_dir).read("vac")
+    return ingested_nations(spark, sf_dir).read("vac")
 
 
 @report(
@@ -293,7 +305,7 @@ def ingest_vaccinations(spark, sf_dir):
     tables=True,
 )
 def ingest_lookup(spark, sf_dir):
-    return ingested(spark, sf_dir).read("country_loc")
+    return ingested_nations(spark, sf_dir).read("country_loc")
 
 
 @report(
