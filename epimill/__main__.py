@@ -16,10 +16,11 @@ def main() -> None:
     parser.add_argument("command", choices=["update", "check", "latest"])
     parser.add_argument("--root", required=True, help="landing folder")
     parser.add_argument("--database", default="epimill")
-    parser.add_argument("--location", help="folder of the database, if it is new")
+    parser.add_argument("--location", help="folder of the database, unless the catalog knows it")
     options = parser.parse_args()
 
     warehouse = Warehouse(get_session(), options.database, options.location)
+    warehouse.create_tables()
     landing = Landing(options.root)
     if options.command == "update":
         print(daily_update(warehouse, landing))

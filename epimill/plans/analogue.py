@@ -23,9 +23,6 @@ TOTAL_ONLY = (0, 5, 15, 20)
 # Regions whose country-level rows have a blank sub-area; the others have a null.
 BLANK_REGIONS = (0, 1)
 
-_LOADED: dict[tuple[str, str], str] = {}
-
-
 @dataclass(frozen=True)
 class Tables:
     daily_case: DataFrame
@@ -33,6 +30,9 @@ class Tables:
     country_loc: DataFrame
 
 
+_LOADED: dict[tuple[str, str], Tables] = {}
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
@@ -143,9 +143,9 @@ def tables(spark: SparkSession, sf_dir: str) -> Tables:
         daily_case(activity, nations).write.parquet(f"{root}/daily_case")
         vac(activity, nations).write.parquet(f"{root}/vac")
         country_loc(spark, sf_dir).write.parquet(f"{root}/country_loc")
-        _LOADED[key] = root
-    root = _LOADED[key]
-    return Tables(*[spark.read.parquet(f"{root}/{name}") for name in ("daily_case", "vac", "country_loc")])
+        names = ("daily_case", "vac", "country_loc")
+        _LOADED[key] = Tables(*[spark.read.parquet(f"{root}/{name}") for name in names])
+    return _LOADED[key]
 
 
 # The same tables as DuckDB common table expressions.

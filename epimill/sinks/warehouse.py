@@ -34,12 +34,17 @@ class Warehouse:
                 raise RuntimeError("name a location for the database that all executors share")
         place = f" LOCATION '{location}'" if location else ""
         spark.sql(f"CREATE DATABASE IF NOT EXISTS {database}{place}")
+        self.location = spark.catalog.getDatabase(database).locationUri.rstrip("/")
 
     def name(self, table: str) -> str:
         return f"{self.database}.{table}"
 
     def create_tables(self) -> None:
-        """Create the tables that do not exist yet, with fixed schemas."""
+        """Create the tables that do not exist yet, with fixed schemas.
+
+        Each table has its folder below the database, so that a catalog which does
+        not outlive the application finds the stored rows again.
+        """
         for table, schema in schemas.TABLES.items():
             self.create(table, schema, schemas.PARTITIONS.get(table))
 
@@ -49,10 +54,16 @@ class Warehouse:
             fields[partition] = fields.pop(partition, "string")
         columns = ", ".join(f"`{name}` {kind}" for name, kind in fields.items())
         by = f" PARTITIONED BY ({partition})" if partition else ""
+        known = self.spark.catalog.tableExists(self.name(table))
+        folder = f"{self.location}/{table}"
         self.spark.sql(
             f"CREATE TABLE IF NOT EXISTS {self.name(table)} ({columns}) USING parquet "
-            f"OPTIONS ('partitionOverwriteMode' 'dynamic'){by}"
+            f"OPTIONS ('partitionOverwriteMode' 'dynamic'){by} LOCATION '{folder}'"
         )
+        if partition and not known:
+            # Appending no rows makes sure there is a folder to look for partitions in.
+            self.stored(table).where("false").write.mode("append").partitionBy(partition).parquet(folder)
+            self.spark.sql(f"ALTER TABLE {self.name(table)} RECOVER PARTITIONS")
 
     def read(self, table: str) -> DataFrame:
         """The table without columns that only storage knows."""
@@ -126,9 +137,15 @@ class Warehouse:
             self._overwrite(table, rows, partition)
         for value in before:
             if value not in left:
-                self.spark.sql(
-                    f"ALTER TABLE {self.name(table)} DROP IF EXISTS PARTITION ({partition} = '{value}')"
-                )
+                self._empty(table, partition, value)
+
+    def _empty(self, table: str, partition: str, value: object) -> None:
+        """Overwrite one partition with no rows, which deletes its files, and forget it."""
+        kept = [field for field in self.stored(table).schema if field.name != partition]
+        nulls = ", ".join(f"CAST(NULL AS {field.dataType.simpleString()})" for field in kept)
+        spot = f"PARTITION ({partition} = '{value}')"
+        self.spark.sql(f"INSERT OVERWRITE TABLE {self.name(table)} {spot} SELECT {nulls} WHERE false")
+        self.spark.sql(f"ALTER TABLE {self.name(table)} DROP IF EXISTS {spot}")
 
     def _overwrite(self, table: str, rows: DataFrame, partition: str) -> None:
         columns = self.stored(table).columns

@@ -13,6 +13,7 @@ from epimill.plans import dashboard, quality
 from epimill.plans.landing import land_cases, land_lookup, land_vaccinations, rewrite_old_cases
 from epimill.plans.update import Landing, daily_update, load_cases, load_lookup, load_vaccinations
 from epimill.sinks.merge import insert_if_absent, replace_rows, upsert
+from epimill.sinks.warehouse import Warehouse
 from epimill.sources.csv_files import column_names, header_groups, read_csv_files
 from epimill.sources.files import (
     choose_files,
@@ -109,6 +110,17 @@ def test_tables_have_fixed_schemas(warehouse):
     warehouse.create_tables()
 
 
+def test_stored_rows_are_found_by_a_new_catalog(spark, warehouse, landing):
+    daily_update(warehouse, landing)
+    before = {name: rows(warehouse.read(name)) for name in schemas.TABLES}
+    for name in schemas.TABLES:
+        spark.sql(f"DROP TABLE {warehouse.name(name)}")
+    again = Warehouse(spark, warehouse.database)
+    again.create_tables()
+    assert {name: rows(again.read(name)) for name in schemas.TABLES} == before
+    assert load_cases(again, landing) == 0
+
+
 def test_listing_is_not_recursive_by_default(spark, landing):
     own = list_files(spark, landing.path(landing.cases))
     assert rows(own, "file_name") == [("03-22-2020.csv",), ("03-23-2020.csv",)]
@@ -207,6 +219,7 @@ def test_reload_country_drops_emptied_days(warehouse, landing):
     write(f"{landing.path(landing.old_cases)}/01-22-2020.csv", OLD, [])
     load_cases(warehouse, landing, dates=("2020-01-22",), reload_country="France")
     assert warehouse.read("daily_case").where("date_string = '2020-01-22'").count() == 0
+    assert not os.path.exists(f"{warehouse.location.removeprefix('file:')}/daily_case/date_case=2020-01-22")
 
 
 def test_reload_without_dates_clears_the_country(warehouse, landing):

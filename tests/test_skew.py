@@ -1,10 +1,14 @@
 """A third of all rows under one key: joins are split, groups reduced before the shuffle."""
 
+import datetime as dt
+from collections import Counter
+
 import pytest
 from conftest import plan_of
 from pyspark.sql import functions as F
 
 from epimill.operators import groups, joins, series, shape
+from epimill.plans import analogue
 from epimill.sinks.merge import upsert
 
 SETTINGS = {
@@ -73,6 +77,26 @@ def test_hot_key_on_the_right_of_a_semi_join_is_reduced_first(small_partitions):
     assert plan.count("HashAggregate") >= 2
 
 
+def test_load_of_a_hot_customer_is_split_and_whole(small_partitions, tmp_path):
+    orders = small_partitions.range(N).repartition(16).select(
+        F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id") % 500).alias("o_custkey"),
+        F.expr("timestamp_ntz'2020-01-01' + make_dt_interval(cast(id % 9 as int))").alias("o_orderdate"),
+        F.lit("F").alias("o_orderstatus"),
+        F.lit("1-URGENT").alias("o_orderpriority"),
+    )
+    orders.write.parquet(f"{tmp_path}/orders.parquet")
+    customers = small_partitions.range(500).repartition(4).select(
+        F.col("id").alias("c_custkey"), (F.col("id") % 5).alias("c_nationkey"), F.lit("s").alias("c_mktsegment")
+    )
+    customers.write.parquet(f"{tmp_path}/customer.parquet")
+    rows, plan = final_plan(analogue.daily_activity(small_partitions, str(tmp_path)))
+    assert "skew=true" in plan
+    expected = Counter()
+    for i in range(N):
+        expected[(7 if i % 3 == 0 else i % 500) % 5, dt.date(2020, 1, 1 + i % 9)] += 1
+    assert {(row["c_nationkey"], row["day"]): row["n_orders"] for row in rows} == expected
+
+
 def test_groups_send_one_row_per_split_and_key(small_partitions):
     frame = skewed(small_partitions).withColumn("one", F.lit(1))
     summed = {row["k"]: row["n"] for row in groups.sum_by(frame, ["k"], {"n": "one"}).collect()}
