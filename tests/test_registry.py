@@ -1,6 +1,7 @@
 """All registered queries against DuckDB, and the shape of their plans."""
 
 import os
+from types import SimpleNamespace
 
 import pytest
 from conftest import plan_of
@@ -9,6 +10,7 @@ from oracle import compare
 import __spark_entry__ as entry
 from epimill.plans import analogue
 from epimill.session import scratch_path
+from epimill.sinks.warehouse import Warehouse
 
 SF_DIR = "/root/testdata/sf0.001"
 QUERIES = entry.queries()
@@ -30,7 +32,7 @@ def test_entry(spark):
     assert entry.entry(spark).count() > 0
 
 
-LOADS = {"ingest_cases", "ingest_times", "ingest_ledger", "ingest_vaccinations", "ingest_lookup", "reload_country", "stream_ingest", "rewrite_old_reports", "land_new_reports"}
+LOADS = {name for name in QUERIES if name.startswith(("ingest_", "land", "reload", "rewrite", "stream"))}
 
 
 @needs_data
@@ -83,3 +85,19 @@ def test_shared_folder_is_read_from_the_session(spark):
     assert path != scratch_path(spark, "x")
     if configured:
         assert path.startswith(configured)
+
+
+def pretend_cluster(**conf):
+    return SimpleNamespace(
+        conf=SimpleNamespace(get=lambda name, default=None: conf.get(name, default)),
+        sparkContext=SimpleNamespace(master="spark://cluster:7077", applicationId="app"),
+        catalog=SimpleNamespace(databaseExists=lambda name: False),
+    )
+
+
+def test_a_cluster_needs_shared_folders():
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        scratch_path(pretend_cluster(), "x")
+    assert scratch_path(pretend_cluster(**{"spark.checkpoint.dir": "/shared/"}), "x").startswith("/shared/x-")
+    with pytest.raises(RuntimeError, match="location"):
+        Warehouse(pretend_cluster(**{"spark.sql.warehouse.dir": "file:/root/spark-warehouse"}))
