@@ -8,6 +8,7 @@ from pyspark.sql import Column, functions as F
 #   2020-03-22 23:45:00    2020-03-22 23:45    2020-02-01T11:53:03    2020-02-01T11:53
 #   1/22/20 17:00          1/22/2020 17:00
 ISO_STAMP = r"^\d{4}-\d{1,2}-\d{1,2}[ T]\d{1,2}:\d{1,2}(:\d{1,2})?$"
+SLASH_DATE = r"^(\d{1,2})/(\d{1,2})/(\d{2}|\d{4})$"
 SLASH_STAMP = r"^(\d{1,2})/(\d{1,2})/(\d{2}|\d{4}) (\d{1,2}:\d{1,2})$"
 # Fixed value: two-digit years from 69 on belong to the last century.
 FIRST_YEAR_OF_LAST_CENTURY = "69"
@@ -18,19 +19,31 @@ TIMESTAMP_TEXT = "yyyy-MM-dd HH:mm:ss"
 DATE_TEXT = "yyyy-MM-dd"
 
 
+def year_first(text: Column, form: str, turned: str) -> Column:
+    """Month/day/year text rewritten with the year, in four digits, in front."""
+    year = F.regexp_extract(text, form, 3)
+    century = F.when(F.length(year) == 4, "").when(year >= FIRST_YEAR_OF_LAST_CENTURY, "19").otherwise("20")
+    return F.concat(century, F.regexp_replace(text, form, turned))
+
+
 def parse_timestamp(text: Column) -> Column:
     """Timestamp from any of the six forms; null for null or other text.
 
     Slash forms are rewritten to year-month-day first, so that one cast, which is
     much cheaper than a pattern parser, reads every row.
     """
-    year = F.regexp_extract(text, SLASH_STAMP, 3)
-    century = F.when(F.length(year) == 4, "").when(year >= FIRST_YEAR_OF_LAST_CENTURY, "19").otherwise("20")
-    turned = F.concat(century, F.regexp_replace(text, SLASH_STAMP, r"$3-$1-$2 $4"))
+    turned = year_first(text, SLASH_STAMP, "$3-$1-$2 $4")
     iso = F.when(text.rlike(ISO_STAMP), text).when(text.rlike(SLASH_STAMP), turned)
     return iso.try_cast("timestamp")
 
 
+def parse_stamp_date(text: Column) -> Column:
+    """Date from the same forms, whatever follows the date part, if anything."""
+    day = F.get(F.split(text, "[ T]", 2), F.lit(0))
+    turned = year_first(day, SLASH_DATE, "$3-$1-$2")
+    return F.when(day.rlike(ISO_DATE), day).when(day.rlike(SLASH_DATE), turned).try_cast("date")
+
+
 def parse_iso_date(text: Column) -> Column:
     """Date from year-month-day text; null when the text is no such date."""
     return F.when(text.rlike(ISO_DATE), text.try_cast("date"))

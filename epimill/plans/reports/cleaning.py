@@ -4,10 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from epimill.functions.dates import date_text, file_name_for, parse_iso_date, parse_timestamp, timestamp_text
+from epimill.functions.dates import (
+    date_text,
+    file_name_for,
+    parse_iso_date,
+    parse_stamp_date,
+    parse_timestamp,
+    timestamp_text,
+)
 from epimill.functions.numbers import whole_number
+from epimill.functions.texts import first_part
 from epimill.operators.joins import add_time_parts
-from epimill.operators.shape import blank_keys, correct_stamps, corrections_table, first_per_key
+from epimill.operators.shape import blank_keys, correct_stamps, corrections_table, first_per_key, null_nans
 from epimill.plans.analogue import read
 from epimill.plans.conform import time_rows
 from epimill.plans.reports.registry import report
@@ -47,14 +55,17 @@ parts AS (
 """
 
 
-def stamped_orders(spark, sf_dir):
+def stamp_text():
     day, month = F.col("o_orderdate"), F.month("o_orderdate")
     text = F.date_format(day, STAMP_FORMATS[-1])
     for place in range(len(STAMP_FORMATS) - 2, -1, -1):
         text = F.when(month <= 2 * place + 2, F.date_format(day, STAMP_FORMATS[place])).otherwise(text)
     junk = (F.col("o_orderstatus") == "P") & (F.col("o_orderpriority") == "5-LOW")
-    rows = read(spark, sf_dir, "orders")
-    return rows.select("o_orderkey", F.when(junk, "junk").otherwise(text).alias("stamp"))
+    return F.when(junk, "junk").otherwise(text)
+
+
+def stamped_orders(spark, sf_dir):
+    return read(spark, sf_dir, "orders").select("o_orderkey", stamp_text().alias("stamp"))
 
 
 @report(
@@ -69,6 +80,22 @@ def parse_mixed_timestamps(spark, sf_dir):
     )
 
 
+@report(
+    """SELECT o_orderkey, text,
+              CAST(try_strptime(split_part(replace(text, 'T', ' '), ' ', 1),
+                                ['%Y-%m-%d', '%m/%d/%y', '%m/%d/%Y']) AS DATE) AS day
+       FROM (SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN split_part(stamp, ' ', 1) ELSE stamp END AS text
+             FROM stamps JOIN orders USING (o_orderkey))""",
+    STAMPS,
+)
+def stamp_dates(spark, sf_dir):
+    """Dates of stamps in any form; filled orders have stamps without a time."""
+    stamp = stamp_text()
+    text = F.when(F.col("o_orderstatus") == "F", first_part(stamp, " ")).otherwise(stamp)
+    rows = read(spark, sf_dir, "orders").select("o_orderkey", text.alias("text"))
+    return rows.withColumn("day", parse_stamp_date(F.col("text")))
+
+
 @report("SELECT * FROM parts", STAMPS)
 def time_dimension(spark, sf_dir):
     return time_rows(stamped_orders(spark, sf_dir), "stamp")
@@ -175,3 +202,15 @@ def key_nulls_filled(spark, sf_dir):
         F.expr("nullif(o_orderstatus, 'P')").alias("status"),
     )
     return blank_keys(rows, ["priority", "status"])
+
+
+@report(
+    """SELECT l_orderkey, l_linenumber, nullif(l_tax, 0) AS l_tax, nullif(l_discount, 0) AS l_discount
+       FROM lineitem"""
+)
+def nan_measures(spark, sf_dir):
+    """Zero rates written as NaN come out as null."""
+    columns = ["l_tax", "l_discount"]
+    rows = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", *columns)
+    missing = {name: F.when(F.col(name) == 0, F.lit(float("nan"))).otherwise(F.col(name)) for name in columns}
+    return null_nans(rows.withColumns(missing), columns)

@@ -20,23 +20,33 @@ ROW_INDEX = "_c0"
 def header_groups(spark: SparkSession, paths: list[str]) -> list[tuple[list[str], list[str]]]:
     """Reports grouped by header line, as (column names, paths).
 
-    The result names reports, of which the driver already holds the list; it does
-    not grow with the rows in them. Finding the header lines takes a pass over the
-    text, so a bulk load of reports whose header is known should name it instead.
+    The parts of a report share one header, so only its smallest part is read for
+    it. The lists name reports, which the driver holds anyway; they do not grow with
+    the rows. A bulk load of large single files whose header is known should name
+    the header instead.
     """
-    lines = spark.read.text(paths).select(
-        report_path(scanned_path()).alias("path"),
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").load(paths)
+    samples = (
+        files.where("length > 0")
+        .groupBy(report_path(F.col("path")).alias("report"))
+        .agg(F.min_by("path", "length").alias("path"))
+    )
+    sampled = [row["path"] for row in samples.collect()]
+    if not sampled:
+        return []
+    lines = spark.read.text(sampled).select(
+        report_path(scanned_path()).alias("report"),
         F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("line"),
         F.col("value"),
     )
     headers = (
-        lines.where(F.col("block") == 0).groupBy("path").agg(F.min_by("value", "line").alias("header"))
+        lines.where(F.col("block") == 0).groupBy("report").agg(F.min_by("value", "line").alias("header"))
     )
     groups: dict[str, list[str]] = {}
     for row in headers.collect():
-        groups.setdefault(row["header"], []).append(row["path"])
-    return [(column_names(header), sorted(files)) for header, files in sorted(groups.items())]
+        groups.setdefault(row["header"], []).append(row["report"])
+    return [(column_names(header), sorted(reports)) for header, reports in sorted(groups.items())]
 
 
 def scanned_path() -> Column:

@@ -34,6 +34,17 @@ def test_six_stamp_forms(spark):
     assert {row["text"]: row["ts"] for row in parsed.collect()} == STAMPS
 
 
+def test_stamp_dates_need_no_time(spark):
+    cases = {
+        "2020-03-22 23:45:00": "2020-03-22", "2020-02-01T11:53": "2020-02-01", "2020-02-01": "2020-02-01",
+        "1/22/20 17:00": "2020-01-22", "1/22/2020": "2020-01-22", "1/2/99": "1999-01-02",
+        "2020-02-30 1:00": None, "2/30/20": None, "junk": None, "": None, None: None,
+    }
+    df = spark.createDataFrame([(text,) for text in cases], "text string")
+    got = df.select("text", dates.date_text(dates.parse_stamp_date(F.col("text"))).alias("day"))
+    assert {row["text"]: row["day"] for row in got.collect()} == cases
+
+
 def test_two_digit_years_match_strptime(spark):
     texts_ = [f"3/4/{year:02d} 5:06" for year in range(100)]
     df = spark.createDataFrame([(text,) for text in texts_], "text string")
