@@ -13,7 +13,7 @@ from epimill.plans import conform
 from epimill.session import local_table
 from epimill.sinks.warehouse import Warehouse
 from epimill.sources.csv_files import read_csv_files
-from epimill.sources.files import choose_files, list_files
+from epimill.sources.files import choose_files, list_files, with_file_date
 
 
 @dataclass(frozen=True)
@@ -55,14 +55,19 @@ def load_cases(
     asked for. With ``reload_country``, the stored rows of that country are deleted
     first (in the date range, if one is given) and only its rows are loaded.
     ``headers`` names the header of a layout where it is known to be the same in
-    all files, which saves the pass that looks for header lines.
+    all files, which saves looking for header lines.
     """
     spark = warehouse.spark
-    chosen = choose_files(
+    files = choose_files(
         case_files(spark, landing), warehouse.read("csv_record"), "case", dates, process_all
-    ).select("report_path", "file_name", "layout").distinct().collect()
+    )
+    reports = with_file_date(files.select("report_path", "file_name", "layout").distinct())
+    chosen = reports.collect()
     if not chosen:
         return 0
+    undated = sorted(row["file_name"] for row in chosen if row["file_date"] is None)
+    if undated:
+        raise ValueError(f"no report date in file names: {undated}")
     raw = None
     for layout in ("new", "old"):
         paths = sorted(row["report_path"] for row in chosen if row["layout"] == layout)

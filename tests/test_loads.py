@@ -379,3 +379,10 @@ def test_chart_choices():
     assert dashboard.chart_selection("Continent", ["France"], ["Asia"]) == ("all", ["Asia"])
     assert dashboard.chart_selection("Country", ["France"], ["Asia"]) == (["France"], "all")
     assert dashboard.chart_selection("Country", [], None) == ("all", "all")
+
+
+def test_case_file_without_a_date_is_an_error(warehouse, landing):
+    write(f"{landing.path(landing.cases)}/notes.csv", NEW, [["", "", "", "France", "junk", "1", "", "", ""]])
+    with pytest.raises(ValueError, match="notes.csv"):
+        load_cases(warehouse, landing)
+    assert warehouse.read("daily_case").count() == 0
