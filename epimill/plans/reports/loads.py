@@ -17,7 +17,7 @@ from epimill.sinks.merge import insert_if_absent, replace_rows, upsert
 from epimill.sinks.warehouse import Warehouse
 from epimill.sources.csv_files import read_csv_files
 from epimill.sources.files import list_files
-from epimill.streaming.ingest import ingest_reports, read_report_stream
+from epimill.streaming.ingest import ingest_reports, stream_files
 
 ORDER_COLUMNS = ["o_orderkey", "o_orderstatus", "o_totalprice", "o_orderpriority"]
 
@@ -93,7 +93,6 @@ NEW_HEADER = [
     "_c0", "FIPS", "Admin2", "Province_State", "Country_Region", "Last_Update",
     "Confirmed", "Deaths", "Recovered", "Active",
 ]
-OLD_HEADER = ["_c0", "Province/State", "Country/Region", "Last Update", "Confirmed", "Deaths", "Recovered"]
 LAST_OLD_DAY = "2024-01-10"
 
 EVENT_CASES = """
@@ -327,12 +326,9 @@ def stream_ingest(spark, sf_dir):
     landing = land_event_reports(spark, sf_dir, scratch_path(spark, "landing"))
     warehouse = new_warehouse(spark)
     checkpoint = scratch_path(spark, "stream")
-    for layout, folder, header in (
-        ("old", landing.old_cases, OLD_HEADER),
-        ("new", landing.cases, NEW_HEADER),
-    ):
-        stream = read_report_stream(spark, f"{landing.path(folder)}/*.csv", header, max_files=40)
-        ingest_reports(warehouse, stream, layout, f"{checkpoint}/{layout}")
+    for layout, folder in (("old", landing.old_cases), ("new", landing.cases)):
+        files = stream_files(spark, landing.path(folder), layout, max_files=40)
+        ingest_reports(warehouse, files, f"{checkpoint}/{layout}")
     return warehouse.read("daily_case")
 
 

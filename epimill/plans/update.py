@@ -59,8 +59,21 @@ def load_cases(
     """
     spark = warehouse.spark
     files = choose_files(
-        case_files(spark, landing), warehouse.read("csv_record"), "case", dates, process_all
+        case_files(warehouse.spark, landing), warehouse.read("csv_record"), "case", dates, process_all
     )
+    return load_reports(warehouse, files, dates, reload_country, corrections, headers)
+
+
+def load_reports(
+    warehouse: Warehouse,
+    files: DataFrame,
+    dates: tuple[str, ...] | None = None,
+    reload_country: str | None = None,
+    corrections: Sequence[tuple[str, str, str, str]] = (),
+    headers: dict[str, list[str]] | None = None,
+) -> int:
+    """Load the case reports that a manifest with layouts names, each of them whole."""
+    spark = warehouse.spark
     reports = with_file_date(files.select("report_path", "file_name", "layout").distinct())
     chosen = reports.collect()
     if not chosen:

@@ -1,7 +1,11 @@
 """Case reports as a file stream.
 
-The checkpoint takes the place of the ledger lookup: each file is read once. A
-file rewritten under its old name is not read again, which suits daily reports but
+The checkpoint takes the place of the ledger lookup: each file is met once. The
+stream only tells which reports have new files; every such report is then read
+whole. A report whose parts arrive in several batches is therefore judged as one:
+the first row of a key is the first of the report, not of a batch.
+
+A file rewritten under its old name is not met again, which suits daily reports but
 not the vaccination files; those stay a batch reload.
 """
 
@@ -9,59 +13,41 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from epimill.plans import conform
-from epimill.plans.update import record_files
-from epimill.schemas import RENAMES
+from epimill.plans.update import load_reports
 from epimill.sinks.warehouse import Warehouse
-from epimill.sources.csv_files import ROW_INDEX, rename_columns, scanned_path
-from epimill.sources.files import report_name
+from epimill.sources.files import report_name, report_path
+
+# Fixed value: the columns Spark gives for a file; the content is not read.
+FILE_COLUMNS = "path string, modificationTime timestamp, length bigint, content binary"
 
 
-def read_report_stream(
-    spark: SparkSession,
-    folder: str,
-    header: Sequence[str],
-    check_header: bool = True,
-    max_files: int | None = None,
-) -> DataFrame:
-    """Stream of raw report rows for files with the given header.
+def stream_files(spark: SparkSession, folder: str, layout: str, max_files: int | None = None) -> DataFrame:
+    """Stream of the CSV files of a folder's reports: report_path, file_name, layout.
 
-    One stream per header layout. A file with another header stops the stream,
-    since its columns would be bound by position; ``check_header`` may be turned
-    off for files whose index column has an empty name.
+    ``max_files`` bounds a batch. Where reports are folders of many parts it is best
+    left out, as a report is read again for each batch that holds one of its parts.
     """
-    schema = T.StructType([T.StructField(name, T.StringType()) for name in header])
-    reader = (
-        spark.readStream.schema(schema)
-        .option("header", "true")
-        .option("enforceSchema", str(not check_header).lower())
-        .option("escape", '"')
-    )
+    reader = spark.readStream.format("binaryFile").schema(FILE_COLUMNS).option("pathGlobFilter", "*.csv")
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
-    return reader.csv(folder).select("*", report_name(scanned_path()).alias("source_file"))
-
-
-def as_case_rows(raw: DataFrame, layout: str) -> DataFrame:
-    """Raw rows of one layout in the columns the batch load uses."""
-    rows = rename_columns(raw, RENAMES)
-    index = F.col(ROW_INDEX).try_cast("bigint") if ROW_INDEX in rows.columns else F.lit(None).cast("bigint")
-    missing = [name for name in conform.CASE_COLUMNS if name not in rows.columns]
-    return rows.withColumns(
-        {
-            **{name: F.lit(None).cast("string") for name in missing},
-            "layout": F.lit(layout),
-            "position": F.coalesce(index, F.monotonically_increasing_id()),
-        }
-    ).select(*conform.CASE_COLUMNS, "source_file", "position", "layout")
+    files = reader.load(f"{folder.rstrip('/')}/*.csv")
+    return files.select(
+        report_path(F.col("path")).alias("report_path"),
+        report_name(F.col("path")).alias("file_name"),
+        F.lit(layout).alias("layout"),
+    )
 
 
 def ingest_reports(
-    warehouse: Warehouse, stream: DataFrame, layout: str, checkpoint: str
+    warehouse: Warehouse,
+    files: DataFrame,
+    checkpoint: str,
+    corrections: Sequence[tuple[str, str, str, str]] = (),
+    headers: dict[str, list[str]] | None = None,
 ) -> None:
-    """Read all files that are new since the last run and upsert their rows.
+    """Load the reports of all files that are new since the last run.
 
     A batch that is replayed after a failure finds its own rows by key, so each
     row is stored once.
@@ -70,14 +56,10 @@ def ingest_reports(
 
     def load(batch: DataFrame, batch_id: int) -> None:
         target = Warehouse(batch.sparkSession, database)
-        rows = conform.conform_cases(as_case_rows(batch, layout))
-        with target.staged(rows, "stream") as stage:
-            target.upsert("daily_case", conform.first_cases(stage), stage)
-            target.insert_if_absent("dim_time", conform.time_rows(stage))
-            record_files(target, stage.select(F.col("source_file").alias("file_name")), "case")
+        load_reports(target, batch, corrections=corrections, headers=headers)
 
     query = (
-        stream.writeStream.foreachBatch(load)
+        files.writeStream.foreachBatch(load)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()

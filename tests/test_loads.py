@@ -22,7 +22,7 @@ from epimill.sources.files import (
     with_layout,
     with_name_containing,
 )
-from epimill.streaming.ingest import ingest_reports, read_report_stream
+from epimill.streaming.ingest import ingest_reports, stream_files
 
 NEW = ["FIPS", "Admin2", "Province_State", "Country_Region", "Last_Update", "Confirmed", "Deaths", "Recovered", "Active"]
 LATER = ["FIPS", "Admin2", "Province_State", "Country_Region", "Last_Update", "Lat", "Long_", "Confirmed", "Deaths", "Recovered", "Active", "Combined_Key"]
@@ -306,14 +306,17 @@ def test_stream_reads_each_file_once(spark, warehouse, tmp_path):
     folder, checkpoint = str(tmp_path / "in"), str(tmp_path / "check")
 
     def run():
-        stream = read_report_stream(spark, folder, ["_c0", *NEW], check_header=False, max_files=1)
-        ingest_reports(warehouse, stream, "new", checkpoint)
+        ingest_reports(warehouse, stream_files(spark, folder, "new", max_files=1), checkpoint)
 
     write(f"{folder}/03-22-2020.csv", NEW, [["", "", "", "France", "2020-03-22 23:45:00", "100", "", "", ""]])
-    write(f"{folder}/03-23-2020.csv", NEW, [["", "", "", "France", "2020-03-23 23:45:00", "130", "", "", ""]])
+    write(f"{folder}/03-23-2020.csv", LATER, [
+        ["", "", "", "France", "2020-03-23 23:45:00", "1", "2", "130", "", "", "", ""]
+    ])
     run()
     write(f"{folder}/03-24-2020.csv", NEW, [["", "", "", "France", "2020-03-24 23:45:00", "120", "", "", ""]])
     run()
+    # A rewritten file is not met again.
+    write(f"{folder}/03-22-2020.csv", NEW, [["", "", "", "France", "2020-03-22 23:45:00", "999", "", "", ""]])
     run()
     assert rows(warehouse.read("daily_case"), "date_string", "confirmed") == [
         ("2020-03-22", 100), ("2020-03-23", 130), ("2020-03-24", 120)
@@ -322,14 +325,27 @@ def test_stream_reads_each_file_once(spark, warehouse, tmp_path):
     assert warehouse.read("dim_time").count() == 3
 
 
+def test_stream_judges_a_report_as_one(spark, warehouse, tmp_path):
+    folder = str(tmp_path / "in")
+    report = f"{folder}/report=03-22-2020.csv"
+    write(f"{report}/part-1.csv", NEW, [["", "", "", "France", "2020-03-22 23:45:00", "100", "", "", ""]])
+    with open(f"{report}/part-0.csv", "w") as file:
+        file.write(",".join(["", *NEW]) + "\n5,,,,France,2020-03-22 23:45:00,999,,,\n")
+    for part, age in (("part-1.csv", 1000), ("part-0.csv", 500)):
+        path = f"{report}/{part}"
+        os.utime(path, (os.stat(path).st_mtime - age,) * 2)
+    ingest_reports(warehouse, stream_files(spark, folder, "new", max_files=1), str(tmp_path / "check"))
+    assert rows(warehouse.read("daily_case"), "confirmed") == [(100,)]
+
+
 def test_stream_stops_at_another_header(spark, warehouse, tmp_path):
     folder = str(tmp_path / "in")
     os.makedirs(folder)
     with open(f"{folder}/03-22-2020.csv", "w") as file:
         file.write("Confirmed,Country_Region\n1,France\n")
-    stream = read_report_stream(spark, folder, ["Country_Region", "Confirmed"])
+    files = stream_files(spark, folder, "new")
     with pytest.raises(Exception, match="header"):
-        ingest_reports(warehouse, stream, "new", str(tmp_path / "check"))
+        ingest_reports(warehouse, files, str(tmp_path / "check"), headers={"new": ["Country_Region", "Confirmed"]})
 
 
 def test_checks_see_blank_and_null(spark):
