@@ -96,6 +96,12 @@ def check_vaccinations(totals: DataFrame, vac: DataFrame, ledger: DataFrame) ->
     return missing(totals, gaps, in_vac.unionByName(in_ledger))
 
 
+def check_unread_dates(vac: DataFrame) -> DataFrame:
+    """Date texts of stored vaccination rows that are no date; such rows match no case day."""
+    unread = vac.where(F.col("date_string").isNull()).select(F.col("date_org").alias("value")).distinct()
+    return unread.select(F.lit("dates").alias("check"), F.lit("not a date").alias("direction"), "value")
+
+
 def check_keys(df: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
     """Keys held by more than one row, as one text value."""
     return duplicate_keys(df, keys).select(
@@ -128,6 +134,7 @@ def check_all(warehouse: Warehouse, landing: Landing) -> DataFrame:
         check_areas(areas, country_loc, "country_loc"),
         check_locations(locations, country_loc),
         check_vaccinations(totals, vac, ledger),
+        check_unread_dates(vac),
         check_fan_out(country_loc),
         *[check_keys(warehouse.read(name), keys, name) for name, keys in schemas.KEYS.items()],
     ]

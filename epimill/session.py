@@ -16,7 +16,9 @@ def get_session(app_name: str = "epimill", master: str | None = None, **conf: st
     """A session with the settings the operators assume.
 
     UTC keeps timestamp text stable in both directions. AQE re-plans joins from
-    measured sizes, coalesces small partitions and splits skewed ones.
+    measured sizes, coalesces small partitions and splits skewed ones. Where every
+    partition of one side is small, it may hash that side and so leave the other
+    unsorted.
     """
     builder = SparkSession.builder.appName(app_name)
     if master:
@@ -26,6 +28,7 @@ def get_session(app_name: str = "epimill", master: str | None = None, **conf: st
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "64MB",
         **conf,
     }
     for key, value in settings.items():

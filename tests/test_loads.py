@@ -1,6 +1,7 @@
 import csv
 import datetime as dt
 import os
+import random
 
 import pytest
 from conftest import rows
@@ -402,3 +403,55 @@ def test_case_file_without_a_date_is_an_error(warehouse, landing):
     with pytest.raises(ValueError, match="notes.csv"):
         load_cases(warehouse, landing)
     assert warehouse.read("daily_case").count() == 0
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_loads_act_like_a_dictionary_of_first_rows(warehouse, tmp_path, seed):
+    """Random reports with repeated keys, loaded in steps and partly again."""
+    draw = random.Random(seed)
+    landing = Landing(str(tmp_path / "land"))
+    days = ["03-20-2020", "03-21-2020", "03-22-2020", "03-23-2020"]
+    stored = {}
+
+    def land(day):
+        old = day < "03-22-2020"
+        lines, first = [], {}
+        for _ in range(draw.randint(1, 12)):
+            province, country = draw.choice(["", "P", "Q"]), draw.choice(["A", "B", "C"])
+            stamp, counts = f"3/{draw.randint(1, 28)}/20 {draw.randint(0, 23)}:00", [draw.randint(0, 99) for _ in "abc"]
+            texts = [f"{count}.0" if draw.random() < 0.8 else "" for count in counts]
+            lines.append([province, country, stamp, *texts] if old else ["", "", province, country, stamp, *texts, ""])
+            numbers = tuple(int(float(text)) if text else None for text in texts)
+            first.setdefault((province, country), (stamp, numbers))
+        folder = landing.path(landing.old_cases if old else landing.cases)
+        write(f"{folder}/{day}.csv", OLD if old else NEW, lines)
+        for key, (stamp, numbers) in first.items():
+            kept = stored.get((day, *key), (stamp,))[0]
+            stored[(day, *key)] = (kept, numbers)
+
+    for day in days[:3]:
+        land(day)
+    load_cases(warehouse, landing)
+    land(days[3])
+    load_cases(warehouse, landing)
+    land(days[1])
+    load_cases(warehouse, landing, dates=("2020-03-21",))
+    found = {}
+    for row in warehouse.read("daily_case").collect():
+        day = row["date_case"].strftime("%m-%d-%Y")
+        assert (day, row["province_state"], row["country_region"]) not in found
+        counts = (row["confirmed"], row["deaths"], row["recovered"])
+        found[day, row["province_state"], row["country_region"]] = (row["last_update"], counts)
+    assert found == stored
+
+
+def test_vaccination_rows_without_a_date_are_kept_and_reported(warehouse, landing):
+    header = ["location", "date", "vaccine", "total_vaccinations"]
+    path = f"{landing.path(landing.vaccinations)}/France.csv"
+    write(path, header, [["France", "soon", "A", "1"], ["France", "2020-03-22", "A", "2"]])
+    load_vaccinations(warehouse, landing)
+    write(path, header, [["France", "soon", "A", "3"]])
+    load_vaccinations(warehouse, landing)
+    got = rows(warehouse.read("vac").where("location = 'France'"), "date_org", "date_string", "total_vaccinations")
+    assert got == [("2020-03-22", "2020-03-22", 2), ("soon", None, 3)]
+    assert rows(quality.check_unread_dates(warehouse.read("vac"))) == [("dates", "not a date", "soon")]
