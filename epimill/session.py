@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import os
 import tempfile
 import uuid
@@ -12,13 +13,27 @@ from pyspark.sql import DataFrame, SparkSession
 _LOCAL_SCRATCH: dict[str, str] = {}
 
 
-def get_session(app_name: str = "epimill", master: str | None = None, **conf: str) -> SparkSession:
+# Bytes a shuffle partition may hold before AQE merges small ones: few enough to be
+# sorted in a task's memory, many enough to keep the number of shuffle blocks low.
+SHUFFLE_PARTITION_BYTES = 512 * 1024**2
+DEFAULT_SHUFFLE_PARTITIONS = 200
+
+
+def shuffle_partitions(shuffle_bytes: float) -> int:
+    """Partitions a shuffle of that size should start with."""
+    return max(DEFAULT_SHUFFLE_PARTITIONS, math.ceil(shuffle_bytes / SHUFFLE_PARTITION_BYTES))
+
+
+def get_session(
+    app_name: str = "epimill", master: str | None = None, shuffle_bytes: float | None = None, **conf: str
+) -> SparkSession:
     """A session with the settings the operators assume.
 
     UTC keeps timestamp text stable in both directions. AQE re-plans joins from
     measured sizes, coalesces small partitions and splits skewed ones. Where every
     partition of one side is small, it may hash that side and so leave the other
-    unsorted.
+    unsorted. AQE merges partitions but does not add any, so a large application
+    names the bytes of its largest shuffle.
     """
     builder = SparkSession.builder.appName(app_name)
     if master:
@@ -31,6 +46,9 @@ def get_session(app_name: str = "epimill", master: str | None = None, **conf: st
         "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "64MB",
         **conf,
     }
+    if shuffle_bytes:
+        initial = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+        settings.setdefault(initial, str(shuffle_partitions(shuffle_bytes)))
     for key, value in settings.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()

@@ -4,17 +4,17 @@ import os
 import random
 
 import pytest
-from conftest import rows
+from conftest import plan_of, rows
 from hypothesis import HealthCheck, given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from epimill import schemas
 from epimill.operators.shape import STAMP_CORRECTIONS
-from epimill.plans import dashboard, quality
+from epimill.plans import conform, dashboard, quality
 from epimill.plans.landing import land_cases, land_lookup, land_vaccinations, rewrite_old_cases
 from epimill.plans.update import Landing, daily_update, load_cases, load_lookup, load_vaccinations
 from epimill.sinks.merge import insert_if_absent, replace_rows, upsert
-from epimill.sinks.warehouse import Warehouse
+from epimill.sinks.warehouse import Warehouse, in_values
 from epimill.sources.csv_files import column_names, header_groups, read_csv_files
 from epimill.sources.files import (
     choose_files,
@@ -455,3 +455,12 @@ def test_vaccination_rows_without_a_date_are_kept_and_reported(warehouse, landin
     got = rows(warehouse.read("vac").where("location = 'France'"), "date_org", "date_string", "total_vaccinations")
     assert got == [("2020-03-22", "2020-03-22", 2), ("soon", None, 3)]
     assert rows(quality.check_unread_dates(warehouse.read("vac"))) == [("dates", "not a date", "soon")]
+
+
+def test_upsert_shuffles_each_side_once_and_prunes_partitions(warehouse):
+    stage = warehouse.read("daily_case").selectExpr("*", "'new' AS layout", "uuid() AS source_file", "rand() AS position")
+    day = warehouse.stored("daily_case").where(in_values("date_case", [dt.date(2020, 1, 22), None]))
+    keys, update = schemas.KEYS["daily_case"], schemas.UPDATE_COLUMNS["daily_case"]
+    plan = plan_of(upsert(day, conform.first_cases(stage), keys, update))
+    assert plan.count("Exchange") == 2
+    assert "PartitionFilters: [((date_case" in plan or "PartitionFilters: [(date_case" in plan

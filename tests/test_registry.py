@@ -9,7 +9,7 @@ from oracle import compare
 
 import __spark_entry__ as entry
 from epimill.plans import analogue
-from epimill.session import scratch_path
+from epimill.session import scratch_path, shuffle_partitions
 from epimill.sinks.warehouse import Warehouse
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -95,6 +95,11 @@ def pretend_cluster(**conf):
     )
 
 
+def test_partitions_grow_with_the_shuffle():
+    assert shuffle_partitions(10**9) == 200
+    assert 50_000 < shuffle_partitions(30e12) < 60_000
+
+
 def test_a_cluster_needs_shared_folders():
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         scratch_path(pretend_cluster(), "x")
