@@ -13,7 +13,7 @@ from epimill.plans import conform
 from epimill.session import local_table
 from epimill.sinks.warehouse import Warehouse
 from epimill.sources.csv_files import read_csv_files
-from epimill.sources.files import choose_files, list_files, with_file_date
+from epimill.sources.files import by_report, choose_files, list_files, with_file_date
 
 
 @dataclass(frozen=True)
@@ -74,8 +74,7 @@ def load_reports(
 ) -> int:
     """Load the case reports that a manifest with layouts names, each of them whole."""
     spark = warehouse.spark
-    reports = with_file_date(files.select("report_path", "file_name", "layout").distinct())
-    chosen = reports.collect()
+    chosen = with_file_date(by_report(files, "layout")).collect()
     if not chosen:
         return 0
     undated = sorted(row["file_name"] for row in chosen if row["file_date"] is None)
@@ -83,11 +82,13 @@ def load_reports(
         raise ValueError(f"no report date in file names: {undated}")
     raw = None
     for layout in ("new", "old"):
-        paths = sorted(row["report_path"] for row in chosen if row["layout"] == layout)
-        if paths:
-            part = read_csv_files(spark, paths, conform.CASE_COLUMNS, header=(headers or {}).get(layout))
+        reports = [row for row in chosen if row["layout"] == layout and row["sample"]]
+        if reports:
+            part = read_reports(spark, reports, conform.CASE_COLUMNS, (headers or {}).get(layout))
             part = part.withColumn("layout", F.lit(layout))
             raw = part if raw is None else raw.unionByName(part)
+    if raw is None:
+        raise ValueError("the case files are empty, without even a header")
     rows = conform.conform_cases(raw)
     if corrections:
         rows = correct_stamps(rows, corrections_table(spark, corrections))
@@ -109,11 +110,10 @@ def load_vaccinations(warehouse: Warehouse, landing: Landing, process_all: bool
     """Load the per-country files; they are rewritten at the source, so all by default."""
     files = list_files(warehouse.spark, landing.path(landing.vaccinations))
     chosen = choose_files(files, warehouse.read("csv_record"), "vac", None, process_all)
-    chosen = chosen.select("report_path", "file_name").distinct().collect()
+    chosen = by_report(chosen).collect()
     if not chosen:
         return 0
-    paths = sorted(row["report_path"] for row in chosen)
-    raw = read_csv_files(warehouse.spark, paths, conform.VAC_COLUMNS)
+    raw = read_reports(warehouse.spark, [row for row in chosen if row["sample"]], conform.VAC_COLUMNS)
     with warehouse.staged(conform.conform_vaccinations(raw), "vac") as stage:
         warehouse.upsert("vac", conform.first_vaccinations(stage), stage)
     record_files(warehouse, names_of(warehouse, chosen), "vac")
@@ -127,6 +127,14 @@ def load_lookup(warehouse: Warehouse, landing: Landing) -> None:
     warehouse.insert_if_absent("country_loc", conform.conform_lookup(areas, locations))
 
 
+def read_reports(
+    spark: SparkSession, reports: Sequence[Row], columns: list[str], header: list[str] | None = None
+) -> DataFrame:
+    paths = sorted(row["report_path"] for row in reports)
+    samples = sorted(row["sample"] for row in reports)
+    return read_csv_files(spark, paths, columns, header=header, samples=samples)
+
+
 def names_of(warehouse: Warehouse, chosen: Sequence[Row]) -> DataFrame:
     return local_table(warehouse.spark, file_name=[row["file_name"] for row in chosen])
 

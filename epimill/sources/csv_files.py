@@ -12,29 +12,29 @@ import csv
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from epimill.schemas import RENAMES
-from epimill.sources.files import report_name, report_path, unescape
+from epimill.sources.files import report_name, report_path, smallest_part, unescape
 
 ROW_INDEX = "_c0"
 
 
-def header_groups(spark: SparkSession, paths: list[str]) -> list[tuple[list[str], list[str]]]:
+def header_groups(
+    spark: SparkSession, paths: list[str], samples: list[str] | None = None
+) -> list[tuple[list[str], list[str]]]:
     """Reports grouped by header line, as (column names, paths).
 
     The parts of a report share one header, so only its smallest part is read for
     it. The lists name reports, which the driver holds anyway; they do not grow with
-    the rows. A bulk load of large single files whose header is known should name
-    the header instead.
+    the rows. ``samples`` are these parts, if a manifest has told them already. A
+    bulk load of large single files whose header is known should name the header
+    instead.
     """
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").load(paths)
-    samples = (
-        files.where("length > 0")
-        .groupBy(report_path(F.col("path")).alias("report"))
-        .agg(F.min_by("path", "length").alias("path"))
-    )
-    sampled = [row["path"] for row in samples.collect()]
-    if not sampled:
+    if samples is None:
+        files = spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").load(paths)
+        reports = files.groupBy(report_path(F.col("path")).alias("report")).agg(smallest_part())
+        samples = [row["sample"] for row in reports.collect() if row["sample"]]
+    if not samples:
         return []
-    lines = spark.read.text(sampled).select(
+    lines = spark.read.text(samples).select(
         report_path(scanned_path()).alias("report"),
         F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("line"),
@@ -83,6 +83,7 @@ def read_csv_files(
     columns: list[str],
     renames: dict[str, str] | None = None,
     header: list[str] | None = None,
+    samples: list[str] | None = None,
 ) -> DataFrame:
     """Read CSV reports of any header mix into the given columns plus lineage.
 
@@ -91,7 +92,7 @@ def read_csv_files(
     order. With ``header``, all reports must have just that header.
     """
     wanted = [*columns, "source_file", "position"]
-    groups = [(list(header), paths)] if header else header_groups(spark, paths)
+    groups = [(list(header), paths)] if header else header_groups(spark, paths, samples)
     parts = []
     for names, reports in groups:
         part = read_group(spark, names, reports, trusted=header is None)

@@ -83,6 +83,17 @@ def list_files(
     )
 
 
+def smallest_part() -> Column:
+    """Aggregate over the files of a report: path of its smallest file that has content."""
+    length = F.when(F.col("length") > 0, F.col("length"))
+    return F.min_by("path", length).alias("sample")
+
+
+def by_report(files: DataFrame, *columns: str) -> DataFrame:
+    """One row per report of a manifest, with its smallest part."""
+    return files.groupBy("report_path", "file_name", *columns).agg(smallest_part())
+
+
 def with_file_date(files: DataFrame, name: str = "file_name") -> DataFrame:
     return files.withColumn("file_date", file_date(F.col(name)))
 

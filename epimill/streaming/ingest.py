@@ -24,7 +24,7 @@ FILE_COLUMNS = "path string, modificationTime timestamp, length bigint, content
 
 
 def stream_files(spark: SparkSession, folder: str, layout: str, max_files: int | None = None) -> DataFrame:
-    """Stream of the CSV files of a folder's reports: report_path, file_name, layout.
+    """Stream of the CSV files of a folder's reports, as a manifest with their layout.
 
     ``max_files`` bounds a batch. Where reports are folders of many parts it is best
     left out, as a report is read again for each batch that holds one of its parts.
@@ -34,6 +34,8 @@ def stream_files(spark: SparkSession, folder: str, layout: str, max_files: int |
         reader = reader.option("maxFilesPerTrigger", max_files)
     files = reader.load(f"{folder.rstrip('/')}/*.csv")
     return files.select(
+        "path",
+        "length",
         report_path(F.col("path")).alias("report_path"),
         report_name(F.col("path")).alias("file_name"),
         F.lit(layout).alias("layout"),
