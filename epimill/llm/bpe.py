@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
-from epimill.llm.common import add_columns, fresh, list_of, n_partitions, row_key, without
+from epimill.llm.common import add_columns, fresh, list_of, row_key, without
 
 # The splitting that the fast path repeats for Latin-1 texts. Files with
 # another normalizer or splitter are split by the library alone.
@@ -127,6 +127,32 @@ def word_memo(path: str) -> WordMemo:
     return WordMemo(word_bpe(path))
 
 
+def bundles(docs: DataFrame, n_blocks: int) -> DataFrame:
+    """(block, rows): the rows of ``docs`` as compressed Arrow streams, each of one block."""
+    block = fresh(docs, "block")
+    names = docs.columns
+    dealt = docs.withColumn(block, F.pmod(row_key(docs), F.lit(n_blocks)).cast("int"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            owner = np.asarray(batch.column(block))
+            rows = batch.select(names)
+            found = np.unique(owner)
+            packed = []
+            for b in found:
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                    out.write_batch(rows.filter(pa.array(owner == b)))
+                packed.append(sink.getvalue().to_pybytes())
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), pa.array(packed, pa.binary())], ["block", "rows"])
+
+    return dealt.mapInArrow(run, "block int, rows binary")
+
+
+def unbundled(rows: pa.Scalar) -> pa.Table:
+    return pa.ipc.open_stream(rows.as_buffer()).read_all()
+
+
 def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """``docs`` with the column ``ids`` (array<int>) in place of the text.
 
@@ -135,62 +161,74 @@ def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") ->
     distinct words, in which each word is encoded once, beside the blocks that hold it. A
     join by block brings each block the ids of its words, and there they are put at the
     words' positions. Nothing is broadcast, a word occurs at most once for each block, and
-    a task holds one block. One exchange of the texts serves both uses.
+    a task holds one block. One exchange of the texts, compressed, serves both uses.
 
     Null and empty texts give empty arrays. Rows are kept one by one, repeated rows
     included. A column already called like ``ids`` is replaced. An empty table gives none.
     """
     spark = docs.sparkSession
     docs = without(docs, ids)
-    block, word, word_ids = fresh(docs, "block"), "word", "word_ids"
-    total = docs.select(F.sum(F.octet_length(F.col(f"`{text}`").cast("string")))).first()[0] or 0
-    n_blocks = n_partitions(spark, total, BLOCK_BYTES)
-    dealt = docs.withColumn(block, F.pmod(row_key(docs), F.lit(n_blocks)).cast("int"))
-    dealt = dealt.withColumn(text, F.col(f"`{text}`").cast("string")).repartition(F.col(block))
+    docs = docs.withColumn(text, F.col(f"`{text}`").cast("string"))
+    total = docs.select(F.sum(F.octet_length(f"`{text}`"))).first()[0] or 0
+    n_blocks = max(spark.sparkContext.defaultParallelism, -(-total // BLOCK_BYTES))
+    dealt = bundles(docs, n_blocks).repartition("block")
 
     def block_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split, seen = word_bpe(path).words, {}
         for batch in batches:
-            for b, t in zip(batch.column(block).to_pylist(), batch.column(text), strict=True):
-                seen.setdefault(b, set()).update(split(t.as_py()))
+            for b, rows in zip(batch.column("block").to_pylist(), batch.column("rows"), strict=True):
+                words = seen.setdefault(b, set())
+                for t in unbundled(rows).column(text):
+                    words.update(split(t.as_py()))
         for b, words in seen.items():
             found = sorted(words)
             for i in range(0, len(found), 50_000):
                 part = found[i : i + 50_000]
-                yield pa.RecordBatch.from_arrays([pa.array([b] * len(part), pa.int32()), pa.array(part)], [block, word])
+                columns = [pa.array([b] * len(part), pa.int32()), pa.array(part)]
+                yield pa.RecordBatch.from_arrays(columns, ["block", "word"])
 
     def ids_of_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe, last, last_ids = word_bpe(path), None, b""
+        kind = id_type(path)
         for batch in batches:
-            coded = batch.column(word).dictionary_encode()
+            coded = batch.column("word").dictionary_encode()
             made = []
             for w in coded.dictionary.to_pylist():
                 if w != last:
-                    last, last_ids = w, np.array(bpe.ids(w), "<u4").tobytes()
+                    last, last_ids = w, np.array(bpe.ids(w), kind).tobytes()
                 made.append(last_ids)
-            ids_column = pa.array(made, pa.binary()).take(coded.indices)
-            yield pa.RecordBatch.from_arrays([batch.column(block), batch.column(word), ids_column], [block, word, word_ids])
+            taken = pa.array(made, pa.binary()).take(coded.indices)
+            columns = [batch.column("block"), batch.column("word"), taken]
+            yield pa.RecordBatch.from_arrays(columns, ["in_block", "word", "word_ids"])
 
-    in_blocks = dealt.mapInArrow(block_words, f"`{block}` int, {word} string")
-    table = in_blocks.repartition(F.col(word)).sortWithinPartitions(word)
-    dictionary = table.mapInArrow(ids_of_words, f"`{block}` int, {word} string, {word_ids} binary")
+    table = dealt.mapInArrow(block_words, "block int, word string").repartition("word").sortWithinPartitions("word")
+    dictionary = table.mapInArrow(ids_of_words, "in_block int, word string, word_ids binary")
 
     carried = [c for c in docs.columns if c != text]
     schema = T.StructType([*[docs.schema[c] for c in carried], T.StructField(ids, T.ArrayType(T.IntegerType()))])
 
-    def put_back(rows: pa.Table, known: pa.Table) -> pa.Table:
-        table = dict(zip(known.column(word).to_pylist(), known.column(word_ids).to_pylist(), strict=True))
-        split, get = word_bpe(path).words, table.__getitem__
-        made = [b"".join(map(get, split(t.as_py()))) for chunk in rows.column(text).chunks for t in chunk]
-        lengths = np.fromiter((len(m) // 4 for m in made), np.int64, len(made))
-        column = list_of(np.frombuffer(b"".join(made), "<u4").astype(np.int32), lengths)
-        return pa.table([*[rows.column(c) for c in carried], column], names=schema.names)
-
-    return (
-        dealt.groupBy(block)
-        .cogroup(dictionary.groupBy(block))
-        .applyInArrow(put_back, schema)
-    )
+    def put_back(packed: pa.Table, known: pa.Table) -> pa.Table:
+        kind = id_type(path)
+        width = np.dtype(kind).itemsize
+        get = dict(zip(known.column("word").to_pylist(), known.column("word_ids").to_pylist(), strict=True)).__getitem__
+        split, done = word_bpe(path).words, []
+        for rows in packed.column("rows"):
+            own = unbundled(rows)
+            made = [b"".join(map(get, split(t.as_py()))) for t in own.column(text)]
+            lengths = np.fromiter((len(m) // width for m in made), np.int64, len(made))
+            column = list_of(np.frombuffer(b"".join(made), kind).astype(np.int32), lengths)
+            done.append(pa.table([*[own.column(c) for c in carried], column], names=schema.names))
+        if not done:
+            raise ValueError("a block has words but no rows")
+        return pa.concat_tables(done)
+
+    return dealt.groupBy("block").cogroup(dictionary.groupBy("in_block")).applyInArrow(put_back, schema)
+
+
+@lru_cache(maxsize=4)
+def id_type(path: str) -> str:
+    """How ids are written: 16 bits where they suffice."""
+    return "<u2" if len(pieces(path)) <= 1 << 16 else "<u4"
 
 
 @lru_cache(maxsize=4)

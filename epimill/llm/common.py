@@ -14,6 +14,9 @@ from pyspark.sql import types as T
 from epimill.session import scratch_path
 
 
+SLICE_ROWS = 2000
+
+
 def fresh(df: DataFrame, base: str) -> str:
     """A column name that ``df`` does not have, whatever the case of its letters."""
     taken = {c.lower() for c in df.columns}
@@ -60,9 +63,11 @@ def add_columns(
     names, all_names = kept.names, schema.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            new = add(batch)
-            yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in names], *new], all_names)
+        for whole in batches:
+            for at in range(0, whole.num_rows, SLICE_ROWS):
+                batch = whole.slice(at, SLICE_ROWS)
+                new = add(batch)
+                yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in names], *new], all_names)
 
     return df.mapInArrow(run, schema)
 
