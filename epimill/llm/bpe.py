@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -55,7 +55,7 @@ class WordBpe:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        self.tokenizer = Tokenizer.from_file(path)
+        self.path = path
         self.specials = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self._special = re.compile("(" + "|".join(map(re.escape, self.specials)) + ")") if self.specials else None
         splitters = (spec.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
@@ -70,6 +70,16 @@ class WordBpe:
         letters = _byte_letters()
         self._to_letters = {b: c for b, c in enumerate(letters)}
         self._to_bytes = {ord(c): b for b, c in enumerate(letters)}
+        by_id = spec["model"]["vocab"] | self.specials
+        found: list[str | None] = [None] * (max(by_id.values()) + 1)
+        for piece, i in by_id.items():
+            found[i] = piece
+        self.pieces = pa.array(found, pa.large_string())
+
+    @cached_property
+    def tokenizer(self) -> Tokenizer:
+        """Loaded where it is needed: workers that only split or decode do without its memory."""
+        return Tokenizer.from_file(self.path)
 
     def words(self, text: str | None) -> list[str]:
         """The words in order; a special token's own string counts as one word."""
@@ -218,6 +228,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") ->
             lengths = np.fromiter((len(m) // width for m in made), np.int64, len(made))
             column = list_of(np.frombuffer(b"".join(made), kind).astype(np.int32), lengths)
             done.append(pa.table([*[own.column(c) for c in carried], column], names=schema.names))
+        pa.default_memory_pool().release_unused()
         if not done:
             raise ValueError("a block has words but no rows")
         return pa.concat_tables(done)
@@ -228,17 +239,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") ->
 @lru_cache(maxsize=4)
 def id_type(path: str) -> str:
     """How ids are written: 16 bits where they suffice."""
-    return "<u2" if len(pieces(path)) <= 1 << 16 else "<u4"
-
-
-@lru_cache(maxsize=4)
-def pieces(path: str) -> pa.Array:
-    """The vocabulary's pieces by id; as large as the file, whatever the data."""
-    vocabulary = word_bpe(path).tokenizer.get_vocab(with_added_tokens=True)
-    by_id: list[str | None] = [None] * (max(vocabulary.values()) + 1)
-    for piece, i in vocabulary.items():
-        by_id[i] = piece
-    return pa.array(by_id, pa.large_string())
+    return "<u2" if len(word_bpe(path).pieces) <= 1 << 16 else "<u4"
 
 
 def decode(encoded: DataFrame, path: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
@@ -251,7 +252,7 @@ def decode(encoded: DataFrame, path: str, ids: str = "ids", text: str = "decoded
     renamed = without(encoded, text)
 
     def add(batch: pa.RecordBatch) -> list[pa.Array]:
-        known, column = pieces(path), batch.column(ids)
+        known, column = word_bpe(path).pieces, batch.column(ids)
         lengths = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
         flat = pc.cast(pc.list_flatten(column), pa.int64())
         inside = pc.and_(pc.greater_equal(flat, 0), pc.less(flat, len(known)))

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from epimill.llm.bpe import word_memo
+from epimill.llm.bpe import id_type, word_memo
 from epimill.llm.common import n_partitions, stored
 
 LANES = 1024
@@ -127,7 +127,7 @@ def tokenised(docs: DataFrame, path: str, key: str, text: str, end_id: int) -> D
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = word_memo(path)
-        narrow = memo.bpe.tokenizer.get_vocab_size() <= 1 << 16 and end_id < 1 << 16
+        narrow = id_type(path) == "<u2" and end_id < 1 << 16
         for batch in batches:
             ids = (memo.encode(t.as_py()) + end for t in batch.column(1))
             if narrow:

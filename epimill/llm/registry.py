@@ -14,11 +14,16 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 _SHIPPED: set[str] = set()
+# Documents may be long: what goes to a Python worker at once is bounded in bytes.
+BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_BYTES = "16m"
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Send this library to the executors, once for each application."""
+    """Send this library to the executors, once for each application, and bound what Arrow moves at once."""
     context = spark.sparkContext
+    if context.getConf().get(BATCH_SETTING) is None:
+        spark.conf.set(BATCH_SETTING, BATCH_BYTES)
     if context.applicationId not in _SHIPPED:
         package = Path(__file__).resolve().parents[1]
         folder = Path(tempfile.mkdtemp(prefix="shipped-")).resolve()  # Spark serves the file from here
