@@ -81,6 +81,10 @@ class WordBpe:
         """Loaded where it is needed: workers that only split or decode do without its memory."""
         return Tokenizer.from_file(self.path)
 
+    def __getstate__(self) -> dict:
+        """What tasks get: a worker that only splits or decodes need not read the file."""
+        return {k: v for k, v in self.__dict__.items() if k != "tokenizer"}
+
     def words(self, text: str | None) -> list[str]:
         """The words in order; a special token's own string counts as one word."""
         if not text:
@@ -182,9 +186,10 @@ def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") ->
     total = docs.select(F.sum(F.octet_length(f"`{text}`"))).first()[0] or 0
     n_blocks = max(spark.sparkContext.defaultParallelism, -(-total // BLOCK_BYTES))
     dealt = bundles(docs, n_blocks).repartition("block")
+    bpe, kind = word_bpe(path), id_type(path)
 
     def block_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split, seen = word_bpe(path).words, {}
+        split, seen = bpe.words, {}
         for batch in batches:
             for b, rows in zip(batch.column("block").to_pylist(), batch.column("rows"), strict=True):
                 words = seen.setdefault(b, set())
@@ -198,14 +203,13 @@ def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") ->
                 yield pa.RecordBatch.from_arrays(columns, ["block", "word"])
 
     def ids_of_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe, last, last_ids = word_bpe(path), None, b""
-        kind = id_type(path)
+        own, last, last_ids = word_bpe(path), None, b""
         for batch in batches:
             coded = batch.column("word").dictionary_encode()
             made = []
             for w in coded.dictionary.to_pylist():
                 if w != last:
-                    last, last_ids = w, np.array(bpe.ids(w), kind).tobytes()
+                    last, last_ids = w, np.array(own.ids(w), kind).tobytes()
                 made.append(last_ids)
             taken = pa.array(made, pa.binary()).take(coded.indices)
             columns = [batch.column("block"), batch.column("word"), taken]
@@ -218,10 +222,9 @@ def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") ->
     schema = T.StructType([*[docs.schema[c] for c in carried], T.StructField(ids, T.ArrayType(T.IntegerType()))])
 
     def put_back(packed: pa.Table, known: pa.Table) -> pa.Table:
-        kind = id_type(path)
         width = np.dtype(kind).itemsize
         get = dict(zip(known.column("word").to_pylist(), known.column("word_ids").to_pylist(), strict=True)).__getitem__
-        split, done = word_bpe(path).words, []
+        split, done = bpe.words, []
         for rows in packed.column("rows"):
             own = unbundled(rows)
             made = [b"".join(map(get, split(t.as_py()))) for t in own.column(text)]
@@ -250,9 +253,10 @@ def decode(encoded: DataFrame, path: str, ids: str = "ids", text: str = "decoded
     out, as the library does; a null or empty array gives an empty text.
     """
     renamed = without(encoded, text)
+    known = word_bpe(path).pieces
 
     def add(batch: pa.RecordBatch) -> list[pa.Array]:
-        known, column = word_bpe(path).pieces, batch.column(ids)
+        column = batch.column(ids)
         lengths = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
         flat = pc.cast(pc.list_flatten(column), pa.int64())
         inside = pc.and_(pc.greater_equal(flat, 0), pc.less(flat, len(known)))
