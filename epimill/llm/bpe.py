@@ -35,7 +35,7 @@ LATIN_WORDS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTER}]+|[{DIGIT}]|[^{SPAC
 BEYOND_LATIN = re.compile("[^\x00-\xff]")
 
 MEMO_WORDS = 400_000
-BLOCK_BYTES = 32 * 1024**2
+BLOCK_BYTES = 24 * 1024**2
 
 
 def _byte_letters() -> list[str]:
@@ -189,19 +189,25 @@ def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") ->
     bpe, kind = word_bpe(path), id_type(path)
 
     def block_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split, seen = bpe.words, {}
-        for batch in batches:
-            for b, rows in zip(batch.column("block").to_pylist(), batch.column("rows"), strict=True):
-                words = seen.setdefault(b, set())
-                for t in unbundled(rows).column(text):
-                    words.update(split(t.as_py()))
-        for b, words in seen.items():
+        split, at, words = bpe.words, None, set()
+
+        def named() -> Iterator[pa.RecordBatch]:
             found = sorted(words)
+            words.clear()
             for i in range(0, len(found), 50_000):
                 part = found[i : i + 50_000]
-                columns = [pa.array([b] * len(part), pa.int32()), pa.array(part)]
+                columns = [pa.array([at] * len(part), pa.int32()), pa.array(part)]
                 yield pa.RecordBatch.from_arrays(columns, ["block", "word"])
 
+        for batch in batches:
+            for b, rows in zip(batch.column("block").to_pylist(), batch.column("rows"), strict=True):
+                if b != at:
+                    yield from named()
+                    at = b
+                for t in unbundled(rows).column(text):
+                    words.update(split(t.as_py()))
+        yield from named()
+
     def ids_of_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, last, last_ids = word_bpe(path), None, b""
         for batch in batches:
@@ -215,7 +221,8 @@ def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") ->
             columns = [batch.column("block"), batch.column("word"), taken]
             yield pa.RecordBatch.from_arrays(columns, ["in_block", "word", "word_ids"])
 
-    table = dealt.mapInArrow(block_words, "block int, word string").repartition("word").sortWithinPartitions("word")
+    words_of = dealt.sortWithinPartitions("block").mapInArrow(block_words, "block int, word string")
+    table = words_of.repartition("word").sortWithinPartitions("word")
     dictionary = table.mapInArrow(ids_of_words, "in_block int, word string, word_ids binary")
 
     carried = [c for c in docs.columns if c != text]
