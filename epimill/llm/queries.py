@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from epimill.llm import bpe, language, lines, packing, quality, rans, secrets, simhash, topk
+from epimill.llm import bpe, language, lines, packing, quality, rans, repeats, secrets, simhash, topk
 from epimill.llm.registry import ORACLES, QUERIES, query
 from epimill.session import scratch_path
 
@@ -185,3 +185,9 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(secrets.span_text(base), 256).alias("base_sha256"),
         secrets.span_text(F.col("spans")).alias("spans"),
     )
+
+
+@query("op3_repeats")
+def op3_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = repeats.remove_repeats(documents(spark, sf_dir))
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
