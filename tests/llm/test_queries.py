@@ -1,0 +1,64 @@
+"""The registered training-data queries, and the pipeline against a plain composition."""
+
+import pytest
+from oracle import compare
+
+import corpus_pipeline
+from epimill.llm import lines, secrets, simhash
+from epimill.llm.queries import ORACLES, QUERIES
+
+SF_DIR = "/root/testdata/sf0.001"
+
+
+@pytest.mark.parametrize("name", sorted(QUERIES))
+def test_query(spark, name):
+    assert compare(spark, SF_DIR, name, QUERIES[name], ORACLES.get(name)) == ""
+
+
+def test_pipeline_stages(spark):
+    docs = spark.read.parquet(f"{SF_DIR}/documents.parquet")
+    rows = {r["doc_id"]: r.asDict() for r in docs.collect()}
+    # by hand: languages keep all lettered texts, then lines, copies and secrets
+    named = {i: r for i, r in rows.items() if any(c.isalpha() for c in r["text"] or "")}
+    pages, on_pages = {}, {}
+    for r in named.values():
+        pages[r["source"]] = pages.get(r["source"], 0) + 1
+        for line in {x.strip(" ") for x in r["text"].split("\n")} - {""}:
+            on_pages[r["source"], line] = on_pages.get((r["source"], line), 0) + 1
+    gone = {k for k, n in on_pages.items() if n >= lines.MIN_PAGES and n > lines.MAX_RATIO * pages[k[0]]}
+    for r in named.values():
+        r["text"] = "\n".join(x for x in r["text"].split("\n") if (r["source"], x.strip(" ")) not in gone)
+    prints = {i: simhash.fingerprint(r["text"], 4) for i, r in named.items()}
+    group = {i: i for i in named}
+    changed = True
+    while changed:
+        changed = False
+        for i in sorted(named):
+            best = min(group[j] for j in named if bin(prints[i] ^ prints[j]).count("1") <= 4)
+            changed |= best < group[i]
+            group[i] = min(group[i], best)
+    kept = {i for i in named if group[i] == i}
+
+    state, results = docs, {}
+    for name, stage in corpus_pipeline.STAGES:
+        state = stage(spark, state, SF_DIR)
+        results[name] = state
+        if name != "best_fit_packing":
+            assert state.columns == docs.columns
+    assert {r["doc_id"] for r in results["language_id"].collect()} == set(named)
+    texts = {r["doc_id"]: r for r in results["line_dedup"].collect()}
+    assert {i: r["text"] for i, r in texts.items()} == {i: r["text"] for i, r in named.items()}
+    assert all(r["n_chars"] == len(r["text"]) for r in texts.values())
+    assert {r["doc_id"] for r in results["simhash_near_dedup"].collect()} == kept
+    scanned = results["secret_scan"]
+    assert scanned.count() == len(kept)
+    assert not [r for r in secrets.find_secrets(scanned).collect() if r["spans"]]
+    packed = results["best_fit_packing"].collect()
+    assert {r["doc_id"] for r in packed} == kept
+    assert corpus_pipeline.run(spark, SF_DIR).count() == len(packed)
+
+
+def test_pipeline_on_an_empty_table(spark, tmp_path):
+    folder = str(tmp_path)
+    spark.read.parquet(f"{SF_DIR}/documents.parquet").limit(0).write.parquet(f"{folder}/documents.parquet")
+    assert corpus_pipeline.run(spark, folder).count() == 0
