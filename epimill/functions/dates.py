@@ -27,14 +27,16 @@ def year_first(text: Column, form: str, turned: str) -> Column:
 
 
 def parse_timestamp(text: Column) -> Column:
-    """Timestamp from any of the six forms; null for null or other text.
+    """Timestamp without a zone from any of the six forms; null for null or other text.
+
+    Stamps are local times of no known zone, so no hour is moved, whatever the session's zone.
 
     Slash forms are rewritten to year-month-day first, so that one cast, which is
     much cheaper than a pattern parser, reads every row.
     """
     turned = year_first(text, SLASH_STAMP, "$3-$1-$2 $4")
     iso = F.when(text.rlike(ISO_STAMP), text).when(text.rlike(SLASH_STAMP), turned)
-    return iso.try_cast("timestamp")
+    return iso.try_cast("timestamp_ntz")
 
 
 def parse_stamp_date(text: Column) -> Column:
@@ -50,11 +52,11 @@ def parse_iso_date(text: Column) -> Column:
 
 
 def timestamp_text(ts: Column) -> Column:
-    return F.date_format(ts, TIMESTAMP_TEXT)
+    return F.substring(ts.cast("timestamp_ntz").cast("string"), 1, 19)
 
 
 def date_text(day: Column) -> Column:
-    return F.date_format(day, DATE_TEXT)
+    return F.date_format(day.cast("date"), DATE_TEXT)
 
 
 def file_date(name: Column) -> Column:

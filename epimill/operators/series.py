@@ -15,8 +15,8 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
 from epimill.functions.numbers import zero_if_null
 
-# Weights below this share of the newest row's cannot change a double.
-NEGLIGIBLE_WEIGHT = 1e-18
+# Within a block weights fade to this share, far inside the range of a double.
+SMALLEST_WEIGHT = 1e-18
 
 
 def ordered(keys: Sequence[str], order: str) -> WindowSpec:
@@ -51,35 +51,59 @@ def add_ewm_means(
     """Exponentially weighted means of all rows so far, as new name → value column.
 
     A row n places back has weight ``(1 - alpha) ** n``; a null keeps its place but
-    has no weight. Each series is cut into blocks so long that a weight fades below
-    double precision within one. Sums of ``value / keep ** place`` within the block,
-    and over the block before, then give every mean in one pass over the rows.
+    has no weight, and where all newer rows are null the last mean stays. Each series
+    is cut into blocks so short that weights inside one stay in the range of a double.
+    A block gives its mean and weight; folding these over all earlier blocks and adding
+    the rows of the own block gives every mean, with the whole history in it.
     """
-    if not 0 < alpha < 1:
-        raise ValueError("alpha must lie between 0 and 1")
+    if not 0 < alpha <= 1:
+        raise ValueError("alpha must be above 0 and at most 1")
+    so_far = ordered(keys, order).rowsBetween(Window.unboundedPreceding, 0)
+    if alpha == 1:
+        last = {name: F.last(F.col(value).cast("double"), ignorenulls=True).over(so_far) for name, value in means.items()}
+        return df.withColumns(last)
     keep = F.lit(1.0 - alpha)
-    length = math.ceil(math.log(NEGLIGIBLE_WEIGHT) / math.log(1.0 - alpha))
-    row = F.row_number().over(ordered(keys, order)) - 1
-    rows = df.withColumn("_row", row)
+    length = max(1, math.floor(math.log(SMALLEST_WEIGHT) / math.log(1.0 - alpha)))
+    rows = df.withColumn("_row", F.row_number().over(ordered(keys, order)) - 1)
     rows = rows.withColumns(
-        {"_block": F.floor(F.col("_row") / length), "_place": F.pmod(F.col("_row"), F.lit(length))}
+        {"_block": F.floor(F.col("_row") / length), "_place": F.pmod(F.col("_row"), F.lit(length)).cast("int")}
     )
-    so_far = Window.partitionBy(*keys, "_block").orderBy("_place").rowsBetween(Window.unboundedPreceding, 0)
-    block_before = Window.partitionBy(*keys).orderBy("_block").rangeBetween(-1, -1)
+    in_block = Window.partitionBy(*keys, "_block").orderBy("_place").rowsBetween(Window.unboundedPreceding, 0)
+    whole_block = Window.partitionBy(*keys, "_block")
+    blocks_before = Window.partitionBy(*keys).orderBy("_block").rangeBetween(Window.unboundedPreceding, -1)
     growth = F.pow(keep, -F.col("_place"))
+    at_end = F.pow(keep, F.lit(length - 1))
+    none = F.struct(F.lit(None).cast("double").alias("mean"), F.lit(0.0).alias("weight"))
 
-    def faded(part: Column) -> Column:
-        here = F.sum(part).over(so_far)
-        before = F.coalesce(F.sum(part).over(block_before), F.lit(0.0))
-        return (here + before * F.pow(keep, F.lit(length))) * F.pow(keep, F.col("_place"))
+    def joined(old: Column, faded: Column, total: Column, weight: Column) -> Column:
+        """Mean of an old mean, its weight faded, and newer values."""
+        both = (faded * F.coalesce(old, F.lit(0.0)) + total) / (faded + weight)
+        return F.when(weight == 0, old).otherwise(both)
+
+    def fold(state: Column, block: Column) -> Column:
+        faded = state["weight"] * F.pow(keep, F.lit(length))
+        mean = joined(state["mean"], faded, block["total"], block["weight"])
+        return F.struct(mean.alias("mean"), (faded + block["weight"]).alias("weight"))
 
     columns = {}
     for name, value in means.items():
         present = F.col(value).isNotNull()
         weighted = F.when(present, F.col(value).cast("double") * growth).otherwise(0.0)
         weights = F.when(present, growth).otherwise(0.0)
-        columns[name] = F.try_divide(faded(weighted), faded(weights))
-    return rows.withColumns(columns).drop("_row", "_block", "_place")
+        block = F.struct(
+            (F.sum(weighted).over(whole_block) * at_end).alias("total"),
+            (F.sum(weights).over(whole_block) * at_end).alias("weight"),
+        )
+        totals, earlier = f"_block_of_{name}", f"_before_{name}"
+        # one entry per block, at its first row
+        rows = rows.withColumn(totals, F.when(F.col("_place") == 0, block))
+        rows = rows.withColumn(earlier, F.aggregate(F.collect_list(totals).over(blocks_before), none, fold))
+        fade = F.pow(keep, F.col("_place"))
+        total, weight = F.sum(weighted).over(in_block) * fade, F.sum(weights).over(in_block) * fade
+        old = F.col(earlier)
+        columns[name] = joined(old["mean"], old["weight"] * fade * keep, total, weight)
+    made = rows.withColumns(columns)
+    return made.select(*df.columns, *[name for name in means if name not in df.columns])
 
 
 def is_outlier(value: Column, smooth: Column, factor: float = 2.0, threshold: float = 10000.0) -> Column:

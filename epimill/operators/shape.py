@@ -11,8 +11,6 @@ from epimill.functions.texts import is_blank, splice
 from epimill.session import local_table
 
 ALL = "all"
-# Longer value lists are joined instead of being written into the filter.
-MAX_INLINE_VALUES = 1000
 
 # Reports whose update stamp carries the wrong day.
 STAMP_CORRECTIONS = (
@@ -25,11 +23,7 @@ def keep_members(df: DataFrame, column: str, values: str | Sequence) -> DataFram
     """Rows whose value is in the list; ``'all'`` keeps every row, nulls included."""
     if isinstance(values, str):
         return df if values == ALL else df.where(F.col(column) == values)
-    if len(values) <= MAX_INLINE_VALUES:
-        return df.where(F.col(column).isin(list(values)))
-    texts = [str(value) for value in dict.fromkeys(values) if value is not None]
-    wanted = local_table(df.sparkSession, **{column: texts})
-    return df.join(wanted.select(F.col(column).cast(df.schema[column].dataType)), column, "left_semi")
+    return df.where(F.col(column).isin([value for value in dict.fromkeys(values) if value is not None]))
 
 
 def drop_null(df: DataFrame, *columns: str) -> DataFrame:
@@ -69,6 +63,9 @@ def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str | Colu
 
 
 def corrections_table(spark: SparkSession, corrections: Iterable[tuple[str, str, str, str]]) -> DataFrame:
+    corrections = list(corrections)
+    if len({tuple(correction[:3]) for correction in corrections}) < len(corrections):
+        raise ValueError("two corrections for one file, area and day")
     files, areas, old_days, new_days = (list(column) for column in zip(*corrections, strict=True))
     return local_table(spark, file=files, area=areas, old_day=old_days, new_day=new_days)
 
@@ -80,17 +77,17 @@ def correct_stamps(
     area: str = "province_state",
     stamp: str = "last_update",
 ) -> DataFrame:
-    """Swap the date part of a stamp for the (file, area) pairs in the table."""
+    """Swap the date part of a stamp for the (file, area, old day) keys in the table, which are unique."""
     fixes = corrections.select(
         F.col("file").alias(file),
         F.col("area").alias(area),
         F.col("old_day").alias("_old_day"),
         F.col("new_day").alias("_new_day"),
     )
-    wrong = F.substring(F.col(stamp), 1, 10) == F.col("_old_day")
-    fixed = F.when(wrong, splice(F.col(stamp), 1, 10, F.col("_new_day"))).otherwise(F.col(stamp))
+    fixed = F.when(F.col("_new_day").isNotNull(), splice(F.col(stamp), 1, 10, F.col("_new_day"))).otherwise(F.col(stamp))
     return (
-        df.join(fixes, [file, area], "left")
+        df.withColumn("_old_day", F.substring(F.col(stamp), 1, 10))
+        .join(fixes, [file, area, "_old_day"], "left")
         .withColumn(stamp, fixed)
         .select(*df.columns)
     )

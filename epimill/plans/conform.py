@@ -16,6 +16,7 @@ from epimill.functions.dates import (
 from epimill.operators.joins import merge_lookups
 from epimill.operators.shape import blank_keys, first_per_key, whole_numbers
 
+# Columns of the reports and lookups.
 CASE_COLUMNS = [
     "FIPS", "Admin2", "Province_State", "Country_Region", "Last_Update",
     "Confirmed", "Deaths", "Recovered", "Active",
@@ -26,6 +27,8 @@ AREA_COLUMNS = [
     "Country_Region", "Lat", "Long_", "Combined_Key", "Population",
 ]
 LOCATION_COLUMNS = ["Country_Region", "location", "continent"]
+# Old reports have no codes, sub-areas or active cases; all reports have the others.
+CASE_REQUIRED = ["Province_State", "Country_Region", "Last_Update", "Confirmed", "Deaths", "Recovered"]
 LINEAGE = ["layout", "source_file", "position"]
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from epimill.functions.dates import parse_iso_date
 from epimill.operators.groups import options, sum_by
-from epimill.operators.joins import add_lookup, add_second_fact
+from epimill.operators.joins import add_lookup, add_second_fact, one_per_key
 from epimill.operators.metrics import (
     adjusted_by_class,
     class_by_any,
@@ -50,7 +50,7 @@ def combine(
     daily_case: DataFrame, vac: DataFrame, country_loc: DataFrame, sums: dict[str, str] | None = None
 ) -> DataFrame:
     """Country totals with population, continent and vaccination counts."""
-    lookup = area_level(country_loc, "province_state", LOOKUP_COLUMNS)
+    lookup = one_per_key(area_level(country_loc, "province_state", LOOKUP_COLUMNS), "country_region")
     placed = add_lookup(country_days(daily_case, sums), lookup, "country_region")
     return add_second_fact(placed, vac, ["location", "date_string"], "location")
 

@@ -57,7 +57,10 @@ def land_vaccinations(spark: SparkSession, source: str, landing: Landing) -> int
 def land_lookup(spark: SparkSession, source: str, name: str, target: str) -> bool:
     """Land one file by its exact name, wherever it lies below the source folder."""
     found = list_files(spark, source, name, recursive=True).select("report_path").distinct().collect()
-    for names, reports in header_groups(spark, sorted(row["report_path"] for row in found)[:1]):
+    paths = sorted(row["report_path"] for row in found)
+    if len(paths) > 1:
+        raise ValueError(f"several files are called {name}: {paths}")
+    for names, reports in header_groups(spark, paths):
         rows = read_group(spark, names, reports, trusted=True)
         write_csv(rows.select(*[name for name in names if name != ROW_INDEX]), target)
     return bool(found)

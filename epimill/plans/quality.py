@@ -11,10 +11,11 @@ from epimill.functions.dates import date_text, file_date
 from epimill.functions.texts import first_part
 from epimill.operators.groups import distinct_values, duplicate_keys, only_in_one, with_next_day
 from epimill.operators.shape import area_level
-from epimill.plans.update import Landing, case_files
+from epimill.plans.conform import CASE_COLUMNS, VAC_COLUMNS
+from epimill.plans.update import Landing, case_files, read_reports
 from epimill.sinks.warehouse import Warehouse
 from epimill.sources.csv_files import read_csv_files
-from epimill.sources.files import list_files
+from epimill.sources.files import by_report, list_files
 
 
 def ledger_files(ledger: DataFrame, data_type: str) -> DataFrame:
@@ -102,6 +103,14 @@ def check_unread_dates(vac: DataFrame) -> DataFrame:
     return unread.select(F.lit("dates").alias("check"), F.lit("not a date").alias("direction"), "value")
 
 
+def check_unreadable(raw: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Texts of count columns that are no number; they are loaded as null."""
+    texts = F.array(*[F.struct(F.lit(name).alias("direction"), F.col(name).alias("value")) for name in columns])
+    found = raw.select(F.explode(texts).alias("found")).select("found.*")
+    unread = (F.trim("value") != "") & F.col("value").try_cast("double").isNull()
+    return found.where(unread).distinct().select(F.lit("unreadable count").alias("check"), "direction", "value")
+
+
 def check_keys(df: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
     """Keys held by more than one row, as one text value."""
     return duplicate_keys(df, keys).select(
@@ -125,7 +134,17 @@ def check_all(warehouse: Warehouse, landing: Landing) -> DataFrame:
     locations = read_csv_files(spark, [landing.path(landing.locations)], ["location"])
     totals = read_csv_files(spark, [landing.path(landing.vaccination_totals)], ["location", "date"])
     vac_files = list_files(spark, landing.path(landing.vaccinations))
+    texts = [
+        (case_files(spark, landing), CASE_COLUMNS, ["Confirmed", "Deaths", "Recovered", "Active"]),
+        (vac_files, VAC_COLUMNS, schemas.VAC_MEASURES),
+    ]
+    counts = []
+    for files, columns, measures in texts:
+        reports = [row for row in by_report(files).collect() if row["sample"]]
+        if reports:
+            counts.append(check_unreadable(read_reports(spark, reports, columns), measures))
     checks = [
+        *counts,
         check_files(case_files(spark, landing), ledger, "case"),
         check_files(vac_files, ledger, "vac"),
         check_case_dates(ledger, daily_case),

@@ -12,6 +12,7 @@ from epimill.plans.quality import (
     check_files,
     check_keys,
     check_locations,
+    check_unreadable,
     check_vaccinations,
 )
 from epimill.plans.reports.registry import report
@@ -80,7 +81,8 @@ totals AS (
   SELECT DISTINCT lower(n_name) AS location, strftime(l_shipdate, '%Y-%m-%d') AS date
   FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey
   UNION SELECT lower(r_name), '1994-01-0' || (r_regionkey + 1) FROM region),
-vac_files AS (SELECT lower(n_name) || '.csv' AS file_name FROM nation WHERE n_regionkey <> 2)
+vac_files AS (
+  SELECT CASE WHEN n_regionkey = 2 THEN 'old ' ELSE '' END || lower(n_name) || '.csv' AS file_name FROM nation)
 """
 
 
@@ -102,10 +104,8 @@ vac_files AS (SELECT lower(n_name) || '.csv' AS file_name FROM nation WHERE n_re
 )
 def vaccination_gaps(spark, sf_dir):
     nations = read(spark, sf_dir, "nation")
-    shipped = (
-        read(spark, sf_dir, "lineitem")
-        .select("l_suppkey", F.date_format("l_shipdate", "yyyy-MM-dd").alias("date"))
-        .distinct()
+    shipped = read(spark, sf_dir, "lineitem").select(
+        "l_suppkey", F.date_format("l_shipdate", "yyyy-MM-dd").alias("date")
     )
     totals = (
         shipped.join(read(spark, sf_dir, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
@@ -116,8 +116,9 @@ def vaccination_gaps(spark, sf_dir):
         F.lower("r_name").alias("location"),
         F.concat(F.lit("1994-01-0"), (F.col("r_regionkey") + 1).cast("string")).alias("date"),
     )
-    ledger = nations.where("n_regionkey <> 2").select(
-        F.concat(F.lower("n_name"), F.lit(".csv")).alias("file_name"), F.lit("vac").alias("data_type")
+    prefix = F.when(F.col("n_regionkey") == 2, "old ").otherwise("")
+    ledger = nations.select(
+        F.concat(prefix, F.lower("n_name"), F.lit(".csv")).alias("file_name"), F.lit("vac").alias("data_type")
     )
     return check_vaccinations(totals.unionByName(regions), tables(spark, sf_dir).vac, ledger)
 
@@ -137,6 +138,24 @@ def vaccination_file_gaps(spark, sf_dir):
     return check_files(files, ledger, "vac")
 
 
+@report(
+    """SELECT DISTINCT 'unreadable count' AS "check", 'total' AS direction, o_orderkey || ',5' AS value
+       FROM orders WHERE o_orderpriority = '1-URGENT'
+       UNION ALL SELECT DISTINCT 'unreadable count', 'status', o_orderstatus FROM orders
+       WHERE o_orderpriority = '2-HIGH'"""
+)
+def unreadable_counts(spark, sf_dir):
+    """Totals with a comma and letters among the numbers; blank and null texts are no finding."""
+    urgent, high = F.col("o_orderpriority") == "1-URGENT", F.col("o_orderpriority") == "2-HIGH"
+    texts = read(spark, sf_dir, "orders").select(
+        F.when(urgent, F.concat(F.col("o_orderkey").cast("string"), F.lit(",5")))
+        .otherwise(F.col("o_totalprice").cast("string"))
+        .alias("total"),
+        F.when(high, F.col("o_orderstatus")).when(urgent, F.lit(" ")).alias("status"),
+    )
+    return check_unreadable(texts, ["total", "status"])
+
+
 @report(
     """SELECT 'unique key' AS "check", 'lineitem' AS direction,
               CAST(l_orderkey AS VARCHAR) || '|' || CAST(l_linenumber AS VARCHAR) AS value

@@ -144,30 +144,33 @@ def membership_filter(spark, sf_dir):
               l.location, l.n_suppliers
        FROM areas a FULL JOIN locations l ON a.country_region IS NOT DISTINCT FROM l.country_region""",
     """areas AS (
-         SELECT nullif(n_name, 'NATION_1') AS country_region, c_mktsegment AS province_state,
-                min(c_custkey) AS uid
-         FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_regionkey <> 4 GROUP BY 1, 2),
+         SELECT CASE WHEN n_regionkey = 4 THEN 'area ' || n_name ELSE nullif(n_name, 'NATION_1') END AS country_region,
+                c_mktsegment AS province_state, min(c_custkey) AS uid
+         FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1, 2),
        locations AS (
-         SELECT nullif(nullif(n_name, 'NATION_1'), 'NATION_2') AS country_region,
+         SELECT CASE WHEN n_regionkey = 0 THEN 'place ' || n_name
+                     ELSE nullif(nullif(n_name, 'NATION_1'), 'NATION_2') END AS country_region,
                 lower(n_name) AS location, count(*) AS n_suppliers
-         FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE n_regionkey <> 0 GROUP BY 1, 2)""",
+         FROM supplier JOIN nation ON s_nationkey = n_nationkey GROUP BY 1, 2)""",
 )
 def lookup_full_outer(spark, sf_dir):
     nations = read(spark, sf_dir, "nation")
     areas = (
         read(spark, sf_dir, "customer")
-        .join(nations.where("n_regionkey <> 4"), F.col("c_nationkey") == F.col("n_nationkey"))
+        .join(nations, F.col("c_nationkey") == F.col("n_nationkey"))
         .groupBy(
-            F.expr("nullif(n_name, 'NATION_1')").alias("country_region"),
+            F.expr("if(n_regionkey = 4, concat('area ', n_name), nullif(n_name, 'NATION_1'))").alias("country_region"),
             F.col("c_mktsegment").alias("province_state"),
         )
         .agg(F.min("c_custkey").alias("uid"))
     )
     locations = (
         read(spark, sf_dir, "supplier")
-        .join(nations.where("n_regionkey <> 0"), F.col("s_nationkey") == F.col("n_nationkey"))
+        .join(nations, F.col("s_nationkey") == F.col("n_nationkey"))
         .groupBy(
-            F.expr("nullif(nullif(n_name, 'NATION_1'), 'NATION_2')").alias("country_region"),
+            F.expr(
+                "if(n_regionkey = 0, concat('place ', n_name), nullif(nullif(n_name, 'NATION_1'), 'NATION_2'))"
+            ).alias("country_region"),
             F.lower("n_name").alias("location"),
         )
         .agg(F.count("*").alias("n_suppliers"))

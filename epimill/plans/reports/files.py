@@ -15,7 +15,7 @@ FILES = """
 files AS (SELECT DISTINCT strftime(o_orderdate, '%m-%d-%Y') || '.csv' AS file_name FROM orders),
 ledger AS (
   SELECT DISTINCT strftime(l_shipdate, '%m-%d-%Y') || '.csv' AS file_name, 'case' AS data_type
-  FROM lineitem WHERE l_shipdate >= TIMESTAMP '1997-01-01'
+  FROM lineitem
   UNION ALL SELECT file_name, 'vac' FROM files),
 dated AS (SELECT file_name, CAST(strptime(split_part(file_name, '.', 1), '%m-%d-%Y') AS DATE) AS file_date FROM files),
 ledger_days AS (
@@ -31,7 +31,7 @@ def order_files(spark, sf_dir):
 
 
 def ship_ledger(spark, sf_dir):
-    shipped = read(spark, sf_dir, "lineitem").where(F.col("l_shipdate") >= F.expr("timestamp_ntz'1997-01-01'"))
+    shipped = read(spark, sf_dir, "lineitem")
     cases = shipped.select("l_shipdate").distinct()
     cases = cases.select(file_name_for(F.col("l_shipdate")).alias("file_name"), F.lit("case").alias("data_type"))
     return cases.unionByName(order_files(spark, sf_dir).withColumn("data_type", F.lit("vac")))

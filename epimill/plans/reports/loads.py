@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from dataclasses import replace
 
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from epimill.functions.dates import file_name_for
 from epimill.plans.analogue import read, tables
@@ -142,10 +143,10 @@ def event_reports(spark, sf_dir):
     )
 
 
-def land_event_reports(spark, sf_dir, root: str) -> Landing:
-    """Write the reports as CSV, in one folder per layout."""
+def land_event_reports(spark, sf_dir, root: str, rows: DataFrame | None = None) -> Landing:
+    """Write the reports, all or the given rows, as CSV, in one folder per layout."""
     landing = Landing(root, cases="daily_case_data/", old_cases="daily_case_data/old_format/")
-    rows = event_reports(spark, sf_dir)
+    rows = event_reports(spark, sf_dir) if rows is None else rows
     old = F.col("day") <= F.lit(LAST_OLD_DAY).cast("date")
     new = rows.where(~old)
     again = new.where("Country_Region = 'error'").withColumn("Confirmed", F.lit("999.0"))
@@ -199,10 +200,10 @@ def land_nation_files(spark, sf_dir, landing: Landing) -> None:
     )
     write_csv(areas, landing.path(landing.areas))
     regions = read(spark, sf_dir, "region")
-    locations = nations.join(regions, F.col("n_regionkey") == F.col("r_regionkey")).where("n_regionkey <> 4")
+    locations = nations.join(regions, F.col("n_regionkey") == F.col("r_regionkey"))
     write_csv(
         locations.select(
-            F.col("n_name").alias("Country/Region"),
+            F.expr("if(n_regionkey = 4, concat('place ', n_name), n_name)").alias("Country/Region"),
             F.lower("n_name").alias("location"),
             F.initcap("r_name").alias("continent"),
         ),
@@ -290,45 +291,162 @@ def ingest_vaccinations(spark, sf_dir):
 
 
 @report(
-    """SELECT a.country_region, coalesce(l.location, '') AS location, CAST(uid AS INT) AS uid, 'NA' AS iso2,
-              'NAM' AS iso3, CAST(nationkey AS INT) AS code3, '' AS fips, '' AS admin2, province_state,
+    """SELECT coalesce(a.country_region, l.country_region) AS country_region, coalesce(l.location, '') AS location,
+              CAST(uid AS INT) AS uid, CASE WHEN known THEN 'NA' END AS iso2, CASE WHEN known THEN 'NAM' END AS iso3,
+              CAST(nationkey AS INT) AS code3, '' AS fips, '' AS admin2,
+              coalesce(province_state, '') AS province_state,
               province_state || ', ' || a.country_region AS combined_key,
-              CAST(1.5 AS FLOAT) AS lat, CAST(-2.5 AS FLOAT) AS long_, CAST(n * 1000 AS INT) AS population,
-              continent
+              CASE WHEN known THEN CAST(1.5 AS FLOAT) END AS lat, CASE WHEN known THEN CAST(-2.5 AS FLOAT) END AS long_,
+              CAST(n * 1000 AS INT) AS population, continent
        FROM (SELECT n_name AS country_region, c_mktsegment AS province_state, c_nationkey AS nationkey,
-                    min(c_custkey) AS uid, count(*) AS n
+                    min(c_custkey) AS uid, count(*) AS n, true AS known
              FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1, 2, 3) a
-       FULL JOIN (SELECT n_name AS country_region, lower(n_name) AS location,
+       FULL JOIN (SELECT CASE WHEN n_regionkey = 4 THEN 'place ' ELSE '' END || n_name AS country_region,
+                         lower(n_name) AS location,
                          replace(continent, 'Middle east', 'Middle East') AS continent
-                  FROM places WHERE n_regionkey <> 4) l ON a.country_region = l.country_region""",
+                  FROM places) l ON a.country_region = l.country_region""",
     tables=True,
 )
 def ingest_lookup(spark, sf_dir):
     return ingested_nations(spark, sf_dir).read("country_loc")
 
 
+def in_days(first: str, last: str):
+    return F.col("day").between(F.lit(first).cast("date"), F.lit(last).cast("date"))
+
+
+CHANGED_CASES = """,
+changed AS (SELECT * REPLACE (CASE WHEN day BETWEEN DATE '2024-01-08' AND DATE '2024-01-12'
+                              THEN CAST(confirmed + 1000 AS INT) ELSE confirmed END AS confirmed)
+            FROM (SELECT *, date_case AS day FROM cases))
+"""
+
+
+def changed_reports(spark, sf_dir):
+    """Reports of some days with other counts and stamps."""
+    rows = event_reports(spark, sf_dir)
+    more = F.concat((F.col("Confirmed").cast("double") + 1000).cast("string"))
+    other = in_days("2024-01-08", "2024-01-12")
+    return rows.withColumns(
+        {
+            "Confirmed": F.when(other, more).otherwise(F.col("Confirmed")),
+            "Last_Update": F.when(other, F.lit("2025-01-01T00:00:00")).otherwise(F.col("Last_Update")),
+        }
+    )
+
+
+@report("SELECT * EXCLUDE (day) FROM changed", EVENT_CASES.rstrip() + CHANGED_CASES)
+def ingest_case_changes(spark, sf_dir):
+    """Stored rows are updated by a second batch: its counts, but the stamps of the first."""
+    warehouse = new_warehouse(spark)
+    load_cases(warehouse, land_event_reports(spark, sf_dir, scratch_path(spark, "landing")))
+    changed = changed_reports(spark, sf_dir).where(in_days("2024-01-08", "2024-01-12"))
+    again = land_event_reports(spark, sf_dir, scratch_path(spark, "landing"), changed)
+    load_cases(warehouse, again, dates=("2024-01-08", "2024-01-12"))
+    return warehouse.read("daily_case")
+
+
 @report(
-    """SELECT * FROM cases""",
-    EVENT_CASES,
+    """SELECT location, date_string, date_string AS date_org, vaccine,
+              total_vaccinations + CASE WHEN location > 'nation_2' THEN 7 ELSE 0 END AS total_vaccinations,
+              people_vaccinated, people_fully_vaccinated FROM vac""",
+    tables=True,
+)
+def ingest_vaccination_changes(spark, sf_dir):
+    """A second load of rewritten files updates the stored rows."""
+    landing, warehouse = Landing(scratch_path(spark, "landing")), new_warehouse(spark)
+    land_nation_files(spark, sf_dir, landing)
+    load_vaccinations(warehouse, landing)
+    counts = tables(spark, sf_dir).vac.where("location > 'nation_2'").select(
+        "location",
+        F.col("date_string").alias("date"),
+        "vaccine",
+        (F.col("total_vaccinations") + 7).cast("string").alias("total_vaccinations"),
+        "people_vaccinated",
+        "people_fully_vaccinated",
+        F.concat("location", F.lit(".csv")).alias("report"),
+    )
+    write_reports(counts, landing.path(landing.vaccinations))
+    load_vaccinations(warehouse, landing)
+    return warehouse.read("vac")
+
+
+@report(
+    """SELECT c_mktsegment AS province_state, n_name AS country_region, CAST(min(c_custkey) AS INT) AS uid
+       FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_mktsegment <> 'MACHINERY' GROUP BY 1, 2
+       UNION ALL
+       SELECT c_mktsegment, n_name, CAST(-min(c_custkey) AS INT)
+       FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_mktsegment = 'MACHINERY' GROUP BY 1, 2"""
+)
+def ingest_lookup_changes(spark, sf_dir):
+    """A second lookup with other codes: stored rows stay, rows with new keys come in."""
+    landing, warehouse = Landing(scratch_path(spark, "landing")), new_warehouse(spark)
+    rows = (
+        read(spark, sf_dir, "customer")
+        .join(read(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+        .groupBy(F.col("c_mktsegment").alias("Province_State"), F.col("n_name").alias("Country_Region"))
+        .agg(F.min("c_custkey").alias("UID"))
+    )
+    texts = ["iso2", "iso3", "code3", "FIPS", "Admin2", "Lat", "Long_", "Combined_Key", "Population"]
+    rows = rows.withColumns({name: F.lit(None).cast("string") for name in texts})
+    places = rows.limit(0).select(
+        "Country_Region", F.col("iso2").alias("location"), F.col("iso3").alias("continent")
+    )
+    batches = (
+        ("first", rows.where("Province_State <> 'MACHINERY'")),
+        ("second", rows.withColumn("UID", -F.col("UID"))),
+    )
+    for name, batch in batches:
+        here = replace(landing, areas=f"{name}/areas.csv", locations=f"{name}/locations.csv")
+        write_csv(batch, here.path(here.areas))
+        write_csv(places, here.path(here.locations))
+        load_lookup(warehouse, here)
+    return warehouse.read("country_loc").select("province_state", "country_region", "uid")
+
+
+@report(
+    """SELECT * EXCLUDE (day, reloaded, confirmed_before) REPLACE (
+                CASE WHEN reloaded AND day <= DATE '2024-01-12' THEN '2025-01-01T00:00:00' ELSE last_update END
+                  AS last_update,
+                CASE WHEN reloaded THEN confirmed ELSE confirmed_before END AS confirmed)
+       FROM (SELECT c.*, b.confirmed AS confirmed_before,
+                    c.country_region = 'click' AND c.day BETWEEN DATE '2024-01-08' AND DATE '2024-01-14' AS reloaded
+             FROM changed c JOIN cases b USING (province_state, country_region, date_case))
+       WHERE NOT (reloaded AND province_state = 'user 1')""",
+    EVENT_CASES.rstrip() + CHANGED_CASES,
 )
 def reload_country(spark, sf_dir):
-    """Delete one country's rows in a date range and load its files again."""
+    """Delete one country's rows in a date range and load its changed files: other counts, one area gone."""
+    warehouse = new_warehouse(spark)
+    load_cases(warehouse, land_event_reports(spark, sf_dir, scratch_path(spark, "landing")))
+    changed = changed_reports(spark, sf_dir).where("Province_State <> 'user 1'")
+    again = land_event_reports(spark, sf_dir, scratch_path(spark, "landing"), changed)
+    load_cases(warehouse, again, dates=("2024-01-08", "2024-01-14"), reload_country="click")
+    return warehouse.read("daily_case")
+
+
+@report("SELECT * FROM cases", EVENT_CASES)
+def reload_new_files(spark, sf_dir):
+    """Files first read for one country alone are still loaded for the others by ledger."""
     landing = land_event_reports(spark, sf_dir, scratch_path(spark, "landing"))
     warehouse = new_warehouse(spark)
+    load_cases(warehouse, landing, dates=("2024-01-05", "2024-01-20"), reload_country="click")
     load_cases(warehouse, landing)
-    load_cases(warehouse, landing, dates=("2024-01-08", "2024-01-14"), reload_country="click")
     return warehouse.read("daily_case")
 
 
 @report("SELECT * FROM cases", EVENT_CASES)
 def stream_ingest(spark, sf_dir):
-    """The same reports through the file stream, a few files at a time."""
+    """The same reports through the file stream, in two runs: later rows come in further parts."""
     landing = land_event_reports(spark, sf_dir, scratch_path(spark, "landing"))
+    late = F.col("Province_State") > "user 5"
+    first = land_event_reports(spark, sf_dir, scratch_path(spark, "landing"), event_reports(spark, sf_dir).where(~late))
     warehouse = new_warehouse(spark)
     checkpoint = scratch_path(spark, "stream")
-    for layout, folder in (("old", landing.old_cases), ("new", landing.cases)):
-        files = stream_files(spark, landing.path(folder), layout, max_files=40)
-        ingest_reports(warehouse, files, f"{checkpoint}/{layout}")
+    for run, root in (("first", first), ("all", landing)):
+        for layout, folder in (("old", root.old_cases), ("new", root.cases)):
+            files = stream_files(spark, root.path(folder), layout)
+            ingest_reports(warehouse, files, f"{checkpoint}/{run}-{layout}")
     return warehouse.read("daily_case")
 
 
@@ -349,16 +467,16 @@ def landed_files(spark, sf_dir):
 
 
 @report(
-    """SELECT CAST(o_orderkey AS VARCHAR) AS o_orderkey, o_orderpriority, o_orderstatus, 'a "quoted", text' AS note
+    """SELECT CAST(o_orderkey AS VARCHAR) AS o_orderkey, o_orderpriority, o_orderstatus, 'a "quoted", text' || chr(10) || 'in two lines' AS note
        FROM orders"""
 )
 def csv_round_trip(spark, sf_dir):
     """Write a table as CSV with quotes and commas in it, and read it back by header."""
     path = scratch_path(spark, "csv")
     rows = read(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority", "o_orderstatus")
-    write_csv(rows.withColumn("note", F.lit('a "quoted", text')), f"{path}/orders.csv")
+    write_csv(rows.withColumn("note", F.lit('a "quoted", text\nin two lines')), f"{path}/orders.csv")
     columns = ["o_orderkey", "o_orderpriority", "o_orderstatus", "note"]
-    return read_csv_files(spark, [f"{path}/orders.csv"], columns).select(*columns)
+    return read_csv_files(spark, [f"{path}/orders.csv"], columns, multi_line=True).select(*columns)
 
 
 REPORT_TEXT = """

@@ -53,11 +53,14 @@ def load_cases(
 
     Files already in the ledger are skipped unless dates are given or all files are
     asked for. With ``reload_country``, the stored rows of that country are deleted
-    first (in the date range, if one is given) and only its rows are loaded.
+    first (in the date range, if one is given) and only its rows are loaded, from all
+    landed files of the range. Files that were not in the ledger stay out of it then, as
+    the other countries' rows are still to be loaded.
     ``headers`` names the header of a layout where it is known to be the same in
     all files, which saves looking for header lines.
     """
     spark = warehouse.spark
+    process_all = process_all or reload_country is not None and not dates
     files = choose_files(
         case_files(warehouse.spark, landing), warehouse.read("csv_record"), "case", dates, process_all
     )
@@ -71,8 +74,13 @@ def load_reports(
     reload_country: str | None = None,
     corrections: Sequence[tuple[str, str, str, str]] = (),
     headers: dict[str, list[str]] | None = None,
+    replace_rows: bool = False,
 ) -> int:
-    """Load the case reports that a manifest with layouts names, each of them whole."""
+    """Load the case reports that a manifest with layouts names, each of them whole.
+
+    With ``replace_rows``, a stored row gives way as a whole to the report's row of its
+    key; otherwise its counts are updated and its stamp stays.
+    """
     spark = warehouse.spark
     chosen = with_file_date(by_report(files, "layout")).collect()
     if not chosen:
@@ -84,7 +92,9 @@ def load_reports(
     for layout in ("new", "old"):
         reports = [row for row in chosen if row["layout"] == layout and row["sample"]]
         if reports:
-            part = read_reports(spark, reports, conform.CASE_COLUMNS, (headers or {}).get(layout))
+            part = read_reports(
+                spark, reports, conform.CASE_COLUMNS, conform.CASE_REQUIRED, (headers or {}).get(layout)
+            )
             part = part.withColumn("layout", F.lit(layout))
             raw = part if raw is None else raw.unionByName(part)
     if raw is None:
@@ -97,12 +107,16 @@ def load_reports(
         chosen_rows = stage.where(wanted)
         unique = conform.first_cases(chosen_rows)
         if reload_country is None:
-            warehouse.upsert("daily_case", unique, chosen_rows)
+            warehouse.upsert("daily_case", unique, chosen_rows, replace_rows)
         else:
             first, last = (dates[0], dates[-1]) if dates else (None, None)
             warehouse.replace("daily_case", unique, "date_case", first, last, wanted)
         warehouse.insert_if_absent("dim_time", conform.time_rows(stage))
-    record_files(warehouse, names_of(warehouse, chosen), "case")
+    names = names_of(warehouse, chosen)
+    if reload_country is not None:
+        known = warehouse.read("csv_record").where("data_type = 'case'").select("file_name")
+        names = names.join(known, "file_name", "left_semi")
+    record_files(warehouse, names, "case")
     return len(chosen)
 
 
@@ -113,7 +127,7 @@ def load_vaccinations(warehouse: Warehouse, landing: Landing, process_all: bool
     chosen = by_report(chosen).collect()
     if not chosen:
         return 0
-    raw = read_reports(warehouse.spark, [row for row in chosen if row["sample"]], conform.VAC_COLUMNS)
+    raw = read_reports(warehouse.spark, [row for row in chosen if row["sample"]], conform.VAC_COLUMNS, conform.VAC_COLUMNS)
     with warehouse.staged(conform.conform_vaccinations(raw), "vac") as stage:
         warehouse.upsert("vac", conform.first_vaccinations(stage), stage)
     record_files(warehouse, names_of(warehouse, chosen), "vac")
@@ -122,17 +136,22 @@ def load_vaccinations(warehouse: Warehouse, landing: Landing, process_all: bool
 
 def load_lookup(warehouse: Warehouse, landing: Landing) -> None:
     spark = warehouse.spark
-    areas = read_csv_files(spark, [landing.path(landing.areas)], conform.AREA_COLUMNS)
-    locations = read_csv_files(spark, [landing.path(landing.locations)], conform.LOCATION_COLUMNS)
+    areas, places = conform.AREA_COLUMNS, conform.LOCATION_COLUMNS
+    areas = read_csv_files(spark, [landing.path(landing.areas)], areas, required=areas)
+    locations = read_csv_files(spark, [landing.path(landing.locations)], places, required=places)
     warehouse.insert_if_absent("country_loc", conform.conform_lookup(areas, locations))
 
 
 def read_reports(
-    spark: SparkSession, reports: Sequence[Row], columns: list[str], header: list[str] | None = None
+    spark: SparkSession,
+    reports: Sequence[Row],
+    columns: list[str],
+    required: Sequence[str] = (),
+    header: list[str] | None = None,
 ) -> DataFrame:
     paths = sorted(row["report_path"] for row in reports)
     samples = sorted(row["sample"] for row in reports)
-    return read_csv_files(spark, paths, columns, header=header, samples=samples)
+    return read_csv_files(spark, paths, columns, header=header, samples=samples, required=required)
 
 
 def names_of(warehouse: Warehouse, chosen: Sequence[Row]) -> DataFrame:

@@ -1,9 +1,11 @@
 """Warehouse tables in the Spark catalog.
 
 Parquet tables have no MERGE. A load reads the stored partitions its batch
-touches, merges them as DataFrames, and overwrites just those partitions: Spark
-writes the new files beside the old ones and swaps them in at commit, so a lost
-executor or a failed job leaves the old rows in place.
+touches, merges them as DataFrames, and overwrites just those partitions. The merged
+rows are staged as a table first, so nothing is read and overwritten in one job, and a
+lost executor or a failed merge leaves the old rows in place. The swap itself replaces a
+partition's files one partition after the other; if the driver is lost meanwhile, the
+stage is still there, and ``finish_swaps`` repeats the swap from it.
 """
 
 from __future__ import annotations
@@ -97,20 +99,26 @@ class Warehouse:
         """Partition values of a batch: calendar days or type names, never row data."""
         return [row[0] for row in df.select(partition).distinct().collect()]
 
-    def upsert(self, table: str, batch: DataFrame, source: DataFrame | None = None) -> None:
+    def upsert(
+        self, table: str, batch: DataFrame, source: DataFrame | None = None, whole_rows: bool = False
+    ) -> None:
         """Update matching rows and insert the others, in the touched partitions.
 
         The partition column follows from the key, so a batch row can only match
         stored rows of its own partition. ``source`` are the stored rows that the
         batch is computed from; finding the partitions there keeps the batch itself
-        from being computed twice.
+        from being computed twice. ``whole_rows`` updates all columns but the key.
         """
+        self.finish_swaps(table)
         partition = schemas.PARTITIONS[table]
         batch = self._with_storage(table, batch)
         rows = batch if source is None else self._with_storage(table, source)
         stored = self.stored(table).where(in_values(partition, self.touched(rows, partition)))
-        merged = upsert(stored, batch, schemas.KEYS[table], schemas.UPDATE_COLUMNS[table])
-        self._overwrite(table, merged, partition)
+        keys = schemas.KEYS[table]
+        update = [c for c in stored.columns if c not in keys] if whole_rows else schemas.UPDATE_COLUMNS[table]
+        merged = upsert(stored, batch, keys, update)
+        self._stage_swap(table, merged, partition)
+        self.finish_swaps(table)
 
     def insert_if_absent(self, table: str, batch: DataFrame) -> None:
         current = self.stored(table)
@@ -127,14 +135,15 @@ class Warehouse:
         Only partitions that hold such rows or get new ones are rewritten. Those left
         without rows are dropped: an overwrite would not see them.
         """
+        self.finish_swaps(table)
         current = self.stored(table)
         batch = self._with_storage(table, batch)
         in_range = F.lit(True) if first is None else F.col(partition).between(F.lit(first), F.lit(last))
         before = self.touched(current.where(in_range & doomed), partition)
         stored = current.where(in_values(partition, [*before, *self.touched(batch, partition)]))
-        with self.staged(replace_rows(stored, batch, doomed & in_range), "reload") as rows:
-            left = set(self.touched(rows, partition))
-            self._overwrite(table, rows, partition)
+        rows = self._stage_swap(table, replace_rows(stored, batch, doomed & in_range), partition)
+        left = set(self.touched(rows, partition))
+        self.finish_swaps(table)
         for value in before:
             if value not in left:
                 self._empty(table, partition, value)
@@ -147,16 +156,29 @@ class Warehouse:
         self.spark.sql(f"INSERT OVERWRITE TABLE {self.name(table)} {spot} SELECT {nulls} WHERE false")
         self.spark.sql(f"ALTER TABLE {self.name(table)} DROP IF EXISTS {spot}")
 
-    def _overwrite(self, table: str, rows: DataFrame, partition: str) -> None:
-        columns = self.stored(table).columns
-        # One shuffle by partition value and key hash keeps the number of files low
-        # without sending a large day to a single task: AQE splits big partitions.
-        (
-            rows.select(*columns)
-            .hint("rebalance", partition)
-            .write.mode("overwrite")
-            .insertInto(self.name(table))
-        )
+    def _stage_swap(self, table: str, rows: DataFrame, partition: str) -> DataFrame:
+        """Write the new rows of the touched partitions as a table of their own.
+
+        One shuffle by partition value and key hash keeps the number of files low
+        without sending a large day to a single task: AQE splits big partitions.
+        """
+        chosen = rows.select(*self.stored(table).columns).hint("rebalance", partition)
+        chosen.write.format("parquet").saveAsTable(self.name(f"swap_{table}"))
+        return self.spark.table(self.name(f"swap_{table}"))
+
+    def finish_swaps(self, *tables: str) -> None:
+        """Overwrite partitions with staged rows, then drop the stage.
+
+        A stage is in the catalog only once it is written as a whole. It is dropped
+        after its swap, so one that is still there was interrupted and is repeated,
+        which gives the same rows. A stage without rows changes nothing.
+        """
+        for table in tables or schemas.PARTITIONS:
+            swap = self.name(f"swap_{table}")
+            if self.spark.catalog.tableExists(swap):
+                rows = self.spark.table(swap).hint("rebalance", schemas.PARTITIONS[table])
+                rows.write.mode("overwrite").insertInto(self.name(table))
+                self.spark.sql(f"DROP TABLE {swap}")
 
 
 def in_values(column: str, values: Sequence) -> Column:

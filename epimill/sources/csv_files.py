@@ -8,6 +8,7 @@ groups by name. Every column is read as text, which keeps leading zeros.
 from __future__ import annotations
 
 import csv
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
@@ -15,6 +16,7 @@ from epimill.schemas import RENAMES
 from epimill.sources.files import report_name, report_path, smallest_part, unescape
 
 ROW_INDEX = "_c0"
+UNREAD = "_unread_row"
 
 
 def header_groups(
@@ -59,20 +61,36 @@ def column_names(header: str) -> list[str]:
     return [name.strip() or f"_c{position}" for position, name in enumerate(names)]
 
 
-def read_group(spark: SparkSession, columns: list[str], paths: list[str], trusted: bool) -> DataFrame:
+def read_group(
+    spark: SparkSession, columns: list[str], paths: list[str], trusted: bool, multi_line: bool = False
+) -> DataFrame:
     """Read reports that share one header; one with another header stops the job,
-    unless the header was read from the files themselves."""
-    schema = T.StructType([T.StructField(name, T.StringType()) for name in columns])
+    unless the header was read from the files themselves.
+
+    A row that does not have the header's columns stops the job too: mostly a quoted
+    value goes on in the next line, which ``multi_line`` reads, at the price of one
+    task per file. ``scan_position`` is the place of a row among the parts of a report.
+    """
+    fields = [*columns, UNREAD]
+    schema = T.StructType([T.StructField(name, T.StringType()) for name in fields])
+    name = report_name(scanned_path())
+    said = F.concat(F.lit("no row of its header in "), name, F.lit(" (or read with multi_line): "), F.col(UNREAD))
     return (
         spark.read.schema(schema)
         .option("header", "true")
         .option("enforceSchema", str(trusted).lower())
         .option("escape", '"')
+        .option("multiLine", str(multi_line).lower())
+        .option("columnNameOfCorruptRecord", UNREAD)
         .csv(paths)
         .select(
-            "*",
-            report_name(scanned_path()).alias("source_file"),
-            F.monotonically_increasing_id().alias("scan_position"),
+            *[F.col(f"`{column}`") for column in columns],
+            F.when(F.col(UNREAD).isNotNull(), F.raise_error(said)).otherwise(name).alias("source_file"),
+            F.struct(
+                F.col("_metadata.file_path").alias("path"),
+                F.col("_metadata.file_block_start").alias("block"),
+                F.monotonically_increasing_id().alias("line"),
+            ).alias("scan_position"),
         )
     )
 
@@ -84,27 +102,34 @@ def read_csv_files(
     renames: dict[str, str] | None = None,
     header: list[str] | None = None,
     samples: list[str] | None = None,
+    required: Sequence[str] = (),
+    multi_line: bool = False,
 ) -> DataFrame:
     """Read CSV reports of any header mix into the given columns plus lineage.
 
-    Columns a report lacks are null. ``source_file`` names the report and
-    ``position`` orders its rows: the stored row index if there is one, else scan
-    order. With ``header``, all reports must have just that header.
+    A report that lacks a required column stops the load; other columns it lacks are
+    null. ``source_file`` names the report and ``position`` orders its rows: by the
+    stored row index if there is one, then by part, block of the part and line. With
+    ``header``, all reports must have just that header.
     """
     wanted = [*columns, "source_file", "position"]
     groups = [(list(header), paths)] if header else header_groups(spark, paths, samples)
     parts = []
     for names, reports in groups:
-        part = read_group(spark, names, reports, trusted=header is None)
+        part = read_group(spark, names, reports, header is None, multi_line)
         part = rename_columns(part, RENAMES | (renames or {}))
+        lacking = [name for name in required if name not in part.columns]
+        if lacking:
+            raise ValueError(f"without the columns {lacking}: {[path.rsplit('/', 1)[-1] for path in reports]}")
         index = F.col(ROW_INDEX).try_cast("bigint") if ROW_INDEX in names else F.lit(None).cast("bigint")
-        part = part.withColumn("position", F.coalesce(index, F.col("scan_position")))
+        part = part.withColumn("position", F.struct(index.alias("index"), "scan_position.*"))
         parts.append(part.select(*[name for name in wanted if name in part.columns]))
     if not parts:
         raise ValueError("no CSV report with a header line among the given paths")
     frame = parts[0]
     for part in parts[1:]:
         frame = frame.unionByName(part, allowMissingColumns=True)
+    # a column that no report has
     missing = {name: F.lit(None).cast("string") for name in wanted if name not in frame.columns}
     return frame.withColumns(missing).select(*wanted) if missing else frame.select(*wanted)
 

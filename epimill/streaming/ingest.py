@@ -3,7 +3,9 @@
 The checkpoint takes the place of the ledger lookup: each file is met once. The
 stream only tells which reports have new files; every such report is then read
 whole. A report whose parts arrive in several batches is therefore judged as one:
-the first row of a key is the first of the report, not of a batch.
+the first row of a key is the first of the report, not of a batch, and replaces as a
+whole what an earlier batch has stored for the key. The result does not depend on
+how the parts fall into batches, as long as a day comes in one layout.
 
 A file rewritten under its old name is not met again, which suits daily reports but
 not the vaccination files; those stay a batch reload.
@@ -15,6 +17,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from epimill import schemas
 from epimill.plans.update import load_reports
 from epimill.sinks.warehouse import Warehouse
 from epimill.sources.files import report_name, report_path
@@ -58,7 +61,7 @@ def ingest_reports(
 
     def load(batch: DataFrame, batch_id: int) -> None:
         target = Warehouse(batch.sparkSession, database)
-        load_reports(target, batch, corrections=corrections, headers=headers)
+        load_reports(target, batch, corrections=corrections, headers=headers, replace_rows=True)
 
     query = (
         files.writeStream.foreachBatch(load)
@@ -67,3 +70,6 @@ def ingest_reports(
         .start()
     )
     query.awaitTermination()
+    # batches run in a session of their own; this one may know the files of before
+    for table in schemas.TABLES:
+        warehouse.spark.catalog.refreshTable(warehouse.name(table))

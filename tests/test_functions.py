@@ -126,3 +126,14 @@ def test_text_helpers(spark):
         texts.contains_any(F.col("t"), []),
     ).first()
     assert tuple(got) == ("06-01-2021.csv", "folder", "x/06-01-2021.csv", True, False)
+
+
+def test_stamps_do_not_depend_on_the_session_zone(spark):
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        df = spark.createDataFrame([("2020-03-08 02:30:00",)], "text string")
+        ts = dates.parse_timestamp(F.col("text"))
+        assert df.select(dates.timestamp_text(ts), dates.time_parts(ts)["hour"]).first() == ("2020-03-08 02:30:00", 2)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)

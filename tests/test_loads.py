@@ -9,7 +9,7 @@ from hypothesis import HealthCheck, given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from epimill import schemas
-from epimill.operators.shape import STAMP_CORRECTIONS
+from epimill.operators.shape import STAMP_CORRECTIONS, first_per_key
 from epimill.plans import conform, dashboard, quality
 from epimill.plans.landing import land_cases, land_lookup, land_vaccinations, rewrite_old_cases
 from epimill.plans.update import Landing, daily_update, load_cases, load_lookup, load_vaccinations
@@ -149,6 +149,7 @@ def test_headers_are_grouped_and_columns_bound_by_name(spark, landing):
     paths = [f"{landing.path(landing.cases)}{name}" for name in ("03-22-2020.csv", "03-23-2020.csv")]
     assert len(header_groups(spark, paths)) == 2
     got = read_csv_files(spark, paths, ["FIPS", "Country_Region", "Confirmed", "Missing"])
+    got = got.withColumn("position", F.col("position.index"))
     assert rows(got) == [
         ("01001", "US", "12.0", None, "03-22-2020.csv", 0),
         ("01001", "US", "20", None, "03-23-2020.csv", 1),
@@ -168,6 +169,87 @@ def test_named_header_is_enforced(spark, tmp_path):
         read_csv_files(spark, [path], ["b"], header=["b", "a"]).collect()
 
 
+def test_report_without_a_required_column_stops_the_load(warehouse, landing):
+    header = [name if name != "Country_Region" else "Country" for name in NEW]
+    write(f"{landing.path(landing.cases)}/03-24-2020.csv", header, [["", "", "", "US", "", "1", "", "", ""]])
+    with pytest.raises(ValueError, match="Country_Region.*03-24-2020.csv"):
+        load_cases(warehouse, landing)
+    assert warehouse.read("csv_record").count() == 0
+
+
+def test_quoted_line_breaks(spark, tmp_path):
+    path = str(tmp_path / "a.csv")
+    with open(path, "w") as file:
+        file.write('a,b\n"New\nYork",2\nOhio,3\n')
+    with pytest.raises(Exception, match="no row of its header in a.csv"):
+        read_csv_files(spark, [path], ["a", "b"]).collect()
+    assert rows(read_csv_files(spark, [path], ["a", "b"], multi_line=True), "a", "b") == [("New\nYork", "2"), ("Ohio", "3")]
+
+
+def test_rows_of_parts_without_an_index_are_ordered_by_part(spark, tmp_path):
+    report = tmp_path / "report=03-22-2020.csv"
+    os.makedirs(report)
+    with open(report / "part-0.csv", "w") as file:
+        file.write("a,b\nk,1\n")
+    with open(report / "part-1.csv", "w") as file:
+        file.write("a,b\nk,2\n" + "x,9\n" * 50_000)
+    found = first_per_key(read_csv_files(spark, [str(report)], ["a", "b"]), ["a"], ["source_file", "position"])
+    assert rows(found, "a", "b") == [("k", "1"), ("x", "9")]
+
+
+def test_unreadable_counts_are_reported(spark):
+    raw = spark.createDataFrame([("1,234", "5"), ("7.0", " "), (None, "many")], "Confirmed string, Deaths string")
+    found = rows(quality.check_unreadable(raw, ["Confirmed", "Deaths"]), "direction", "value")
+    assert found == [("Confirmed", "1,234"), ("Deaths", "many")]
+
+
+def test_interrupted_swap_is_repeated(spark, warehouse, landing, monkeypatch):
+    load_cases(warehouse, landing)
+    before = rows(warehouse.read("daily_case"))
+    write(f"{landing.path(landing.cases)}/03-24-2020.csv", NEW, [["", "", "", "US", "2020-03-24 01:00:00", "50", "", "", ""]])
+
+    class Lost(Exception):
+        pass
+
+    finish = Warehouse.finish_swaps
+
+    def interrupted(self, *tables):
+        if spark.catalog.tableExists(self.name("swap_daily_case")):
+            raise Lost
+        finish(self, *tables)
+
+    monkeypatch.setattr(Warehouse, "finish_swaps", interrupted)
+    with pytest.raises(Lost):
+        load_cases(warehouse, landing)
+    assert rows(warehouse.read("daily_case")) == before
+    monkeypatch.undo()
+    load_cases(warehouse, landing)
+    assert warehouse.read("daily_case").count() == len(before) + 1
+    assert not spark.catalog.tableExists(warehouse.name("swap_daily_case"))
+
+
+def test_stream_does_not_depend_on_the_order_of_parts(spark, warehouse, tmp_path):
+    report, check = str(tmp_path / "in/report=03-22-2020.csv"), str(tmp_path / "check")
+    late = [["", "", "", "France", "2020-03-22 09:00:00", "900", "", "", ""]]
+    early = [["", "", "", "France", "2020-03-22 01:00:00", "100", "", "", ""]]
+    write(f"{report}/part-1.csv", NEW, [[], late[0]][1:])
+    with open(f"{report}/part-1.csv") as file:
+        text = file.read().replace("\n0,", "\n7,")
+    with open(f"{report}/part-1.csv", "w") as file:
+        file.write(text)
+    ingest_reports(warehouse, stream_files(spark, str(tmp_path / "in"), "new"), check)
+    assert rows(warehouse.read("daily_case"), "confirmed") == [(900,)]
+    write(f"{report}/part-0.csv", NEW, early)
+    ingest_reports(warehouse, stream_files(spark, str(tmp_path / "in"), "new"), check)
+    assert rows(warehouse.read("daily_case"), "confirmed", "last_update") == [(100, "2020-03-22 01:00:00")]
+
+
+def test_landing_by_name_refuses_two_files(spark, landing):
+    write(f"{landing.root}/again/locations.csv", ["Country/Region", "location", "continent"], [["a", "b", "c"]])
+    with pytest.raises(ValueError, match="several files"):
+        land_lookup(spark, landing.root, "locations.csv", landing.path("copy.csv"))
+
+
 def test_case_load(warehouse, landing):
     assert load_cases(warehouse, landing) == 3
     got = rows(warehouse.read("daily_case"), "fips", "province_state", "country_region", "date_string", "last_update", "confirmed", "deaths", "recovered", "active")
@@ -229,8 +311,16 @@ def test_reload_without_dates_clears_the_country(warehouse, landing):
     write(f"{landing.path(landing.cases)}/03-24-2020.csv", NEW, [["", "", "", "US", "2020-03-24 01:00:00", "50", "", "", ""]])
     load_cases(warehouse, landing, reload_country="US")
     got = rows(warehouse.read("daily_case").where("country_region = 'US'"), "date_string", "confirmed")
-    assert got == [("2020-03-24", 50)]
-    assert warehouse.read("daily_case").count() == 5
+    assert got == [("2020-03-22", 12), ("2020-03-23", 20), ("2020-03-24", 50)]
+    assert warehouse.read("daily_case").count() == 7
+
+
+def test_file_read_for_one_country_is_loaded_for_the_others_later(warehouse, landing):
+    load_cases(warehouse, landing, dates=("2020-03-22",), reload_country="US")
+    assert rows(warehouse.read("daily_case"), "country_region") == [("US",)]
+    assert warehouse.read("csv_record").count() == 0
+    assert load_cases(warehouse, landing) == 3
+    assert warehouse.read("daily_case").count() == 6
 
 
 def test_corrections_apply_on_load(warehouse, landing):
@@ -365,8 +455,8 @@ def test_landing_from_a_source_folder(spark, warehouse, landing, tmp_path):
     assert land_cases(spark, landing.path(landing.cases), copy) == 0
     assert land_cases(spark, landing.path(landing.cases), copy, ("2020-03-22", "2020-03-23")) == 2
     assert rows(list_files(spark, copy.path(copy.old_cases)), "file_name") == [("01-22-2020.csv",)]
-    write(f"{landing.path(landing.vaccinations)}/Cote d'Ivoire.csv", ["location", "date", "vaccine", "total_vaccinations"],
-          [["Cote d'Ivoire", "2020-03-23", "A", "3"]])
+    write(f"{landing.path(landing.vaccinations)}/Cote d'Ivoire.csv", ["location", "date", "vaccine", "total_vaccinations", "people_vaccinated", "people_fully_vaccinated"],
+          [["Cote d'Ivoire", "2020-03-23", "A", "3", "", ""]])
     assert land_vaccinations(spark, landing.path(landing.vaccinations), copy) == 3
     assert land_vaccinations(spark, landing.path(landing.vaccinations), copy) == 3
     for name in (landing.areas, landing.locations):
@@ -446,11 +536,11 @@ def test_loads_act_like_a_dictionary_of_first_rows(warehouse, tmp_path, seed):
 
 
 def test_vaccination_rows_without_a_date_are_kept_and_reported(warehouse, landing):
-    header = ["location", "date", "vaccine", "total_vaccinations"]
+    header = ["location", "date", "vaccine", "total_vaccinations", "people_vaccinated", "people_fully_vaccinated"]
     path = f"{landing.path(landing.vaccinations)}/France.csv"
-    write(path, header, [["France", "soon", "A", "1"], ["France", "2020-03-22", "A", "2"]])
+    write(path, header, [["France", "soon", "A", "1", "", ""], ["France", "2020-03-22", "A", "2", "", ""]])
     load_vaccinations(warehouse, landing)
-    write(path, header, [["France", "soon", "A", "3"]])
+    write(path, header, [["France", "soon", "A", "3", "", ""]])
     load_vaccinations(warehouse, landing)
     got = rows(warehouse.read("vac").where("location = 'France'"), "date_org", "date_string", "total_vaccinations")
     assert got == [("2020-03-22", "2020-03-22", 2), ("soon", None, 3)]

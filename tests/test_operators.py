@@ -74,9 +74,18 @@ def test_long_weighted_mean_matches_pandas(spark, alpha):
         assert ours is None or ours == pytest.approx(theirs, rel=1e-9, abs=1e-3)
 
 
+@pytest.mark.parametrize(("alpha", "nulls"), [(0.2, 600), (0.9, 5000), (1, 600)])
+def test_weighted_mean_keeps_its_history_over_nulls(spark, alpha, nulls):
+    xs = [5.0, 7.0, *[None] * nulls, 9.0, None]
+    frame = spark.createDataFrame([("a", f"{i:06d}", x) for i, x in enumerate(xs)], "k string, d string, x double")
+    found = by_key(series.add_ewm_means(frame, {"e": "x"}, ["k"], "d", alpha), "e")
+    assert found["a"] == pytest.approx(list(pd.Series(xs).ewm(alpha=alpha).mean()), rel=1e-12)
+
+
 def test_weighted_mean_rejects_bad_alpha(spark):
-    with pytest.raises(ValueError, match="alpha"):
-        series.add_ewm_means(spark.range(1), {"e": "id"}, ["id"], "id", 1.5)
+    for alpha in (0, 1.5):
+        with pytest.raises(ValueError, match="alpha"):
+            series.add_ewm_means(spark.range(1), {"e": "id"}, ["id"], "id", alpha)
 
 
 def test_cumulative_drop_becomes_null(spark):
@@ -119,10 +128,12 @@ def test_members(spark):
     assert rows(shape.keep_members(df, "k", "a")) == [("a",)]
     assert rows(shape.keep_members(df, "k", ["b", "c"])) == [("b",)]
     assert rows(shape.keep_members(df, "k", [])) == []
-    many = [str(i) for i in range(shape.MAX_INLINE_VALUES + 5)] + ["b"]
+    many = [str(i) for i in range(2000)] + ["b"]
     assert rows(shape.keep_members(df, "k", many)) == [("b",)]
     numbers = spark.range(3).withColumnRenamed("id", "n")
     assert rows(shape.keep_members(numbers, "n", list(range(1, 2000)))) == [(1,), (2,)]
+    for more in ([], [float(i) for i in range(10, 2000)]):
+        assert rows(shape.keep_members(numbers, "n", [1.5, 2.0, *more])) == [(2,)]
 
 
 def test_area_level_keeps_null_and_blank(spark):
@@ -158,6 +169,23 @@ def test_stamp_corrections(spark):
     assert "BroadcastHashJoin" in plan_of(shape.correct_stamps(df, fixes))
 
 
+def test_several_corrections_for_one_file_and_area(spark):
+    df = spark.createDataFrame(
+        [("f", "a", "2021-06-01 04:21"), ("f", "a", "2021-06-03 04:21")], "source_file string, province_state string, last_update string"
+    )
+    fixes = shape.corrections_table(spark, [("f", "a", "2021-06-01", "2021-06-02"), ("f", "a", "2021-06-03", "2021-06-04")])
+    assert rows(shape.correct_stamps(df, fixes), "last_update") == [("2021-06-02 04:21",), ("2021-06-04 04:21",)]
+    with pytest.raises(ValueError, match="two corrections"):
+        shape.corrections_table(spark, [("f", "a", "2021-06-01", "2021-06-02")] * 2)
+
+
+def test_lookup_with_a_repeated_key_stops_the_join(spark):
+    lookup = spark.createDataFrame([("fr", 1), ("us", 2), (None, 3), (None, 4)], "k string, n int")
+    assert rows(joins.one_per_key(lookup, "k")) == [("fr", 1), ("us", 2)]
+    with pytest.raises(Exception, match="several lookup rows with k us"):
+        joins.one_per_key(lookup.union(lookup.where("k = 'us'")), "k").collect()
+
+
 def test_sorted_reads(spark):
     df = spark.createDataFrame([(1, "a"), (3, "c"), (2, "b")], "d int, v string")
     assert [row["v"] for row in shape.last_rows(df, 2, "d").collect()] == ["c", "b"]
