@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from epimill.session import scratch_path
 
 
-SLICE_ROWS = 2000
+SLICE_ROWS = 500
 
 
 def fresh(df: DataFrame, base: str) -> str:
