@@ -16,16 +16,16 @@ from epimill.functions.texts import is_blank
 
 
 def one_per_key(lookup: DataFrame, key: str) -> DataFrame:
-    """The lookup, stopping the job if two rows share a key: a join would multiply facts.
+    """The lookup, after a look that no two rows share a key: a join would multiply facts.
 
-    Rows without a key are left out, as they match nothing.
+    Looks at once, with a small job of its own, so that the join's plan stays as it is.
+    Rows without a key match nothing and may repeat.
     """
-    others = [name for name in lookup.columns if name != key]
-    grouped = lookup.where(F.col(key).isNotNull()).groupBy(key)
-    counted = grouped.agg(F.count("*").alias("_rows"), *[F.first(name).alias(name) for name in others])
-    said = F.concat(F.lit(f"several lookup rows with {key} "), F.col(key).cast("string"))
-    checked = F.when(F.col("_rows") > 1, F.raise_error(said).cast(lookup.schema[key].dataType)).otherwise(F.col(key))
-    return counted.select(*[checked.alias(key) if name == key else F.col(name) for name in lookup.columns])
+    counted = lookup.where(F.col(key).isNotNull()).groupBy(key).count().where("count > 1")
+    repeated = [row[0] for row in counted.limit(5).collect()]
+    if repeated:
+        raise ValueError(f"several lookup rows with {key} {', '.join(map(str, repeated))}")
+    return lookup
 
 
 def merge_lookups(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
