@@ -2,7 +2,8 @@
 
 Two fingerprints that differ in at most d of their bits agree on one of d + 1 disjoint
 masks. The upper nodes of the index are those masked patterns: each node holds the distinct
-fingerprints that share one. Inside a node they are sorted by Gray rank, in which neighbours
+fingerprints that share one, and a node with too many has nodes of its own below it, by masks
+over its other bits. Inside a lowest node they are sorted by Gray rank, in which neighbours
 share most bits, and grouped level by level; a group keeps the bits that all members share.
 Two groups whose shared bits already differ in more than d places are left out as a whole,
 and the differences add up on the way down.
@@ -11,6 +12,7 @@ and the differences add up on the way down.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +26,7 @@ from epimill.llm.graph import component_roots
 BITS = 64
 SEED = 42
 NODE_LIMIT = 1 << 16
+LEVELS = 2
 FANOUT = 8
 SMALL = 64
 CHUNK_PAIRS = 1 << 15
@@ -65,10 +68,11 @@ def gray_rank(code: Column) -> Column:
     return code
 
 
-def masks(distance: int) -> list[int]:
-    """distance + 1 disjoint masks that cover all bits."""
-    cuts = [round(i * BITS / (distance + 1)) for i in range(distance + 2)]
-    return [((1 << b) - 1) ^ ((1 << a) - 1) for a, b in zip(cuts, cuts[1:], strict=False)]
+def masks(distance: int, within: int = (1 << BITS) - 1) -> list[int]:
+    """distance + 1 disjoint masks that cover the bits of ``within``."""
+    places = [b for b in range(BITS) if within >> b & 1]
+    cuts = [round(i * len(places) / (distance + 1)) for i in range(distance + 2)]
+    return [sum(1 << b for b in places[i:j]) for i, j in zip(cuts, cuts[1:], strict=False)]
 
 
 class Components:
@@ -148,35 +152,65 @@ def link_nodes(node: np.ndarray, codes: np.ndarray, distance: int) -> Components
     return found
 
 
-def links(codes: DataFrame, distance: int) -> DataFrame:
-    """Edges (a, b) that connect the fingerprints (column ``simhash``, distinct) within the distance.
+def _masked(rows: DataFrame, children: dict[int, list[int]]) -> DataFrame:
+    """(simhash, used, pattern): the members of the nodes below those whose shared bits are ``used``."""
+    bits = lambda mask: F.lit(_signed(mask)).cast("long")
+    below = F.create_map(*[x for u, m in children.items() for x in (bits(u), F.array(*map(bits, m)))])
+    chosen = rows.select("simhash", F.explode(below[F.col("used")]).alias("used"))
+    return chosen.withColumn("pattern", F.col("simhash").bitwiseAND(F.col("used")))
+
 
-    Of each node only a spanning forest is given, not all pairs. A node with more than
-    ``NODE_LIMIT`` members is cut into blocks by a hash of the member, and each two blocks
-    meet in a group of their own, so that no task holds more than two blocks.
+def node_members(codes: DataFrame, distance: int) -> DataFrame:
+    """(simhash, used, pattern, first, second): the lowest nodes of masked patterns and their members.
+
+    Codes that share the bits ``used`` differ in the other bits only. Where a node has more
+    than ``NODE_LIMIT`` members, those bits are cut into ``distance`` + 1 masks once more, and
+    its members go to the nodes below; two near codes agree on one of the masks at each of the
+    ``LEVELS`` levels, so they meet in some lowest node. A lowest node that is still too large
+    holds codes that agree nearly everywhere, which more masks would only copy. It is cut into
+    blocks by a hash of the member, and each two blocks (first, second) meet.
     """
-    patterns = F.array(
-        *[
-            F.struct(F.lit(i).alias("mask"), F.col("simhash").bitwiseAND(F.lit(_signed(m))).alias("pattern"))
-            for i, m in enumerate(masks(distance))
-        ]
-    )
-    members = codes.select("simhash", F.explode(patterns).alias("at")).select("simhash", "at.mask", "at.pattern")
-    large = members.groupBy("mask", "pattern").count().filter(F.col("count") > NODE_LIMIT)
-    blocks = stored(large.select("mask", "pattern", F.ceil(F.col("count") / NODE_LIMIT).alias("blocks")), "large-nodes")
-    members = members.join(blocks, ["mask", "pattern"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    every = (1 << BITS) - 1
+    members = _masked(codes.select("simhash", F.lit(0).cast("long").alias("used")), {0: masks(distance)})
+    one = F.lit(1).cast("long").alias("blocks")
+    lowest = []
+    for level in range(LEVELS):
+        large = members.groupBy("used", "pattern").count().filter(F.col("count") > NODE_LIMIT)
+        blocks = F.ceil(F.col("count") / NODE_LIMIT).alias("blocks")
+        large = stored(large.select("used", "pattern", blocks), "large-nodes")
+        cut = [r["used"] & every for r in large.select("used").distinct().collect()]  # masks, not data
+        if not cut:
+            lowest.append(members.select("*", one))
+            break
+        key = ["used", "pattern"]
+        if level == LEVELS - 1:
+            known = members.join(large, key, "left")
+            lowest.append(known.select("simhash", *key, F.coalesce("blocks", one).alias("blocks")))
+            break
+        lowest.append(members.join(large, key, "left_anti").select("simhash", *key, one))
+        upper = members.join(large, key, "left_semi")
+        members = _masked(upper, {u: [u | m for m in masks(distance, every & ~u)] for u in cut})
+    members = reduce(DataFrame.unionByName, lowest)
     own = F.pmod(F.xxhash64("simhash"), F.col("blocks"))
     members = members.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    members = members.select(
-        "simhash", "mask", "pattern", F.least("own", "other").alias("first"), F.greatest("own", "other").alias("second")
-    )
-    key = ["mask", "pattern", "first", "second"]
+    first, second = F.least("own", "other").alias("first"), F.greatest("own", "other").alias("second")
+    return members.select("simhash", "used", "pattern", first, second)
+
+
+def links(codes: DataFrame, distance: int) -> DataFrame:
+    """Edges (a, b) that connect the fingerprints (column ``simhash``, distinct) within the distance.
+
+    Of each node only a spanning forest is given, not all pairs. A task holds at most two
+    blocks of ``NODE_LIMIT`` members.
+    """
+    key = ["used", "pattern", "first", "second"]
+    members = node_members(codes, distance).select(*key, "simhash")
     sorted_nodes = members.repartition(*key).sortWithinPartitions(*key, gray_rank(F.col("simhash")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def linked(rows: np.ndarray) -> pa.RecordBatch:
             node = np.cumsum(np.r_[0, (rows[1:, :4] != rows[:-1, :4]).any(1)])
-            codes = rows[:, 4].view(np.uint64)
+            codes = np.ascontiguousarray(rows[:, 4]).view(np.uint64)
             root = link_nodes(node, codes, distance).parent
             moved = np.flatnonzero(root != np.arange(len(root)))
             return pa.RecordBatch.from_arrays([pa.array(rows[moved, 4]), pa.array(rows[root[moved], 4])], ["a", "b"])
