@@ -24,6 +24,7 @@ from epimill.llm.common import add_columns, fresh
 
 ORDER = 3
 DOCS_PER_LANGUAGE = 400
+SPLIT_GROUPS = 256
 CHUNK_BYTES = 1 << 20
 UNKNOWN = "und"
 
@@ -66,12 +67,16 @@ def _contexts(symbols: np.ndarray, starts: np.ndarray, size: int, blank: int) ->
 def hash_sample(labelled: DataFrame, key: Column, language: Column, per_language: int) -> DataFrame:
     """Rows of up to ``per_language`` keys of each language, those with the least hashes.
 
-    Only the keys and languages are ranked; what goes through the driver is one number per
-    language, and the rows are then chosen where they are read.
+    Only the keys and languages are ranked, in two steps: each split keeps its least hashes,
+    groups of splits theirs, and all groups together the least of those. What goes through the
+    driver is one number per language, and the rows are then chosen where they are read.
     """
     ranked = labelled.select(language.alias("language"), F.xxhash64(key).alias("hash"))
-    rank = F.row_number().over(W.partitionBy("language").orderBy("hash"))
-    last = ranked.withColumn("rank", rank).filter(F.col("rank") <= per_language).groupBy("language").agg(F.max("hash").alias("last"))
+    ranked = ranked.withColumn("splits", F.pmod(F.spark_partition_id(), F.lit(SPLIT_GROUPS)))
+    for of in (["language", "splits"], ["language"]):
+        rank = F.row_number().over(W.partitionBy(*of).orderBy("hash"))
+        ranked = ranked.withColumn("rank", rank).filter(F.col("rank") <= per_language).drop("rank")
+    last = ranked.groupBy("language").agg(F.max("hash").alias("last"))
     limits = {r["language"]: r["last"] for r in last.collect()}
     if not limits:
         return labelled.limit(0)
