@@ -127,8 +127,8 @@ def top_k(
     Scores are whole numbers: the inner product of the vectors times 256, rounded down. Ties
     go to the smaller id. Rows with a null id or vector, an empty vector, or a component that
     is null or not finite take no part; a shorter vector counts as filled with zeros. A row
-    never answers a query of its own id. Rows that repeat an id are rows of their own, and a
-    query that repeats id and vector is asked once.
+    never answers a query of its own id. Rows that repeat an id are rows of their own, dealt to
+    different blocks, and a query that repeats id and vector is asked once.
 
     Queries and rows meet in blocks of bounded size, each pair of blocks in a task; a task
     passes on k entries for each of its queries. Nothing is broadcast: the cutoffs travel
@@ -144,7 +144,8 @@ def top_k(
     rows = usable.select(
         F.col("vec_id").alias("row_id"),
         F.col("v").alias("row_v"),
-        F.pmod(F.xxhash64("vec_id", "v"), F.lit(row_blocks)).cast("int").alias("row_block"),
+        # the vectors are stored, so a row's place in its split is the same when a task runs again
+        F.pmod(F.xxhash64("vec_id", F.monotonically_increasing_id()), F.lit(row_blocks)).cast("int").alias("row_block"),
         F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))).alias("query_block"),
     )
     asked = asked.withColumn("query_block", F.pmod("query", F.lit(query_blocks)).cast("int"))
