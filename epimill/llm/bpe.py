@@ -145,7 +145,9 @@ def bundles(docs: DataFrame, n_blocks: int) -> DataFrame:
     """(block, rows): the rows of ``docs`` as compressed Arrow streams, each of one block."""
     block = fresh(docs, "block")
     names = docs.columns
-    dealt = docs.withColumn(block, F.pmod(row_key(docs), F.lit(n_blocks)).cast("int"))
+    # with the split's number, so that a row that repeats in many splits is not in one block
+    owner = F.xxhash64(row_key(docs), F.spark_partition_id())
+    dealt = docs.withColumn(block, F.pmod(owner, F.lit(n_blocks)).cast("int"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -170,7 +172,7 @@ def unbundled(rows: pa.Scalar) -> pa.Table:
 def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """``docs`` with the column ``ids`` (array<int>) in place of the text.
 
-    Rows are dealt to blocks of bounded size by a hash of all their columns. Each block
+    Rows are dealt to blocks of bounded size by a hash of all their columns and their split. Each block
     names its distinct words. Brought together by word and sorted, these form the table of
     distinct words, in which each word is encoded once, beside the blocks that hold it. A
     join by block brings each block the ids of its words, and there they are put at the
