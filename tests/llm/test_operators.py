@@ -240,7 +240,7 @@ def test_simhash_components(spark, docs, empty, monkeypatch):
     prints = [simhash.fingerprint(t, 4) for t in texts]
     expected = brute_components(keys, prints, 4)
     assert counted(simhash.near_duplicates(table, 4, 4), "doc_id", "component_id") == expected
-    monkeypatch.setattr(simhash, "NODE_LIMIT", 7)  # nodes in several blocks
+    monkeypatch.setattr(simhash, "NODE_LIMIT", 7)  # nodes below nodes
     assert counted(simhash.near_duplicates(table, 4, 4), "doc_id", "component_id") == expected
     kept = simhash.one_of_each(docs, 4, 4)
     assert kept.columns == docs.columns
@@ -268,6 +268,40 @@ def test_index_links_every_near_pair():
     assert (found == plain.parent).all()
 
 
+def test_large_nodes_are_cut_by_more_masks(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "NODE_LIMIT", 20)
+    rng = random.Random(12)
+    # a third of all codes share 40 bits; others are chains of near codes
+    codes = {0xABCDEF0123 << 24 | rng.getrandbits(24) for _ in range(300)}
+    for _ in range(60):
+        code = rng.getrandbits(64)
+        for _ in range(10):
+            codes.add(code)
+            for _ in range(rng.randint(1, 5)):
+                code ^= 1 << rng.randrange(64)
+    codes = sorted(codes)
+    signed = [(c - (1 << 64) if c >> 63 else c,) for c in codes]
+    table = spark.createDataFrame(signed, "simhash long")
+    for distance in (1, 4):
+        found = simhash.component_roots(simhash.links(table, distance)).collect()
+        roots = {r["node"]: r["root"] for r in found}
+        groups = Counter(frozenset(c for c, in signed if roots.get(c, c) == x) for x in {roots.get(c, c) for c, in signed})
+        least = {c: name for c, name in brute_components([c for c, in signed], codes, distance)}
+        expected = Counter(frozenset(c for c in least if least[c] == x) for x in set(least.values()))
+        assert groups == expected
+
+
+def test_repeated_rows_are_spread(spark):
+    copies = spark.range(0, 4000, 1, 16).select(F.lit(1).alias("doc_id"), F.lit("one text").alias("text"))
+    ship_package(spark)
+    blocks = bpe.bundles(copies, 16).select("block").distinct().count()
+    assert blocks > 4
+    encoded = bpe.encode(copies, PATH).groupBy("ids").count().collect()
+    assert [(r["ids"], r["count"]) for r in encoded] == [(LIBRARY.encode("one text", add_special_tokens=False).ids, 4000)]
+    sample = language.hash_sample(spark.range(0, 5000, 1, 16), F.col("id"), F.lit("x"), 100)
+    assert sample.count() == 100
+
+
 def test_top_k_against_all_scores(spark):
     rng = random.Random(1)
     rows = [(i, [rng.choice([0.1, -0.2, 0.3, 0.25, rng.gauss(0, 1)]) for _ in range(6)]) for i in range(300)]
