@@ -5,12 +5,16 @@ the least hash (the leftmost of several). Equal strings have equal anchors, so t
 text is dealt out by anchor. Strings with one anchor at one place follow each other; they form
 a run, and the bytes of a run are a segment. Runs whose anchor occurs once are unique and stay
 where they are. Equal segments of an anchor are one with a weight. Different segments of an
-anchor are sorted by suffix in shards, which shows what strings they share.
+anchor are sorted by suffix in shards, which shows what strings they share. Equal strings
+also start equally far before their anchor, and what all strings in a range of such distances
+have in common tells strings apart; by both, the segments of a frequent anchor are cut into
+smaller groups, until each fits a shard.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -21,27 +25,29 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from epimill.llm.bpe import unbundled
-from epimill.llm.common import fresh, row_key, stored
-from epimill.llm.suffixes import SEPARATOR, repeated_starts
+from epimill.llm.common import fresh, n_partitions, row_key, stored
+from epimill.llm.suffixes import LCP_BITS, MOST_LCP, SEPARATOR, repeated_starts
 
 LENGTH = 400
 GRAM = 32
 CHUNK = 1 << 18
 PLACE_BITS = 20
 SHARD_BYTES = 12 * 1024**2
+GROUPS_PER_SHARD = 8
+BUNDLE_BYTES = 1 << 25
 MULTIPLIER = np.uint64(0xD6E8FEB86659FD93)
 MIXER = np.uint64(0x9E3779B97F4A7C15)
 
 
-def runs_of(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first start, last start, anchor) of each run of strings of ``length`` bytes.
+def runs_of(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(first start, last start, anchor, place of the anchor) of each run of strings of ``length`` bytes.
 
     Works through a text in chunks. A run that a chunk cuts becomes two, which changes
     nothing for the strings in it, as their anchor is a matter of their own bytes.
     """
     gram = min(GRAM, length)
     width = length - gram + 1
-    firsts, lasts, anchors = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+    firsts, lasts, anchors, places = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
     low = np.uint64((1 << PLACE_BITS) - 1)
     for at in range(0, len(data) - length + 1, CHUNK):
         n = min(CHUNK, len(data) - length + 1 - at)
@@ -71,15 +77,21 @@ def runs_of(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.n
         firsts.append(at + first)
         lasts.append(at + np.r_[first[1:], n] - 1)
         anchors.append(code[place[first]])
-    return np.concatenate(firsts), np.concatenate(lasts), np.concatenate(anchors)
+        places.append(at + place[first])
+    return np.concatenate(firsts), np.concatenate(lasts), np.concatenate(anchors), np.concatenate(places)
 
 
 def _bytes(scalar: pa.Scalar) -> bytes:
     return scalar.as_buffer().to_pybytes() if scalar.is_valid else b""
 
 
-def _place(first: np.ndarray, last: np.ndarray) -> np.ndarray:
-    return first << PLACE_BITS | (last - first)
+def _place(first: np.ndarray, last: np.ndarray, anchor: np.ndarray) -> np.ndarray:
+    return first << 2 * LCP_BITS | (anchor - first) << LCP_BITS | (last - first)
+
+
+def _unplaced(place: int) -> tuple[int, int, int]:
+    """First start of a run, how far before its anchor that is, and how many starts follow."""
+    return place >> 2 * LCP_BITS, place >> LCP_BITS & MOST_LCP, place & MOST_LCP
 
 
 def anchors_of(texts: DataFrame, length: int) -> DataFrame:
@@ -103,9 +115,9 @@ def all_runs(texts: DataFrame, length: int) -> DataFrame:
             owner, places, anchors, segments = [], [], [], []
             for i, t in enumerate(batch.column("text")):
                 data = _bytes(t)
-                first, last, anchor = runs_of(np.frombuffer(data, np.uint8), length)
+                first, last, anchor, middle = runs_of(np.frombuffer(data, np.uint8), length)
                 owner.append(np.full(len(first), i))
-                places.append(_place(first, last))
+                places.append(_place(first, last, middle))
                 anchors.append(anchor)
                 segments += [digest(data[x : y + length]) for x, y in zip(first.tolist(), last.tolist(), strict=True)]
             if not owner:
@@ -136,44 +148,154 @@ def compressed(texts: DataFrame, keep: list[str]) -> DataFrame:
     return texts.select(*keep, "text").mapInArrow(run, schema)
 
 
-def segments_in_shards(texts: DataFrame, wanted: DataFrame, n_shards: int, length: int) -> DataFrame:
-    """(shard, rows): the bytes of the wanted segments, bundled for each shard."""
+def _with_runs(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(packed, runs): the texts of the wanted segments, each with its own."""
     entry = F.struct("place", "anchor", "segment")
     of_row = wanted.groupBy("a", "b").agg(F.collect_list(entry).alias("runs"))
-    joined = compressed(texts, ["a", "b"]).join(of_row, ["a", "b"]).select("packed", "runs")
-    names = ["anchor", "segment", "bytes"]
+    return compressed(texts, ["a", "b"]).join(of_row, ["a", "b"]).select("packed", "runs")
+
+
+def _segments(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[tuple[int, int, int, bytes]]:
+    """(anchor, segment, distance of its first start to the anchor, bytes) of all runs."""
+    unpack = zstandard.ZstdDecompressor().decompress
+    for batch in batches:
+        for packed, runs in zip(batch.column("packed"), batch.column("runs"), strict=True):
+            data = unpack(_bytes(packed))
+            for r in runs.as_py():
+                first, lead, more = _unplaced(r["place"])
+                yield r["anchor"], r["segment"], lead, data[first : first + more + length]
+
+
+def _bundles(rows: Iterator[tuple[int, int, int, int, bytes]]) -> Iterator[pa.RecordBatch]:
+    """(shard, rows) from (shard, anchor, segment, at, bytes): what goes to one shard in one value."""
+    names, kinds = ["anchor", "segment", "at", "bytes"], [pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+    held: list[tuple[int, int, int, int, bytes]] = []
+    size = 0
+
+    def bundle() -> pa.RecordBatch:
+        shard, *columns = zip(*held, strict=True)
+        shard = np.array(shard, np.int64)
+        table = pa.table([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=names)
+        found, rows = np.unique(shard), []
+        for s in found:
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                out.write_table(table.filter(pa.array(shard == s)))
+            rows.append(sink.getvalue().to_pybytes())
+        return pa.RecordBatch.from_arrays([pa.array(found.astype(np.int32)), pa.array(rows, pa.binary())], ["shard", "rows"])
+
+    for row in rows:
+        held.append(row)
+        size += len(row[-1])
+        if size >= BUNDLE_BYTES:
+            yield bundle()
+            held, size = [], 0
+    if held:
+        yield bundle()
+
+
+def segments_in_shards(texts: DataFrame, wanted: DataFrame, n_shards: int, length: int) -> DataFrame:
+    """(shard, rows): the bytes of the wanted segments, bundled for each shard."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unpack = zstandard.ZstdDecompressor().decompress
-        held: list[tuple[int, int, bytes]] = []
-        size = 0
-
-        def bundle() -> pa.RecordBatch:
-            shard = np.array([h[0] for h in held], np.int64) % n_shards
-            table = pa.table([pa.array(c, t) for c, t in zip(zip(*held, strict=True), kinds, strict=True)], names=names)
-            found, rows = np.unique(shard), []
-            for s in found:
-                sink = pa.BufferOutputStream()
-                with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
-                    out.write_table(table.filter(pa.array(shard == s)))
-                rows.append(sink.getvalue().to_pybytes())
-            return pa.RecordBatch.from_arrays([pa.array(found.astype(np.int32)), pa.array(rows, pa.binary())], ["shard", "rows"])
-
-        kinds = [pa.int64(), pa.int64(), pa.binary()]
-        for batch in batches:
-            for packed, runs in zip(batch.column("packed"), batch.column("runs"), strict=True):
-                data = unpack(_bytes(packed))
-                for r in runs.as_py():
-                    first, more = r["place"] >> PLACE_BITS, r["place"] & ((1 << PLACE_BITS) - 1)
-                    held.append((r["anchor"], r["segment"], data[first : first + more + length]))
-                    size += more + length
-                if size >= 1 << 25:
-                    yield bundle()
-                    held, size = [], 0
-        if held:
-            yield bundle()
+        return _bundles((a % n_shards, a, s, 0, data) for a, s, _, data in _segments(batches, length))
 
-    return joined.mapInArrow(run, "shard int, rows binary")
+    return _with_runs(texts, wanted).mapInArrow(run, "shard int, rows binary")
+
+
+def pieces_in_shards(pieces: DataFrame, n_shards: int) -> DataFrame:
+    """(shard, rows): the bytes of pieces of segments, bundled for each shard."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (r for batch in batches for r in zip(*(batch.column(c).to_pylist() for c in PIECE_KEY), strict=True))
+        return _bundles(((a ^ g) % n_shards, a, s, at, data) for a, g, s, at, data in rows)
+
+    return pieces.select(*PIECE_KEY).mapInArrow(run, "shard int, rows binary")
+
+
+PIECE_KEY = ["anchor", "group", "segment", "at", "bytes"]
+PIECES = "anchor long, group long, piece long, segment long, at int, top int, bytes binary"
+
+
+def _cut_pieces(rows: Iterator[tuple[int, int, int, int, bytes]], width: int, length: int) -> Iterator[pa.RecordBatch]:
+    """Pieces of (anchor, segment, at, top, bytes) whose starts lie in one range of ``width`` distances.
+
+    The first start of a piece is ``top`` bytes before the anchor and ``at`` bytes into its
+    segment. ``group`` is a hash of the range and of the bytes that all strings of the range
+    have in common, so strings of two groups differ; ``piece`` is a hash of the piece's bytes.
+    """
+    digest = xxhash.xxh3_64_intdigest
+    held: list[tuple] = []
+    size = 0
+
+    def batch() -> pa.RecordBatch:
+        anchor, group, piece, segment, at, top, data = zip(*held, strict=True)
+        signed = [pa.array(np.array(c, np.uint64).view(np.int64)) for c in (group, piece)]
+        columns = [pa.array(anchor, pa.int64()), *signed, pa.array(segment, pa.int64())]
+        columns += [pa.array(at, pa.int32()), pa.array(top, pa.int32()), pa.array(data, pa.binary())]
+        return pa.RecordBatch.from_arrays(columns, ["anchor", "group", "piece", "segment", "at", "top", "bytes"])
+
+    for anchor, segment, at, top, data in rows:
+        bottom = top - (len(data) - length)
+        for low in range(bottom - bottom % width, top + 1, width):
+            first, last = min(top, low + width - 1), max(bottom, low)
+            piece = data[top - first : top - last + length]
+            group = digest(data[top - low : top - low - width + 1 + length], low << LCP_BITS | width)
+            held.append((anchor, group, digest(piece), segment, at + top - first, first, piece))
+            size += len(piece)
+        if size >= BUNDLE_BYTES >> 2:
+            yield batch()
+            held, size = [], 0
+    if held:
+        yield batch()
+
+
+def split_crowded(texts: DataFrame, wanted: DataFrame, length: int, most: int) -> tuple[DataFrame, DataFrame]:
+    """(repeated, left) of the wanted segments, whose anchors have too many different ones for a shard.
+
+    The starts of a segment are cut by their distance to the anchor, into ranges that are
+    halved in each round. Pieces with one range and one common part form a group; only they
+    may share strings. Equal pieces of a group are repeated as a whole, and one of them goes
+    on. A group with one piece is done, one with at most ``most`` bytes is left to be sorted,
+    and the others are cut again. In a range of one distance a piece is a string and its own
+    common part, so no group has two and none is too large.
+
+    repeated: (anchor, segment, starts), as ``shared_strings`` has them. left: pieces.
+    """
+    width = 1 << max(int(length - min(GRAM, length)).bit_length() - 1, 0)
+
+    def first_cut(batches: Iterator[pa.RecordBatch], width: int = width) -> Iterator[pa.RecordBatch]:
+        return _cut_pieces(((a, s, 0, top, data) for a, s, top, data in _segments(batches, length)), width, length)
+
+    pieces = stored(_with_runs(texts, wanted).mapInArrow(first_cut, PIECES), "pieces", compression="zstd")
+    repeated, left = [], []
+    group = ["anchor", "group"]
+    size = F.octet_length("bytes")
+    while True:
+        same = pieces.groupBy(*group, "piece").agg(
+            F.countDistinct("segment").alias("n"), F.min("segment").alias("segment"), F.max(size).alias("size")
+        )
+        same = stored(same, "equal-pieces", compression="zstd")
+        several = same.filter(F.col("n") > 1).select(*group, "piece")
+        starts = F.array(F.col("at"), F.col("at") + size - length).alias("starts")
+        repeated.append(pieces.join(several, [*group, "piece"], "left_semi").select("anchor", "segment", starts))
+        large = F.sum("size") > most
+        mixed = same.groupBy(*group).agg(F.count("*").alias("n"), large.alias("large")).filter(F.col("n") > 1)
+        alive = stored(same.join(mixed.select(*group, "large"), group).select(*group, "segment", "large"), "mixed-pieces")
+        chosen = pieces.join(alive, [*group, "segment"])
+        left.append(chosen.filter(~F.col("large")).select(*PIECE_KEY))
+        if alive.filter("large").isEmpty():
+            break
+        width //= 2
+
+        def next_cut(batches: Iterator[pa.RecordBatch], width: int = width) -> Iterator[pa.RecordBatch]:
+            names = ["anchor", "segment", "at", "top", "bytes"]
+            rows = (r for batch in batches for r in zip(*(batch.column(c).to_pylist() for c in names), strict=True))
+            return _cut_pieces(rows, width, length)
+
+        cut = chosen.filter("large").select("anchor", "segment", "at", "top", "bytes").mapInArrow(next_cut, PIECES)
+        pieces = stored(cut, "pieces", compression="zstd")
+    return reduce(DataFrame.unionByName, repeated), reduce(DataFrame.unionByName, left)
 
 
 def shared_strings(shards: DataFrame, length: int) -> DataFrame:
@@ -186,7 +308,7 @@ def shared_strings(shards: DataFrame, length: int) -> DataFrame:
     def run(bundled: pa.Table) -> pa.Table:
         rows = pa.concat_tables([unbundled(r) for r in bundled.column("rows")])
         # a row that is given twice is one segment all the same
-        keys = np.stack([np.asarray(rows.column(c)) for c in ("anchor", "segment")], axis=1)
+        keys = np.stack([np.asarray(rows.column(c)).astype(np.int64) for c in ("anchor", "segment", "at")], axis=1)
         first = np.sort(np.unique(keys, axis=0, return_index=True)[1])
         rows = rows.take(pa.array(first))
         parts = rows.column("bytes").to_pylist()
@@ -201,7 +323,8 @@ def shared_strings(shards: DataFrame, length: int) -> DataFrame:
         begins, ends = np.flatnonzero(edges > 0), np.flatnonzero(edges < 0) - 1
         owner = np.searchsorted(offsets, begins, "right") - 1
         found = [[] for _ in parts]
-        for o, x, y in zip(owner.tolist(), (begins - offsets[owner]).tolist(), (ends - offsets[owner]).tolist(), strict=True):
+        shift = offsets[owner] - np.asarray(rows.column("at"))[owner]
+        for o, x, y in zip(owner.tolist(), (begins - shift).tolist(), (ends - shift).tolist(), strict=True):
             found[o] += [x, y]
         some = [i for i, f in enumerate(found) if f]
         columns = [rows.column(c).take(pa.array(some, pa.int64())) for c in ("anchor", "segment")]
@@ -221,9 +344,12 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
     Rows are told apart by 96 bits of hash over all their columns. Texts are read three times
     and cross an exchange, compressed, twice: to cut out the segments that have to be sorted,
     and to cut out what was found. Of equal segments one is sorted, so a group of copies or a
-    passage in many documents counts as one. Shards have about ``SHARD_BYTES`` bytes; a larger
-    one, of an anchor with many different segments, is sorted with its queues on disk.
+    passage in many documents counts as one. Shards have about ``SHARD_BYTES`` bytes. What is
+    dealt to one as a whole, the segments of an anchor, is at most a part of that: an anchor
+    with more has its segments cut by ``split_crowded``.
     """
+    if length > MOST_LCP:
+        raise ValueError(f"common prefixes are carried up to {MOST_LCP} symbols")
     docs = docs.select(F.col(f"`{key}`").alias(key), F.col(f"`{text}`").cast("string").alias(fresh(docs, "body")))
     body = docs.columns[1]
     hashed = row_key(docs)
@@ -239,13 +365,23 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
     rep = F.min(F.struct("a", "b", "place")).alias("rep")
     segments = runs.groupBy("anchor", "segment").agg(F.count("*").alias("weight"), rep)
     segments = stored(segments.select("anchor", "segment", "weight", "rep.*"), "segments", compression="zstd")
-    mixed = segments.groupBy("anchor").agg(F.count("*").alias("n")).filter(F.col("n") > 1).select("anchor")
-    wanted = stored(segments.join(mixed, "anchor").select("a", "b", "place", "anchor", "segment"), "wanted")
-    size = F.sum(F.col("place").bitwiseAND(F.lit((1 << PLACE_BITS) - 1)) + length)
-    total = wanted.select(size).first()[0] or 0
-    parallel = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    n_shards = max(parallel, int(-(-total // SHARD_BYTES)))
-    shared = stored(shared_strings(segments_in_shards(bodies, wanted, n_shards, length), length), "shared")
+    size = F.sum(F.col("place").bitwiseAND(F.lit(MOST_LCP)) + length)
+    most = SHARD_BYTES // GROUPS_PER_SHARD
+    mixed = segments.groupBy("anchor").agg(F.count("*").alias("n"), (size > most).alias("crowded")).filter(F.col("n") > 1)
+    wanted = segments.join(mixed.select("anchor", "crowded"), "anchor")
+    wanted = stored(wanted.select("a", "b", "place", "anchor", "segment", "crowded"), "wanted")
+    total = {r["crowded"]: r["size"] for r in wanted.groupBy("crowded").agg(size.alias("size")).collect()}
+    to_sort, repeats = total.get(False, 0), []
+    if True in total:
+        repeated, left = split_crowded(bodies, wanted.filter("crowded"), length, most)
+        left = stored(left, "left-pieces", compression="zstd")
+        to_sort += left.select(F.sum(F.octet_length("bytes"))).first()[0] or 0
+        repeats = [repeated]
+    n_shards = n_partitions(docs.sparkSession, to_sort, SHARD_BYTES)
+    shards = segments_in_shards(bodies, wanted.filter(~F.col("crowded")), n_shards, length)
+    if repeats:
+        shards = shards.unionByName(pieces_in_shards(left, n_shards))
+    shared = reduce(DataFrame.unionByName, [stored(shared_strings(shards, length), "shared"), *repeats])
 
     # all strings of a segment that occurs twice, and those that another segment has
     whole = segments.filter(F.col("weight") > 1).select("anchor", "segment", F.lit(None).cast("array<int>").alias("starts"))
@@ -273,8 +409,8 @@ def _cut(rows: DataFrame, key: str, length: int) -> DataFrame:
                 data = unpack(data) if data else b""
                 firsts, lasts = [], []
                 for hit in hits.as_py() or ():
-                    at = hit["place"] >> PLACE_BITS
-                    starts = hit["starts"] or [0, hit["place"] & ((1 << PLACE_BITS) - 1)]
+                    at, _, more = _unplaced(hit["place"])
+                    starts = hit["starts"] or [0, more]
                     firsts += [at + x for x in starts[::2]]
                     lasts += [at + y for y in starts[1::2]]
                 cover = np.zeros(len(data) + 1, np.int64)

@@ -179,6 +179,38 @@ def test_repeats_against_all_strings(spark, docs, empty, length):
         assert repeats.remove_repeats(empty).count() == 0
 
 
+def test_segments_of_a_frequent_anchor_are_spread(spark, monkeypatch):
+    """A common line, a common passage and near copies; no shard may hold all of an anchor's segments."""
+    rng = random.Random(11)
+    ship_package(spark)
+    make = lambda n: "".join(rng.choices("abcdefghij ", k=n))
+    line, passage, base = "a line of forty bytes that many rows have", make(130), make(400)
+    texts = [make(90) + line + make(90) for _ in range(150)]
+    texts += [make(rng.randint(0, 90)) + passage[rng.randint(0, 50) :] + make(rng.randint(0, 90)) for _ in range(150)]
+    for _ in range(150):
+        copy = list(base)
+        for _ in range(rng.randint(1, 5)):
+            copy[rng.randrange(400)] = rng.choice("xyz")
+        texts.append("".join(copy))
+    sizes, held = [], repeats.shared_strings
+
+    def watched(shards, length):
+        shards = shards.localCheckpoint()
+        of_shard = Counter()
+        for r in shards.collect():
+            of_shard[r["shard"]] += sum(map(len, bpe.unbundled(pa.scalar(bytes(r["rows"]), pa.binary())).column("bytes").to_pylist()))
+        sizes.extend(of_shard.values())
+        return held(shards, length)
+
+    monkeypatch.setattr(repeats, "shared_strings", watched)
+    monkeypatch.setattr(repeats, "SHARD_BYTES", 4000)
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = repeats.remove_repeats(table, length=100).collect()
+    got = Counter((r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in rows)
+    assert got == Counter(brute_repeats(texts, 100))
+    assert sizes and max(sizes) <= 3 * 4000
+
+
 def test_suffix_order_with_queues_on_disk_and_recursion():
     rng = np.random.default_rng(3)
     for _ in range(400):
