@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from epimill.llm.common import add_columns, stored
+from epimill.llm.common import add_columns, fresh, row_key, stored
 from epimill.llm.graph import component_roots
 
 BITS = 64
@@ -250,22 +250,33 @@ def near_duplicates(
     """
     chosen = docs.select(F.col(f"`{key}`").alias(key), F.col(f"`{text}`").alias(text))
     prints = stored(add_fingerprints(chosen, shingle, text), "fingerprints")
+    return _with_component(prints, distance, key).select(key, "simhash", "component_id")
+
+
+def _with_component(prints: DataFrame, distance: int, key: str) -> DataFrame:
+    """``prints`` (with a column simhash) with the root and the component_id of each row."""
     codes = stored(prints.groupBy("simhash").agg(F.min(key).alias("least")), "codes")
     roots = stored(component_roots(links(codes.select("simhash"), distance)), "roots")
     named = codes.join(roots.withColumnRenamed("node", "simhash"), "simhash", "left")
     named = named.withColumn("root", F.coalesce("root", "simhash"))
     names = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    of_code = named.join(names, "root").select("simhash", "component_id")
-    return prints.join(of_code, "simhash").select(key, "simhash", "component_id")
+    of_code = named.join(names, "root").select("simhash", "root", "component_id")
+    return prints.join(of_code, "simhash")
 
 
 def one_of_each(docs: DataFrame, shingle: int, distance: int, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` without near-duplicates: of each component the row with the least key stays.
+    """``docs`` without near-duplicates: of each component one row stays.
 
-    Rows without a key cannot be named and stay. Of rows with equal keys one stays.
+    It is a row with the least key, or of those without a key if none has one; of several such
+    rows the one with the least hash over all columns. Rows, not keys, are chosen: rows that
+    share a key but not a component stay for each of their components.
     """
-    found = near_duplicates(docs, shingle, distance, key, text)
-    leaders = stored(found.select(F.col("component_id").alias("leader")).distinct(), "leaders")
-    named = docs.filter(F.col(f"`{key}`").isNotNull())
-    kept = named.join(leaders, named[key] == leaders["leader"], "left_semi").dropDuplicates([key])
-    return kept.unionByName(docs.filter(F.col(f"`{key}`").isNull()))
+    first, second = (fresh(docs, c) for c in ("row", "other_row"))  # 128 bits of hash tell rows apart
+    hashed = docs.withColumn(first, row_key(docs)).withColumn(second, F.xxhash64(F.lit(1), row_key(docs), F.col(f"`{key}`"), F.col(f"`{text}`")))
+    chosen = hashed.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"), *[F.col(c) for c in (first, second)])
+    prints = stored(add_fingerprints(chosen, shingle, "text"), "fingerprints")
+    found = _with_component(prints, distance, "key")
+    order = F.struct(F.col("key").isNull().alias("unnamed"), "key", first, second)
+    leaders = stored(found.groupBy("root").agg(F.min(order).alias("leader")).select(f"leader.{first}", f"leader.{second}"), "leaders")
+    kept = hashed.join(leaders, [first, second], "left_semi").dropDuplicates([first, second])
+    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -282,6 +282,16 @@ def test_simhash_components(spark, docs, empty, monkeypatch):
     assert simhash.near_duplicates(empty, 4, 4).count() == 0 and simhash.one_of_each(empty, 4, 4).count() == 0
 
 
+def test_one_row_of_each_component_stays(spark):
+    """Also where a key stands on rows of different components, and where no row has a key."""
+    ship_package(spark)
+    words = [" ".join(f"{x}{i}" for i in range(60)) for x in "abcd"]
+    rows = [(1, words[0]), (2, words[1]), (2, words[0]), (3, words[1]), (None, words[2]), (None, words[2]), (4, words[3]), (4, words[3]), (None, words[3])]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = simhash.one_of_each(table, 4, 4)
+    assert counted(kept, "doc_id", "text") == Counter([(1, words[0]), (2, words[1]), (None, words[2]), (4, words[3])])
+
+
 def test_index_links_every_near_pair():
     rng = np.random.default_rng(4)
     codes = rng.integers(0, 1 << 63, 40, dtype=np.uint64)
