@@ -27,6 +27,9 @@ DOCS_PER_LANGUAGE = 400
 SPLIT_GROUPS = 256
 CHUNK_BYTES = 1 << 20
 UNKNOWN = "und"
+FREE_BITS = 128  # a short text may hold a name or a number
+USUAL_SHARE = 0.99
+RATE_SLACK = 2
 
 
 def _classes() -> np.ndarray:
@@ -40,6 +43,7 @@ def _classes() -> np.ndarray:
 
 CLASSES = _classes()
 BLANK = ord(" ")
+LETTERS = np.array([b >= 128 or chr(b).isalpha() for b in range(256)])
 
 
 def _text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -168,6 +172,14 @@ def _trees(languages: tuple[str, ...], counts: bytes) -> ContextTrees:
     return ContextTrees(list(languages), depth, gram, owner, n)
 
 
+def labelled_sample(
+    labelled: DataFrame, key: str = "doc_id", text: str = "text", language: str = "lang", per_language: int = DOCS_PER_LANGUAGE
+) -> DataFrame:
+    """The rows to learn from; those without a text or a label are left out."""
+    usable = labelled.filter(F.col(f"`{text}`").isNotNull() & F.col(f"`{language}`").isNotNull())
+    return hash_sample(usable, F.col(f"`{key}`"), F.col(f"`{language}`").cast("string"), per_language)
+
+
 def train(
     labelled: DataFrame,
     key: str = "doc_id",
@@ -180,8 +192,11 @@ def train(
     Rows without a text or a label are left out. The sample, and so the model that goes to
     the driver and the executors, does not grow with the data.
     """
-    usable = labelled.filter(F.col(f"`{text}`").isNotNull() & F.col(f"`{language}`").isNotNull())
-    sample = hash_sample(usable, F.col(f"`{key}`"), F.col(f"`{language}`").cast("string"), per_language)
+    return train_on(labelled_sample(labelled, key, text, language, per_language), text, language)
+
+
+def train_on(sample: DataFrame, text: str = "text", language: str = "lang") -> tuple[tuple[str, ...], bytes]:
+    """Context counts of the languages, from all rows of a sample."""
     rows = count_contexts(sample, text, language).toPandas().sort_values(["language", "depth", "gram"])
     languages = tuple(sorted(rows["language"].unique()))
     owner = rows["language"].map({name: i for i, name in enumerate(languages)})
@@ -189,18 +204,33 @@ def train(
     return languages, counts.tobytes()
 
 
+def rate_bounds(sample: DataFrame, model: tuple[tuple[str, ...], bytes], text: str = "text") -> list[float]:
+    """The most bits per byte, and per byte of letters, of a text in a learned language; see ``predict``.
+
+    Twice what nearly all texts of the sample need, so that what is unusual but written in
+    the language stays; 0 if the sample has no text with a letter.
+    """
+    rates = ("rate", "letter_rate")
+    rated = predict(sample.select(F.col(f"`{text}`").alias(text)), model, text, rates=rates).filter(F.col("lang_pred") != UNKNOWN)
+    usual = rated.select(*[F.percentile_approx(r, USUAL_SHARE, 1000) for r in rates]).first()
+    return [RATE_SLACK * max(u or 0.0, 0.0) for u in usual]
+
+
 def predict(
     docs: DataFrame,
     model: tuple[tuple[str, ...], bytes],
     text: str = "text",
     predicted: str = "lang_pred",
     score: str = "score",
+    rates: tuple[str, ...] = (),
 ) -> DataFrame:
     """``docs`` with the predicted language and its share of the probability, from 0 to 1.
 
     The score is 2^-bits of the best language over the sum for all languages; ties go to the
     first name. A text that is null or has no letter, and any text where nothing was learned,
-    is ``und`` with score 0. Columns of those names are replaced.
+    is ``und`` with score 0. Columns of those names are replaced. ``rates`` names two more
+    columns: bits of the best language, less the first ``FREE_BITS``, per byte and per byte
+    of letters. The score only compares languages; the rates say whether the text is in any.
     """
     languages, counts = model
     lettered = fresh(docs, "lettered")
@@ -208,6 +238,7 @@ def predict(
 
     def add(batch: pa.RecordBatch) -> list[pa.Array]:
         names, scores = [UNKNOWN] * batch.num_rows, np.zeros(batch.num_rows)
+        found = [np.zeros(batch.num_rows) for _ in rates]
         usable = np.asarray(batch.column(lettered))
         if languages and usable.any():
             bits = _trees(languages, counts).code_lengths(batch.column(text))
@@ -215,9 +246,14 @@ def predict(
             share = 1 / np.exp2(np.maximum(bits.min(1, keepdims=True) - bits, -1000)).sum(1)
             names = [languages[b] if u else UNKNOWN for b, u in zip(best, usable, strict=True)]
             scores = np.where(usable, share, 0.0)
-        return [pa.array(names, pa.string()), pa.array(scores)]
-
-    return add_columns(marked, f"`{predicted}` string, `{score}` double", add, drop=(lettered,))
+            if rates:
+                values, offsets = _text_bytes(batch.column(text))
+                letters = np.diff(np.r_[0, np.cumsum(LETTERS[values])][offsets])
+                found = [np.where(usable, (bits.min(1) - FREE_BITS) / np.maximum(n, 1), 0.0) for n in (np.diff(offsets), letters)]
+        return [pa.array(names, pa.string()), pa.array(scores), *map(pa.array, found)]
+
+    made = ", ".join([f"`{predicted}` string", f"`{score}` double", *[f"`{r}` double" for r in rates]])
+    return add_columns(marked, made, add, drop=(lettered,))
 
 
 def identify(

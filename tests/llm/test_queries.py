@@ -2,6 +2,7 @@
 
 import pytest
 from oracle import compare
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from epimill.llm import lines, secrets, simhash
@@ -58,6 +59,18 @@ def test_pipeline_stages(spark):
     assert corpus_pipeline.run(spark, SF_DIR).count() == len(packed)
 
 
+def test_language_stage_rejects_what_was_not_learned(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    strange = ["Это текст на языке, которого модель не знает. " * 6, "zxqj vkwp qqzx jjkv wxzq pvvk zzqx. " * 9, "a " + "12345 !!! ### 999 " * 40]
+    strange.append("Questo testo non appartiene alle lingue imparate e quindi deve essere scartato. " * 5)
+    added = spark.createDataFrame([(10**9 + 4 * i, t) for i, t in enumerate(strange)], "doc_id long, text string")
+    added = added.withColumn("doc_id", F.col("doc_id").cast(docs.schema["doc_id"].dataType))
+    kept = corpus_pipeline.language_id(spark, docs.unionByName(added, allowMissingColumns=True), "")
+    lettered = docs.filter(F.col("text").rlike(r"\p{L}"))
+    assert kept.columns == docs.columns
+    assert {r[0] for r in kept.select("doc_id").collect()} == {r[0] for r in lettered.select("doc_id").collect()}
+
+
 def test_pipeline_on_an_empty_table(spark, tmp_path):
     folder = str(tmp_path)
     spark.read.parquet(f"{SF_DIR}/documents.parquet").limit(0).write.parquet(f"{folder}/documents.parquet")
