@@ -32,7 +32,7 @@ def usable_vectors(vectors: DataFrame, key: str, vector: str) -> DataFrame:
     """(vec_id, v): vectors whose components are all finite numbers, scaled and rounded down."""
     column = F.col(f"`{vector}`")
     finite = F.forall(column, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
-    chosen = vectors.filter(F.col(f"`{key}`").isNotNull() & column.isNotNull()).filter(finite & (F.size(column) > 0))
+    chosen = vectors.filter(F.col(f"`{key}`").isNotNull() & column.isNotNull()).filter(finite)
     return chosen.select(
         F.col(f"`{key}`").alias("vec_id"),
         # a double holds the whole number exactly; floor() would make a long, which may overflow
@@ -80,7 +80,7 @@ def _per_block(phase: int, k: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
         if not queries.num_rows or not rows.num_rows:
             return pa.table([pa.array([], pa.int64())] * 4, names=names)
         vectors = queries.column("query_v"), rows.column("row_v")
-        width = max(int(np.diff(np.asarray(v.combine_chunks().offsets)).max()) for v in vectors)
+        width = max(1, *(int(np.diff(np.asarray(v.combine_chunks().offsets)).max()) for v in vectors))
         q, x = (_matrix(v, width) for v in vectors)
         query_id, vec_id = np.asarray(queries.column("query_id")), np.asarray(rows.column("row_id"))
         if phase > 1:
@@ -125,8 +125,8 @@ def top_k(
     """(query_id, rank, vec_id, score): each query's k best other vectors, all if there are fewer.
 
     Scores are whole numbers: the inner product of the vectors times 256, rounded down. Ties
-    go to the smaller id. Rows with a null id or vector, an empty vector, or a component that
-    is null or not finite take no part; a shorter vector counts as filled with zeros. A row
+    go to the smaller id. Rows with a null id or vector, or a component that is null or not
+    finite take no part; a shorter vector, also an empty one, counts as filled with zeros. A row
     never answers a query of its own id. Rows that repeat an id are rows of their own, dealt to
     different blocks, and a query that repeats id and vector is asked once.
 

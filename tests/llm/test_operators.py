@@ -368,6 +368,17 @@ def test_top_k_against_all_scores(spark):
     assert few.count() == 2
 
 
+def test_empty_vectors_count_as_zeros(spark):
+    ship_package(spark)
+    rows = [(0, [1.0, 1.0]), (1, [-1.0, -1.0]), (2, []), (3, [-2.0]), (50, [])]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    found = topk.top_k(table, F.col("vec_id") % 50 == 0, 3)
+    best = [(0, 1, 2, 0), (0, 2, 50, 0), (0, 3, 1, -2 * 256**2), (50, 1, 0, 0), (50, 2, 1, 0), (50, 3, 2, 0)]
+    assert counted(found, "query_id", "rank", "vec_id", "score") == Counter(best)
+    only = topk.top_k(table.filter("vec_id in (2, 50)"), F.col("vec_id") % 50 == 0, 3)
+    assert counted(only, "query_id", "rank", "vec_id", "score") == Counter([(50, 1, 2, 0)])
+
+
 def test_quality_counts_and_verdicts(docs, empty):
     import re
 
