@@ -1,6 +1,8 @@
 """All registered queries against DuckDB, and the shape of their plans."""
 
 import os
+import subprocess
+import sys
 from types import SimpleNamespace
 
 import pytest
@@ -23,6 +25,13 @@ def test_every_query_has_a_check():
     assert set(QUERIES) <= set(entry.queries()) and set(entry.oracle_sql()) <= set(entry.queries())
 
 
+def test_queries_outlast_a_missing_library():
+    code = "import sys; sys.modules['tokenizers'] = None; import __spark_entry__ as e; print(len(e.queries()))"
+    root = os.path.dirname(os.path.abspath(entry.__file__))
+    run = subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, text=True, timeout=120)
+    assert run.returncode == 0 and int(run.stdout) >= len(QUERIES)
+
+
 @needs_data
 @pytest.mark.parametrize("name", list(QUERIES))
 def test_query_agrees_with_sql(spark, name):
