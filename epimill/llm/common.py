@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -87,3 +88,29 @@ def row_key(df: DataFrame) -> Column:
 
 def new_id() -> str:
     return uuid.uuid4().hex
+
+
+def grouped(batches: Iterator[pa.RecordBatch], *keys: str) -> Iterator[tuple[tuple, pa.Table]]:
+    """(key values, rows) of each run of equal keys, over the borders of batches.
+
+    For partitions sorted by these columns, which hold no nulls. One run is held at a time.
+    """
+    at, held = None, []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        new = np.zeros(batch.num_rows, bool)
+        new[0] = True
+        for k in keys:
+            column = batch.column(k)
+            new[1:] |= pc.not_equal(column.slice(1), column.slice(0, batch.num_rows - 1)).to_numpy(zero_copy_only=False)
+        firsts = np.flatnonzero(new).tolist()
+        for a, b in zip(firsts, [*firsts[1:], batch.num_rows], strict=True):
+            key = tuple(batch.column(k)[a].as_py() for k in keys)
+            if key != at:
+                if held:
+                    yield at, pa.Table.from_batches(held)
+                at, held = key, []
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield at, pa.Table.from_batches(held)

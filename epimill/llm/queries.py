@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from epimill.llm import bpe, language, lines, packing, quality, rans, repeats, secrets, simhash, topk
+from epimill.llm import bpe, language, lines, merkle, packing, quality, rans, repeats, secrets, simhash, topk
 from epimill.llm.registry import ORACLES, QUERIES, query
 from epimill.session import scratch_path
 
@@ -191,3 +191,22 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = repeats.remove_repeats(documents(spark, sf_dir))
     return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op11_merkle")
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fields = ["doc_id", "source", "lang", "n_chars", "text"]
+    docs = documents(spark, sf_dir, *fields)
+    changed = F.regexp_replace("text", "\n", "")
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
+    leaves = docs.select(
+        "doc_id",
+        "source",
+        merkle.digest_of([F.col(c) for c in fields]).alias("leaf"),
+        F.when(tampered, merkle.digest_of([*[F.col(c) for c in fields[:-1]], changed])).alias("changed"),
+    )
+    built = merkle.manifest(leaves, carry=["changed"])
+    proof = F.sha2(F.array_join(F.flatten("proof"), ""), 256)
+    folded = merkle.fold(F.coalesce("changed", "leaf"), F.col("proof"), F.col("places"))
+    shown = built.select("doc_id", "leaf", "subroot", "root", proof.alias("proof_sha256"), folded.alias("folded_root"))
+    return shown.withColumn("verified", F.col("folded_root") == F.col("root"))
