@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from epimill.llm import bpe, language, lines, merkle, packing, quality, rans, repeats, secrets, simhash, topk
+from epimill.llm import bpe, divergence, language, lines, merkle, packing, quality, rans, repeats, secrets, simhash, topk
 from epimill.llm.registry import ORACLES, QUERIES, query
 from epimill.session import scratch_path
 
@@ -210,3 +210,48 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     folded = merkle.fold(F.coalesce("changed", "leaf"), F.col("proof"), F.col("places"))
     shown = built.select("doc_id", "leaf", "subroot", "root", proof.alias("proof_sha256"), folded.alias("folded_root"))
     return shown.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+DIVERGENCE_SQL = f"""
+WITH docs AS (
+  SELECT row_number() OVER () AS row, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS body
+  FROM documents
+), found AS (
+  SELECT row, lang, source, unnest(regexp_extract_all(body, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM docs
+), kept AS (
+  SELECT lang, term, count(*) AS of_lang FROM found GROUP BY ALL HAVING count(DISTINCT row) >= {divergence.MIN_DOCUMENTS}
+), used AS (
+  SELECT lang, source, term, count(*) AS n FROM found JOIN kept USING (lang, term) GROUP BY ALL
+), sizes AS (
+  SELECT lang, count(*) AS v, sum(of_lang) AS in_lang FROM kept GROUP BY lang
+), groups AS (
+  SELECT g.lang, g.source, coalesce(t.total, 0)::HUGEINT AS total, coalesce(v, 0)::HUGEINT AS v, coalesce(in_lang, 0)::HUGEINT AS in_lang
+  FROM (SELECT DISTINCT lang, source FROM docs) g
+  LEFT JOIN (SELECT lang, source, sum(n) AS total FROM used GROUP BY ALL) t USING (lang, source) LEFT JOIN sizes USING (lang)
+), shares AS (
+  SELECT g.lang, g.source, k.term, coalesce(u.n, 0) AS n,
+    1 + 1000000000::HUGEINT * (coalesce(u.n, 0) + 2) // (g.total + 2 * g.v) AS p,
+    1 + 1000000000::HUGEINT * (k.of_lang + 2) // (g.in_lang + 2 * g.v) AS q
+  FROM groups g JOIN kept k USING (lang) LEFT JOIN used u USING (lang, source, term)
+), priced AS (
+  SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value
+  FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+), items AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN priced p ON p.lang = a.lang AND p.source = a.source AND p.item = b.source
+  UNION ALL
+  SELECT lang, source, 'term', term, (p - q) * (p - q) // (p + q) FROM shares WHERE n > 0 AND p > q
+), ranked AS (
+  SELECT lang, source, part, item, CAST(value AS BIGINT) AS value,
+    CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank
+  FROM items
+)
+SELECT * FROM ranked WHERE part = 'pair' OR rank <= {divergence.SHOWN}
+"""
+
+
+@query("op12_divergence", DIVERGENCE_SQL)
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(documents(spark, sf_dir, "text", "lang", "source"))
