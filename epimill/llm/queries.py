@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from epimill.llm import bpe, divergence, language, lines, merkle, packing, quality, rans, repeats, secrets, simhash, topk
+from epimill.llm import bpe, divergence, language, lines, lm, merkle, packing, quality, rans, repeats, secrets, simhash, topk
 from epimill.llm.registry import ORACLES, QUERIES, query
 from epimill.session import scratch_path
 
@@ -255,3 +255,11 @@ SELECT * FROM ranked WHERE part = 'pair' OR rank <= {divergence.SHOWN}
 @query("op12_divergence", DIVERGENCE_SQL)
 def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(documents(spark, sf_dir, "text", "lang", "source"))
+
+
+@query("op13_lm")
+def op13_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    apart = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2
+    scored = lm.score(documents(spark, sf_dir), ~apart)
+    shown = ["n_tokens", "n_known", "train_tokens", "base_score", "score"]
+    return scored.select("doc_id", (~F.col("training")).alias("held_out"), *shown)
