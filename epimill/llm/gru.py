@@ -108,38 +108,47 @@ class Gru:
         w, size = self.w, self.shape.of_class
         rows = np.arange(len(targets))
         which = targets // size
-        logits = hidden @ w["class_out"].T + w["class_bias"]
-        logits -= logits.max(1, keepdims=True)
-        chances = np.exp(logits)
-        total = chances.sum(1)
-        found = logits[rows, which] - np.log(total)
+        # one column for each target, so that sums over words run along memory
+        learn = grads is not None
+        found, chances = self._softmax(w["class_out"], w["class_bias"], hidden, which, rows, learn)
         back = None
-        if grads is not None:
-            chances /= total[:, None]
-            chances[rows, which] -= 1
-            grads["class_out"] += chances.T @ hidden
-            grads["class_bias"] += chances.sum(0)
-            back = chances @ w["class_out"]
+        if learn:
+            grads["class_out"] += chances @ hidden
+            grads["class_bias"] += chances.sum(1)
+            back = chances.T @ w["class_out"]
         order = np.argsort(which.astype(np.uint16), kind="stable")
         cuts = np.searchsorted(which[order], np.arange(self.shape.classes + 1))
+        own, place = hidden[order], (targets - which * size)[order]
+        in_class, own_back = np.empty(len(order), np.float32), np.empty_like(hidden) if learn else None
         for c in np.flatnonzero(np.diff(cuts)).tolist():
-            own = order[cuts[c] : cuts[c + 1]]
-            out, bias = w["word_out"][c * size : (c + 1) * size], w["word_bias"][c * size : (c + 1) * size]
-            h = hidden[own]
-            logits = h @ out.T + bias
-            logits -= logits.max(1, keepdims=True)
-            chances = np.exp(logits)
-            total = chances.sum(1)
-            place = targets[own] - c * size
-            found[own] += logits[np.arange(len(own)), place] - np.log(total)
-            if grads is not None:
-                chances /= total[:, None]
-                chances[np.arange(len(own)), place] -= 1
-                grads["word_out"][c * size : (c + 1) * size] += chances.T @ h
-                grads["word_bias"][c * size : (c + 1) * size] += chances.sum(0)
-                back[own] += chances @ out
+            a, b, at = cuts[c], cuts[c + 1], slice(c * size, (c + 1) * size)
+            in_class[a:b], chances = self._softmax(w["word_out"][at], w["word_bias"][at], own[a:b], place[a:b], rows[: b - a], learn)
+            if learn:
+                grads["word_out"][at] += chances @ own[a:b]
+                grads["word_bias"][at] += chances.sum(1)
+                own_back[a:b] = chances.T @ w["word_out"][at]
+        found[order] += in_class
+        if learn:
+            back[order] += own_back
         return found, back
 
+    @staticmethod
+    def _softmax(
+        out: np.ndarray, bias: np.ndarray, hidden: np.ndarray, place: np.ndarray, rows: np.ndarray, learn: bool
+    ) -> tuple[np.ndarray, np.ndarray]:
+        """Log of the chance at each row's place; to learn, also all chances by column, less one at the places."""
+        logits = out @ hidden.T
+        logits += bias[:, None]
+        logits -= logits.max(0)
+        found = logits[place, rows]
+        chances = np.exp(logits, out=logits)
+        total = chances.sum(0)
+        found -= np.log(total)
+        if learn:
+            chances /= total
+            chances[place, rows] -= 1
+        return found, chances
+
     def gradient(self, inputs: np.ndarray, targets: np.ndarray, state: np.ndarray, flat: np.ndarray) -> tuple[float, np.ndarray]:
         """Mean loss of a window, with its gradient in ``flat``, and the state after it."""
         h, w = self.shape.hidden, self.w

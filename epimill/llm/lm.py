@@ -23,10 +23,10 @@ from epimill.llm import gru
 from epimill.llm.common import fresh, grouped, n_partitions, stored
 
 WORDS = 2304
-HIDDEN = 24
+HIDDEN = 16
 ROUNDS = 4
 RATE = 0.01
-BLOCK_TOKENS = 1 << 21
+BLOCK_TOKENS = 6 << 20
 CELL_TOKENS = 1 << 22
 SCORED_TOKENS = 1 << 20
 PIECES = 16
@@ -236,7 +236,7 @@ def score(
     kind = _id_type(shape)
     both = doc_rows.withColumn("local", F.lit(None).cast("int")).unionByName(known, allowMissingColumns=True)
     dealt = both.repartition(n_partitions(spark, total, BLOCK_TOKENS), "block")
-    dealt = dealt.sortWithinPartitions("block", F.col("local").asc_nulls_last())
+    dealt = dealt.sortWithinPartitions("block", F.col("local").isNull())
     schema = T.StructType([doc_rows.schema["key"], doc_rows.schema["training"]])
     for name, of in (("n_tokens", "long"), ("n_known", "long"), ("base_score", "double"), ("rare", "double"), ("ids", "binary")):
         schema = schema.add(name, of)
@@ -257,11 +257,13 @@ def score(
                 if owner[at] != block:
                     block, parts, in_base = owner[at], [], None
                 if not is_doc[at]:
-                    parts.append((np.asarray(part.column("n")).astype(np.float64), np.asarray(part.column("id"))))
+                    parts.append([np.asarray(part.column(c)) for c in ("local", "n", "id")])
                 else:
-                    if in_base is None:  # words come before documents, by their local numbers
-                        n = np.concatenate([np.zeros(0), *[p[0] for p in parts]])
-                        ids_of = np.concatenate([np.zeros(0, np.int32), *[p[1] for p in parts]]).astype(kind)
+                    if in_base is None:  # words come before documents
+                        local = np.concatenate([np.zeros(0, np.int32), *[p[0] for p in parts]])
+                        n, ids_of = np.zeros(len(local)), np.zeros(len(local), kind)
+                        n[local] = np.concatenate([np.zeros(0), *[p[1] for p in parts]])
+                        ids_of[local] = np.concatenate([np.zeros(0), *[p[2] for p in parts]])
                         is_known, parts = n > 0, []
                         in_base = np.log10((n + 1) / (total + distinct + 1))
                         shares = np.where(ids_of == gru.RARE, np.log10((n + 1) / (rare_total + rare_distinct + 1)), 0.0)
