@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
@@ -22,24 +23,17 @@ from pyspark.sql import types as T
 from epimill.llm import gru
 from epimill.llm.common import fresh, grouped, n_partitions, stored
 
-WORDS = 2304
+WORDS = 1600
 HIDDEN = 16
 ROUNDS = 4
 RATE = 0.01
-BLOCK_TOKENS = 6 << 20
+BLOCK_TOKENS = 1 << 21
 CELL_TOKENS = 1 << 22
-SCORED_TOKENS = 1 << 20
+SCORED_TOKENS = 1 << 22
 PIECES = 16
 SALTS = 32
 SLICE = 2_000
-
-
-class _Numbers(dict):
-    """The number of each word met, in the order they come."""
-
-    def __missing__(self, word: bytes) -> int:
-        self[word] = n = len(self)
-        return n
+WORDS_SLICE = 50_000
 
 
 def _batch(columns: dict[str, pa.Array], schema: pa.Schema) -> pa.RecordBatch:
@@ -48,7 +42,7 @@ def _batch(columns: dict[str, pa.Array], schema: pa.Schema) -> pa.RecordBatch:
 
 
 def numbered_words(docs: DataFrame) -> DataFrame:
-    """Documents as numbers of their block's words, and the words of each block.
+    """Documents as numbers of their block's words, and the words of each block, an Arrow batch.
 
     docs: (key, training, text). Rows with a word have (block, local, word, n), n in training
     documents; the others have (block, key, training, ids), ids packed 32-bit local numbers.
@@ -59,44 +53,31 @@ def numbered_words(docs: DataFrame) -> DataFrame:
     schema = T.StructType([T.StructField(*f) for f in fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, number, made = TaskContext.get().partitionId(), 0, None
-        names, learned, size = _Numbers(), [], 0
+        task = TaskContext.get().partitionId()
         pack = zstandard.ZstdCompressor(level=1, write_checksum=False).compress
-
-        def words() -> Iterator[pa.RecordBatch]:
-            counts = np.bincount(np.concatenate([np.zeros(0, np.uint32), *learned]), minlength=len(names))
-            found = list(names)
-            for at in range(0, len(found), 50_000):
-                part = pa.array(found[at : at + 50_000], pa.binary()).cast(pa.string())
-                local = np.arange(at, at + len(part), dtype=np.int32)
-                block = pa.array(np.full(len(part), task << 32 | number, np.int64))
-                yield _batch({"block": block, "word": part, "local": pa.array(local), "n": pa.array(counts[local])}, made)
-
-        for batch in batches:
-            key_type = batch.schema.field("key").type
-            kinds = [pa.int64(), pa.string(), pa.int32(), pa.int64(), key_type, pa.bool_(), pa.binary()]
+        for number, batch in enumerate(batches):
+            kinds = [pa.int64(), pa.string(), pa.int32(), pa.int64(), batch.schema.field("key").type, pa.bool_(), pa.binary()]
             made = pa.schema(list(zip([f[0] for f in fields], kinds, strict=True)))
-            training, rows, at = batch.column("training").to_pylist(), [], 0
-            for i, text in enumerate(batch.column("text")):
-                found = text.as_buffer().to_pybytes().lower().split()
-                ids = np.fromiter(map(names.__getitem__, found), np.uint32, len(found))
-                rows.append(pack(ids.tobytes()))
-                size += len(ids) + 1
-                if training[i]:
-                    learned.append(ids)
-                full = size >= BLOCK_TOKENS
-                if full or len(rows) >= SLICE or i + 1 == batch.num_rows:
-                    part = batch.slice(at, len(rows))
-                    block = pa.array(np.full(len(rows), task << 32 | number, np.int64))
-                    columns = {"block": block, "key": part.column("key"), "training": part.column("training"), "ids": pa.array(rows, pa.binary())}
-                    yield _batch(columns, made)
-                    rows, at = [], i + 1
-                if full:
-                    yield from words()
-                    number, size, learned = number + 1, 0, []
-                    names.clear()
-        if names:
-            yield from words()
+            lists = pc.ascii_split_whitespace(pc.ascii_lower(batch.column("text")))
+            found = lists.flatten()
+            some = pc.greater(pc.binary_length(found), 0).to_numpy(zero_copy_only=False)  # white space at an end gives an empty one
+            ends = np.r_[0, np.cumsum(some)][np.asarray(lists.offsets) - lists.offsets[0].as_py()]
+            coded = found.filter(pa.array(some)).dictionary_encode()
+            ids = np.asarray(coded.indices).astype(np.uint32)
+            learned = np.repeat(np.asarray(batch.column("training")), np.diff(ends))
+            counts = np.bincount(ids[learned], minlength=len(coded.dictionary))
+            block = task << 32 | number
+            for at in range(0, batch.num_rows, SLICE):
+                part = batch.slice(at, SLICE)
+                cuts = ends[at : at + part.num_rows + 1].tolist()
+                packed = pa.array([pack(ids[a:b].tobytes()) for a, b in zip(cuts, cuts[1:], strict=False)], pa.binary())
+                columns = {"block": pa.array(np.full(part.num_rows, block)), "ids": packed}
+                yield _batch(columns | {c: part.column(c) for c in ("key", "training")}, made)
+            for at in range(0, len(counts), WORDS_SLICE):
+                words = coded.dictionary.slice(at, WORDS_SLICE)
+                local = np.arange(at, at + len(words))
+                columns = {"block": pa.array(np.full(len(words), block)), "word": words}
+                yield _batch(columns | {"local": pa.array(local.astype(np.int32)), "n": pa.array(counts[local])}, made)
 
     return docs.mapInArrow(run, schema)
 
@@ -208,14 +189,15 @@ def score(
     ``is_training`` counts as false. Without training documents all words are rare and unseen.
     Other columns are not read. An empty table gives none. A task holds the words of one block,
     the documents of one cell, or a bounded number of words to score; a long text is one document.
-    The weights have a fixed size; all counts and all training documents enter.
+    The weights have a fixed size; all counts and all training documents enter. Texts split in tasks
+    are a batch of Arrow at once, which a session setting bounds in bytes.
     """
     spark = docs.sparkSession
     flag = fresh(docs, "training")
     chosen = docs.withColumn(flag, F.coalesce(is_training, F.lit(False))).select(
         F.col(f"`{key}`").alias("key"),
         F.col(flag).alias("training"),
-        F.encode(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")), "utf-8").alias("text"),
+        F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"),
     )
     numbered = stored(numbered_words(chosen), "numbered", compression="zstd")
     word_rows = numbered.filter(F.col("word").isNotNull()).select("block", "local", "word", "n")
