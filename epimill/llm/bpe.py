@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
-from epimill.llm.common import add_columns, fresh, list_of, row_key, without
+from epimill.llm.common import SLICE_ROWS, add_columns, fresh, list_of, row_key, without
 
 # The splitting that the fast path repeats for Latin-1 texts. Files with
 # another normalizer or splitter are split by the library alone.
@@ -175,9 +175,10 @@ def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") ->
     Rows are dealt to blocks of bounded size by a hash of all their columns and their split. Each block
     names its distinct words. Brought together by word and sorted, these form the table of
     distinct words, in which each word is encoded once, beside the blocks that hold it. A
-    join by block brings each block the ids of its words, and there they are put at the
-    words' positions. Nothing is broadcast, a word occurs at most once for each block, and
-    a task holds one block. One exchange of the texts, compressed, serves both uses.
+    union by block brings each block the ids of its words before its texts, and there they are
+    put at the words' positions, a slice of rows at a time. Nothing is broadcast, a word occurs at
+    most once for each block, and a task holds the words of one block and one slice of its rows.
+    One exchange of the texts, compressed, serves both uses.
 
     Null and empty texts give empty arrays. Rows are kept one by one, repeated rows
     included. A column already called like ``ids`` is replaced. An empty table gives none.
@@ -187,7 +188,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") ->
     docs = docs.withColumn(text, F.col(f"`{text}`").cast("string"))
     total = docs.select(F.sum(F.octet_length(f"`{text}`"))).first()[0] or 0
     n_blocks = max(spark.sparkContext.defaultParallelism, -(-total // BLOCK_BYTES))
-    dealt = bundles(docs, n_blocks).repartition("block")
+    dealt = bundles(docs, n_blocks).repartition(n_blocks, "block")
     bpe, kind = word_bpe(path), id_type(path)
 
     def block_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -221,31 +222,35 @@ def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") ->
                 made.append(last_ids)
             taken = pa.array(made, pa.binary()).take(coded.indices)
             columns = [batch.column("block"), batch.column("word"), taken]
-            yield pa.RecordBatch.from_arrays(columns, ["in_block", "word", "word_ids"])
+            yield pa.RecordBatch.from_arrays(columns, ["block", "word", "word_ids"])
 
     words_of = dealt.sortWithinPartitions("block").mapInArrow(block_words, "block int, word string")
     table = words_of.repartition("word").sortWithinPartitions("word")
-    dictionary = table.mapInArrow(ids_of_words, "in_block int, word string, word_ids binary")
+    dictionary = table.mapInArrow(ids_of_words, "block int, word string, word_ids binary").repartition(n_blocks, "block")
 
     carried = [c for c in docs.columns if c != text]
     schema = T.StructType([*[docs.schema[c] for c in carried], T.StructField(ids, T.ArrayType(T.IntegerType()))])
 
-    def put_back(packed: pa.Table, known: pa.Table) -> pa.Table:
-        width = np.dtype(kind).itemsize
-        get = dict(zip(known.column("word").to_pylist(), known.column("word_ids").to_pylist(), strict=True)).__getitem__
-        split, done = bpe.words, []
-        for rows in packed.column("rows"):
-            own = unbundled(rows)
-            made = [b"".join(map(get, split(t.as_py()))) for t in own.column(text)]
-            lengths = np.fromiter((len(m) // width for m in made), np.int64, len(made))
-            column = list_of(np.frombuffer(b"".join(made), kind).astype(np.int32), lengths)
-            done.append(pa.table([*[own.column(c) for c in carried], column], names=schema.names))
+    def put_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        width, split, known = np.dtype(kind).itemsize, bpe.words, {}
+        get = known.__getitem__
+        for batch in batches:  # a block's words come first; a word that is not there stops the job
+            entries = batch.filter(batch.column("word").is_valid())
+            known.update(zip(entries.column("word").to_pylist(), entries.column("word_ids").to_pylist(), strict=True))
+            for rows in batch.column("rows").drop_null():
+                whole = unbundled(rows)
+                for at in range(0, whole.num_rows, SLICE_ROWS):
+                    own = whole.slice(at, SLICE_ROWS)
+                    made = [b"".join(map(get, split(t.as_py()))) for t in own.column(text)]
+                    lengths = np.fromiter((len(m) // width for m in made), np.int64, len(made))
+                    column = list_of(np.frombuffer(b"".join(made), kind).astype(np.int32), lengths)
+                    yield pa.table([*[own.column(c) for c in carried], column], names=schema.names).to_batches()[0]
         pa.default_memory_pool().release_unused()
-        if not done:
-            raise ValueError("a block has words but no rows")
-        return pa.concat_tables(done)
 
-    return dealt.groupBy("block").cogroup(dictionary.groupBy("in_block")).applyInArrow(put_back, schema)
+    # both sides are dealt by block alike, so the union is too, and its rows are not moved again
+    texts = dealt.select("block", "rows", F.lit(None).cast("string").alias("word"), F.lit(None).cast("binary").alias("word_ids"))
+    both = texts.unionByName(dictionary, allowMissingColumns=True).sortWithinPartitions("block", F.col("word").isNull())
+    return both.groupBy("block").applyInArrow(put_back, schema)
 
 
 @lru_cache(maxsize=4)
