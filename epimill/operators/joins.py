@@ -9,23 +9,24 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from epimill.functions.dates import parse_timestamp, timestamp_text
 from epimill.functions.texts import is_blank
 
 
 def one_per_key(lookup: DataFrame, key: str) -> DataFrame:
-    """The lookup, after a look that no two rows share a key: a join would multiply facts.
+    """The lookup; two rows that share a key, which would multiply facts, stop the query.
 
-    Looks at once, with a small job of its own, so that the join's plan stays as it is.
-    Rows without a key match nothing and may repeat.
+    The rows of a key are counted in the plan itself, dealt by the key as a join wants them,
+    so building a query starts no job. Rows without a key match nothing, may repeat and
+    are spread by their values.
     """
-    counted = lookup.where(F.col(key).isNotNull()).groupBy(key).count().where("count > 1")
-    repeated = [row[0] for row in counted.limit(5).collect()]
-    if repeated:
-        raise ValueError(f"several lookup rows with {key} {', '.join(map(str, repeated))}")
-    return lookup
+    apart = F.when(F.col(key).isNull(), F.xxhash64(*lookup.columns))
+    rows = F.count("*").over(Window.partitionBy(key, apart))
+    said = F.concat(F.lit(f"several lookup rows with {key} "), F.col(key).cast("string"))
+    single = F.when(F.col(key).isNotNull() & (F.col("_rows") > 1), F.raise_error(said).cast("boolean")).otherwise(F.lit(True))
+    return lookup.withColumn("_rows", rows).where(single).drop("_rows")
 
 
 def merge_lookups(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
@@ -74,5 +75,7 @@ def distinct_keys(df: DataFrame, key: str) -> DataFrame:
 def add_time_parts(facts: DataFrame, dim_time: DataFrame, stamp: str = "last_update") -> DataFrame:
     """Join the time dimension on the parsed stamp, whichever form its text has."""
     text = timestamp_text(parse_timestamp(F.col(stamp)))
+    # an unreadable stamp matches nothing; without a key of its own, all such rows would meet in one task
+    text = F.coalesce(text, F.concat(F.lit("unread "), F.xxhash64(*facts.columns).cast("string")))
     parts = dim_time.withColumnRenamed("last_update", "_stamp")
     return facts.withColumn("_stamp", text).join(parts, "_stamp", "left").drop("_stamp")

@@ -52,9 +52,11 @@ def add_ewm_means(
 
     A row n places back has weight ``(1 - alpha) ** n``; a null keeps its place but
     has no weight, and where all newer rows are null the last mean stays. Each series
-    is cut into blocks so short that weights inside one stay in the range of a double.
-    A block gives its mean and weight; folding these over all earlier blocks and adding
-    the rows of the own block gives every mean, with the whole history in it.
+    is cut into blocks so short that weights inside one stay in the range of a double, and
+    so long that a block's fading is below a double's precision. What lies before a block
+    thus follows from the last two blocks with values before it: a third would weigh less
+    than the rounding of the last. Every step is a window over the same rows in one order,
+    so time grows with the series.
     """
     if not 0 < alpha <= 1:
         raise ValueError("alpha must be above 0 and at most 1")
@@ -63,7 +65,7 @@ def add_ewm_means(
         last = {name: F.last(F.col(value).cast("double"), ignorenulls=True).over(so_far) for name, value in means.items()}
         return df.withColumns(last)
     keep = F.lit(1.0 - alpha)
-    length = max(1, math.floor(math.log(SMALLEST_WEIGHT) / math.log(1.0 - alpha)))
+    length = max(1, math.ceil(math.log(SMALLEST_WEIGHT) / math.log(1.0 - alpha)))
     rows = df.withColumn("_row", F.row_number().over(ordered(keys, order)) - 1)
     rows = rows.withColumns(
         {"_block": F.floor(F.col("_row") / length), "_place": F.pmod(F.col("_row"), F.lit(length)).cast("int")}
@@ -73,35 +75,45 @@ def add_ewm_means(
     blocks_before = Window.partitionBy(*keys).orderBy("_block").rangeBetween(Window.unboundedPreceding, -1)
     growth = F.pow(keep, -F.col("_place"))
     at_end = F.pow(keep, F.lit(length - 1))
-    none = F.struct(F.lit(None).cast("double").alias("mean"), F.lit(0.0).alias("weight"))
 
-    def joined(old: Column, faded: Column, total: Column, weight: Column) -> Column:
-        """Mean of an old mean, its weight faded, and newer values."""
-        both = (faded * F.coalesce(old, F.lit(0.0)) + total) / (faded + weight)
-        return F.when(weight == 0, old).otherwise(both)
+    def faded(weight: Column, blocks: Column) -> Column:
+        return weight * F.pow(keep, F.lit(length) * blocks)
 
-    def fold(state: Column, block: Column) -> Column:
-        faded = state["weight"] * F.pow(keep, F.lit(length))
-        mean = joined(state["mean"], faded, block["total"], block["weight"])
-        return F.struct(mean.alias("mean"), (faded + block["weight"]).alias("weight"))
-
-    columns = {}
+    entries, states, sums = {}, {}, {}
     for name, value in means.items():
         present = F.col(value).isNotNull()
         weighted = F.when(present, F.col(value).cast("double") * growth).otherwise(0.0)
         weights = F.when(present, growth).otherwise(0.0)
+        sums[name] = weighted, weights
         block = F.struct(
+            F.col("_block").alias("block"),
             (F.sum(weighted).over(whole_block) * at_end).alias("total"),
             (F.sum(weights).over(whole_block) * at_end).alias("weight"),
         )
-        totals, earlier = f"_block_of_{name}", f"_before_{name}"
-        # one entry per block, at its first row
-        rows = rows.withColumn(totals, F.when(F.col("_place") == 0, block))
-        rows = rows.withColumn(earlier, F.aggregate(F.collect_list(totals).over(blocks_before), none, fold))
+        # one entry per block with values, at its first row
+        entries[f"_block_of_{name}"] = F.when(F.col("_place") == 0, block)
+    rows = rows.withColumns(entries)
+    rows = rows.withColumns({entry: F.when(F.col(f"{entry}.weight") > 0, F.col(entry)) for entry in entries})
+    last_block = {f"_last{entry}": F.last(entry, ignorenulls=True).over(blocks_before) for entry in entries}
+    rows = rows.withColumns(last_block)
+    for entry in entries:
+        own, older = F.col(entry), F.col(f"_last{entry}")
+        gap = own["block"] - older["block"]
+        weight = own["weight"] + F.coalesce(faded(older["weight"], gap), F.lit(0.0))
+        total = own["total"] + F.coalesce(faded(older["total"], gap), F.lit(0.0))
+        state = F.struct(own["block"].alias("block"), (total / weight).alias("mean"), weight.alias("weight"))
+        states[f"_state{entry}"] = F.when(own.isNotNull(), state)
+    rows = rows.withColumns(states)
+    rows = rows.withColumns({f"_before{state}": F.last(state, ignorenulls=True).over(blocks_before) for state in states})
+
+    columns = {}
+    for name in means:
+        old = F.col(f"_before_state_block_of_{name}")
         fade = F.pow(keep, F.col("_place"))
-        total, weight = F.sum(weighted).over(in_block) * fade, F.sum(weights).over(in_block) * fade
-        old = F.col(earlier)
-        columns[name] = joined(old["mean"], old["weight"] * fade * keep, total, weight)
+        total, weight = (F.sum(part).over(in_block) * fade for part in sums[name])
+        old_weight = F.coalesce(faded(old["weight"], F.col("_block") - 1 - old["block"]), F.lit(0.0)) * fade * keep
+        both = (old_weight * F.coalesce(old["mean"], F.lit(0.0)) + total) / (old_weight + weight)
+        columns[name] = F.when(weight == 0, old["mean"]).otherwise(both)
     made = rows.withColumns(columns)
     return made.select(*df.columns, *[name for name in means if name not in df.columns])
 

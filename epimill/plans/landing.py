@@ -55,8 +55,9 @@ def land_vaccinations(spark: SparkSession, source: str, landing: Landing) -> int
 
 
 def land_lookup(spark: SparkSession, source: str, name: str, target: str) -> bool:
-    """Land one file by its exact name, wherever it lies below the source folder."""
-    found = list_files(spark, source, name, recursive=True).select("report_path").distinct().collect()
+    """Land one file, or folder of parts, by its exact name, wherever it lies below the source folder."""
+    offered = list_files(spark, source, recursive=True).where(F.col("file_name") == name)
+    found = offered.select("report_path").distinct().collect()
     paths = sorted(row["report_path"] for row in found)
     if len(paths) > 1:
         raise ValueError(f"several files are called {name}: {paths}")

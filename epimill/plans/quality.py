@@ -12,7 +12,7 @@ from epimill.functions.texts import first_part
 from epimill.operators.groups import distinct_values, duplicate_keys, only_in_one, with_next_day
 from epimill.operators.shape import area_level
 from epimill.plans.conform import CASE_COLUMNS, VAC_COLUMNS
-from epimill.plans.update import Landing, case_files, read_reports
+from epimill.plans.update import Landing, case_files, read_reports, read_vaccination_totals
 from epimill.sinks.warehouse import Warehouse
 from epimill.sources.csv_files import read_csv_files
 from epimill.sources.files import by_report, list_files
@@ -132,7 +132,7 @@ def check_all(warehouse: Warehouse, landing: Landing) -> DataFrame:
     areas = read_csv_files(spark, [landing.path(landing.areas)], ["Country_Region", "Province_State"])
     areas = areas.toDF(*[name.lower() for name in areas.columns])
     locations = read_csv_files(spark, [landing.path(landing.locations)], ["location"])
-    totals = read_csv_files(spark, [landing.path(landing.vaccination_totals)], ["location", "date"])
+    totals = read_vaccination_totals(spark, landing)
     vac_files = list_files(spark, landing.path(landing.vaccinations))
     texts = [
         (case_files(spark, landing), CASE_COLUMNS, ["Confirmed", "Deaths", "Recovered", "Active"]),

@@ -9,16 +9,23 @@ from pyspark.sql import DataFrame, functions as F
 
 from epimill.functions.dates import file_name_for
 from epimill.plans.analogue import read, tables
-from epimill.plans.landing import land_cases, rewrite_old_cases
-from epimill.plans.update import Landing, case_files, load_cases, load_lookup, load_vaccinations
+from epimill.plans.landing import land_cases, land_lookup, rewrite_old_cases
+from epimill.plans.update import (
+    Landing,
+    case_files,
+    load_cases,
+    load_lookup,
+    load_vaccinations,
+    read_vaccination_totals,
+)
 from epimill.plans.reports.registry import report
 from epimill.session import scratch_path
-from epimill.sinks.csv_files import write_csv, write_reports
+from epimill.sinks.csv_files import add_parts, write_csv, write_reports
 from epimill.sinks.merge import insert_if_absent, replace_rows, upsert
 from epimill.sinks.warehouse import Warehouse
-from epimill.sources.csv_files import read_csv_files
+from epimill.sources.csv_files import broken_rows, read_csv_files
 from epimill.sources.files import list_files
-from epimill.streaming.ingest import ingest_reports, stream_files
+from epimill.streaming.ingest import ingest_reports, stream_landing
 
 ORDER_COLUMNS = ["o_orderkey", "o_orderstatus", "o_totalprice", "o_orderpriority"]
 
@@ -90,11 +97,15 @@ def ledger_upsert(spark, sf_dir):
 # Daily reports made of the events: one report per day, event types as countries and
 # users as provinces. Reports of the first ten days have the older header. In the
 # newer ones, error rows appear a second time with another count.
+# The column names of the two layouts.
 NEW_HEADER = [
     "_c0", "FIPS", "Admin2", "Province_State", "Country_Region", "Last_Update",
     "Confirmed", "Deaths", "Recovered", "Active",
 ]
+OLD_NAMES = {"Province_State": "Province/State", "Country_Region": "Country/Region", "Last_Update": "Last Update"}
+OLD_HEADER = [*OLD_NAMES.values(), "Confirmed", "Deaths", "Recovered"]
 LAST_OLD_DAY = "2024-01-10"
+IN_OLD_LAYOUT = f"day <= DATE '{LAST_OLD_DAY}'"
 
 EVENT_CASES = """
 event_days AS (
@@ -147,19 +158,10 @@ def land_event_reports(spark, sf_dir, root: str, rows: DataFrame | None = None)
     """Write the reports, all or the given rows, as CSV, in one folder per layout."""
     landing = Landing(root, cases="daily_case_data/", old_cases="daily_case_data/old_format/")
     rows = event_reports(spark, sf_dir) if rows is None else rows
-    old = F.col("day") <= F.lit(LAST_OLD_DAY).cast("date")
-    new = rows.where(~old)
+    new = rows.where(f"NOT {IN_OLD_LAYOUT}")
     again = new.where("Country_Region = 'error'").withColumn("Confirmed", F.lit("999.0"))
     write_reports(new.unionByName(again).select(*NEW_HEADER[1:], "report"), landing.path(landing.cases))
-    old_rows = rows.where(old).select(
-        F.col("Province_State").alias("Province/State"),
-        F.col("Country_Region").alias("Country/Region"),
-        F.col("Last_Update").alias("Last Update"),
-        "Confirmed",
-        "Deaths",
-        "Recovered",
-        "report",
-    )
+    old_rows = rows.where(IN_OLD_LAYOUT).withColumnsRenamed(OLD_NAMES).select(*OLD_HEADER, "report")
     write_reports(old_rows, landing.path(landing.old_cases))
     return landing
 
@@ -435,21 +437,116 @@ def reload_new_files(spark, sf_dir):
     return warehouse.read("daily_case")
 
 
-@report("SELECT * FROM cases", EVENT_CASES)
+EVEN_DAY = "day(CAST(day AS DATE)) % 2 = 0"
+
+
+def parts_before(rows: DataFrame) -> DataFrame:
+    """Report rows with an index that puts them before all rows of ``write_reports``."""
+    return rows.withColumn("row", F.monotonically_increasing_id() - F.lit(1 << 60))
+
+
+@report(
+    f"""SELECT * EXCLUDE (day, late) REPLACE (
+                CASE WHEN late THEN '2025-01-01T00:00:00' ELSE last_update END AS last_update,
+                CASE WHEN late THEN confirmed + 1000 ELSE confirmed END AS confirmed)
+       FROM (SELECT *, date_case AS day, {EVEN_DAY.replace('day AS DATE', 'date_case AS DATE')} AND country_region = 'click' AS late FROM cases)""",
+    EVENT_CASES,
+)
 def stream_ingest(spark, sf_dir):
-    """The same reports through the file stream, in two runs: later rows come in further parts."""
-    landing = land_event_reports(spark, sf_dir, scratch_path(spark, "landing"))
-    late = F.col("Province_State") > "user 5"
-    first = land_event_reports(spark, sf_dir, scratch_path(spark, "landing"), event_reports(spark, sf_dir).where(~late))
-    warehouse = new_warehouse(spark)
-    checkpoint = scratch_path(spark, "stream")
-    for run, root in (("first", first), ("all", landing)):
-        for layout, folder in (("old", root.old_cases), ("new", root.cases)):
-            files = stream_files(spark, root.path(folder), layout)
-            ingest_reports(warehouse, files, f"{checkpoint}/{run}-{layout}")
+    """Reports of both layouts by one stream and one checkpoint, run again after further parts have come.
+
+    The late parts hold rows of areas that were not there, and rows that come before stored ones of
+    their key and replace them as a whole. The second run may only meet the reports that
+    have new parts.
+    """
+    rows = event_reports(spark, sf_dir)
+    even, added = F.expr(EVEN_DAY), F.col("Country_Region") == "error"
+    landing = land_event_reports(spark, sf_dir, scratch_path(spark, "landing"), rows.where(~(even & added)))
+    warehouse, checkpoint = new_warehouse(spark), scratch_path(spark, "stream")
+    ingest_reports(warehouse, stream_landing(spark, landing), checkpoint)
+
+    changed = F.col("Country_Region") == "click"
+    late = parts_before(rows.where(even & (added | changed))).withColumns(
+        {
+            "Last_Update": F.when(changed, "2025-01-01T00:00:00").otherwise(F.col("Last_Update")),
+            "Confirmed": F.when(changed, F.concat((F.col("Confirmed").cast("double") + 1000).cast("int").cast("string"), F.lit(".0")))
+            .otherwise(F.col("Confirmed")),
+        }
+    )
+    for names, folder, own in (
+        (NEW_HEADER[1:], landing.cases, f"NOT {IN_OLD_LAYOUT}"), (OLD_HEADER, landing.old_cases, IN_OLD_LAYOUT)
+    ):
+        parts = late.where(own).withColumnsRenamed(OLD_NAMES if folder == landing.old_cases else {})
+        add_parts(parts.select("row", *names, "report"), landing.path(folder), index="row")
+    loaded = ingest_reports(warehouse, stream_landing(spark, landing), checkpoint)
+    if loaded != late.select("report").distinct().count():
+        raise RuntimeError(f"{loaded} reports have been read again")
     return warehouse.read("daily_case")
 
 
+def wide_reports(spark, sf_dir) -> Landing:
+    """Reports with columns that no load reads; in one of them, error rows have a line break."""
+    landing = Landing(scratch_path(spark, "landing"))
+    name = F.concat("Province_State", F.when(F.col("Country_Region") == "error", ",\n").otherwise(", "), "Country_Region")
+    rows = event_reports(spark, sf_dir).where(f"NOT {IN_OLD_LAYOUT}")
+    rows = rows.withColumns({"Lat": F.lit("1.5"), "Long_": F.lit("-2.5"), "Combined_Key": name})
+    write_reports(rows.select(*NEW_HEADER[1:], "Combined_Key", "Lat", "Long_", "report"), landing.path(landing.cases))
+    return landing
+
+
+@report(
+    """SELECT source_file, unnest([head || '"' || province_state || ',', 'error",1.5,-2.5']) AS text
+       FROM (SELECT strftime(date_case, '%m-%d-%Y') || '.csv' AS source_file, province_state,
+                    concat_ws(',', fips, '', province_state, country_region, last_update, confirmed || '.0', deaths || '.0',
+                              '', active || '.0', '') AS head
+             FROM cases WHERE date_case > DATE '2024-01-10' AND country_region = 'error')""",
+    EVENT_CASES,
+)
+def broken_report_rows(spark, sf_dir):
+    """Rows that a line break tears apart in a column that no load reads: the load stops, and they are listed."""
+    landing, warehouse = wide_reports(spark, sf_dir), new_warehouse(spark)
+    try:
+        load_cases(warehouse, landing)
+    except Exception as error:
+        if "no row of its header" not in str(error):
+            raise
+    else:
+        raise RuntimeError("broken rows have been loaded")
+    if not warehouse.read("csv_record").isEmpty() or not warehouse.read("daily_case").isEmpty():
+        raise RuntimeError("a load that stopped has stored rows")
+    paths = [row[0] for row in case_files(spark, landing).select("report_path").distinct().collect()]
+    without_index = F.regexp_replace("text", "^[0-9]+,", "")
+    return broken_rows(spark, paths).select("source_file", without_index.alias("text"))
+
+
+@report("SELECT * FROM cases WHERE date_case > DATE '2024-01-10'", EVENT_CASES)
+def ingest_line_breaks(spark, sf_dir):
+    """The same reports, read with values over several lines."""
+    landing, warehouse = wide_reports(spark, sf_dir), new_warehouse(spark)
+    load_cases(warehouse, landing, multi_line=True)
+    return warehouse.read("daily_case")
+
+
+@report(
+    "SELECT location, date_string AS date, CAST(total_vaccinations AS VARCHAR) AS total_vaccinations FROM vac", tables=True
+)
+def vaccination_totals(spark, sf_dir):
+    """The aggregated vaccination file, landed by its exact name from below a source folder, and read."""
+    rows = tables(spark, sf_dir).vac.select(
+        "location",
+        F.upper("location").alias("iso_code"),
+        F.col("date_string").alias("date"),
+        F.col("total_vaccinations").cast("string").alias("total_vaccinations"),
+        "people_vaccinated",
+    )
+    source, landing = scratch_path(spark, "source"), Landing(scratch_path(spark, "landing"))
+    write_csv(rows, f"{source}/public/data/{landing.vaccination_totals}")
+    write_csv(rows.limit(3), f"{source}/public/data/old-{landing.vaccination_totals}")
+    if not land_lookup(spark, source, landing.vaccination_totals, landing.path(landing.vaccination_totals)):
+        raise RuntimeError("the file was not found by its name")
+    return read_vaccination_totals(spark, landing, ["location", "date", "total_vaccinations"])
+
+
 @report(
     """SELECT strftime(day, '%m-%d-%Y') || '.csv' AS file_name,
               CASE WHEN day > DATE '2024-01-10' THEN 'new' ELSE 'old' END AS layout

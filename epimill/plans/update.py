@@ -48,6 +48,7 @@ def load_cases(
     reload_country: str | None = None,
     corrections: Sequence[tuple[str, str, str, str]] = (),
     headers: dict[str, list[str]] | None = None,
+    multi_line: bool = False,
 ) -> int:
     """Load daily reports into the case, time and ledger tables; returns the file count.
 
@@ -57,14 +58,15 @@ def load_cases(
     landed files of the range. Files that were not in the ledger stay out of it then, as
     the other countries' rows are still to be loaded.
     ``headers`` names the header of a layout where it is known to be the same in
-    all files, which saves looking for header lines.
+    all files, which saves looking for header lines. A row that does not have its header's
+    columns stops the load before anything is stored; ``multi_line`` reads quoted values
+    that go on in the next line, with one task for each file.
     """
-    spark = warehouse.spark
     process_all = process_all or reload_country is not None and not dates
     files = choose_files(
         case_files(warehouse.spark, landing), warehouse.read("csv_record"), "case", dates, process_all
     )
-    return load_reports(warehouse, files, dates, reload_country, corrections, headers)
+    return load_reports(warehouse, files, dates, reload_country, corrections, headers, multi_line=multi_line)
 
 
 def load_reports(
@@ -75,6 +77,7 @@ def load_reports(
     corrections: Sequence[tuple[str, str, str, str]] = (),
     headers: dict[str, list[str]] | None = None,
     replace_rows: bool = False,
+    multi_line: bool = False,
 ) -> int:
     """Load the case reports that a manifest with layouts names, each of them whole.
 
@@ -93,7 +96,7 @@ def load_reports(
         reports = [row for row in chosen if row["layout"] == layout and row["sample"]]
         if reports:
             part = read_reports(
-                spark, reports, conform.CASE_COLUMNS, conform.CASE_REQUIRED, (headers or {}).get(layout)
+                spark, reports, conform.CASE_COLUMNS, conform.CASE_REQUIRED, (headers or {}).get(layout), multi_line
             )
             part = part.withColumn("layout", F.lit(layout))
             raw = part if raw is None else raw.unionByName(part)
@@ -148,10 +151,21 @@ def read_reports(
     columns: list[str],
     required: Sequence[str] = (),
     header: list[str] | None = None,
+    multi_line: bool = False,
 ) -> DataFrame:
     paths = sorted(row["report_path"] for row in reports)
     samples = sorted(row["sample"] for row in reports)
-    return read_csv_files(spark, paths, columns, header=header, samples=samples, required=required)
+    return read_csv_files(
+        spark, paths, columns, header=header, samples=samples, required=required, multi_line=multi_line
+    )
+
+
+def read_vaccination_totals(
+    spark: SparkSession, landing: Landing, columns: Sequence[str] = ("location", "date")
+) -> DataFrame:
+    """The aggregated vaccination file, as text; it must have the columns."""
+    rows = read_csv_files(spark, [landing.path(landing.vaccination_totals)], list(columns), required=columns)
+    return rows.select(*columns)
 
 
 def names_of(warehouse: Warehouse, chosen: Sequence[Row]) -> DataFrame:

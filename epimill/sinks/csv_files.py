@@ -30,5 +30,12 @@ def write_reports(df: DataFrame, folder: str, report: str = REPORT_COLUMN) -> No
     writer.mode("overwrite").partitionBy(REPORT_COLUMN).csv(folder)
 
 
+def add_parts(df: DataFrame, folder: str, report: str = REPORT_COLUMN, index: str = ROW_INDEX) -> None:
+    """Add part files to the reports named in the ``report`` column; ``index`` places their rows."""
+    rows = df.withColumnsRenamed({report: REPORT_COLUMN, index: ROW_INDEX})
+    rows = rows.select(ROW_INDEX, *[name for name in rows.columns if name != ROW_INDEX]).hint("rebalance", REPORT_COLUMN)
+    csv_writer(rows).mode("append").partitionBy(REPORT_COLUMN).csv(folder)
+
+
 def csv_writer(df: DataFrame) -> DataFrameWriter:
     return df.write.option("header", "true").option("escape", '"').option("emptyValue", "")

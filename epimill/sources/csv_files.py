@@ -61,31 +61,30 @@ def column_names(header: str) -> list[str]:
     return [name.strip() or f"_c{position}" for position, name in enumerate(names)]
 
 
-def read_group(
+def parsed_rows(
     spark: SparkSession, columns: list[str], paths: list[str], trusted: bool, multi_line: bool = False
 ) -> DataFrame:
-    """Read reports that share one header; one with another header stops the job,
-    unless the header was read from the files themselves.
+    """All rows of reports that share one header, those that do not have its columns too.
 
-    A row that does not have the header's columns stops the job too: mostly a quoted
-    value goes on in the next line, which ``multi_line`` reads, at the price of one
-    task per file. ``scan_position`` is the place of a row among the parts of a report.
+    Such a row has its text in ``UNREAD``, which is null for the others. Spark would judge a row
+    by the columns that are asked for, so that a row broken elsewhere passes; here it is
+    parsed whole whatever is read of it. A report with another header stops the job, unless the
+    header was read from the files themselves. ``scan_position`` is the place of a row among
+    the parts of a report.
     """
-    fields = [*columns, UNREAD]
-    schema = T.StructType([T.StructField(name, T.StringType()) for name in fields])
-    name = report_name(scanned_path())
-    said = F.concat(F.lit("no row of its header in "), name, F.lit(" (or read with multi_line): "), F.col(UNREAD))
+    schema = T.StructType([T.StructField(name, T.StringType()) for name in [*columns, UNREAD]])
     return (
         spark.read.schema(schema)
         .option("header", "true")
         .option("enforceSchema", str(trusted).lower())
         .option("escape", '"')
         .option("multiLine", str(multi_line).lower())
+        .option("columnPruning", "false")
         .option("columnNameOfCorruptRecord", UNREAD)
         .csv(paths)
         .select(
-            *[F.col(f"`{column}`") for column in columns],
-            F.when(F.col(UNREAD).isNotNull(), F.raise_error(said)).otherwise(name).alias("source_file"),
+            "*",
+            report_name(scanned_path()).alias("source_file"),
             F.struct(
                 F.col("_metadata.file_path").alias("path"),
                 F.col("_metadata.file_block_start").alias("block"),
@@ -95,6 +94,46 @@ def read_group(
     )
 
 
+def read_group(
+    spark: SparkSession, columns: list[str], paths: list[str], trusted: bool, multi_line: bool = False
+) -> DataFrame:
+    """Read reports that share one header; a row that does not have its columns stops the job.
+
+    Mostly a quoted value goes on in the next line then, which ``multi_line`` reads, at the
+    price of one task per file. The rows are looked at by a filter, which stays whatever
+    columns are used later.
+    """
+    rows = parsed_rows(spark, columns, paths, trusted, multi_line)
+    first = F.coalesce(F.col(f"`{columns[0]}`"), F.lit(""))  # Spark wants a column besides the unread text
+    said = F.concat(
+        F.lit("no row of its header in "), F.col("source_file"), F.lit(" (or read with multi_line): "),
+        F.col(UNREAD), F.lit(" / "), first,
+    )
+    whole = F.when(F.col(UNREAD).isNotNull(), F.raise_error(said).cast("boolean")).otherwise(F.lit(True))
+    return rows.where(whole).drop(UNREAD)
+
+
+def broken_rows(
+    spark: SparkSession, paths: list[str], header: list[str] | None = None, samples: list[str] | None = None
+) -> DataFrame:
+    """(source_file, text, scan_position) of the rows that do not have the columns of their report's header.
+
+    A value that goes on in the next line gives two such rows; in the last column only the
+    second of them lacks columns.
+    """
+    groups = [(list(header), paths)] if header else header_groups(spark, paths, samples)
+    found = None
+    for names, reports in groups:
+        rows = parsed_rows(spark, names, reports, header is None)
+        # the first column is named only because Spark wants one besides the unread text
+        some = F.col(UNREAD).isNotNull() & (F.length(F.concat_ws("", UNREAD, F.col(f"`{names[0]}`"))) >= 0)
+        rows = rows.where(some).select("source_file", F.col(UNREAD).alias("text"), "scan_position")
+        found = rows if found is None else found.unionByName(rows)
+    if found is None:
+        raise ValueError("no CSV report with a header line among the given paths")
+    return found
+
+
 def read_csv_files(
     spark: SparkSession,
     paths: list[str],

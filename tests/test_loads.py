@@ -2,20 +2,30 @@ import csv
 import datetime as dt
 import os
 import random
+import uuid
 
 import pytest
 from conftest import plan_of, rows
 from hypothesis import HealthCheck, given, settings, strategies as st
+from oracle import compare
 from pyspark.sql import functions as F
 
 from epimill import schemas
 from epimill.operators.shape import STAMP_CORRECTIONS, first_per_key
 from epimill.plans import conform, dashboard, quality
-from epimill.plans.landing import land_cases, land_lookup, land_vaccinations, rewrite_old_cases
-from epimill.plans.update import Landing, daily_update, load_cases, load_lookup, load_vaccinations
+from epimill.plans.landing import copy_reports, land_cases, land_lookup, land_vaccinations, rewrite_old_cases
+from epimill.plans.reports import ORACLES, loads
+from epimill.plans.update import (
+    Landing,
+    daily_update,
+    load_cases,
+    load_lookup,
+    load_vaccinations,
+    read_vaccination_totals,
+)
 from epimill.sinks.merge import insert_if_absent, replace_rows, upsert
 from epimill.sinks.warehouse import Warehouse, in_values
-from epimill.sources.csv_files import column_names, header_groups, read_csv_files
+from epimill.sources.csv_files import broken_rows, column_names, header_groups, read_csv_files
 from epimill.sources.files import (
     choose_files,
     list_files,
@@ -186,6 +196,55 @@ def test_quoted_line_breaks(spark, tmp_path):
     assert rows(read_csv_files(spark, [path], ["a", "b"], multi_line=True), "a", "b") == [("New\nYork", "2"), ("Ohio", "3")]
 
 
+WIDE = [*NEW, "Combined_Key", "Lat", "Long_"]
+
+
+@pytest.mark.parametrize("broken", ["Combined_Key", "Province_State", "Long_"])
+def test_rows_broken_in_any_column_stop_the_load(spark, warehouse, landing, broken):
+    values = {"Province_State": "New York", "Country_Region": "US", "Last_Update": "2020-03-24 01:00:00", "Confirmed": "70", "Combined_Key": "New York, US", "Lat": "1", "Long_": "2"}
+    texts = [values | {broken: "New\nYork"}, values | {"Province_State": "Ohio", "Confirmed": "9"}]
+    path = f"{landing.path(landing.cases)}/03-24-2020.csv"
+    write(path, WIDE, [[t.get(name, "") for name in WIDE] for t in texts])
+    with pytest.raises(Exception, match="no row of its header in 03-24-2020.csv"):
+        load_cases(warehouse, landing)
+    assert warehouse.read("daily_case").isEmpty() and warehouse.read("csv_record").isEmpty()
+    assert broken_rows(spark, [path]).where("text LIKE 'York\"%'").count() == 1
+    with pytest.raises(Exception, match="no row of its header"):  # whatever is read of it
+        read_csv_files(spark, [path], ["Confirmed"]).select("Confirmed").collect()
+    with pytest.raises(Exception, match="no row of its header"):
+        copy_reports(spark, [path], f"{landing.root}/copied")
+    load_cases(warehouse, landing, dates=("2020-03-24", "2020-03-24"), multi_line=True)
+    assert sorted(row[0] for row in warehouse.read("daily_case").select("confirmed").collect()) == [9, 70]
+
+
+def test_rows_broken_in_unread_columns_of_other_files_stop(spark, warehouse, landing):
+    header = ["location", "date", "vaccine", "source_url", "total_vaccinations", "people_vaccinated", "people_fully_vaccinated"]
+    write(f"{landing.path(landing.vaccinations)}France.csv", header, [["France", "2021-01-01", "x", "http://a\nb", "1", "1", "0"]])
+    with pytest.raises(Exception, match="no row of its header in France.csv"):
+        load_vaccinations(warehouse, landing)
+    write(landing.path(landing.vaccination_totals), ["location", "iso_code", "date", "x"], [["France", "F\nR", "2021-01-01", "1"]])
+    with pytest.raises(Exception, match="no row of its header in vaccinations.csv"):
+        read_vaccination_totals(spark, landing).collect()
+    write(landing.path(landing.locations), ["Country/Region", "location", "source", "continent"], [["France", "France", "a\nb", "Europe"]])
+    with pytest.raises(Exception, match="no row of its header in locations.csv"):
+        read_csv_files(spark, [landing.path(landing.locations)], ["location"]).select("location").collect()
+
+
+def test_the_stream_query_sees_faults(spark, monkeypatch):
+    sf_dir, whole = "/root/testdata/sf0.001", loads.ingest_reports
+
+    def forgetful(warehouse, files, checkpoint):
+        return whole(warehouse, files, f"{checkpoint}-{uuid.uuid4().hex}")
+
+    monkeypatch.setattr(loads, "ingest_reports", forgetful)
+    with pytest.raises(RuntimeError, match="read again"):
+        loads.stream_ingest(spark, sf_dir)
+    monkeypatch.setattr(loads, "ingest_reports", whole)
+    one_by_one = Warehouse.upsert
+    monkeypatch.setattr(Warehouse, "upsert", lambda self, table, batch, source=None, whole_rows=False: one_by_one(self, table, batch, source))
+    assert compare(spark, sf_dir, "stream_ingest", loads.stream_ingest, ORACLES["stream_ingest"]) != ""
+
+
 def test_rows_of_parts_without_an_index_are_ordered_by_part(spark, tmp_path):
     report = tmp_path / "report=03-22-2020.csv"
     os.makedirs(report)

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pandas as pd
 import pytest
 from conftest import plan_of, rows
@@ -182,8 +183,38 @@ def test_several_corrections_for_one_file_and_area(spark):
 def test_lookup_with_a_repeated_key_stops_the_join(spark):
     lookup = spark.createDataFrame([("fr", 1), ("us", 2), (None, 3), (None, 4)], "k string, n int")
     assert joins.one_per_key(lookup, "k").count() == 4
-    with pytest.raises(ValueError, match="several lookup rows with k us"):
-        joins.one_per_key(lookup.union(lookup.where("k = 'us'")), "k")
+    doubled = joins.one_per_key(lookup.union(lookup.where("k = 'us'")), "k")  # no job until the rows are asked for
+    facts = spark.createDataFrame([("us", 7), (None, 8)], "k string, m int")
+    for query in (doubled, joins.add_lookup(facts, doubled, "k")):
+        with pytest.raises(Exception, match="several lookup rows with k us"):
+            query.collect()
+
+
+def test_unreadable_stamps_are_spread(spark):
+    stamps = [None if i % 3 == 0 else "no stamp" if i % 3 == 1 else "2021-01-02 03:04:05" for i in range(900)]
+    facts = spark.createDataFrame(list(enumerate(stamps)), "id int, last_update string")
+    times = spark.createDataFrame([("2021-01-02 03:04:05", 2021)], "last_update string, year int")
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        joined = joins.add_time_parts(facts, times).withColumn("part", F.spark_partition_id()).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    unread = [row["part"] for row in joined if row["year"] is None]
+    assert len(unread) == 600 and max(map(unread.count, set(unread))) < 200
+    assert sum(row["year"] == 2021 for row in joined) == 300
+
+
+def test_weighted_means_with_long_gaps(spark):
+    values = [5.0, 7.0] + [None] * 700 + [1.0] + [None] * 400 + [3.0, None] * 200 + [None] * 5_000 + [2.0, 9.0]
+    data = spark.createDataFrame([("k", i, v) for i, v in enumerate(values)], "k string, i int, v double")
+    got = [row["m"] for row in series.add_ewm_means(data, {"m": "v"}, ["k"], "i").orderBy("i").collect()]
+    want = pd.Series(values, dtype=float).ewm(alpha=0.2, adjust=True, ignore_na=False).mean()
+    assert np.allclose(np.array(got[:1_500], dtype=float), want[:1_500], rtol=1e-12)
+    assert got[1_502] == pytest.approx(got[-3]) == pytest.approx(3.0, rel=1e-12)  # the last mean stays over 5,000 nulls
+    assert got[-2] == pytest.approx(2.0) and got[-1] == pytest.approx((2.0 * 0.8 + 9.0) / 1.8)
 
 
 def test_sorted_reads(spark):
