@@ -81,11 +81,11 @@ TOP_K_SQL = """
 WITH usable AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
   FROM embeddings
-  WHERE vec_id IS NOT NULL AND len(embedding) > 0
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
     AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), scored AS (
   SELECT q.vec_id AS query_id, c.vec_id,
-    CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+    CAST(coalesce(list_sum(list_transform(list_zip(q.v, c.v), lambda p: coalesce(p[1] * p[2], 0))), 0) AS BIGINT) AS score
   FROM usable q JOIN usable c ON q.vec_id <> c.vec_id AND q.vec_id % 50 = 0
 ), ranked AS (
   SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank,
@@ -259,7 +259,7 @@ def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op13_lm")
 def op13_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    apart = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2
+    apart = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2, F.lit(False))
     scored = lm.score(documents(spark, sf_dir), ~apart)
     shown = ["n_tokens", "n_known", "train_tokens", "base_score", "score"]
     return scored.select("doc_id", (~F.col("training")).alias("held_out"), *shown)
