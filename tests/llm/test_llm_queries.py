@@ -1,12 +1,18 @@
 """The registered training-data queries, and the pipeline against a plain composition."""
 
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
 import pytest
 from oracle import compare
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 import corpus_pipeline
-from epimill.llm import lines, secrets, simhash
-from epimill.llm.queries import ORACLES, QUERIES
+from epimill.llm import lines, quality, secrets, simhash
+from epimill.llm.queries import ORACLES, QUERIES, tokenizer
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -71,6 +77,63 @@ def test_language_stage_rejects_what_was_not_learned(spark):
     assert {r[0] for r in kept.select("doc_id").collect()} == {r[0] for r in lettered.select("doc_id").collect()}
 
 
+def test_pipeline_stages_keep_columns_that_are_not_theirs(spark):
+    names = ["score", "Lang_Pred", "rate", "n_lines", "n_removed", "secret_spans", "spans", "simhash", "component_id", "kept", "own_0"]
+    docs = spark.read.parquet(f"{SF_DIR}/documents.parquet")
+    docs = docs.select("*", *[F.concat(F.lit(f"{n} of "), F.col("doc_id").cast("string")).alias(n) for n in names])
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        made = stage(spark, docs, SF_DIR)
+        assert made.columns == docs.columns, name
+        rows = made.select("doc_id", *names).collect()
+        assert rows and all(r[n] == f"{n} of {r['doc_id']}" for r in rows for n in names), name
+
+
+def test_registered_digests(spark):
+    """The columns that the queries derive from the operators, by hand, over whole tables."""
+    docs = {r["doc_id"]: r for r in spark.read.parquet(f"{SF_DIR}/documents.parquet").collect()}
+    library = Tokenizer.from_file(tokenizer())
+    library.no_truncation(), library.no_padding()
+    ids = {i: library.encode(r["text"] or "", add_special_tokens=False).ids for i, r in docs.items()}
+
+    start = 0
+    files = {r["doc_id"]: r for r in QUERIES["op8_token_files"](spark, SF_DIR).collect()}
+    for i in sorted(docs):
+        own = np.array([*ids[i], 1], "<u4")
+        assert (files[i]["start"], files[i]["n_tokens"], files[i]["ids_crc32"]) == (start, len(own), zlib.crc32(own.tobytes()))
+        start += len(own)
+
+    pieces, bins = {}, {}
+    for r in QUERIES["op9_packing"](spark, SF_DIR).collect():
+        pieces[r["doc_id"], r["piece"]] = r
+        bins.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for i in docs:
+        own = np.array([*ids[i], 0], "<u4")
+        for n, at in enumerate(range(0, len(own), 2048)):
+            r, part = pieces.pop((i, n)), own[at : at + 2048]
+            assert (r["start"], r["length"], r["ids_crc32"]) == (at, len(part), zlib.crc32(part.tobytes()))
+    assert not pieces
+    for places in bins.values():
+        places.sort()
+        ends = np.cumsum([length for _, length in places])
+        assert [at for at, _ in places] == [0, *ends[:-1]] and ends[-1] <= 2048
+
+    for r in QUERIES["op2_language"](spark, SF_DIR).collect():
+        assert r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2) and 0 <= r["score"] <= 1
+
+    blank = re.compile("[\x20\x09-\x0d]+")
+    for r in QUERIES["op7_quality"](spark, SF_DIR).collect():
+        text = docs[r["doc_id"]]["text"] or ""
+        found = [w for w in blank.split(text) if w]
+        windows = Counter(tuple(found[k : k + 8]) for k in range(len(found) - 7))
+        repeated = {k + j for k in range(len(found) - 7) if windows[tuple(found[k : k + 8])] > 1 for j in range(8)}
+        worded = [x for x in text.split("\n") if blank.sub("", x)]
+        counts = len(found), sum(map(len, found)), len(re.findall(r"[#*$%&|<>]", text)), len(worded) - len(set(worded)), len(repeated)
+        assert tuple(r[c] for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")) == counts
+        failed = len(found) < 20 or 100 * len(repeated) > 30 * len(found)
+        lost = sum(len(blank.sub("", x)) for x in worded if quality.line_fails(x))
+        assert r["base_failed"] == failed and r["kept"] == (not failed and 2 * lost <= counts[1])
+
+
 def test_pipeline_on_an_empty_table(spark, tmp_path):
     folder = str(tmp_path)
     spark.read.parquet(f"{SF_DIR}/documents.parquet").limit(0).write.parquet(f"{folder}/documents.parquet")
