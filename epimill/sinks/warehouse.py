@@ -1,11 +1,14 @@
 """Warehouse tables in the Spark catalog.
 
 Parquet tables have no MERGE. A load reads the stored partitions its batch
-touches, merges them as DataFrames, and overwrites just those partitions. The merged
-rows are staged as a table first, so nothing is read and overwritten in one job, and a
-lost executor or a failed merge leaves the old rows in place. The swap itself replaces a
-partition's files one partition after the other; if the driver is lost meanwhile, the
-stage is still there, and ``finish_swaps`` repeats the swap from it.
+touches, merges them as DataFrames, and writes the merged rows once, as a new version of just
+those partitions in a folder of their own. Then a table of pointers gets a row for each of
+them, and the catalog's partitions are set to the new folders. No file that a reader may
+have in hand is overwritten or removed, and a partition goes from its old rows to its new ones in one
+step. The pointers are the commit: without them a version is not there, and with them
+``finish_swaps`` sets what a lost driver has left, also in a catalog that is new.
+
+A table has one writer at a time. Old versions stay until their folders are removed.
 """
 
 from __future__ import annotations
@@ -13,13 +16,21 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator, Sequence
 from contextlib import contextmanager
+from urllib.parse import unquote
 
+import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
 from epimill import schemas
 from epimill.sinks.merge import insert_if_absent, replace_rows, upsert
 
+POINTERS = "version bigint, value string, folder string"
+VERSION = "epimill.version"
+# Fixed value: the folder name that Spark gives a null.
+NULL_PARTITION = "__HIVE_DEFAULT_PARTITION__"
+
 
 class Warehouse:
     """The five tables of one database.
@@ -66,6 +77,7 @@ class Warehouse:
             # Appending no rows makes sure there is a folder to look for partitions in.
             self.stored(table).where("false").write.mode("append").partitionBy(partition).parquet(folder)
             self.spark.sql(f"ALTER TABLE {self.name(table)} RECOVER PARTITIONS")
+            self.finish_swaps(table)
 
     def read(self, table: str) -> DataFrame:
         """The table without columns that only storage knows."""
@@ -116,9 +128,7 @@ class Warehouse:
         stored = self.stored(table).where(in_values(partition, self.touched(rows, partition)))
         keys = schemas.KEYS[table]
         update = [c for c in stored.columns if c not in keys] if whole_rows else schemas.UPDATE_COLUMNS[table]
-        merged = upsert(stored, batch, keys, update)
-        self._stage_swap(table, merged, partition)
-        self.finish_swaps(table)
+        self._commit(table, self._write_version(table, upsert(stored, batch, keys, update)))
 
     def insert_if_absent(self, table: str, batch: DataFrame) -> None:
         current = self.stored(table)
@@ -141,44 +151,91 @@ class Warehouse:
         in_range = F.lit(True) if first is None else F.col(partition).between(F.lit(first), F.lit(last))
         before = self.touched(current.where(in_range & doomed), partition)
         stored = current.where(in_values(partition, [*before, *self.touched(batch, partition)]))
-        rows = self._stage_swap(table, replace_rows(stored, batch, doomed & in_range), partition)
-        left = set(self.touched(rows, partition))
-        self.finish_swaps(table)
-        for value in before:
-            if value not in left:
-                self._empty(table, partition, value)
+        folders = self._write_version(table, replace_rows(stored, batch, doomed & in_range))
+        self._commit(table, {_text(value): None for value in before} | folders)
 
-    def _empty(self, table: str, partition: str, value: object) -> None:
-        """Overwrite one partition with no rows, which deletes its files, and forget it."""
-        kept = [field for field in self.stored(table).schema if field.name != partition]
-        nulls = ", ".join(f"CAST(NULL AS {field.dataType.simpleString()})" for field in kept)
-        spot = f"PARTITION ({partition} = '{value}')"
-        self.spark.sql(f"INSERT OVERWRITE TABLE {self.name(table)} {spot} SELECT {nulls} WHERE false")
-        self.spark.sql(f"ALTER TABLE {self.name(table)} DROP IF EXISTS {spot}")
+    def _versions(self, table: str) -> str:
+        return f"{self.location}/_versions/{table}"
 
-    def _stage_swap(self, table: str, rows: DataFrame, partition: str) -> DataFrame:
-        """Write the new rows of the touched partitions as a table of their own.
+    def _write_version(self, table: str, rows: DataFrame) -> dict[str | None, str | None]:
+        """Write the new rows of the touched partitions once; gives the folder of each partition value.
 
         One shuffle by partition value and key hash keeps the number of files low
         without sending a large day to a single task: AQE splits big partitions.
         """
-        chosen = rows.select(*self.stored(table).columns).hint("rebalance", partition)
-        chosen.write.format("parquet").saveAsTable(self.name(f"swap_{table}"))
-        return self.spark.table(self.name(f"swap_{table}"))
+        partition, folder = schemas.PARTITIONS[table], f"{self._versions(table)}/{uuid.uuid4().hex}"
+        rows.select(*self.stored(table).columns).hint("rebalance", partition).write.partitionBy(partition).parquet(folder)
+        folders = {unquote(path).rsplit("/", 1)[0] for path in self.spark.read.schema(self.stored(table).schema).parquet(folder).inputFiles()}
+        values = {unquote(path.rsplit("=", 1)[1]): path for path in folders if "=" in path.rsplit("/", 1)[1]}
+        return {None if value == NULL_PARTITION else value: path for value, path in values.items()}
+
+    def _pointers(self, table: str) -> DataFrame | None:
+        """(version, value, folder) of each partition that a load has set; no folder if it was dropped."""
+        try:
+            return self.spark.read.schema(POINTERS).parquet(f"{self._versions(table)}/pointers")
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return None
+
+    def _commit(self, table: str, folders: dict[str | None, str | None]) -> None:
+        """Add the pointers of one version, in one file, which makes it count; then set the catalog to it."""
+        if folders:
+            version = self._version(table) + 1
+            rows = [pa.array([version] * len(folders), pa.int64()), pa.array(list(folders), pa.string()), pa.array(list(folders.values()), pa.string())]
+            pointers = self.spark.createDataFrame(pa.table(rows, names=["version", "value", "folder"]))
+            pointers.coalesce(1).write.mode("append").parquet(f"{self._versions(table)}/pointers")
+            self._switch(table, version, folders)
+
+    def _version(self, table: str) -> int:
+        """The last version that the catalog has been set to."""
+        told = {row["key"]: row["value"] for row in self.spark.sql(f"SHOW TBLPROPERTIES {self.name(table)}").collect()}
+        return int(told.get(VERSION, 0))
 
     def finish_swaps(self, *tables: str) -> None:
-        """Overwrite partitions with staged rows, then drop the stage.
+        """Set the catalog's partitions to the folders of the versions it does not know yet.
 
-        A stage is in the catalog only once it is written as a whole. It is dropped
-        after its swap, so one that is still there was interrupted and is repeated,
-        which gives the same rows. A stage without rows changes nothing.
+        Where a driver was lost between a commit and its switch, the next load does it.
         """
         for table in tables or schemas.PARTITIONS:
-            swap = self.name(f"swap_{table}")
-            if self.spark.catalog.tableExists(swap):
-                rows = self.spark.table(swap).hint("rebalance", schemas.PARTITIONS[table])
-                rows.write.mode("overwrite").insertInto(self.name(table))
-                self.spark.sql(f"DROP TABLE {swap}")
+            pointers = self._pointers(table)
+            fresh = pointers and pointers.where(F.col("version") > self._version(table))
+            if not fresh or fresh.isEmpty():
+                continue
+            last = F.max_by(F.struct("folder"), "version")["folder"].alias("folder")
+            entries = fresh.groupBy("value").agg(last, F.max("version").alias("version")).collect()
+            folders = {row["value"]: row["folder"] for row in entries}
+            self._switch(table, max(row["version"] for row in entries), folders)
+
+    def _switch(self, table: str, version: int, folders: dict[str | None, str | None]) -> None:
+        """Set partitions to their folders; doing it twice changes nothing.
+
+        They are set one by one: a reader may meet a new day beside an old one, but never
+        half a day.
+        """
+        name, partition = self.name(table), schemas.PARTITIONS[table]
+        known = {row[0] for row in self.spark.sql(f"SHOW PARTITIONS {name}").collect()}
+        added = []
+        for value, folder in folders.items():
+            spot = f"PARTITION ({partition} = {_literal(value)})"
+            if folder is None:
+                self.spark.sql(f"ALTER TABLE {name} DROP IF EXISTS {spot}")
+            elif f"{partition}={NULL_PARTITION if value is None else value}" in known:
+                self.spark.sql(f"ALTER TABLE {name} {spot} SET LOCATION {_literal(folder)}")
+            else:
+                added.append(f"{spot} LOCATION {_literal(folder)}")
+        if added:
+            self.spark.sql(f"ALTER TABLE {name} ADD IF NOT EXISTS {' '.join(added)}")
+        self.spark.sql(f"ALTER TABLE {name} SET TBLPROPERTIES ('{VERSION}' = '{version}')")
+        self.spark.catalog.refreshTable(name)
+
+
+def _text(value: object) -> str | None:
+    return None if value is None else str(value)
+
+
+def _literal(text: str | None) -> str:
+    return "null" if text is None else "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
 def in_values(column: str, values: Sequence) -> Column:

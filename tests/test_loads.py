@@ -262,29 +262,40 @@ def test_unreadable_counts_are_reported(spark):
     assert found == [("Confirmed", "1,234"), ("Deaths", "many")]
 
 
-def test_interrupted_swap_is_repeated(spark, warehouse, landing, monkeypatch):
+class Lost(Exception):
+    pass
+
+
+@pytest.mark.parametrize("step", ["_commit", "_switch"])
+def test_readers_see_old_or_new_rows_and_a_lost_driver_loses_none(spark, warehouse, landing, monkeypatch, step):
     load_cases(warehouse, landing)
     before = rows(warehouse.read("daily_case"))
+    in_hand = warehouse.read("daily_case").where("country_region = 'France'")
+    in_hand.schema, in_hand.explain  # planned before the load
+    kept = rows(in_hand)
     write(f"{landing.path(landing.cases)}/03-24-2020.csv", NEW, [["", "", "", "US", "2020-03-24 01:00:00", "50", "", "", ""]])
+    write(f"{landing.path(landing.cases)}/03-22-2020.csv", NEW, [["", "", "", "France", "2020-03-22 23:45:00", "777", "", "", ""]])
+    whole = getattr(Warehouse, step)
 
-    class Lost(Exception):
-        pass
-
-    finish = Warehouse.finish_swaps
-
-    def interrupted(self, *tables):
-        if spark.catalog.tableExists(self.name("swap_daily_case")):
+    def lost(self, table, *rest):
+        if table == "daily_case":
             raise Lost
-        finish(self, *tables)
+        return whole(self, table, *rest)
 
-    monkeypatch.setattr(Warehouse, "finish_swaps", interrupted)
+    monkeypatch.setattr(Warehouse, step, lost)
     with pytest.raises(Lost):
-        load_cases(warehouse, landing)
+        load_cases(warehouse, landing, dates=("2020-03-22", "2020-03-24"))
     assert rows(warehouse.read("daily_case")) == before
     monkeypatch.undo()
-    load_cases(warehouse, landing)
+    if step == "_switch":  # committed: a new catalog finds the new rows
+        spark.sql(f"DROP TABLE {warehouse.name('daily_case')}")
+        warehouse.create_tables()
+        assert warehouse.read("daily_case").count() == len(before) + 1
+        assert (777,) in rows(warehouse.read("daily_case"), "confirmed")
+    load_cases(warehouse, landing, dates=("2020-03-22", "2020-03-24"))
     assert warehouse.read("daily_case").count() == len(before) + 1
-    assert not spark.catalog.tableExists(warehouse.name("swap_daily_case"))
+    assert (777,) in rows(warehouse.read("daily_case"), "confirmed")
+    assert rows(in_hand) == kept  # its files are still there
 
 
 def test_stream_does_not_depend_on_the_order_of_parts(spark, warehouse, tmp_path):
