@@ -10,9 +10,20 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from epimill.plans.update import Landing, case_files
 from epimill.schemas import RENAMES
+from epimill.session import scratch_path
 from epimill.sinks.csv_files import write_csv, write_reports
 from epimill.sources.csv_files import ROW_INDEX, header_groups, read_group, rename_columns
-from epimill.sources.files import REPORT_COLUMN, in_date_range, list_files, not_landed, with_layout
+from epimill.sources.files import (
+    REPORT_COLUMN,
+    REPORTS_PER_BATCH,
+    by_report,
+    in_date_range,
+    in_hash_batches,
+    list_files,
+    not_landed,
+    read_batches,
+    with_layout,
+)
 
 
 def reports_to_land(source: DataFrame, landed: DataFrame, dates: tuple[str, ...] | None = None) -> DataFrame:
@@ -22,36 +33,63 @@ def reports_to_land(source: DataFrame, landed: DataFrame, dates: tuple[str, ...]
 
 
 def copy_reports(
-    spark: SparkSession, paths: list[str], folder: str, renames: dict[str, str] | None = None
+    spark: SparkSession,
+    paths: list[str],
+    folder: str,
+    renames: dict[str, str] | None = None,
+    samples: list[str] | None = None,
 ) -> None:
     """Copy reports into a folder, one write per distinct header."""
-    for names, reports in header_groups(spark, paths):
+    for names, reports in header_groups(spark, paths, samples):
         rows = rename_columns(read_group(spark, names, reports, trusted=True), renames or {})
         kept = [name for name in rows.columns if name not in (ROW_INDEX, "source_file", "scan_position")]
         write_reports(rows.select(*kept, F.col("source_file").alias(REPORT_COLUMN)), folder)
 
 
+def copy_in_batches(
+    files: DataFrame,
+    folders: dict[str, str],
+    renames: dict[str, str] | None = None,
+    reports_per_batch: int = REPORTS_PER_BATCH,
+) -> int:
+    """Copy the reports of a manifest into the folder of their layout; returns their number.
+
+    What is to be copied is stored first, as a landing that grows changes what is new; the driver
+    then holds the names of one batch at a time, about ``reports_per_batch``.
+    """
+    spark, stored = files.sparkSession, scratch_path(files.sparkSession, "manifest")
+    by_report(files, "layout").write.parquet(stored)
+    listed, copied = spark.read.parquet(stored), 0
+    for chosen in read_batches(in_hash_batches(listed, reports_per_batch)):
+        for layout, folder in folders.items():
+            reports = [row for row in chosen if row["layout"] == layout and row["sample"]]
+            if reports:
+                paths, samples = (sorted(row[name] for row in reports) for name in ("report_path", "sample"))
+                copy_reports(spark, paths, folder, renames, samples)
+        copied += len(chosen)
+    return copied
+
+
 def land_cases(
-    spark: SparkSession, source: str, landing: Landing, dates: tuple[str, ...] | None = None
+    spark: SparkSession,
+    source: str,
+    landing: Landing,
+    dates: tuple[str, ...] | None = None,
+    reports_per_batch: int = REPORTS_PER_BATCH,
 ) -> int:
     """Land new case reports, old and new layout in their own folders; returns their number."""
     offered = list_files(spark, source, recursive=True)
     chosen = reports_to_land(offered, case_files(spark, landing), dates)
-    reports = chosen.select("report_path", "layout").distinct().collect()
-    for layout, folder in (("old", landing.old_cases), ("new", landing.cases)):
-        paths = sorted(row["report_path"] for row in reports if row["layout"] == layout)
-        if paths:
-            copy_reports(spark, paths, landing.path(folder))
-    return len(reports)
+    folders = {"old": landing.path(landing.old_cases), "new": landing.path(landing.cases)}
+    return copy_in_batches(chosen, folders, reports_per_batch=reports_per_batch)
 
 
-def land_vaccinations(spark: SparkSession, source: str, landing: Landing) -> int:
+def land_vaccinations(
+    spark: SparkSession, source: str, landing: Landing, reports_per_batch: int = REPORTS_PER_BATCH
+) -> int:
     """Land all vaccination files; the source rewrites them in place."""
-    offered = list_files(spark, source, recursive=True).select("report_path").distinct().collect()
-    paths = sorted(row["report_path"] for row in offered)
-    if paths:
-        copy_reports(spark, paths, landing.path(landing.vaccinations))
-    return len(paths)
+    offered = list_files(spark, source, recursive=True).withColumn("layout", F.lit("vac"))
+    return copy_in_batches(offered, {"vac": landing.path(landing.vaccinations)}, None, reports_per_batch)
 
 
 def land_lookup(spark: SparkSession, source: str, name: str, target: str) -> bool:
@@ -67,11 +105,15 @@ def land_lookup(spark: SparkSession, source: str, name: str, target: str) -> boo
     return bool(found)
 
 
-def rewrite_old_cases(spark: SparkSession, landing: Landing, folder: str, names: list[str] | None = None) -> None:
+def rewrite_old_cases(
+    spark: SparkSession,
+    landing: Landing,
+    folder: str,
+    names: list[str] | None = None,
+    reports_per_batch: int = REPORTS_PER_BATCH,
+) -> None:
     """Write old-layout reports again under the newer column names, into another folder."""
-    files = list_files(spark, landing.path(landing.old_cases))
+    files = list_files(spark, landing.path(landing.old_cases)).withColumn("layout", F.lit("old"))
     if names:
         files = files.where(F.col("file_name").isin(names))
-    paths = sorted(row["report_path"] for row in files.select("report_path").distinct().collect())
-    if paths:
-        copy_reports(spark, paths, folder, RENAMES)
+    copy_in_batches(files, {"old": folder}, RENAMES, reports_per_batch)

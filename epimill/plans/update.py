@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from datetime import timedelta
 
 from pyspark.sql import DataFrame, Row, SparkSession, functions as F
 
@@ -13,7 +14,15 @@ from epimill.plans import conform
 from epimill.session import local_table
 from epimill.sinks.warehouse import Warehouse
 from epimill.sources.csv_files import read_csv_files
-from epimill.sources.files import by_report, choose_files, list_files, with_file_date
+from epimill.sources.files import (
+    REPORTS_PER_BATCH,
+    by_report,
+    choose_files,
+    in_day_batches,
+    list_files,
+    read_batches,
+    with_file_date,
+)
 
 
 @dataclass(frozen=True)
@@ -49,6 +58,7 @@ def load_cases(
     corrections: Sequence[tuple[str, str, str, str]] = (),
     headers: dict[str, list[str]] | None = None,
     multi_line: bool = False,
+    reports_per_batch: int = REPORTS_PER_BATCH,
 ) -> int:
     """Load daily reports into the case, time and ledger tables; returns the file count.
 
@@ -59,14 +69,21 @@ def load_cases(
     the other countries' rows are still to be loaded.
     ``headers`` names the header of a layout where it is known to be the same in
     all files, which saves looking for header lines. A row that does not have its header's
-    columns stops the load before anything is stored; ``multi_line`` reads quoted values
-    that go on in the next line, with one task for each file.
+    columns stops the load before anything of its batch is stored; ``multi_line`` reads quoted
+    values that go on in the next line, with one task for each file.
+
+    The reports are loaded in batches of whole days, oldest first, so that the driver never
+    holds more names than those of ``reports_per_batch`` reports and a day. Each batch is
+    booked when it is stored; a load that stops goes on with the next one when it is repeated.
     """
     process_all = process_all or reload_country is not None and not dates
     files = choose_files(
         case_files(warehouse.spark, landing), warehouse.read("csv_record"), "case", dates, process_all
     )
-    return load_reports(warehouse, files, dates, reload_country, corrections, headers, multi_line=multi_line)
+    return load_reports(
+        warehouse, files, dates, reload_country, corrections, headers,
+        multi_line=multi_line, reports_per_batch=reports_per_batch,
+    )
 
 
 def load_reports(
@@ -78,33 +95,72 @@ def load_reports(
     headers: dict[str, list[str]] | None = None,
     replace_rows: bool = False,
     multi_line: bool = False,
+    reports_per_batch: int = REPORTS_PER_BATCH,
 ) -> int:
     """Load the case reports that a manifest with layouts names, each of them whole.
 
     With ``replace_rows``, a stored row gives way as a whole to the report's row of its
-    key; otherwise its counts are updated and its stamp stays.
+    key; otherwise its counts are updated and its stamp stays. The manifest is stored
+    first: what the ledger or the folder says later does not change a load under way.
     """
     spark = warehouse.spark
-    chosen = with_file_date(by_report(files, "layout")).collect()
-    if not chosen:
-        return 0
-    undated = sorted(row["file_name"] for row in chosen if row["file_date"] is None)
-    if undated:
-        raise ValueError(f"no report date in file names: {undated}")
+    with warehouse.staged(with_file_date(by_report(files, "layout")), "files") as listed:
+        undated = listed.where("file_date is null").select("file_name").orderBy("file_name").limit(10).collect()
+        if undated:
+            raise ValueError(f"no report date in file names: {[row['file_name'] for row in undated]}")
+        n_reports, n_readable = listed.agg(F.count("*"), F.count("sample")).first()
+        if n_reports and not n_readable:
+            raise ValueError("the case files are empty, without even a header")
+        first, last = (dates[0], dates[-1]) if dates else (None, None)
+        done = 0
+        for chosen in read_batches(in_day_batches(listed, reports_per_batch)):
+            done += len(chosen)
+            latest = max(row["file_date"] for row in chosen)
+            rows = read_cases(spark, chosen, corrections, headers or {}, multi_line)
+            # the days between two batches belong to the later one
+            days = (first, last if done == n_reports else latest)
+            store_cases(warehouse, rows, days, reload_country, replace_rows)
+            first = latest + timedelta(days=1)
+            names = names_of(warehouse, chosen)
+            if reload_country is not None:
+                known = warehouse.read("csv_record").where("data_type = 'case'").select("file_name")
+                names = names.join(known, "file_name", "left_semi")
+            record_files(warehouse, names, "case")
+    return n_reports
+
+
+def read_cases(
+    spark: SparkSession,
+    chosen: Sequence[Row],
+    corrections: Sequence[tuple[str, str, str, str]],
+    headers: dict[str, list[str]],
+    multi_line: bool,
+) -> DataFrame:
+    """Conformed rows of reports of both layouts, with corrected stamps; none if all are empty files."""
     raw = None
     for layout in ("new", "old"):
         reports = [row for row in chosen if row["layout"] == layout and row["sample"]]
         if reports:
             part = read_reports(
-                spark, reports, conform.CASE_COLUMNS, conform.CASE_REQUIRED, (headers or {}).get(layout), multi_line
+                spark, reports, conform.CASE_COLUMNS, conform.CASE_REQUIRED, headers.get(layout), multi_line
             )
             part = part.withColumn("layout", F.lit(layout))
             raw = part if raw is None else raw.unionByName(part)
     if raw is None:
-        raise ValueError("the case files are empty, without even a header")
+        texts = ", ".join(f"{name} string" for name in [*conform.CASE_COLUMNS, *conform.LINEAGE])
+        raw = spark.createDataFrame([], texts)
     rows = conform.conform_cases(raw)
-    if corrections:
-        rows = correct_stamps(rows, corrections_table(spark, corrections))
+    return correct_stamps(rows, corrections_table(spark, corrections)) if corrections else rows
+
+
+def store_cases(
+    warehouse: Warehouse,
+    rows: DataFrame,
+    days: tuple[object, object],
+    reload_country: str | None,
+    replace_rows: bool,
+) -> None:
+    """Store conformed rows; a reload first deletes the country's rows of the days, ends included."""
     wanted = F.lit(True) if reload_country is None else F.col("country_region") == reload_country
     with warehouse.staged(rows, "cases") as stage:
         chosen_rows = stage.where(wanted)
@@ -112,15 +168,8 @@ def load_reports(
         if reload_country is None:
             warehouse.upsert("daily_case", unique, chosen_rows, replace_rows)
         else:
-            first, last = (dates[0], dates[-1]) if dates else (None, None)
-            warehouse.replace("daily_case", unique, "date_case", first, last, wanted)
+            warehouse.replace("daily_case", unique, "date_case", *days, wanted)
         warehouse.insert_if_absent("dim_time", conform.time_rows(stage))
-    names = names_of(warehouse, chosen)
-    if reload_country is not None:
-        known = warehouse.read("csv_record").where("data_type = 'case'").select("file_name")
-        names = names.join(known, "file_name", "left_semi")
-    record_files(warehouse, names, "case")
-    return len(chosen)
 
 
 def load_vaccinations(warehouse: Warehouse, landing: Landing, process_all: bool = True) -> int:

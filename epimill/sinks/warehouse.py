@@ -142,13 +142,15 @@ class Warehouse:
     ) -> None:
         """Delete rows that meet a condition within a partition range, then add a batch.
 
+        A range without a first or last value is open on that side.
         Only partitions that hold such rows or get new ones are rewritten. Those left
         without rows are dropped: an overwrite would not see them.
         """
         self.finish_swaps(table)
         current = self.stored(table)
         batch = self._with_storage(table, batch)
-        in_range = F.lit(True) if first is None else F.col(partition).between(F.lit(first), F.lit(last))
+        in_range = F.lit(True) if first is None else F.col(partition) >= F.lit(first)
+        in_range = in_range if last is None else in_range & (F.col(partition) <= F.lit(last))
         before = self.touched(current.where(in_range & doomed), partition)
         stored = current.where(in_values(partition, [*before, *self.touched(batch, partition)]))
         folders = self._write_version(table, replace_rows(stored, batch, doomed & in_range))

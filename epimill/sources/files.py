@@ -7,8 +7,10 @@ file or, when it is large, a folder of part files that bears the report's name.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window, functions as F
 
 from epimill.functions.dates import file_date, file_name_for
 from epimill.functions.texts import contains_any
@@ -23,6 +25,8 @@ MANIFEST = "path string, file_name string, report_path string, modification_time
 
 REPORT_COLUMN = "report"
 
+REPORTS_PER_BATCH = 10_000
+
 
 def unescape(text: Column) -> Column:
     """Text without URL escapes; a plus sign in it is not an escape."""
@@ -151,3 +155,30 @@ def choose_files(
     if process_all:
         return files
     return not_in_ledger(files, ledger, data_type)
+
+
+def in_day_batches(reports: DataFrame, reports_per_batch: int = REPORTS_PER_BATCH) -> DataFrame:
+    """Dated reports with their batch, from 0, in the order of days.
+
+    A day is never cut, so a batch has less than ``reports_per_batch`` reports beside those of
+    its last day. The running sum is over days, of which there are as many as in the calendar.
+    """
+    days = reports.groupBy("file_date").agg(F.count("*").alias("_reports"))
+    before = F.sum("_reports").over(Window.orderBy("file_date")) - F.col("_reports")
+    days = days.select("file_date", F.floor(before / reports_per_batch).alias("_batch"))
+    # numbers without gaps, as a crowded day may skip some
+    days = days.select("file_date", (F.dense_rank().over(Window.orderBy("_batch")) - 1).alias("batch"))
+    return reports.join(days, "file_date")
+
+
+def in_hash_batches(reports: DataFrame, reports_per_batch: int = REPORTS_PER_BATCH) -> DataFrame:
+    """Reports with a batch by the hash of their name, for steps that take each name alone."""
+    batches = max(1, -(-reports.count() // reports_per_batch))
+    return reports.withColumn("batch", F.pmod(F.xxhash64("file_name"), F.lit(batches)).cast("int"))
+
+
+def read_batches(manifest: DataFrame) -> Iterator[list[Row]]:
+    """The reports of one batch after another, of a stored manifest; none of them is empty."""
+    numbers = manifest.select("batch").distinct().orderBy("batch").collect()
+    for (number,) in numbers:
+        yield manifest.where(F.col("batch") == number).orderBy("report_path").collect()

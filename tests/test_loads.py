@@ -17,6 +17,7 @@ from epimill.plans.landing import copy_reports, land_cases, land_lookup, land_va
 from epimill.plans.reports import ORACLES, loads
 from epimill.plans.update import (
     Landing,
+    case_files,
     daily_update,
     load_cases,
     load_lookup,
@@ -28,8 +29,11 @@ from epimill.sinks.warehouse import Warehouse, in_values
 from epimill.sources.csv_files import broken_rows, column_names, header_groups, read_csv_files
 from epimill.sources.files import (
     choose_files,
+    in_day_batches,
+    in_hash_batches,
     list_files,
     names_between,
+    read_batches,
     with_layout,
     with_name_containing,
 )
@@ -385,6 +389,60 @@ def test_reload_without_dates_clears_the_country(warehouse, landing):
     assert warehouse.read("daily_case").count() == 7
 
 
+@pytest.mark.parametrize("size, batches", [(1, [["a", "b", "c"], ["d"], ["e"]]), (3, [["a", "b", "c"], ["d", "e"]]), (9, [["a", "b", "c", "d", "e"]])])
+def test_batches_hold_whole_days_in_order(spark, size, batches):
+    days = {"a": 1, "b": 1, "c": 1, "d": 2, "e": 4}
+    reports = spark.createDataFrame([(name, dt.date(2020, 3, day)) for name, day in days.items()], "report_path string, file_date date")
+    got = [[row["report_path"] for row in chosen] for chosen in read_batches(in_day_batches(reports, size))]
+    assert got == batches
+    assert list(read_batches(in_day_batches(reports.limit(0), size))) == []
+
+
+def test_hash_batches_keep_every_report_and_equal_names_together(spark):
+    reports = spark.createDataFrame([(f"{folder}/{i}", str(i)) for i in range(40) for folder in "xy"], "report_path string, file_name string")
+    got = [{row["report_path"] for row in chosen} for chosen in read_batches(in_hash_batches(reports, 20))]
+    assert len(got) == 4 and sum(map(len, got)) == 80
+    assert all(f"y/{path[2:]}" in batch for batch in got for path in batch)
+
+
+def test_load_in_batches_goes_on_where_it_stopped(warehouse, landing):
+    """Batches before a broken one are stored and booked; the repeated load takes the others."""
+    path = f"{landing.path(landing.cases)}/03-23-2020.csv"
+    with open(path) as file:
+        whole = file.read()
+    with open(path, "a") as file:
+        file.write("8,torn\n")
+    with pytest.raises(Exception, match="no row of its header"):
+        load_cases(warehouse, landing, reports_per_batch=1)
+    assert rows(warehouse.read("csv_record"), "file_name") == [("01-22-2020.csv",), ("03-22-2020.csv",)]
+    assert warehouse.read("daily_case").where("date_string = '2020-03-23'").count() == 0
+    with open(path, "w") as file:
+        file.write(whole)
+    assert load_cases(warehouse, landing, reports_per_batch=1) == 1
+    assert warehouse.read("daily_case").count() == 6
+
+
+@pytest.mark.parametrize("dates", [None, ("2020-01-01", "2020-04-30")])
+def test_reload_in_batches_clears_days_between_and_after_the_reports(warehouse, landing, dates):
+    for day in ("03-25-2020", "04-01-2020", "04-20-2020"):
+        write(f"{landing.path(landing.cases)}/{day}.csv", NEW, [["", "", "", "US", f"{day} 01:00:00", "50", "", "", ""]])
+    load_cases(warehouse, landing)
+    for day in ("03-25-2020", "04-20-2020"):
+        os.remove(f"{landing.path(landing.cases)}/{day}.csv")
+    open(f"{landing.path(landing.cases)}/03-22-2020.csv", "w").close()  # a batch of an empty file alone
+    load_cases(warehouse, landing, dates=dates, reload_country="US", reports_per_batch=1)
+    got = rows(warehouse.read("daily_case").where("country_region = 'US'"), "date_string", "confirmed")
+    assert got == [("2020-03-23", 20), ("2020-04-01", 50)]
+
+
+def test_landing_in_batches(spark, landing, tmp_path):
+    target = Landing(str(tmp_path / "other"))
+    assert land_cases(spark, landing.root, target, reports_per_batch=1) == 3
+    assert land_cases(spark, landing.root, target) == 0
+    found = {row["file_name"] for row in case_files(spark, target).collect()}
+    assert found == {"01-22-2020.csv", "03-22-2020.csv", "03-23-2020.csv"}
+
+
 def test_file_read_for_one_country_is_loaded_for_the_others_later(warehouse, landing):
     load_cases(warehouse, landing, dates=("2020-03-22",), reload_country="US")
     assert rows(warehouse.read("daily_case"), "country_region") == [("US",)]
