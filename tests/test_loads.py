@@ -437,8 +437,9 @@ def test_reload_in_batches_clears_days_between_and_after_the_reports(warehouse,
 
 def test_landing_in_batches(spark, landing, tmp_path):
     target = Landing(str(tmp_path / "other"))
-    assert land_cases(spark, landing.root, target, reports_per_batch=1) == 3
-    assert land_cases(spark, landing.root, target) == 0
+    source = landing.path(landing.cases)
+    assert land_cases(spark, source, target, reports_per_batch=1) == 3
+    assert land_cases(spark, source, target) == 0
     found = {row["file_name"] for row in case_files(spark, target).collect()}
     assert found == {"01-22-2020.csv", "03-22-2020.csv", "03-23-2020.csv"}
 
