@@ -135,13 +135,19 @@ def all_runs(texts: DataFrame, length: int) -> DataFrame:
     return texts.mapInArrow(run, "a long, b int, anchor long, segment long, place long")
 
 
-def compressed(texts: DataFrame, keep: list[str]) -> DataFrame:
-    """Rows with their text compressed, for an exchange."""
+def compressed(texts: DataFrame, keep: list[str], once: bool = False) -> DataFrame:
+    """Rows with their text compressed, for an exchange; ``once`` passes on one of a split's equal rows."""
     schema = T.StructType([*[texts.schema[c] for c in keep], T.StructField("packed", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=3, write_checksum=False, write_content_size=True).compress
+        seen: set[tuple[int, int]] = set()  # at most the rows of one split
         for batch in batches:
+            if once:
+                keys = list(zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True))
+                first = {key: i for i, key in reversed(list(enumerate(keys))) if key not in seen}
+                seen.update(first)
+                batch = batch.take(pa.array(sorted(first.values()), pa.int64()))
             packed = pa.array((pack(_bytes(t)) for t in batch.column("text")), pa.binary())
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], packed], schema.names)
 
@@ -149,17 +155,28 @@ def compressed(texts: DataFrame, keep: list[str]) -> DataFrame:
 
 
 def _with_runs(texts: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(packed, runs): the texts of the wanted segments, each with its own."""
+    """(a, b, packed, runs): the texts of the wanted segments, each with its own.
+
+    A row that repeats in every column comes once from each split at most.
+    """
     entry = F.struct("place", "anchor", "segment")
     of_row = wanted.groupBy("a", "b").agg(F.collect_list(entry).alias("runs"))
-    return compressed(texts, ["a", "b"]).join(of_row, ["a", "b"]).select("packed", "runs")
+    return compressed(texts, ["a", "b"], once=True).join(of_row, ["a", "b"]).select("a", "b", "packed", "runs")
 
 
 def _segments(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[tuple[int, int, int, bytes]]:
-    """(anchor, segment, distance of its first start to the anchor, bytes) of all runs."""
+    """(anchor, segment, distance of its first start to the anchor, bytes) of all runs.
+
+    Equal rows stand side by side after a sorted join; one of them is enough.
+    """
     unpack = zstandard.ZstdDecompressor().decompress
+    before = None
     for batch in batches:
-        for packed, runs in zip(batch.column("packed"), batch.column("runs"), strict=True):
+        for a, b, packed, runs in zip(*(batch.column(c) for c in ("a", "b", "packed", "runs")), strict=True):
+            row = a.as_py(), b.as_py()
+            if row == before:
+                continue
+            before = row
             data = unpack(_bytes(packed))
             for r in runs.as_py():
                 first, lead, more = _unplaced(r["place"])

@@ -21,7 +21,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 
 BATCH = 1 << 16
-QUEUE_ENTRIES = 1 << 24
+QUEUE_ENTRIES = 1 << 20  # 8 MB; the queues of an ordinary shard hold more, and go to disk
 IN_MEMORY = 1 << 23
 LCP_BITS = 12
 MOST_LCP = (1 << LCP_BITS) - 1

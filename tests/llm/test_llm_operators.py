@@ -211,6 +211,36 @@ def test_segments_of_a_frequent_anchor_are_spread(spark, monkeypatch):
     assert sizes and max(sizes) <= 3 * 4000
 
 
+def test_queues_of_an_ordinary_shard_go_to_disk(monkeypatch):
+    """With the bounds of the query, a part of a shard already spills, and gives what queues in memory give."""
+    draw = np.random.default_rng(5)
+    text = draw.integers(97, 123, repeats.SHARD_BYTES // 3).astype(np.uint8)
+    text[2_000_000:2_000_900] = text[1_000:1_900]
+    files, held = [], suffixes.Spill.close
+
+    def watched(spill):
+        files.append(spill.file is not None)
+        held(spill)
+
+    monkeypatch.setattr(suffixes.Spill, "close", watched)
+    found = suffixes.repeated_starts(text, 400)
+    assert any(files)
+    assert np.flatnonzero(found).tolist() == [*range(1_000, 1_501), *range(2_000_000, 2_000_501)]
+
+
+def test_repeated_rows_are_shipped_to_shards_once(spark):
+    """10,000 rows that repeat in every column send one segment text per split, not one per row."""
+    line = "".join(chr(97 + i * i % 23) + str(i) for i in range(300))
+    table = spark.createDataFrame([(1, line)] * 10_000 + [(2, line[:700] + "!" + line[:450])], "doc_id long, text string")
+    texts = table.repartition(4).select(F.lit(1).cast("long").alias("a"), F.col("doc_id").cast("int").alias("b"), F.encode("text", "utf-8").alias("text"))
+    assert repeats.compressed(texts, ["a", "b"], once=True).count() <= 8
+    got = repeats.remove_repeats(table).groupBy("doc_id", "n_bytes", "n_removed", "n_spans").count().collect()
+    wanted = Counter(brute_repeats([line, line, line[:700] + "!" + line[:450]], 400))
+    assert sorted(r["count"] for r in got) == [1, 10_000]
+    assert {r["n_removed"] for r in got if r["doc_id"] == 1} == {len(line)}
+    assert len(wanted) == 2
+
+
 def test_suffix_order_with_queues_on_disk_and_recursion():
     rng = np.random.default_rng(3)
     for _ in range(400):
