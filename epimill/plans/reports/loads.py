@@ -439,16 +439,16 @@ def reload_new_files(spark, sf_dir):
 
 @report("SELECT * EXCLUDE (day) FROM changed", EVENT_CASES.rstrip() + CHANGED_CASES)
 def ingest_in_batches(spark, sf_dir):
-    """Reports landed and loaded in batches of about seven, as a backlog of many files would be; then some changed ones."""
+    """Reports landed and loaded in batches of about sixteen, as a backlog of many files would be; then some changed ones."""
     source, landing = scratch_path(spark, "source"), Landing(scratch_path(spark, "landing"))
     published = land_event_reports(spark, sf_dir, source)
     warehouse = new_warehouse(spark)
-    landed = land_cases(spark, published.root, landing, reports_per_batch=7)
-    if load_cases(warehouse, landing, reports_per_batch=7) != landed or load_cases(warehouse, landing):
+    landed = land_cases(spark, published.root, landing, reports_per_batch=16)
+    if load_cases(warehouse, landing, reports_per_batch=16) != landed or load_cases(warehouse, landing):
         raise RuntimeError("not every landed report has been loaded and booked")
     changed = changed_reports(spark, sf_dir).where(in_days("2024-01-08", "2024-01-12"))
     again = land_event_reports(spark, sf_dir, scratch_path(spark, "landing"), changed)
-    load_cases(warehouse, again, dates=("2024-01-08", "2024-01-12"), reports_per_batch=2)
+    load_cases(warehouse, again, dates=("2024-01-08", "2024-01-12"), reports_per_batch=3)
     return warehouse.read("daily_case")
 
 
