@@ -16,6 +16,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -109,8 +110,35 @@ def count_contexts(sample: DataFrame, text: str, language: str) -> DataFrame:
     return counted.groupBy("language", "depth", "gram").agg(F.sum("n").alias("n"))
 
 
+class SparseRows:
+    """A number for some owners of some keys: the owners of a key lie in a row, the keys ascend."""
+
+    def __init__(self, keys: np.ndarray, owner: np.ndarray, value: np.ndarray):
+        order = np.lexsort((owner, keys))
+        self.keys, starts = np.unique(keys[order], return_index=True)
+        self.starts = np.append(starts, len(keys))
+        self.owner, self.value = owner[order].astype(np.int32), value[order].astype(np.float32)
+
+    def entries(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(place in ``wanted``, owner, value) of all entries of the wanted keys."""
+        at = np.minimum(np.searchsorted(self.keys, wanted), len(self.keys) - 1)
+        known = np.flatnonzero(self.keys[at] == wanted)
+        first, n = self.starts[at[known]], np.diff(self.starts)[at[known]]
+        entry = np.arange(n.sum()) + np.repeat(first - (np.cumsum(n) - n), n)
+        return np.repeat(known, n), self.owner[entry], self.value[entry]
+
+    @property
+    def nbytes(self) -> int:
+        return sum(x.nbytes for x in (self.keys, self.starts, self.owner, self.value))
+
+
 class ContextTrees:
-    """Frozen code lengths in bits of each symbol after each context, for all languages."""
+    """Frozen code lengths in bits of each symbol after each context, for all languages.
+
+    Only what a language has seen is held: for each depth the bits of its symbols after its contexts,
+    and of its escapes. So memory grows with the contexts of the languages, not with
+    all contexts of all symbols times languages. What follows a context follows its shorter ones too.
+    """
 
     def __init__(self, languages: list[str], depth: np.ndarray, gram: np.ndarray, owner: np.ndarray, n: np.ndarray):
         self.languages = languages
@@ -121,32 +149,48 @@ class ContextTrees:
         self.symbol_of_byte = to_symbol[CLASSES]
         self.blank = int(to_symbol[BLANK])
         size, n_languages = self.size, len(languages)
-        shorter = np.full((1, n_languages, size), 1 / size)  # of the contexts one symbol shorter
-        row_of = np.zeros(1, np.int64)  # row of the longest known context, by number of the full one
-        tables: list[np.ndarray] = []
-        base = 0  # rows of all shorter contexts but the next shorter ones
+        self.known: list[SparseRows] = []  # by depth: bits of a symbol after a context
+        self.escapes: list[SparseRows] = []  # bits from a context to the next shorter one, less those of exclusion
+        shorter_key, shorter = np.zeros(0, np.int64), np.zeros(0)  # probabilities one symbol shorter
         for order in range(ORDER + 1):
             own = depth == order
-            context = np.zeros(own.sum(), np.int64)
+            grams, who, times = gram[own].astype(np.int64), owner[own].astype(np.int64), n[own].astype(np.float64)
+            context = np.zeros(len(grams), np.int64)
             for back in range(order, 0, -1):
-                context = context * size + to_symbol[(gram[own] >> (8 * back)) & 255]
-            contexts, row = np.unique(context, return_inverse=True)
-            suffixes = size ** max(order - 1, 0)
-            shorter = shorter[row_of[contexts % suffixes] - base]
-            counts = np.zeros((len(contexts), n_languages, size))
-            np.add.at(counts, (row, owner[own], to_symbol[gram[own] & 255]), n[own])
-            total, kinds = counts.sum(2, keepdims=True), (counts > 0).sum(2, keepdims=True)
-            unseen = (shorter * (counts == 0)).sum(2, keepdims=True)
-            with np.errstate(divide="ignore", invalid="ignore"):
-                known = counts / np.where(unseen > 0, total + kinds, total)
-                escaped = kinds / (total + kinds) * shorter / unseen
-            shorter = np.where(total > 0, np.where(counts > 0, known, escaped), shorter)
-            base = sum(map(len, tables))
-            tables.append(shorter)
-            row_of = row_of[np.arange(size**order) % suffixes]
-            row_of[contexts] = base + np.arange(len(contexts))
-        self.row_of_context = row_of.astype(np.int32)
-        self.bits = (-np.log2(np.concatenate(tables))).transpose(0, 2, 1).reshape(-1, n_languages).astype(np.float32)
+                context = context * size + to_symbol[(grams >> (8 * back)) & 255]
+            symbol = to_symbol[grams & 255]
+            nodes, node = np.unique(context * n_languages + who, return_inverse=True)
+            total, kinds = np.bincount(node, times, len(nodes)), np.bincount(node, minlength=len(nodes))
+            if order:
+                suffix = context % size ** (order - 1)
+                below = shorter[np.searchsorted(shorter_key, (suffix * size + symbol) * n_languages + who)]
+            else:
+                below = np.full(len(grams), 1 / size)
+            # the symbol that the sample lacks is never seen, so something is left to escape to
+            unseen = 1 - np.bincount(node, below, len(nodes))
+            share = times / (total + kinds)[node]
+            self.known.append(SparseRows(context * size + symbol, who, -np.log2(share)))
+            bits = np.log2(total + kinds) - np.log2(kinds) + np.log2(unseen)
+            self.escapes.append(SparseRows(nodes // n_languages, nodes % n_languages, bits))
+            key = (context * size + symbol) * n_languages + who
+            sort = np.argsort(key)
+            shorter_key, shorter = key[sort], share[sort]
+
+    @property
+    def nbytes(self) -> int:
+        return sum(rows.nbytes for rows in (*self.known, *self.escapes))
+
+    def bits_of(self, places: np.ndarray) -> np.ndarray:
+        """Bits under each language of a symbol after its context; a place is context times size plus symbol."""
+        context, symbol = places // self.size, places % self.size
+        bits = np.full((len(places), len(self.languages)), np.log2(self.size), np.float32)
+        for order in range(ORDER + 1):
+            of = context % self.size**order
+            at, owner, escape = self.escapes[order].entries(of)
+            bits[at, owner] += escape
+            at, owner, own = self.known[order].entries(of * self.size + symbol)
+            bits[at, owner] = own
+        return bits
 
     def code_lengths(self, column: pa.Array) -> np.ndarray:
         """Bits of each text under each language."""
@@ -154,10 +198,16 @@ class ContextTrees:
         lengths = np.diff(offsets)
         total = np.zeros((len(lengths), len(self.languages)))
         symbols = self.symbol_of_byte[values]
-        context = _contexts(symbols, offsets[:-1], self.size, self.blank)
-        place = self.row_of_context[context].astype(np.int64) * self.size + symbols
-        for at in range(0, len(place), CHUNK_BYTES):
-            part = self.bits[place[at : at + CHUNK_BYTES]]
+        place = _contexts(symbols, offsets[:-1], self.size, self.blank) * self.size + symbols
+        step = max(CHUNK_BYTES // max(1, len(self.languages) // 4), 1)
+        for at in range(0, len(place), step):
+            # each place is looked up once, in ascending order
+            found = pa.array(place[at : at + step]).dictionary_encode()
+            places = found.dictionary.to_numpy()
+            order = np.argsort(places)
+            bits = np.empty((len(places), len(self.languages)), np.float32)
+            bits[order] = self.bits_of(places[order])
+            part = bits[found.indices.to_numpy()]
             first = np.searchsorted(offsets, at, "right") - 1
             last = np.searchsorted(offsets, at + len(part), "left")
             inside = np.flatnonzero(lengths[first:last]) + first
@@ -168,8 +218,8 @@ class ContextTrees:
 
 @lru_cache(maxsize=2)
 def _trees(languages: tuple[str, ...], counts: bytes) -> ContextTrees:
-    depth, gram, owner, n = np.frombuffer(counts, np.int64).reshape(4, -1)
-    return ContextTrees(list(languages), depth, gram, owner, n)
+    rows = pa.ipc.open_stream(counts).read_all()
+    return ContextTrees(list(languages), *(rows.column(c).to_numpy() for c in ("depth", "gram", "owner", "n")))
 
 
 def labelled_sample(
@@ -197,11 +247,17 @@ def train(
 
 def train_on(sample: DataFrame, text: str = "text", language: str = "lang") -> tuple[tuple[str, ...], bytes]:
     """Context counts of the languages, from all rows of a sample."""
-    rows = count_contexts(sample, text, language).toPandas().sort_values(["language", "depth", "gram"])
-    languages = tuple(sorted(rows["language"].unique()))
-    owner = rows["language"].map({name: i for i, name in enumerate(languages)})
-    counts = np.array([rows["depth"], rows["gram"], owner, rows["n"]], np.int64) if len(rows) else np.zeros((4, 0), np.int64)
-    return languages, counts.tobytes()
+    rows = count_contexts(sample, text, language).toArrow()
+    languages = tuple(sorted(pc.unique(rows.column("language")).to_pylist()))
+    owner = pc.index_in(rows.column("language"), pa.array(languages, pa.string()))
+    packed = pa.table({
+        "depth": rows.column("depth").cast(pa.uint8()), "gram": rows.column("gram").cast(pa.uint32()),
+        "owner": owner.cast(pa.uint16()), "n": rows.column("n"),
+    }).sort_by([(c, "ascending") for c in ("owner", "depth", "gram")])
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, packed.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_table(packed)
+    return languages, sink.getvalue().to_pybytes()
 
 
 def rate_bounds(sample: DataFrame, model: tuple[tuple[str, ...], bytes], text: str = "text") -> list[float]:
