@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from epimill.llm.bpe import word_memo
-from epimill.llm.common import stored
+from epimill.llm.common import fresh, stored
 
 SEQUENCE_TOKENS = 2048
 OPEN_BINS = 1024
@@ -107,8 +107,9 @@ def pack(
 ) -> DataFrame:
     """``pieces`` with sequence_id and offset: where each piece lies, gapless from 0.
 
-    Pieces are dealt out by a hash of their columns and arrive in the order of another hash,
-    so that a task that runs again packs the same sequences. Each task packs online with
+    Pieces are stored, dealt out by a hash of their columns and place, and arrive in the order of
+    another hash, so that a task that runs again packs the same sequences, and pieces that
+    repeat in every column go to all tasks. Each task packs online with
     ``open_bins`` bins: a piece goes to the fullest bin with room for it; where there is none
     and all bins are open, the fullest closes. A task holds its open bins and the pieces of
     one batch. Only a task's last bins can stay part empty, so tasks get many pieces each.
@@ -118,15 +119,16 @@ def pack(
     """
     spark = pieces.sparkSession
     kept = [c for c in pieces.columns if c.lower() not in ("sequence_id", "offset")]
-    pieces = pieces.select(*[F.col(f"`{c}`") for c in kept])
+    pieces = stored(pieces.select(*[F.col(f"`{c}`") for c in kept]), "pieces")
     n_tasks = max(1, -(-pieces.count() // per_task))
     columns = [F.col(f"`{c}`") for c in kept]
-    order = "__order" + "_" * max(map(len, kept))
+    place, order, task_id = (fresh(pieces, name) for name in ("place", "order", "task"))
     dealt = (
-        pieces.repartition(n_tasks, *columns)
-        .withColumn(order, F.xxhash64(F.lit(size), *columns))
-        .sortWithinPartitions(order, *columns)
-        .withColumn("__task", F.spark_partition_id())
+        pieces.withColumn(place, F.monotonically_increasing_id())  # the same when a task runs again, as the table is stored
+        .repartition(n_tasks, *columns, place)
+        .withColumn(order, F.xxhash64(F.lit(size), *columns, place))
+        .sortWithinPartitions(order, place)
+        .withColumn(task_id, F.spark_partition_id())
     )
     schema = pieces.schema.add("sequence_id", "long").add("offset", "long")
     at_length = kept.index(length)
@@ -155,7 +157,7 @@ def pack(
             if arrow_schema is None:
                 fields = [batch.schema.field(c) for c in kept]
                 arrow_schema = [*fields, pa.field("sequence_id", pa.int64()), pa.field("offset", pa.int64())]
-                task = batch.column("__task")[0].as_py()
+                task = batch.column(task_id)[0].as_py()
             closed = []
             for row in zip(*[batch.column(c).to_pylist() for c in kept], strict=True):
                 if not 1 <= (row[at_length] or 0) <= size:
@@ -180,4 +182,4 @@ def pack_documents(
     numbers each, is stored in the shared folder, so a lost task repeats the packing alone.
     """
     pieces = pieces_of(docs, path, key, text, size, end_id, with_ids=False).drop("ids")
-    return pack(stored(pieces, "pieces"), size)
+    return pack(pieces, size)
