@@ -25,7 +25,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from epimill.llm.bpe import id_type, word_memo
-from epimill.llm.common import n_partitions, stored
+from epimill.llm.common import fresh, n_partitions, stored
 
 LANES = 1024
 CHECKPOINT_ROWS = 256
@@ -170,10 +170,10 @@ def write_tokens(
     """Write the documents' ids, in ascending order of ``key``, to token files in ``folder``.
 
     The tokenised texts are stored once in the shared folder; counts and files are both made
-    from them. They are range-partitioned by key (and a hash, so that one key cannot fill a
-    part) and coded part by part. A task holds one block. Null texts are empty documents of
-    the end id alone; null keys come first; rows with equal keys lie in the order of their
-    ids. An empty table gives empty files.
+    from them. They are range-partitioned by key (then a hash of the ids and the row's place, so that
+    neither one key nor rows that repeat in every column can fill a part) and coded part by part.
+    A task holds one block. Null texts are empty documents of the end id alone; null keys come
+    first; rows with equal keys lie in the order of a hash of their ids. An empty table gives empty files.
     """
     spark = docs.sparkSession
     tokens = stored(tokenised(docs, path, key, text, end_id), "token-ids", compression="zstd")
@@ -186,10 +186,11 @@ def write_tokens(
     ids = counts["id"].to_numpy()
     total = tokens.select(F.sum(F.octet_length("ids"))).first()[0] or 0
     n_parts = n_partitions(spark, total, PART_BYTES)
-    hashed = tokens.withColumn("tie", F.xxhash64("ids"))
-    ordered = hashed.repartitionByRange(n_parts, F.col(f"`{key}`").asc_nulls_first(), "tie").sortWithinPartitions(
-        F.col(f"`{key}`").asc_nulls_first(), "tie", "ids"
-    )
+    # the tokens are stored, so a row's place is the same when a task runs again
+    place = fresh(tokens, "place")
+    hashed = tokens.withColumn("tie", F.xxhash64("ids")).withColumn(place, F.monotonically_increasing_id())
+    by_key = F.col(f"`{key}`").asc_nulls_first()
+    ordered = hashed.repartitionByRange(n_parts, by_key, "tie", place).sortWithinPartitions(by_key, "tie", "ids")
     kind = tokens.schema[key].dataType.simpleString()
     schema = (
         f"part int, block int, before long, n long, keys array<{kind}>, lengths array<int>, words binary, "
