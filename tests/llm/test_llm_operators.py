@@ -152,6 +152,26 @@ def test_code_lengths_are_exact():
             assert bits[column] == pytest.approx(expected, rel=1e-5)
 
 
+def test_many_languages_fit_in_memory(spark):
+    """Sixty labels over six scripts: each is told from the others, and only seen contexts are held."""
+    rng = random.Random(60)
+    scripts = [0x61, 0x3B1, 0x430, 0x5D0, 0x905, 0x4E00]
+    letters = {f"l{i:02}": rng.sample([chr(scripts[i % 6] + j) for j in range(24)], 12) for i in range(60)}
+
+    def text(name, words):
+        return " ".join("".join(rng.choices(letters[name], k=rng.randint(2, 8))) for _ in range(words))
+
+    learned = [(text(name, 400), name) for name in letters for _ in range(5)]
+    asked = [(text(name, 60), name) for name in letters for _ in range(3)]
+    model = language.train_on(spark.createDataFrame(learned, "text string, lang string"))
+    trees = language._trees(*model)
+    assert trees.languages == sorted(letters)
+    contexts = sum(len(rows.keys) for rows in trees.escapes)
+    assert trees.nbytes < 4 * contexts * len(letters) * trees.size / 20  # of a table of all symbols and languages
+    found = language.predict(spark.createDataFrame(asked, "text string, lang string"), model).collect()
+    assert sum(r["lang"] == r["lang_pred"] for r in found) >= 0.97 * len(found)
+
+
 def brute_repeats(texts, length):
     data = [(t or "").encode() for t in texts]
     count = Counter(d[i : i + length] for d in data for i in range(len(d) - length + 1))
@@ -442,6 +462,18 @@ def test_token_files_round_trip(spark, docs, empty, monkeypatch):
         assert [s for _, s, _, _ in got] == np.cumsum([0, *[n for _, _, n, _ in got]])[:-1].tolist()
 
 
+def test_repeated_documents_are_spread_over_token_files(spark):
+    ship_package(spark)
+    rows = [(7, PROSE)] * 4000 + [(i, OTHER) for i in range(5)]
+    folder = scratch_path(spark, "tokens")
+    rans.write_tokens(spark.createDataFrame(rows, "doc_id long, text string").repartition(8), folder, PATH, end_id=1)
+    sizes = [r[1] for r in spark.read.parquet(f"{folder}/blocks").groupBy("part").agg(F.sum(F.size("keys"))).collect()]
+    assert sum(sizes) == len(rows) and max(sizes) < 1000
+    got = rans.read_tokens(spark, folder).orderBy("start").select("doc_id", "start", "n_tokens").collect()
+    assert [r["doc_id"] for r in got] == sorted(k for k, _ in rows)
+    assert [r["start"] for r in got] == np.cumsum([0, *[r["n_tokens"] for r in got]])[:-1].tolist()
+
+
 @pytest.mark.parametrize("n", [0, 1, 1023, 1024, 1025, 300_000, 262_144])
 def test_coder_round_trip(n):
     rng = np.random.default_rng(n)
@@ -482,6 +514,20 @@ def test_packing(spark, docs, empty):
         packing.pack(pieces).count()
 
 
+def test_repeated_pieces_are_spread_over_tasks(spark):
+    ship_package(spark)
+    pieces = spark.createDataFrame([(7, 30)] * 4000 + [(i, 17) for i in range(50)], "doc_id long, length long")
+    placed = packing.pack(pieces.repartition(8), size=100, per_task=500).collect()
+    assert Counter((r["doc_id"], r["length"]) for r in placed) == Counter(map(tuple, pieces.collect()))
+    by_task = Counter(r["sequence_id"] >> 40 for r in placed)
+    assert len(by_task) == 9 and max(by_task.values()) < 1000
+    at = {}
+    for r in sorted(placed, key=lambda r: (r["sequence_id"], r["offset"])):
+        assert r["offset"] == at.get(r["sequence_id"], 0)
+        at[r["sequence_id"]] = r["offset"] + r["length"]
+    assert max(at.values()) <= 100
+
+
 def test_open_bins_close_the_fullest_first():
     bins = packing.OpenBins(10, 2)
     assert bins.add(0, 6) == [] and bins.add(1, 7) == []
