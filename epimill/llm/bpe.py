@@ -31,7 +31,15 @@ SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
 LETTER = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff"
 DIGIT = "0-9\xb2\xb3\xb9\xbc-\xbe"
 SPACE = "\t-\r \x85\xa0"
-LATIN_WORDS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTER}]+|[{DIGIT}]|[^{SPACE}{LETTER}{DIGIT}]+")
+
+
+def _lower_words(letter: str, digit: str, space: str) -> re.Pattern:
+    """``SPLIT`` for lower-case texts of few characters, the usual alternative first."""
+    return re.compile(f"[{letter}]+|[{digit}]|'(?:[stmd]|re|ve|ll)|[^{space}{letter}{digit}]+")
+
+
+ASCII_WORDS = _lower_words("a-z", "0-9", "\t-\r ")
+LATIN_WORDS = _lower_words(LETTER, DIGIT, SPACE)
 BEYOND_LATIN = re.compile("[^\x00-\xff]")
 
 MEMO_WORDS = 400_000
@@ -97,6 +105,8 @@ class WordBpe:
         return self._plain_words(text)
 
     def _plain_words(self, text: str) -> list[str]:
+        if self._fast and text.isascii():
+            return ASCII_WORDS.findall(text.lower())
         if self._fast and not BEYOND_LATIN.search(text):
             return LATIN_WORDS.findall(text.lower())
         tokenizer = self.tokenizer

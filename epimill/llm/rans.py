@@ -121,13 +121,18 @@ class Model:
         return self.ids[np.concatenate(symbols)]
 
 
+def narrow_ids(path: str, end_id: int) -> bool:
+    """Whether 16 bits hold every id."""
+    return id_type(path) == "<u2" and end_id < 1 << 16
+
+
 def tokenised(docs: DataFrame, path: str, key: str, text: str, end_id: int) -> DataFrame:
     """(key, ids as bytes) with ``end_id`` after each document; 16-bit ids where they suffice."""
     end = end_id.to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = word_memo(path)
-        narrow = id_type(path) == "<u2" and end_id < 1 << 16
+        narrow = narrow_ids(path, end_id)
         for batch in batches:
             ids = (memo.encode(t.as_py()) + end for t in batch.column(1))
             if narrow:
@@ -184,8 +189,8 @@ def write_tokens(
     )
     known.coalesce(1).write.parquet(f"{folder}/frequencies")
     ids = counts["id"].to_numpy()
-    total = tokens.select(F.sum(F.octet_length("ids"))).first()[0] or 0
-    n_parts = n_partitions(spark, total, PART_BYTES)
+    width = 2 if narrow_ids(path, end_id) else 4
+    n_parts = n_partitions(spark, width * int(counts["n"].sum()), PART_BYTES)
     # the tokens are stored, so a row's place is the same when a task runs again
     place = fresh(tokens, "place")
     hashed = tokens.withColumn("tie", F.xxhash64("ids")).withColumn(place, F.monotonically_increasing_id())
