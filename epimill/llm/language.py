@@ -1,7 +1,7 @@
 """Language identification by partial matching over bytes.
 
 For each language a byte context tree of up to ``ORDER`` symbols holds the symbols seen
-after each context in a bounded sample of labelled rows. A symbol's probability comes from
+after each context in its labelled rows: in all (``train_on``) or in a bounded sample (``train``). A symbol's probability comes from
 the longest context that the language has: n / (N + D) for a symbol seen there n of N times
 among D different ones; otherwise D / (N + D), the escape, times its probability in the next
 shorter context among the symbols not seen in the longer one. The statistics are frozen, so
@@ -31,6 +31,8 @@ UNKNOWN = "und"
 FREE_BITS = 128  # a short text may hold a name or a number
 USUAL_SHARE = 0.99
 RATE_SLACK = 2
+RATE_STEPS = 256
+LEAST_RATE = 1 / 1024
 
 
 def _classes() -> np.ndarray:
@@ -89,25 +91,33 @@ def hash_sample(labelled: DataFrame, key: Column, language: Column, per_language
     return labelled.filter(F.xxhash64(key) <= limit)
 
 
-def count_contexts(sample: DataFrame, text: str, language: str) -> DataFrame:
-    """(language, order, context, symbol, n) over the sample, in 256 symbols."""
+def count_contexts(rows: DataFrame, text: str, language: str) -> DataFrame:
+    """(language, depth, gram, n) over all rows, in 256 symbols.
+
+    Texts are counted in parts of ``CHUNK_BYTES``, and only by their longest contexts: what
+    follows a shorter one is the sum over the longer ones that end in it.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             languages = np.array(batch.column(1).to_pylist(), object)
             for name in sorted(set(languages)):
-                own = batch.filter(pa.array(languages == name)).column(0)
-                values, offsets = _text_bytes(own)
-                symbols = CLASSES[values]
-                full = _contexts(symbols, offsets[:-1], 256, BLANK)
-                for order in range(ORDER + 1):
-                    grams, n = np.unique((full % 256**order) * 256 + symbols, return_counts=True)
-                    columns = [pa.array([name] * len(n)), pa.array(np.full(len(n), order, np.int32)), pa.array(grams), pa.array(n)]
-                    yield pa.RecordBatch.from_arrays(columns, ["language", "depth", "gram", "n"])
-
-    chosen = sample.select(F.col(f"`{text}`").cast("string"), F.col(f"`{language}`").cast("string"))
-    counted = chosen.mapInArrow(run, "language string, depth int, gram long, n long")
-    return counted.groupBy("language", "depth", "gram").agg(F.sum("n").alias("n"))
+                values, offsets = _text_bytes(batch.filter(pa.array(languages == name)).column(0))
+                for at in range(0, len(values), CHUNK_BYTES):
+                    low = max(at - ORDER, 0)
+                    symbols = CLASSES[values[low : at + CHUNK_BYTES]]
+                    first, last = np.searchsorted(offsets[:-1], (low, low + len(symbols)))
+                    full = _contexts(symbols, offsets[first:last] - low, 256, BLANK)
+                    grams, n = np.unique((full * 256 + symbols)[at - low :].astype(np.uint32), return_counts=True)
+                    columns = [pa.array([name] * len(n), pa.string()), pa.array(grams.astype(np.int64)), pa.array(n.astype(np.int64))]
+                    yield pa.RecordBatch.from_arrays(columns, ["language", "gram", "n"])
+
+    chosen = rows.select(F.col(f"`{text}`").cast("string"), F.col(f"`{language}`").cast("string"))
+    counted = chosen.mapInArrow(run, "language string, gram long, n long")
+    longest = counted.groupBy("language", "gram").agg(F.sum("n").alias("n"))
+    endings = [F.struct(F.lit(k).alias("depth"), F.col("gram").bitwiseAND(F.lit(256 ** (k + 1) - 1)).alias("gram")) for k in range(ORDER + 1)]
+    each = longest.select("language", F.explode(F.array(*endings)).alias("ending"), "n")
+    return each.groupBy("language", "ending.depth", "ending.gram").agg(F.sum("n").alias("n"))
 
 
 class SparseRows:
@@ -222,12 +232,16 @@ def _trees(languages: tuple[str, ...], counts: bytes) -> ContextTrees:
     return ContextTrees(list(languages), *(rows.column(c).to_numpy() for c in ("depth", "gram", "owner", "n")))
 
 
+def usable(rows: DataFrame, text: str = "text", language: str = "lang") -> DataFrame:
+    """The rows that can be learned from: those with a text and a label."""
+    return rows.filter(F.col(f"`{text}`").isNotNull() & F.col(f"`{language}`").isNotNull())
+
+
 def labelled_sample(
     labelled: DataFrame, key: str = "doc_id", text: str = "text", language: str = "lang", per_language: int = DOCS_PER_LANGUAGE
 ) -> DataFrame:
     """The rows to learn from; those without a text or a label are left out."""
-    usable = labelled.filter(F.col(f"`{text}`").isNotNull() & F.col(f"`{language}`").isNotNull())
-    return hash_sample(usable, F.col(f"`{key}`"), F.col(f"`{language}`").cast("string"), per_language)
+    return hash_sample(usable(labelled, text, language), F.col(f"`{key}`"), F.col(f"`{language}`").cast("string"), per_language)
 
 
 def train(
@@ -245,9 +259,13 @@ def train(
     return train_on(labelled_sample(labelled, key, text, language, per_language), text, language)
 
 
-def train_on(sample: DataFrame, text: str = "text", language: str = "lang") -> tuple[tuple[str, ...], bytes]:
-    """Context counts of the languages, from all rows of a sample."""
-    rows = count_contexts(sample, text, language).toArrow()
+def train_on(labelled: DataFrame, text: str = "text", language: str = "lang") -> tuple[tuple[str, ...], bytes]:
+    """Context counts of the languages, from all rows.
+
+    What comes to the driver is a number for each context and symbol that a language has, not
+    for each row: of ASCII texts at most 28^4 of the longest for a language, however many rows there are.
+    """
+    rows = count_contexts(labelled, text, language).toArrow()
     languages = tuple(sorted(pc.unique(rows.column("language")).to_pylist()))
     owner = pc.index_in(rows.column("language"), pa.array(languages, pa.string()))
     packed = pa.table({
@@ -260,16 +278,19 @@ def train_on(sample: DataFrame, text: str = "text", language: str = "lang") -> t
     return languages, sink.getvalue().to_pybytes()
 
 
-def rate_bounds(sample: DataFrame, model: tuple[tuple[str, ...], bytes], text: str = "text") -> list[float]:
-    """The most bits per byte, and per byte of letters, of a text in a learned language; see ``predict``.
+def rate_bounds(rated: DataFrame, rates: tuple[str, ...], predicted: str = "lang_pred") -> list[float]:
+    """For each of these rates of ``predict``, the most of a text in a learned language.
 
-    Twice what nearly all texts of the sample need, so that what is unusual but written in
-    the language stays; 0 if the sample has no text with a letter.
+    Twice what nearly all of the rows need, so that what is unusual but written in the
+    language stays; 0 if no row has a letter. All rows are counted, by steps of their rate
+    of which there are ``RATE_STEPS`` to a power of two, so few numbers are held.
     """
-    rates = ("rate", "letter_rate")
-    rated = predict(sample.select(F.col(f"`{text}`").alias(text)), model, text, rates=rates).filter(F.col("lang_pred") != UNKNOWN)
-    usual = rated.select(*[F.percentile_approx(r, USUAL_SHARE, 1000) for r in rates]).first()
-    return [RATE_SLACK * max(u or 0.0, 0.0) for u in usual]
+    lettered = rated.filter(F.col(f"`{predicted}`") != UNKNOWN)
+    steps = [F.ceil(RATE_STEPS * F.log2(F.greatest(F.col(f"`{r}`"), F.lit(LEAST_RATE)))).alias(f"step_{i}") for i, r in enumerate(rates)]
+    share = f"percentile_disc({USUAL_SHARE}) WITHIN GROUP (ORDER BY step_"
+    usual = lettered.select(*steps).select(*[F.expr(f"{share}{i})") for i in range(len(rates))]).first()
+    none = RATE_STEPS * np.log2(LEAST_RATE)
+    return [0.0 if u is None or u <= none else RATE_SLACK * 2 ** (u / RATE_STEPS) for u in usual]
 
 
 def predict(

@@ -152,6 +152,23 @@ def test_code_lengths_are_exact():
             assert bits[column] == pytest.approx(expected, rel=1e-5)
 
 
+def test_contexts_are_counted_in_all_rows(spark, monkeypatch):
+    """Against plain counts, with texts cut into parts of a few bytes."""
+    monkeypatch.setattr(language, "CHUNK_BYTES", 7)
+    ship_package(spark)
+    texts = [(t, la) for _, t, la, _ in TEXTS[:4] + TEXTS[6:8] + TEXTS[9:]] + [("ab", "xy"), ("é", "xy"), ("abc abc abc", "en")] * 500
+    expected = Counter()
+    for text, name in texts:
+        padded = [language.BLANK] * language.ORDER + [int(language.CLASSES[b]) for b in (text or "").encode()]
+        for at in range(language.ORDER, len(padded)):
+            for order in range(language.ORDER + 1 if name else 0):
+                expected[name, order, int.from_bytes(bytes(padded[at - order : at + 1]), "big")] += 1
+    rows = language.usable(spark.createDataFrame(texts, "text string, lang string"))
+    found = language.count_contexts(rows, "text", "lang").collect()
+    assert {(r["language"], r["depth"], r["gram"]): r["n"] for r in found} == expected
+    assert len(found) == len(expected)
+
+
 def test_many_languages_fit_in_memory(spark):
     """Sixty labels over six scripts: each is told from the others, and only seen contexts are held."""
     rng = random.Random(60)

@@ -77,6 +77,22 @@ def test_language_stage_rejects_what_was_not_learned(spark):
     assert {r[0] for r in kept.select("doc_id").collect()} == {r[0] for r in lettered.select("doc_id").collect()}
 
 
+def test_language_stage_learns_from_all_labelled_rows(spark):
+    """What only rows beyond the least hashes of a language show is learned, and sets the bounds."""
+    rng = np.random.default_rng(3)
+    words = [["".join(rng.choice(list(letters), 5)) for _ in range(300)] for letters in ("abcdefghijklm", "бвгдежзиклмно")]
+
+    def text(script):
+        return " ".join(rng.choice(words[script], 80))
+
+    hashed = spark.range(1200).select("id", F.xxhash64(F.col("id")).alias("hash"), F.crc32(F.col("id").cast("string").cast("binary")) % 4 == 2)
+    ids = [r[0] for r in sorted(hashed.collect(), key=lambda r: (r[2], r[1]))]  # those not held out by hash, then the others
+    rows = [(i, text(int(at > 700)), "xx", "s", None) for at, i in enumerate(ids)]
+    rows += [(2000, "Ωμέγα ψυχή θάλασσα ουρανός ξύλο " * 15, None, "s", None)]
+    kept = corpus_pipeline.language_id(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"), "")
+    assert sorted(r[0] for r in kept.select("doc_id").collect()) == sorted(ids)
+
+
 def test_pipeline_stages_keep_columns_that_are_not_theirs(spark):
     names = ["score", "Lang_Pred", "rate", "n_lines", "n_removed", "secret_spans", "spans", "simhash", "component_id", "kept", "own_0"]
     docs = spark.read.parquet(f"{SF_DIR}/documents.parquet")
